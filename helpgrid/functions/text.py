@@ -44,9 +44,12 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def without_stop_words(tokens: Column, stop_words: Iterable[str]) -> Column:
-    listed = list(stop_words)
-    return F.filter(tokens, lambda word: ~word.isin(listed)) if listed else tokens
+def without_stop_words(tokens: str, stop_words: Iterable[str]) -> Column:
+    """The array column ``tokens`` less the stop words. As SQL, the list crosses to the JVM once."""
+    listed = ", ".join("'" + word.replace("'", r"\'") + "'" for word in stop_words)
+    if not listed:
+        return F.col(tokens)
+    return F.expr(f"filter(`{tokens}`, word -> word NOT IN ({listed}))")
 
 
 def with_bigrams(tokens: Column) -> Column:
@@ -63,7 +66,7 @@ def with_words(df: DataFrame, text: str, stop_words: Iterable[str] | None = None
     """Adds ``words``: the tokens of ``text`` that are not stop words, in order."""
     stop = english_stop_words() if stop_words is None else stop_words
     return df.withColumn("words", words(F.coalesce(F.col(text), F.lit("")))).withColumn(
-        "words", without_stop_words(F.col("words"), stop)
+        "words", without_stop_words("words", stop)
     )
 
 

@@ -99,12 +99,10 @@ def extract_articles(generated: DataFrame) -> DataFrame:
     (from 0) and the five article fields.
     """
     kept = [c for c in generated.columns if c not in ("raw", "status")]
-    items = (
-        parsed(generated)
-        .where(R.is_array(F.col("value")))
-        .select(*kept, F.posexplode(F.try_variant_get(F.col("value"), "$", "array<variant>")))
-        .withColumnsRenamed({"pos": "position", "col": "item"})
+    listed = F.when(
+        R.is_array(F.col("value")), F.try_variant_get(F.col("value"), "$", "array<variant>")
     )
+    items = _positions(parsed(generated).select(*kept, listed.alias("items")), "items", "item")
     item = F.col("item")
     present = items.agg(*(F.bool_or(R.has_field(item, n)).alias(n) for n in ARTICLE_FIELDS))
     return items.select(
@@ -127,6 +125,17 @@ def status_counts(extracted: DataFrame) -> DataFrame:
 def numbered(extracted: DataFrame, steps: str = "resolution_steps") -> DataFrame:
     """One row per resolution step: the other columns, step (from 1) and text."""
     kept = [c for c in extracted.columns if c != steps]
-    return extracted.select(*kept, F.posexplode(steps)).select(
-        *kept, (F.col("pos") + 1).alias("step"), F.col("col").alias("text")
+    return _positions(extracted, steps, "text").select(
+        *kept, (F.col("position") + 1).alias("step"), "text"
     )
+
+
+def _positions(df: DataFrame, listed: str, name: str) -> DataFrame:
+    """One row per item of the array column ``listed``: the other columns, position and the item.
+
+    The outer form, less its null rows, keeps the optimizer from testing the size of the array in
+    a filter below, which would compute an extracted array twice.
+    """
+    kept = [c for c in df.columns if c != listed]
+    exploded = df.select(*kept, F.posexplode_outer(listed).alias("position", name))
+    return exploded.where(F.col("position").isNotNull())
