@@ -70,9 +70,10 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def postings(counts: DataFrame) -> DataFrame:
-    """One row per article and term: kb_id, term, tf."""
-    return counts.select("kb_id", F.inline(F.arrays_zip("terms", "counts"))).select(
-        "kb_id", F.col("terms").alias("term"), F.col("counts").alias("tf")
+    """One row per article and term: the other columns of ``counts``, term and tf."""
+    kept = [c for c in counts.columns if c not in ("terms", "counts")]
+    return counts.select(*kept, F.inline(F.arrays_zip("terms", "counts"))).select(
+        *kept, F.col("terms").alias("term"), F.col("counts").alias("tf")
     )
 
 
@@ -111,22 +112,20 @@ def frequent_from(terms: DataFrame, n_postings: int) -> int:
         least *= 2
 
 
-def weighted_postings(index: Index) -> DataFrame:
-    """kb_id, term, tf and idf for every posting.
+def weighted_postings(index: Index, counts: DataFrame) -> DataFrame:
+    """``postings(counts)`` with the idf of each term.
 
     Frequent terms hold most postings; their idf is broadcast and those postings never move. The
     rest is joined by a shuffle in which no key is larger than the frequency limit.
     """
     least = frequent_from(index.terms, index.n_postings)
-    tall = postings(index.counts)
+    tall = postings(counts)
     frequent = F.broadcast(index.idf.where(F.col("df") >= least).drop("df"))
     met_by_broadcast = tall.join(frequent, "term")
     if least == 1:
         return met_by_broadcast
     rare = index.idf.where(F.col("df") < least).drop("df")
-    met_by_shuffle = tall.join(frequent, "term", "left_anti").join(
-        rare, "term"
-    )
+    met_by_shuffle = tall.join(frequent, "term", "left_anti").join(rare, "term")
     return met_by_broadcast.unionByName(met_by_shuffle)
 
 
@@ -134,7 +133,7 @@ def keyword_norms(index: Index) -> DataFrame:
     """Euclidean length of each article's tf-idf vector: kb_id, norm."""
     weight = F.col("tf") * F.col("idf")
     return (
-        weighted_postings(index)
+        weighted_postings(index, index.counts.select("kb_id", "terms", "counts"))
         .groupBy("kb_id")
         .agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
     )
@@ -142,11 +141,9 @@ def keyword_norms(index: Index) -> DataFrame:
 
 def tfidf_weights(index: Index) -> DataFrame:
     """The normalized tf-idf matrix in long form: kb_id, term, tf, weight."""
-    norms = index.entries.where("n_terms > 0").select("kb_id", "norm")
-    return (
-        weighted_postings(index)
-        .join(norms, "kb_id")
-        .select("kb_id", "term", "tf", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight"))
+    entries = index.entries.select("kb_id", "norm", "terms", "counts")
+    return weighted_postings(index, entries).select(
+        "kb_id", "term", "tf", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight")
     )
 
 

@@ -104,12 +104,14 @@ def extract_articles(generated: DataFrame) -> DataFrame:
     )
     items = _positions(parsed(generated).select(*kept, listed.alias("items")), "items", "item")
     item = F.col("item")
-    present = items.agg(*(F.bool_or(R.has_field(item, n)).alias(n) for n in ARTICLE_FIELDS))
+    present = items.agg(
+        F.struct(*(F.bool_or(R.has_field(item, n)).alias(n) for n in ARTICLE_FIELDS))
+    ).scalar()
     return items.select(
         *kept,
         "position",
         *(
-            F.when(present.select(name).scalar(), R.field(item, name))
+            F.when(present.getField(name), R.field(item, name))
             .otherwise(F.lit(""))
             .alias(name)
             for name in ARTICLE_FIELDS

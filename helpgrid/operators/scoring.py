@@ -2,7 +2,7 @@
 
 Spark hands each task a stream of Arrow batches of index entries. The task holds one batch and one
 block of queries at a time, and returns a few rows per query: the range of its scores, or its best
-articles so far. The full table of (query, article) pairs is never emitted.
+articles so far. The table of all (query, article) pairs is never emitted.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ RANK_SCALE = 1e9
 
 @dataclass
 class QueryBlock:
-    """Queries as a dense matrix and as a sparse one over ``vocabulary`` (by term, then query)."""
+    """Queries as unit vectors and as weights listed by term, where ``starts`` cuts the list."""
 
     ids: np.ndarray
     dense: np.ndarray | None
@@ -37,7 +37,9 @@ class QueryBlock:
 
 @dataclass
 class QueryPack:
-    vocabulary: pa.Array
+    """Blocks of queries. Without keyword scores there is no vocabulary."""
+
+    vocabulary: pa.Array | None
     blocks: list[QueryBlock]
 
 
@@ -51,193 +53,174 @@ class Ranges:
     kw_width: np.ndarray
 
 
-def pack_queries(ids: np.ndarray, dense: np.ndarray | None, sparse: pa.Table) -> QueryPack:
-    """``sparse`` has query_id, term and weight; ``ids`` are sorted and unique."""
-    encoded = pc.dictionary_encode(sparse["term"].combine_chunks())
-    encoded = encoded.combine_chunks() if isinstance(encoded, pa.ChunkedArray) else encoded
-    vocabulary = encoded.dictionary
-    term = encoded.indices.to_numpy(zero_copy_only=False)
-    query = np.searchsorted(ids, sparse["query_id"].to_numpy())
-    weight = sparse["weight"].to_numpy()
-    blocks = []
-    for first in range(0, len(ids), QUERIES_PER_BLOCK):
-        last = min(first + QUERIES_PER_BLOCK, len(ids))
-        mine = (query >= first) & (query < last)
-        order = np.lexsort((query[mine], term[mine]))
-        starts = np.zeros(len(vocabulary) + 1, dtype=np.int64)
-        np.cumsum(np.bincount(term[mine], minlength=len(vocabulary)), out=starts[1:])
-        blocks.append(
-            QueryBlock(
-                ids[first:last],
-                None if dense is None else dense[first:last],
-                starts,
-                (query[mine] - first)[order],
-                weight[mine][order],
-            )
-        )
-    return QueryPack(vocabulary, blocks)
-
-
 @dataclass
 class Articles:
-    """One batch of index entries, articles in kb_id order, known terms only."""
+    """A run of articles in kb_id order, with the terms that some query has."""
 
     ids: np.ndarray
-    norms: np.ndarray
+    norms: np.ndarray | None
     dense: np.ndarray | None
     owner: np.ndarray
     term: np.ndarray
     tf: np.ndarray
 
 
-def read_articles(batch: pa.RecordBatch, vocabulary: pa.Array, dimension: int | None) -> Articles:
+def pack_queries(ids: np.ndarray, dense: np.ndarray | None, sparse: pa.Table | None) -> QueryPack:
+    """``sparse`` has query_id, term and weight; ``ids`` are sorted and unique."""
+    vocabulary, none = None, np.zeros(0, dtype=np.int64)
+    term, query, weight = none, none, none.astype(float)
+    if sparse is not None:
+        encoded = sparse["term"].combine_chunks().dictionary_encode()
+        vocabulary = encoded.dictionary
+        term = encoded.indices.to_numpy(zero_copy_only=False)
+        query = np.searchsorted(ids, sparse["query_id"].to_numpy())
+        weight = sparse["weight"].to_numpy()
+    n_terms = 0 if vocabulary is None else len(vocabulary)
+    blocks = []
+    for first in range(0, len(ids), QUERIES_PER_BLOCK):
+        last = min(first + QUERIES_PER_BLOCK, len(ids))
+        mine = np.flatnonzero((query >= first) & (query < last))
+        mine = mine[np.lexsort((query[mine], term[mine]))]
+        starts = np.concatenate(([0], np.cumsum(np.bincount(term[mine], minlength=n_terms))))
+        vectors = None if dense is None else dense[first:last]
+        blocks.append(QueryBlock(ids[first:last], vectors, starts, query[mine] - first, weight[mine]))
+    return QueryPack(vocabulary, blocks)
+
+
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
+    length = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
+    return matrix / np.where(length > 0, length, 1.0)[:, None]
+
+
+def read_articles(batch: pa.RecordBatch, pack: QueryPack) -> Articles:
     batch = batch.take(pc.sort_indices(batch["kb_id"]))
-    n = batch.num_rows
-    terms, counts = batch["terms"], batch["counts"]
-    known = pc.index_in(terms.flatten(), value_set=vocabulary)
-    found = pc.is_valid(known).to_numpy(zero_copy_only=False)
-    owner = np.repeat(np.arange(n), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
-    dense = None
-    if dimension is not None:
-        dense = np.zeros((n, dimension))
-        present = pc.is_valid(batch["embedding"]).to_numpy(zero_copy_only=False)
+    ids, n, dense = batch["kb_id"].to_numpy(), batch.num_rows, None
+    if pack.blocks[0].dense is not None:
+        dense = np.zeros((n, pack.blocks[0].dense.shape[1]))
         values = batch["embedding"].flatten().to_numpy(zero_copy_only=False)
-        dense[present] = unit_rows(values.reshape(-1, dimension).astype(np.float64))
+        present = pc.is_valid(batch["embedding"]).to_numpy(zero_copy_only=False)
+        dense[present] = unit_rows(values.astype(np.float64).reshape(-1, dense.shape[1]))
+    if pack.vocabulary is None:
+        none = np.zeros(0, dtype=np.int64)
+        return Articles(ids, None, dense, none, none, none.astype(float))
+    known = pc.index_in(batch["terms"].flatten(), value_set=pack.vocabulary)
+    found = pc.is_valid(known).to_numpy(zero_copy_only=False)
+    sizes = pc.list_value_length(batch["terms"]).to_numpy(zero_copy_only=False)
     return Articles(
-        batch["kb_id"].to_numpy(),
+        ids,
         batch["norm"].to_numpy(),
         dense,
-        owner[found],
+        np.repeat(np.arange(n), sizes)[found],
         known.drop_null().to_numpy().astype(np.int64),
-        counts.flatten().to_numpy(zero_copy_only=False)[found].astype(np.float64),
+        batch["counts"].flatten().to_numpy(zero_copy_only=False)[found].astype(np.float64),
     )
 
 
-def unit_rows(matrix: np.ndarray) -> np.ndarray:
-    length = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
-    return matrix / np.where(length > 0, length, 1.0)[:, None]
-
-
-def slices(articles: Articles, block: QueryBlock) -> Iterator[tuple[slice, slice]]:
-    """Cuts a batch into runs of articles, with their terms, that keep the work arrays small."""
-    n, n_queries = len(articles.ids), len(block.ids)
+def runs(articles: Articles, block: QueryBlock) -> Iterator[Articles]:
+    """Cuts a batch into runs of articles that keep the score matrix and its products small."""
+    n = len(articles.ids)
     fan_out = block.starts[articles.term + 1] - block.starts[articles.term]
-    per_article = np.bincount(articles.owner, weights=fan_out, minlength=n)
-    done = np.concatenate(([0], np.cumsum(np.maximum(per_article, n_queries))))
+    work = np.bincount(articles.owner, weights=fan_out, minlength=n)
+    done = np.concatenate(([0], np.cumsum(np.maximum(work, len(block.ids)))))
     first = 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(done, done[first] + CELLS, side="right")) - 1)
         low, high = np.searchsorted(articles.owner, [first, last])
-        yield slice(first, last), slice(low, high)
+        yield Articles(
+            articles.ids[first:last],
+            None if articles.norms is None else articles.norms[first:last],
+            None if articles.dense is None else articles.dense[first:last],
+            articles.owner[low:high] - first,
+            articles.term[low:high],
+            articles.tf[low:high],
+        )
         first = last
 
 
-def keyword_scores(articles: Articles, block: QueryBlock, rows: slice, cells: slice) -> np.ndarray:
-    """Cosine of every article in ``rows`` (down) with every query (across)."""
-    n, n_queries = rows.stop - rows.start, len(block.ids)
-    term = articles.term[cells]
-    begin = block.starts[term]
-    fan_out = block.starts[term + 1] - begin
-    source = np.repeat(np.arange(len(term)), fan_out)
-    step = np.arange(len(source)) - np.repeat(np.cumsum(fan_out) - fan_out, fan_out)
-    at = begin[source] + step
-    cell = (articles.owner[cells][source] - rows.start) * n_queries + block.columns[at]
-    products = articles.tf[cells][source] * block.weights[at]
-    scores = np.bincount(cell, weights=products, minlength=n * n_queries)
-    norms = articles.norms[rows]
-    scores = scores.reshape(n, n_queries) / np.where(norms > 0, norms, 1.0)[:, None]
-    return np.round(scores, SCORE_DECIMALS)
+def keyword_scores(run: Articles, block: QueryBlock) -> np.ndarray:
+    """Cosine of every article (down) with every query (across)."""
+    shape = len(run.ids), len(block.ids)
+    if run.norms is None:
+        return np.zeros(shape)
+    begin = block.starts[run.term]
+    fan_out = block.starts[run.term + 1] - begin
+    source = np.repeat(np.arange(len(begin)), fan_out)
+    at = np.arange(len(source)) + np.repeat(begin - (np.cumsum(fan_out) - fan_out), fan_out)
+    cell = run.owner[source] * shape[1] + block.columns[at]
+    dots = np.bincount(cell, run.tf[source] * block.weights[at], shape[0] * shape[1])
+    norms = np.where(run.norms > 0, run.norms, 1.0)
+    return np.round(dots.reshape(shape) / norms[:, None], SCORE_DECIMALS)
 
 
-def semantic_scores(articles: Articles, block: QueryBlock, rows: slice) -> np.ndarray:
-    if articles.dense is None or block.dense is None:
-        return np.zeros((rows.stop - rows.start, len(block.ids)))
-    return np.round(articles.dense[rows] @ block.dense.T, SCORE_DECIMALS)
+def semantic_scores(run: Articles, block: QueryBlock) -> np.ndarray:
+    if run.dense is None:
+        return np.zeros((len(run.ids), len(block.ids)))
+    return np.round(run.dense @ block.dense.T, SCORE_DECIMALS)
 
 
-def score_ranges(
-    batches: Iterator[pa.RecordBatch], pack: QueryPack, dimension: int | None
-) -> Iterator[pa.RecordBatch]:
-    """Per query: least and greatest score of each kind over the task's articles, and counts."""
-    state = [None] * len(pack.blocks)
+def scored(
+    batches: Iterator[pa.RecordBatch], pack: QueryPack
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Number of the block, kb_ids, semantic and keyword scores of one run after another."""
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        articles = read_articles(batch, pack.vocabulary, dimension)
-        for i, block in enumerate(pack.blocks):
-            for rows, cells in slices(articles, block):
-                sem = semantic_scores(articles, block, rows)
-                kw = keyword_scores(articles, block, rows, cells)
-                seen = [
-                    sem.min(axis=0),
-                    sem.max(axis=0),
-                    kw.min(axis=0),
-                    kw.max(axis=0),
-                    (kw > 0).sum(axis=0),
-                ]
-                if state[i] is None:
-                    state[i] = seen
-                else:
-                    merge = (np.minimum, np.maximum, np.minimum, np.maximum, np.add)
-                    state[i] = [f(a, b) for f, a, b in zip(merge, state[i], seen)]
+        if batch.num_rows:
+            articles = read_articles(batch, pack)
+            for i, block in enumerate(pack.blocks):
+                for run in runs(articles, block):
+                    yield i, run.ids, semantic_scores(run, block), keyword_scores(run, block)
+
+
+def score_ranges(batches: Iterator[pa.RecordBatch], pack: QueryPack) -> Iterator[pa.RecordBatch]:
+    """Per query: least and greatest score of each kind over the task's articles, and matches."""
+    merge = (np.minimum, np.maximum, np.minimum, np.maximum, np.add)
+    held: dict[int, list[np.ndarray]] = {}
+    for i, _, sem, kw in scored(batches, pack):
+        seen = [sem.min(0), sem.max(0), kw.min(0), kw.max(0), (kw > 0).sum(0)]
+        if i in held:
+            seen = [f(a, b) for f, a, b in zip(merge, held[i], seen)]
+        held[i] = seen
     names = ["query_id", "sem_min", "sem_max", "kw_min", "kw_max", "n_matched"]
-    for block, seen in zip(pack.blocks, state):
-        if seen is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (block.ids, *seen)], names)
+    for i, seen in held.items():
+        columns = [pa.array(c) for c in (pack.blocks[i].ids, *seen)]
+        yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def best_articles(
     batches: Iterator[pa.RecordBatch],
     pack: QueryPack,
-    dimension: int | None,
     ranges: list[Ranges],
     alphas: list[float],
     top_k: int,
 ) -> Iterator[pa.RecordBatch]:
     """Per alpha and query: the task's ``top_k`` articles by fused score."""
-    best: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        articles = read_articles(batch, pack.vocabulary, dimension)
-        for i, block in enumerate(pack.blocks):
-            for rows, cells in slices(articles, block):
-                scale = ranges[i]
-                sem = semantic_scores(articles, block, rows)
-                sem = ((sem - scale.sem_low) / scale.sem_width).T
-                kw = keyword_scores(articles, block, rows, cells)
-                kw = ((kw - scale.kw_low) / scale.kw_width).T
-                for a, alpha in enumerate(alphas):
-                    found = _top(articles.ids[rows], sem, kw, alpha, top_k)
-                    held = best.get((a, i))
-                    best[a, i] = found if held is None else _merge(held, found, top_k)
+    best: dict[tuple[int, int], list[np.ndarray]] = {}
+    for i, ids, sem, kw in scored(batches, pack):
+        scale = ranges[i]
+        sem = ((sem - scale.sem_low) / scale.sem_width).T
+        kw = ((kw - scale.kw_low) / scale.kw_width).T
+        for a, alpha in enumerate(alphas):
+            found = _top(ids, sem, kw, alpha, top_k)
+            if (a, i) in best:
+                found = [np.concatenate(pair, axis=1) for pair in zip(best[a, i], found)]
+                order = np.lexsort((found[0], -found[1]), axis=1)[:, :top_k]
+                found = [np.take_along_axis(c, order, axis=1) for c in found]
+            best[a, i] = found
     names = ["query_id", "alpha", "kb_id", "rank_key", "semantic", "keyword", "hybrid"]
-    for (a, i), (key, ids, sem, kw, hybrid) in best.items():
-        query = np.repeat(pack.blocks[i].ids, ids.shape[1])
-        columns = [query, np.full(len(query), alphas[a])]
-        columns += [c.ravel() for c in (ids, key, sem, kw, hybrid)]
+    for (a, i), found in best.items():
+        query = np.repeat(pack.blocks[i].ids, found[0].shape[1])
+        columns = [query, np.full(len(query), alphas[a]), *(c.ravel() for c in found)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
 def _top(
     ids: np.ndarray, sem: np.ndarray, kw: np.ndarray, alpha: float, top_k: int
-) -> tuple[np.ndarray, ...]:
-    """The best columns of each row. One whole number per cell orders by score, then by kb_id."""
+) -> list[np.ndarray]:
+    """The best articles of each query. One whole number orders them by score, then by kb_id."""
     hybrid = alpha * sem + (1.0 - alpha) * kw
     key = np.rint(hybrid * RANK_SCALE).astype(np.int64)
     n = len(ids)
-    ordered = key * n + np.arange(n - 1, -1, -1)
+    chosen = np.broadcast_to(np.arange(n), key.shape)
     if n > top_k:
+        ordered = key * n + np.arange(n - 1, -1, -1)
         chosen = np.argpartition(ordered, n - top_k, axis=1)[:, n - top_k :]
-    else:
-        chosen = np.broadcast_to(np.arange(n), ordered.shape)
-    take = [np.take_along_axis(c, chosen, axis=1) for c in (key, sem, kw, hybrid)]
-    return take[0], ids[chosen], *take[1:]
-
-
-def _merge(
-    held: tuple[np.ndarray, ...], found: tuple[np.ndarray, ...], top_k: int
-) -> tuple[np.ndarray, ...]:
-    joined = [np.concatenate(pair, axis=1) for pair in zip(held, found)]
-    order = np.lexsort((joined[1], -joined[0]), axis=1)[:, :top_k]
-    return tuple(np.take_along_axis(c, order, axis=1) for c in joined)
+    return [ids[chosen], *(np.take_along_axis(c, chosen, axis=1) for c in (key, sem, kw, hybrid))]

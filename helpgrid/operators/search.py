@@ -50,19 +50,22 @@ def query_weights(
 
 
 def pass_count(queries: DataFrame, index: Index, limit: int = PASS_BYTES) -> int:
-    """How many passes keep every broadcast within ``limit`` bytes, by measuring each."""
+    """How many passes keep every broadcast within ``limit`` bytes, by measuring each.
+
+    A query that alone is larger than the limit raises it to twice its own size.
+    """
     vector = 8 * (index.dimension or 0)
     # a text yields at most its words, as many bigrams of twice the length, and their numbers
     size = F.octet_length(F.coalesce("text", F.lit(""))) * 8 + vector + 32
     passes = 1
     while True:
-        largest, rows = (
+        largest, longest = (
             queries.groupBy(_pass_of(passes).alias("pass"))
-            .agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("rows"))
-            .agg(F.max("bytes"), F.max("rows"))
+            .agg(F.sum(size).alias("bytes"), F.max(size).alias("longest"))
+            .agg(F.max("bytes"), F.max("longest"))
             .first()
         )
-        if largest is None or largest <= limit or rows == 1:
+        if largest is None or largest <= max(limit, 2 * longest):
             return passes
         passes = max(passes + 1, -(-passes * largest // limit))
 
@@ -71,13 +74,16 @@ def _pass_of(passes: int):
     return F.pmod(F.xxhash64("query_id"), F.lit(passes))
 
 
-def _pack(index: Index, queries: DataFrame) -> scoring.QueryPack:
+def _pack(index: Index, queries: DataFrame, kinds: str) -> scoring.QueryPack:
     """One pass of queries as arrays; its size has been checked by ``pass_count``."""
-    weights = query_weights(index, queries, small=True)
-    sparse = weights.select(
-        "query_id", "term", (F.col("weight") * F.col("idf")).alias("weight")
-    ).toArrow()
-    if index.dimension is None or "embedding" not in queries.columns:
+    sparse = None
+    if "k" in kinds:
+        sparse = (
+            query_weights(index, queries, small=True)
+            .select("query_id", "term", (F.col("weight") * F.col("idf")).alias("weight"))
+            .toArrow()
+        )
+    if "s" not in kinds or index.dimension is None or "embedding" not in queries.columns:
         ids = np.sort(queries.select("query_id").toArrow()["query_id"].to_numpy())
         return scoring.pack_queries(ids, None, sparse)
     table = queries.select("query_id", F.col("embedding").cast("array<double>")).toArrow()
@@ -94,21 +100,22 @@ def _pack(index: Index, queries: DataFrame) -> scoring.QueryPack:
     return scoring.pack_queries(ids, scoring.unit_rows(dense), sparse)
 
 
-def _entries(index: Index) -> DataFrame:
-    columns = ["kb_id", "terms", "counts", "norm"]
-    if index.dimension is not None:
+def _entries(index: Index, pack: scoring.QueryPack) -> DataFrame:
+    """The columns of the index that the queries need."""
+    columns = ["kb_id"]
+    if pack.vocabulary is not None:
+        columns += ["terms", "counts", "norm"]
+    if pack.blocks[0].dense is not None:
         columns.append("embedding")
     return index.entries.select(*columns)
 
 
-def _ranges(index: Index, shared) -> DataFrame:
-    dimension = index.dimension
-
+def _ranges(index: Index, pack: scoring.QueryPack, shared) -> DataFrame:
     def task(batches):
-        yield from scoring.score_ranges(batches, shared.value, dimension)
+        yield from scoring.score_ranges(batches, shared.value)
 
     return (
-        _entries(index)
+        _entries(index, pack)
         .mapInArrow(task, RANGES)
         .groupBy("query_id")
         .agg(
@@ -121,11 +128,14 @@ def _ranges(index: Index, shared) -> DataFrame:
     )
 
 
-def _passes(index: Index, queries: DataFrame, limit: int) -> Iterable[scoring.QueryPack]:
+def _passes(
+    index: Index, queries: DataFrame, limit: int, kinds: str = "ks"
+) -> Iterable[scoring.QueryPack]:
+    """Query packs, one at a time. ``kinds``: k for keyword scores, s for semantic ones."""
     passes = pass_count(queries, index, limit)
     for number in range(passes):
         part = queries if passes == 1 else queries.where(_pass_of(passes) == number)
-        pack = _pack(index, part)
+        pack = _pack(index, part, kinds)
         if pack.blocks:
             yield pack
 
@@ -153,18 +163,19 @@ def score_ranges(index: Index, queries: DataFrame, pass_bytes: int = PASS_BYTES)
     ship_package(index.spark)
     context = index.spark.sparkContext
     parts = (
-        _ranges(index, context.broadcast(pack)) for pack in _passes(index, queries, pass_bytes)
+        _ranges(index, pack, context.broadcast(pack))
+        for pack in _passes(index, queries, pass_bytes)
     )
     return _gather(parts, index.spark, RANGES, "ranges")
 
 
-def _scales(pack: scoring.QueryPack, rows, scaled: bool) -> list[scoring.Ranges]:
+def _scales(pack: scoring.QueryPack, rows) -> list[scoring.Ranges]:
     found = {row.query_id: row for row in rows}
     scales = []
     for block in pack.blocks:
         n = len(block.ids)
         scale = scoring.Ranges(np.zeros(n), np.ones(n), np.zeros(n), np.ones(n))
-        for i, query_id in enumerate(block.ids if scaled else ()):
+        for i, query_id in enumerate(block.ids):
             row = found.get(int(query_id))
             if row is not None and row.sem_max > row.sem_min:
                 scale.sem_low[i], scale.sem_width[i] = row.sem_min, row.sem_max - row.sem_min
@@ -180,14 +191,16 @@ def sweep(
     top_k: int = 5,
     alphas: Sequence[float] = (0.5,),
     scaled: bool = True,
+    used_only: bool = False,
     pass_bytes: int = PASS_BYTES,
 ) -> DataFrame:
     """The ``top_k`` articles of every query for each alpha, scoring the articles once for all.
 
-    ``queries`` has query_id, text and, for semantic scores, embedding. Both scores are scaled to
-    0..1 per query over all articles, zeros included, unless all are equal; ``scaled=False`` keeps
-    the raw cosines. Returns query_id, alpha, rank, kb_id, semantic_score, keyword_score and
-    hybrid_score. Ties of the score, to nine decimals, go to the lower kb_id.
+    ``queries`` has query_id (unique), text and, for semantic scores, embedding; it is read a few
+    times. Both scores are scaled to 0..1 per query over all articles, zeros included, unless all
+    are equal; ``scaled=False`` keeps the raw cosines. ``used_only`` leaves a score that no alpha
+    weighs uncomputed and null. Returns query_id, alpha, rank, kb_id, semantic_score,
+    keyword_score and hybrid_score. Ties of the score, to nine decimals, go to the lower kb_id.
     """
     if top_k < 0:
         raise ValueError("top_k must not be negative")
@@ -196,23 +209,24 @@ def sweep(
         raise ValueError("alpha must lie between 0 and 1")
     spark = index.spark
     ship_package(spark)
-    dimension = index.dimension
+    kinds = "ks"
+    if used_only:
+        kinds = ("k" if min(alphas) < 1 else "") + ("s" if max(alphas) > 0 else "")
 
     def one_pass(pack):
         shared = spark.sparkContext.broadcast(pack)
-        rows = _ranges(index, shared).collect() if scaled else []
-        scales = spark.sparkContext.broadcast(_scales(pack, rows, scaled))
+        rows = _ranges(index, pack, shared).collect() if scaled else []
+        scales = spark.sparkContext.broadcast(_scales(pack, rows))
 
         def task(batches):
-            yield from scoring.best_articles(
-                batches, shared.value, dimension, scales.value, alphas, top_k
-            )
+            yield from scoring.best_articles(batches, shared.value, scales.value, alphas, top_k)
 
-        return _entries(index).mapInArrow(task, CANDIDATES)
+        return _entries(index, pack).mapInArrow(task, CANDIDATES)
 
-    packs = _passes(index, queries, pass_bytes) if top_k else ()
+    packs = _passes(index, queries, pass_bytes, kinds) if top_k else ()
     candidates = _gather((one_pass(p) for p in packs), spark, CANDIDATES, "candidates")
     order = Window.partitionBy("query_id", "alpha").orderBy(F.desc("rank_key"), "kb_id")
+    unused = F.lit(None).cast("double")
     return (
         candidates.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= top_k)
@@ -221,8 +235,8 @@ def sweep(
             "alpha",
             "rank",
             "kb_id",
-            F.col("semantic").alias("semantic_score"),
-            F.col("keyword").alias("keyword_score"),
+            (F.col("semantic") if "s" in kinds else unused).alias("semantic_score"),
+            (F.col("keyword") if "k" in kinds else unused).alias("keyword_score"),
             F.col("hybrid").alias("hybrid_score"),
         )
     )

@@ -66,12 +66,12 @@ def keyword_retrieve(spark, sf_dir):
 
 
 def dense_topk(spark, sf_dir):
-    raw = hits(spark, sf_dir, alpha=1.0, scaled=False)
+    raw = hits(spark, sf_dir, alpha=1.0, scaled=False, used_only=True)
     return rounded(raw.select("query_id", "rank", "kb_id", "semantic_score"), "semantic_score")
 
 
 def keyword_cosine_topk(spark, sf_dir):
-    raw = hits(spark, sf_dir, alpha=0.0, scaled=False)
+    raw = hits(spark, sf_dir, alpha=0.0, scaled=False, used_only=True)
     return rounded(raw.select("query_id", "rank", "kb_id", "keyword_score"), "keyword_score")
 
 
@@ -111,7 +111,7 @@ def benchmark_passage_retrieval(spark, sf_dir):
     items = T.labelled(spark, sf_dir)
     n_hits = TOP_K * T.table(spark, sf_dir, "benchmark").count()
     texts = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("kb_id"), "text")
-    found = S.with_articles(hits(spark, sf_dir, alpha=0.0), texts, n_hits)
+    found = S.with_articles(hits(spark, sf_dir, alpha=0.0, used_only=True), texts, n_hits)
     wanted = items.select("query_id", F.col("text").alias("passage"))
     return (
         wanted.join(found, "query_id")
@@ -141,7 +141,7 @@ def tokenize_filter(spark, sf_dir):
 
 
 def term_frequency(spark, sf_dir):
-    return I.postings(T.index(spark, sf_dir).counts)
+    return I.postings(T.index(spark, sf_dir).counts.select("kb_id", "terms", "counts"))
 
 
 def smoothed_idf(spark, sf_dir):
