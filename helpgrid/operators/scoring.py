@@ -55,7 +55,7 @@ class Ranges:
 
 @dataclass
 class Articles:
-    """A run of articles in kb_id order, with the terms that some query has."""
+    """A run of articles, with the terms that some query has."""
 
     ids: np.ndarray
     norms: np.ndarray | None
@@ -93,7 +93,6 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 
 def read_articles(batch: pa.RecordBatch, pack: QueryPack) -> Articles:
-    batch = batch.take(pc.sort_indices(batch["kb_id"]))
     ids, n, dense = batch["kb_id"].to_numpy(), batch.num_rows, None
     if pack.blocks[0].dense is not None:
         dense = np.zeros((n, pack.blocks[0].dense.shape[1]))
@@ -221,6 +220,8 @@ def _top(
     n = len(ids)
     chosen = np.broadcast_to(np.arange(n), key.shape)
     if n > top_k:
-        ordered = key * n + np.arange(n - 1, -1, -1)
+        place = np.empty(n, dtype=np.int64)
+        place[np.argsort(ids)] = np.arange(n)
+        ordered = key * n - place
         chosen = np.argpartition(ordered, n - top_k, axis=1)[:, n - top_k :]
     return [ids[chosen], *(np.take_along_axis(c, chosen, axis=1) for c in (key, sem, kw, hybrid))]

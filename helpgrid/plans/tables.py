@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from helpgrid.operators.index import Index, build_index
 
-_indexes: dict[tuple[str, str], Index] = {}
+_indexes: dict[tuple, Index] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,12 +69,22 @@ def user_turns(turns: DataFrame) -> DataFrame:
 
 def index(spark: SparkSession, sf_dir: str) -> Index:
     """The index of the articles, built by the first query of a session that needs it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, *_versions(spark, sf_dir))
     if key not in _indexes:
         _indexes[key] = build_index(articles(spark, sf_dir), vectors(spark, sf_dir))
     return _indexes[key]
 
 
+def _versions(spark: SparkSession, sf_dir: str) -> list:
+    """When the indexed tables were last written, and their rows. Reads no column."""
+    return [
+        table(spark, sf_dir, name)
+        .agg(F.max("_metadata.file_modification_time"), F.count(F.lit(1)))
+        .first()
+        for name in ("documents", "embeddings")
+    ]
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw reply per document: plain, fenced, followed by more text, or not JSON."""
     lines = F.split("text", "\n")
