@@ -4,10 +4,12 @@ Layout below the index path:
 
 ``counts``   one row per article: kb_id, terms, counts, n_terms
 ``terms``    one row per term: term, df
-``entries``  one row per article: counts + keyword norm + dense vector
+``codes``    the few terms whose code is not their hash: term, code
+``entries``  one row per article: kb_id, codes, counts, n_terms, keyword norm, dense vector
 
 A search reads ``entries`` article by article, so a term found in a third of all articles costs no
-more than any other and nothing is shuffled by term. Counts and document frequencies are additive;
+more than any other and nothing is shuffled by term. Entries hold a number in place of each term,
+its code, which is cheaper to read and to compare; codes are unique. Counts and document frequencies are additive;
 weights and norms, which depend on the size of the whole knowledge base, are derived on refresh.
 """
 
@@ -54,11 +56,52 @@ class Index:
     def idf(self) -> DataFrame:
         return self.terms.withColumn("idf", smoothed_idf(F.col("df"), self.n))
 
+    def code(self, term: Column) -> Column:
+        rows = self.spark.read.parquet(f"{self.path}/codes").collect()
+        return unique_code(term, {row.term: row.code for row in rows})
+
 
 def smoothed_idf(df: Column, n: int) -> Column:
     return F.log((F.lit(1.0) + F.lit(float(n))) / (F.lit(1.0) + df)) + F.lit(1.0)
 
 
+def term_hash(term: Column) -> Column:
+    return F.xxhash64(term)
+
+
+def shared_hashes(terms: DataFrame) -> dict[str, int]:
+    """Codes for the terms that share their hash with another one, all but the first of each.
+
+    With 64 bits, a vocabulary of ten billion terms has about three such pairs, so they are few
+    whatever the data; each gets a number that is no other term's hash.
+    """
+    hashed = terms.select("term", term_hash(F.col("term")).alias("code"))
+    n, n_codes = hashed.agg(F.count(F.lit(1)), F.count_distinct("code")).first()
+    if n == n_codes:
+        return {}
+    shared = hashed.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("code")
+    groups: dict[int, list[str]] = {}
+    for row in hashed.join(shared, "code").orderBy("term").collect():
+        groups.setdefault(row.code, []).append(row.term)
+    moved = [term for group in groups.values() for term in group[1:]]
+    codes: dict[str, int] = {}
+    candidate = 0
+    while len(codes) < len(moved):
+        tried = list(range(candidate, candidate + 2 * len(moved)))
+        taken = {row.code for row in hashed.where(F.col("code").isin(tried)).collect()}
+        free = [code for code in tried if code not in taken]
+        codes |= dict(zip(moved[len(codes) :], free))
+        candidate = tried[-1] + 1
+    return codes
+
+
+def unique_code(term: Column, moved: dict[str, int]) -> Column:
+    if not moved:
+        return term_hash(term)
+    listed = F.create_map(*(F.lit(x) for pair in moved.items() for x in pair))
+    return F.coalesce(F.try_element_at(listed, term).cast("long"), term_hash(term))
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Redistributes ``df`` if it comes in fewer files than there are task slots.
 
@@ -141,8 +184,9 @@ def keyword_norms(index: Index) -> DataFrame:
 
 def tfidf_weights(index: Index) -> DataFrame:
     """The normalized tf-idf matrix in long form: kb_id, term, tf, weight."""
-    entries = index.entries.select("kb_id", "norm", "terms", "counts")
-    return weighted_postings(index, entries).select(
+    norms = index.entries.select("kb_id", "norm")
+    counts = index.counts.select("kb_id", "terms", "counts").join(norms, "kb_id")
+    return weighted_postings(index, counts).select(
         "kb_id", "term", "tf", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight")
     )
 
@@ -210,6 +254,10 @@ def _finish(
         first = vectors.where("embedding is not null").select(F.size("embedding")).first()
         dimension = first[0] if first else None
     index = Index(spark, path, count_paths, n, n_postings, dimension)
+    moved = shared_hashes(index.terms)
+    spark.createDataFrame(list(moved.items()), "term string, code long").write.parquet(
+        f"{path}/codes"
+    )
 
     entries = counts.join(keyword_norms(index), "kb_id", "left")
     if dimension is None:
@@ -220,7 +268,7 @@ def _finish(
         embedding = checked_vector(F.col("embedding"), dimension)
     entries.select(
         "kb_id",
-        "terms",
+        F.transform("terms", lambda term: unique_code(term, moved)).alias("codes"),
         "counts",
         "n_terms",
         F.coalesce("norm", F.lit(0.0)).alias("norm"),

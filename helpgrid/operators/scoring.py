@@ -66,11 +66,11 @@ class Articles:
 
 
 def pack_queries(ids: np.ndarray, dense: np.ndarray | None, sparse: pa.Table | None) -> QueryPack:
-    """``sparse`` has query_id, term and weight; ``ids`` are sorted and unique."""
+    """``sparse`` has query_id, code (of a term) and weight; ``ids`` are sorted and unique."""
     vocabulary, none = None, np.zeros(0, dtype=np.int64)
     term, query, weight = none, none, none.astype(float)
     if sparse is not None:
-        encoded = sparse["term"].combine_chunks().dictionary_encode()
+        encoded = sparse["code"].combine_chunks().dictionary_encode()
         vocabulary = encoded.dictionary
         term = encoded.indices.to_numpy(zero_copy_only=False)
         query = np.searchsorted(ids, sparse["query_id"].to_numpy())
@@ -102,9 +102,9 @@ def read_articles(batch: pa.RecordBatch, pack: QueryPack) -> Articles:
     if pack.vocabulary is None:
         none = np.zeros(0, dtype=np.int64)
         return Articles(ids, None, dense, none, none, none.astype(float))
-    known = pc.index_in(batch["terms"].flatten(), value_set=pack.vocabulary)
+    known = pc.index_in(batch["codes"].flatten(), value_set=pack.vocabulary)
     found = pc.is_valid(known).to_numpy(zero_copy_only=False)
-    sizes = pc.list_value_length(batch["terms"]).to_numpy(zero_copy_only=False)
+    sizes = pc.list_value_length(batch["codes"]).to_numpy(zero_copy_only=False)
     return Articles(
         ids,
         batch["norm"].to_numpy(),

@@ -80,7 +80,11 @@ def _pack(index: Index, queries: DataFrame, kinds: str) -> scoring.QueryPack:
     if "k" in kinds:
         sparse = (
             query_weights(index, queries, small=True)
-            .select("query_id", "term", (F.col("weight") * F.col("idf")).alias("weight"))
+            .select(
+                "query_id",
+                index.code(F.col("term")).alias("code"),
+                (F.col("weight") * F.col("idf")).alias("weight"),
+            )
             .toArrow()
         )
     if "s" not in kinds or index.dimension is None or "embedding" not in queries.columns:
@@ -104,7 +108,7 @@ def _entries(index: Index, pack: scoring.QueryPack) -> DataFrame:
     """The columns of the index that the queries need."""
     columns = ["kb_id"]
     if pack.vocabulary is not None:
-        columns += ["terms", "counts", "norm"]
+        columns += ["codes", "counts", "norm"]
     if pack.blocks[0].dense is not None:
         columns.append("embedding")
     return index.entries.select(*columns)

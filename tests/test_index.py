@@ -9,7 +9,7 @@ from helpgrid.operators import index as I
 def tables(index):
     """The contents of an index, less the order of its rows."""
     entries = {
-        r.kb_id: (r.terms, r.counts, round(r.norm, 9), r.embedding) for r in index.entries.collect()
+        r.kb_id: (r.codes, r.counts, round(r.norm, 9), r.embedding) for r in index.entries.collect()
     }
     terms = {r.term: (r.df, round(r.idf, 9)) for r in index.idf.collect()}
     return entries, terms
@@ -88,3 +88,20 @@ def test_empty_texts(spark):
     index = I.build_index(spark.createDataFrame(rows, ARTICLE_COLUMNS))
     assert (index.n, index.n_postings) == (2, 0)
     assert sorted(r.norm for r in index.entries.collect()) == [0.0, 0.0]
+
+
+def test_terms_with_one_hash(monkeypatch, spark, rows, vectors, index):
+    """With a poor hash many terms collide; codes stay unique and the hits the same."""
+    from helpgrid.operators.search import retrieve
+
+    asked = spark.createDataFrame(
+        [(0, "refund customer card"), (1, "café naïve parcel late")], "query_id long, text string"
+    )
+    expected = sorted(retrieve(index, asked, 5, 0.0).collect())
+    monkeypatch.setattr(I, "term_hash", lambda term: F.pmod(F.xxhash64(term), F.lit(60)))
+    poor = I.build_index(*frames(spark, rows, vectors))
+    moved = I.shared_hashes(poor.terms)
+    codes = poor.terms.select(poor.code(F.col("term")).alias("code"))
+    assert len(moved) > 20
+    assert codes.distinct().count() == poor.terms.count()
+    assert sorted(retrieve(poor, asked, 5, 0.0).collect()) == expected

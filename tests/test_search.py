@@ -209,4 +209,4 @@ def test_plan(index, queries):
     assert "WindowGroupLimit" in plan
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     dense = S._entries(index, S._pack(index, queries, "s"))
-    assert "terms" not in dense._jdf.queryExecution().executedPlan().toString()
+    assert "codes" not in dense._jdf.queryExecution().executedPlan().toString()
