@@ -9,8 +9,9 @@ Layout below the index path:
 
 A search reads ``entries`` article by article, so a term found in a third of all articles costs no
 more than any other and nothing is shuffled by term. Entries hold a number in place of each term,
-its code, which is cheaper to read and to compare; codes are unique. Counts and document frequencies are additive;
-weights and norms, which depend on the size of the whole knowledge base, are derived on refresh.
+its code, which is cheaper to read and to compare; codes are unique. Counts and document
+frequencies are additive; weights and norms, which depend on the size of the whole knowledge base,
+are derived on refresh.
 """
 
 from __future__ import annotations
@@ -28,6 +29,14 @@ from helpgrid.session import scratch_path
 FREQUENT_TERMS = 200_000
 FREQUENT_BYTES = 32 << 20
 
+COUNTS = "kb_id long, terms array<string>, counts array<int>, n_terms int"
+TERMS = "term string, df long"
+CODES = "term string, code long"
+ENTRIES = (
+    "kb_id long, codes array<long>, counts array<int>, n_terms int, norm double, "
+    "embedding array<float>"
+)
+
 
 @dataclass(frozen=True)
 class Index:
@@ -42,22 +51,22 @@ class Index:
 
     @property
     def counts(self) -> DataFrame:
-        return self.spark.read.parquet(*self.count_paths)
+        return self.spark.read.schema(COUNTS).parquet(*self.count_paths)
 
     @property
     def terms(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/terms")
+        return self.spark.read.schema(TERMS).parquet(f"{self.path}/terms")
 
     @property
     def entries(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/entries")
+        return self.spark.read.schema(ENTRIES).parquet(f"{self.path}/entries")
 
     @property
     def idf(self) -> DataFrame:
         return self.terms.withColumn("idf", smoothed_idf(F.col("df"), self.n))
 
     def code(self, term: Column) -> Column:
-        rows = self.spark.read.parquet(f"{self.path}/codes").collect()
+        rows = self.spark.read.schema(CODES).parquet(f"{self.path}/codes").collect()
         return unique_code(term, {row.term: row.code for row in rows})
 
 
@@ -131,7 +140,9 @@ def document_frequencies(counts: DataFrame) -> DataFrame:
 
 def article_counts(articles: DataFrame, stop_words=None) -> DataFrame:
     """Term counts of the corpus text of each article."""
-    corpus = spread(articles, "kb_id").select("kb_id", corpus_text().alias("corpus"))
+    corpus = spread(articles, "kb_id").select(
+        F.col("kb_id").cast("long").alias("kb_id"), corpus_text().alias("corpus")
+    )
     return with_term_counts(corpus, "corpus", stop_words).select(
         "kb_id", "terms", "counts", F.size("terms").alias("n_terms")
     )
@@ -206,7 +217,8 @@ def build_index(
     path = path or scratch_path(spark, "index")
     counts_path = f"{path}/counts"
     article_counts(articles, stop_words).write.parquet(counts_path)
-    document_frequencies(spark.read.parquet(counts_path)).write.parquet(f"{path}/terms")
+    counts = spark.read.schema(COUNTS).parquet(counts_path)
+    document_frequencies(counts).write.parquet(f"{path}/terms")
     return _finish(spark, path, (counts_path,), vectors)
 
 
@@ -225,7 +237,7 @@ def refresh_index(
     path = path or scratch_path(spark, "index")
     counts_path = f"{path}/counts"
     article_counts(new_articles, stop_words).write.parquet(counts_path)
-    added = document_frequencies(spark.read.parquet(counts_path))
+    added = document_frequencies(spark.read.schema(COUNTS).parquet(counts_path))
     (
         index.terms.unionByName(added)
         .groupBy("term")
@@ -247,7 +259,7 @@ def open_index(spark: SparkSession, path: str) -> Index:
 def _finish(
     spark: SparkSession, path: str, count_paths: tuple[str, ...], vectors: DataFrame | None
 ) -> Index:
-    counts = spark.read.parquet(*count_paths)
+    counts = spark.read.schema(COUNTS).parquet(*count_paths)
     n, n_postings = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
     dimension = None
     if vectors is not None:
@@ -255,9 +267,7 @@ def _finish(
         dimension = first[0] if first else None
     index = Index(spark, path, count_paths, n, n_postings, dimension)
     moved = shared_hashes(index.terms)
-    spark.createDataFrame(list(moved.items()), "term string, code long").write.parquet(
-        f"{path}/codes"
-    )
+    spark.createDataFrame(list(moved.items()), CODES).write.parquet(f"{path}/codes")
 
     entries = counts.join(keyword_norms(index), "kb_id", "left")
     if dimension is None:
