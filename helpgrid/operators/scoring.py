@@ -83,7 +83,8 @@ def pack_queries(ids: np.ndarray, dense: np.ndarray | None, sparse: pa.Table | N
         mine = mine[np.lexsort((query[mine], term[mine]))]
         starts = np.concatenate(([0], np.cumsum(np.bincount(term[mine], minlength=n_terms))))
         vectors = None if dense is None else dense[first:last]
-        blocks.append(QueryBlock(ids[first:last], vectors, starts, query[mine] - first, weight[mine]))
+        columns = query[mine] - first
+        blocks.append(QueryBlock(ids[first:last], vectors, starts, columns, weight[mine]))
     return QueryPack(vocabulary, blocks)
 
 

@@ -10,6 +10,9 @@ from helpgrid.functions.text import strip
 from helpgrid.operators.replies import numbered
 
 
+CLASSES = ("category", "subcategory", "journey_stage")
+
+
 def complaints(queries: DataFrame) -> DataFrame:
     """Queries whose text holds more than blanks."""
     return queries.where(strip(F.col("text")) != "")
@@ -26,7 +29,7 @@ def classified(queries: DataFrame, extracted: DataFrame) -> DataFrame:
     shown = extracted.select(
         "query_id",
         "status",
-        *(F.coalesce(c, F.lit("—")).alias(c) for c in ("category", "subcategory", "journey_stage")),
+        *(F.coalesce(c, F.lit("—")).alias(c) for c in CLASSES),
         F.coalesce("confidence", F.lit("Low")).alias("confidence"),
         F.coalesce("summary", F.lit("")).alias("summary"),
         "resolution_steps",

@@ -34,7 +34,8 @@ def first_category():
         if any('"""refund' in t for t in texts):
             raise ValueError("no refunds")
         found = [t.partition("[1] Category: ")[2].partition(" > ")[0] for t in texts]
-        return ["```json\n" + json.dumps({"category": c, "confidence": "High"}) + "\n```" for c in found]
+        replies = [json.dumps({"category": c, "confidence": "High"}) for c in found]
+        return [f"```json\n{reply}\n```" for reply in replies]
 
     return answer
 
