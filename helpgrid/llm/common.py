@@ -100,3 +100,71 @@ def bounded_labels(labels: DataFrame, column: str, bound: int) -> DataFrame:
         .agg(F.max("label").alias("label"))
     )
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+
+
+def shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """The distinct hashes of all runs of ``width`` words, sorted; of fewer words, their whole sequence as one.
+
+    Hashes have 64 bits: two given texts of a thousand words agree in one by chance about once in 10^13 pairs.
+    """
+    if not len(words):
+        return np.empty(0, np.uint64)
+    width = min(width, len(words))
+    with np.errstate(over="ignore"):
+        total = np.full(len(words) - width + 1, width, np.uint64)
+        for i in range(width):
+            total = total * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - width + 1 + i]
+    return np.unique(mix(total))
+
+
+#: Bits of a filter: at most 64 MB, whatever the number of hashes. More hashes only let more rows pass.
+FILTER_BITS, FILTER_SEGMENT = 1 << 29, 1 << 16
+
+
+class HashFilter:
+    """A bitmap of bounded size that says which hashes cannot be in a set. Broadcast with the tasks that use it."""
+
+    def __init__(self, plane: np.ndarray):
+        self.plane = plane
+
+    def may_have(self, hashes: np.ndarray) -> np.ndarray:
+        at = mix(hashes.view(np.uint64)) % np.uint64(len(self.plane) * 8)
+        return (self.plane[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _pack(key, part):
+    import pyarrow as pa
+
+    bits = np.zeros(FILTER_SEGMENT, np.uint8)
+    bits[part.column("bit").to_numpy()] = 1
+    return pa.table({"segment": [key[0].as_py()], "plane": [np.packbits(bits, bitorder="little").tobytes()]})
+
+
+def _bits(size: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at = np.unique(mix(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(size)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at // FILTER_SEGMENT), pa.array(at % FILTER_SEGMENT)], names=["segment", "bit"]
+            )
+
+    return run
+
+
+def hash_filter(hashes: DataFrame, n: int) -> HashFilter:
+    """A filter over the only column (long, not null) of ``hashes``, of about ``n`` distinct ones; 16 bits for each."""
+    size = FILTER_SEGMENT
+    while size < min(16 * n, FILTER_BITS):
+        size *= 2
+    parts = (
+        hashes.mapInArrow(_bits(size), "segment long, bit long")
+        .distinct()  # at most FILTER_SEGMENT rows a segment
+        .groupBy("segment")
+        .applyInArrow(_pack, "segment long, plane binary")
+    )
+    plane = np.zeros(size // 8, np.uint8)
+    for segment, part in parts.toLocalIterator():
+        plane[segment * FILTER_SEGMENT // 8 :][: FILTER_SEGMENT // 8] = np.frombuffer(part, np.uint8)
+    return HashFilter(plane)
