@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from helpgrid.llm.common import documents, ship_package, stored
 
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 19
 #: Words of a block: a millionth of the corpus, but no more than this.
 BLOCK_WORDS = 1024
 MAX_SOURCES = 100_000
