@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from helpgrid.session import scratch_path, ship_package
 
-__all__ = ["WordCache", "bounded_labels", "documents", "lower_ascii", "mix", "ship_package", "stored", "table"]
+__all__ = ["WordCache", "bounded_labels", "documents", "lower_ascii", "mix", "only_ids", "ship_package", "stored", "table"]
 
 #: A cache of words in a task starts anew beyond this many entries (about 50 MB).
 CACHE_WORDS = 300_000
@@ -168,3 +168,21 @@ def hash_filter(hashes: DataFrame, n: int) -> HashFilter:
     for segment, part in parts.toLocalIterator():
         plane[segment * FILTER_SEGMENT // 8 :][: FILTER_SEGMENT // 8] = np.frombuffer(part, np.uint8)
     return HashFilter(plane)
+
+
+def _may_have(column: str, shared):
+    def run(batches):
+        for batch in batches:
+            values = batch.column(column)
+            known = values.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(known & shared.value.may_have(values.fill_null(0).to_numpy()))
+
+    return run
+
+
+def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id (long) is in ``ids``; others are dropped by a filter before anything is shuffled."""
+    ship_package(docs.sparkSession)
+    ids = stored(ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), "ids")
+    shared = docs.sparkSession.sparkContext.broadcast(hash_filter(ids, ids.count()))
+    return docs.mapInArrow(_may_have("doc_id", shared), docs.schema).join(ids, "doc_id", "left_semi")

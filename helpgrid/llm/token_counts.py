@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helpgrid.llm.common import documents, ship_package, stored, table
+from helpgrid.llm.common import documents, only_ids, ship_package, stored, table
 from helpgrid.session import scratch_path
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -153,9 +153,7 @@ def op6_token_counts(spark, sf_dir, vocabulary: str = VOCABULARY):
     everything = counted(docs, counters)
     store.commit("1-load", everything)
     store.commit("1-load", everything)
-    masked = docs.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi").withColumn(
-        "text", F.regexp_replace("text", "[0-9]", "0")
-    )
+    masked = only_ids(docs, labels.where("toxic = 1")).withColumn("text", F.regexp_replace("text", "[0-9]", "0"))
     store.commit("2-mask", counted(masked, counters))
     store.commit("3-delete", deletes=labels.where("quality = 0"))
     return store.totals()
