@@ -6,12 +6,14 @@ from helpgrid.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from helpgrid.llm.line_dedup import OP1_SQL, op1_line_dedup
 from helpgrid.llm.mixing import op2_mixing
 from helpgrid.llm.ngram_join import op4_ngram_join
+from helpgrid.llm.pii import op5_pii
 from helpgrid.llm.token_counts import op6_token_counts
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
     "op4_ngram_join": op4_ngram_join,
+    "op5_pii": op5_pii,
     "op6_token_counts": op6_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
 }
