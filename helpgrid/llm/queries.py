@@ -8,10 +8,12 @@ from helpgrid.llm.mixing import op2_mixing
 from helpgrid.llm.ngram_join import op4_ngram_join
 from helpgrid.llm.pii import op5_pii
 from helpgrid.llm.token_counts import op6_token_counts
+from helpgrid.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
+    "op3_toxicity": op3_toxicity,
     "op4_ngram_join": op4_ngram_join,
     "op5_pii": op5_pii,
     "op6_token_counts": op6_token_counts,
