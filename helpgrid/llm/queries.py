@@ -7,6 +7,7 @@ from helpgrid.llm.line_dedup import OP1_SQL, op1_line_dedup
 from helpgrid.llm.mixing import op2_mixing
 from helpgrid.llm.ngram_join import op4_ngram_join
 from helpgrid.llm.pii import op5_pii
+from helpgrid.llm.quality import op9_quality
 from helpgrid.llm.token_counts import op6_token_counts
 from helpgrid.llm.toxicity import op3_toxicity
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_ngram_join": op4_ngram_join,
     "op5_pii": op5_pii,
     "op6_token_counts": op6_token_counts,
+    "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
