@@ -8,6 +8,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from helpgrid.session import scratch_path, ship_package
 
@@ -186,3 +187,40 @@ def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     ids = stored(ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), "ids")
     shared = docs.sparkSession.sparkContext.broadcast(hash_filter(ids, ids.count()))
     return docs.mapInArrow(_may_have("doc_id", shared), docs.schema).join(ids, "doc_id", "left_semi")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The documents with ``_k1`` and ``_k2``, which identify them: rows that repeat id and text are one."""
+    return docs.withColumns(
+        {
+            "_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))),
+            "_k2": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))),
+        }
+    )
+
+
+def _flag(shared):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            may = shared.value.may_have(batch.column("_k2").to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(may)], names=[*batch.schema.names, "_may"])
+
+    return run
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but for the rows whose keys are in ``gone`` (_k1, _k2: see :func:`keyed`).
+
+    A filter of bounded size lets all other rows straight through: only the few it cannot tell are shuffled.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    gone = stored(gone.select("_k1", "_k2").distinct(), "gone")
+    shared = spark.sparkContext.broadcast(hash_filter(gone.select("_k2"), gone.count()))
+    rows = keyed(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")).select("_row", "_k1", "_k2")
+    schema = StructType([*rows.schema.fields, StructField("_may", BooleanType())])
+    flagged = rows.mapInArrow(_flag(shared), schema)
+    stays = flagged.where(~F.col("_may")).select("_row.*")
+    return stays.unionByName(flagged.where("_may").join(gone.hint("merge"), ["_k1", "_k2"], "left_anti").select("_row.*"))
