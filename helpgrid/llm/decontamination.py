@@ -29,7 +29,6 @@ RUN = 6
 PUNCTUATION = string.punctuation.encode()
 NUMBER = re.compile(rb"[+-]?[0-9][0-9.,:/]*")
 AMOUNT = re.compile(rb"([+-]?[0-9][0-9.,:/]*)([a-z%\xc2\xb0]+)")
-NAME = re.compile("[^\\W\\d_a-z][^\\W\\d_]*[^\\W\\d_A-Z][^\\W\\d_]*")
 #: The units, as fixed values.
 UNITS = frozenset(
     b"mm cm m km in ft yd mi mg g kg lb oz t ml l gal s sec min h hr hrs ms mph kmh kph hz khz mhz ghz w kw kwh v a j kj cal "
@@ -51,7 +50,7 @@ def classify(word: bytes) -> tuple[int, int, int]:
         return NUM, value, 1 | ends
     if low in UNITS:
         return value, value, 2 | ends
-    like = 4 if len(core) > 1 and NAME.fullmatch(letters) else 0
+    like = 4 if letters.isalpha() and letters[0].isupper() and letters[1:].islower() else 0
     return value, value, like | ends
 
 
