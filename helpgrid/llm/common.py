@@ -103,8 +103,8 @@ def bounded_labels(labels: DataFrame, column: str, bound: int) -> DataFrame:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
-def shingles(words: np.ndarray, width: int) -> np.ndarray:
-    """The distinct hashes of all runs of ``width`` words, sorted; of fewer words, their whole sequence as one.
+def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """The hashes of all runs of ``width`` words, in order; of fewer words, their whole sequence as one.
 
     Hashes have 64 bits: two given texts of a thousand words agree in one by chance about once in 10^13 pairs.
     """
@@ -115,7 +115,12 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
         total = np.full(len(words) - width + 1, width, np.uint64)
         for i in range(width):
             total = total * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - width + 1 + i]
-    return np.unique(mix(total))
+    return mix(total)
+
+
+def shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """The distinct shingle hashes, sorted."""
+    return np.unique(shingle_hashes(words, width))
 
 
 #: Bits of a filter: at most 64 MB, whatever the number of hashes. More hashes only let more rows pass.

@@ -10,13 +10,18 @@ Steps, all on tables in the shared folder:
 1. Rarity: every task counts shingles in a sketch of bounded size; the merged sketch is broadcast as one byte a cell.
    It only orders shingles, so its errors cost time, never links.
 2. Prefixes of all documents. Equal sets share a key and count as one from here on.
-3. Prefix shingles met by two keys or more remain; only sets that have some are written for verification.
+3. Prefix shingles met by two keys or more remain, and keys that still have as many of them as they demand; only
+   their sets are written for verification.
 4. Rounds: in each prefix shingle that still joins different components, the sets are verified
-   against one hub, each with the hub it shares most with. So a group of near copies costs one verification
-   a member, not one a pair.
+   against one hub, each with the hub it shares most with. The first hubs are the sets with fewest
+   shingles of their own. So a group of near copies costs one verification a member, not one a pair.
 5. What is left: for every prefix shingle with several components, the members outside the largest one meet all
-   members of other components. All pairs that share the smaller l of the two are verified, with no cap.
+   members of other components. All pairs that pass the bounds below are verified, with no cap.
 6. Components by label propagation over the verified links.
+
+Bounds on a pair, all exact: sizes must allow the similarity; what both can still share from a common shingle on must reach the
+overlap that their sizes demand; and of the shared prefix shingles there must be as many as that overlap leaves
+once everything behind the prefixes is counted as shared.
 """
 
 from __future__ import annotations
@@ -27,14 +32,23 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from helpgrid.llm.common import WordCache, documents, hash_filter, mix, ship_package, shingles, stored
+from helpgrid.llm.common import (
+    WordCache,
+    documents,
+    hash_filter,
+    ship_package,
+    shingle_hashes,
+    shingles,
+    stored,
+)
 
 #: Cells of the rarity sketch: one for four shingles, up to a fixed number (a byte each in the broadcast).
 SKETCH_SEGMENT, MAX_SEGMENTS = 1 << 16, 1 << 9
-MAX_MATCHES = 8  # the largest l that a set may pick
-VERIFY_COST = 8  # verifying a candidate against meeting it in a list
+SHORTEST, LONGEST = 32, 16  # a set of n picks an l of at least n / SHORTEST and at most n / LONGEST, or 8
+VERIFY_COST = 4  # a list entry against a shingle compared in verification, which costs one for so many
 ROUNDS = 4
 SUB = 256  # documents handled together inside a task
 
@@ -50,20 +64,29 @@ def _key(of: np.ndarray, seed: int) -> int | None:
     return xxhash.xxh64_intdigest(of.tobytes(), seed) - (1 << 63) if len(of) else None
 
 
+def _text_hash(text) -> int:
+    return xxhash.xxh64_intdigest(text.as_py() or b"") - (1 << 63)
+
+
 def _cell(of: np.ndarray, cells: int) -> np.ndarray:
     return (of % np.uint64(cells)).astype(np.int64)
 
 
 def _sketch(width: int, cells: int):
+    def add(counts, pending):
+        if pending:
+            at, n = np.unique(_cell(np.concatenate(pending), len(counts)), return_counts=True)
+            counts[at] = np.minimum(counts[at].astype(np.int64) + n, 65535)
+            pending.clear()
+
     def run(batches):
-        words, counts = WordCache(), np.zeros(cells, np.uint16)
+        words, counts, pending = WordCache(), np.zeros(cells, np.uint16), []
         for batch in batches:
-            pending = []
-            for _, of in _sets(batch, width, words):
-                pending.append(of)
+            for text in batch.column("text"):
+                pending.append(shingle_hashes(words.values_of((text.as_py() or b"").lower().split()), width))
                 if len(pending) >= SUB:
-                    _add(counts, pending)
-            _add(counts, pending)
+                    add(counts, pending)
+        add(counts, pending)
         for segment in range(cells // SKETCH_SEGMENT):
             part = counts[segment * SKETCH_SEGMENT :][:SKETCH_SEGMENT]
             if part.any():
@@ -72,12 +95,6 @@ def _sketch(width: int, cells: int):
                     names=["segment", "counts"],
                 )
 
-    def _add(counts, pending):
-        if pending:
-            at, n = np.unique(_cell(np.concatenate(pending), len(counts)), return_counts=True)
-            counts[at] = np.minimum(counts[at].astype(np.int64) + n, 65535)
-            pending.clear()
-
     return run
 
 
@@ -113,13 +130,13 @@ def prefix(of: np.ndarray, classes: np.ndarray, percent: int, floor: float) -> t
     rarity = classes[_cell(of, len(classes))]
     ranked = np.argsort((rarity.astype(np.uint64) << np.uint64(56)) | (of >> np.uint64(8)), kind="stable")
     least = int(least_overlap(n, percent))
-    most = min(MAX_MATCHES, least)
+    most = min(max(8, n // LONGEST), least)
     ranked = ranked[: n - least + most]
     met = np.cumsum(np.maximum(2.0 ** (rarity[ranked] / 2) - floor, 0.01))
-    matches = np.arange(1, most + 1)
+    matches = np.arange(max(1, n // SHORTEST), most + 1)
     at = met[n - least + matches - 1]
-    best = int(np.argmin(at + VERIFY_COST * at / matches))
-    return of[ranked[: n - least + best + 1]], best + 1
+    best = int(matches[np.argmin(at * (1 + n / VERIFY_COST / matches))])
+    return of[ranked[: n - least + best]], best
 
 
 def _prefixes(width: int, percent: int, seed: int, shared):
@@ -136,7 +153,7 @@ def _prefixes(width: int, percent: int, seed: int, shared):
                     seen.add(key)
                     tokens, matches = prefix(of, classes, percent, floor)
                     tokens = tokens.view(np.int64)
-                rows.append((i, len(of), key, check, matches, tokens))
+                rows.append((i, len(of), key, check, matches, tokens, _text_hash(batch.column("text")[i])))
                 if len(rows) >= SUB:
                     yield _prefix_rows(ids, rows)
                     rows = []
@@ -147,7 +164,7 @@ def _prefixes(width: int, percent: int, seed: int, shared):
 
 
 def _prefix_rows(ids, rows):
-    i, n, key, check, matches, tokens = zip(*rows, strict=True)
+    i, n, key, check, matches, tokens, text = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
         [
             ids.take(pa.array(i)),
@@ -156,8 +173,9 @@ def _prefix_rows(ids, rows):
             pa.array(check, pa.int64()),
             pa.array(matches, pa.int32()),
             pa.array(tokens, pa.list_(pa.int64())),
+            pa.array(text, pa.int64()),
         ],
-        names=["doc_id", "n", "key", "check", "matches", "tokens"],
+        names=["doc_id", "n", "key", "check", "matches", "tokens", "text"],
     )
 
 
@@ -165,10 +183,11 @@ def _wanted_sets(width: int, seed: int, shared):
     def run(batches):
         words, wanted = WordCache(), shared.value
         for batch in batches:
+            text_hashes = np.array([_text_hash(x) for x in batch.column("text")], np.int64)
             keys, sets, seen = [], [], set()
-            for _, of in _sets(batch, width, words):
+            for _, of in _sets(batch.filter(pa.array(wanted.may_have(text_hashes))), width, words):
                 key = _key(of, seed)
-                if key is None or key in seen or not wanted.may_have(np.array([key], np.int64))[0]:
+                if key is None or key in seen:
                     continue
                 seen.add(key)
                 keys.append(key)
@@ -230,27 +249,55 @@ def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def _kept(postings: DataFrame, percent: int) -> DataFrame:
+    """Postings (key, n, matches, length, token, at) without shingles that only one key has, then without
+    keys that have fewer than they, or the least set they can link to, demand; ``had`` is how many a key has,
+    ``rank`` how many of them stand before."""
+    demand = F.least(F.col("matches"), F.greatest(F.lit(1), F.floor(percent * F.col("n") / 100 / SHORTEST)))
+    met = (
+        postings.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("token")
+    )
+    own = Window.partitionBy("key")  # a key has no more rows than its prefix is long
+    return (
+        postings.join(met.hint("merge"), "token")
+        .withColumn("had", F.count(F.lit(1)).over(own))
+        .where(F.col("had") >= demand)
+        .withColumn("rank", F.row_number().over(own.orderBy("at")) - 1)
+    )
+
+
+def _possible(percent: int):
+    """Whether the sets of two postings (the second one's columns end in _o) of one shingle can link at all."""
+    demand = F.ceil(percent * (F.col("n") + F.col("n_o")) / (100 + percent))
+    sizes = 100 * F.least("n", "n_o") >= percent * F.greatest("n", "n_o")
+    ahead = F.least(F.col("n") - F.col("at"), F.col("n_o") - F.col("at_o"))
+    behind = F.greatest(F.col("n") - F.col("length"), F.col("n_o") - F.col("length_o"))
+    return (
+        sizes
+        & (F.least("rank", "rank_o") + ahead >= demand)
+        & (F.least("had", "had_o") + behind >= demand)
+        & (F.col("comp") != F.col("comp_o"))
+    )
+
+
+COLUMNS = ("key", "n", "length", "at", "had", "rank", "comp")
+
+
 def _candidates_by_hub(postings: DataFrame, percent: int, turn: int) -> DataFrame:
     """Each set with the hub it shares most open prefix shingles with: (a, b), b the hub."""
-    order = F.xxhash64(F.lit(turn), F.col("key"))
+    alone = (F.col("length") - F.col("had")) / F.col("n") if turn == 0 else F.lit(0.0)
+    order = (alone.alias("alone"), F.xxhash64(F.lit(turn), F.col("key")).alias("o"))
     hubs = postings.groupBy("token").agg(
-        F.min(F.struct(order.alias("o"), "key", "n", "comp")).alias("hub"),
-        F.min("comp").alias("low"),
-        F.max("comp").alias("high"),
-    )
-    hubs = hubs.where("low < high").select(
-        "token", F.col("hub.key").alias("b"), F.col("hub.n").alias("m"), F.col("hub.comp").alias("hub_comp")
-    )
-    met = postings.join(hubs.hint("merge"), "token").where(
-        (F.col("comp") != F.col("hub_comp"))
-        & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+        F.min(F.struct(*order, *COLUMNS)).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")
     )
-    shared = met.groupBy(F.col("key").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared"))
+    hubs = hubs.where("low < high").select("token", *(F.col(f"hub.{c}").alias(f"{c}_o") for c in COLUMNS))
+    met = postings.join(hubs.hint("merge"), "token").where(_possible(percent))
+    shared = met.groupBy(F.col("key").alias("a"), F.col("key_o").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     return shared.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
 
 def _candidates_left(postings: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that share as many prefix shingles as the smaller demand of both."""
+    """All pairs of different components that share as many prefix shingles as the overlap they need demands."""
     sizes = postings.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("members"))
     largest = (
         sizes.groupBy("token")
@@ -259,18 +306,15 @@ def _candidates_left(postings: DataFrame, percent: int) -> DataFrame:
         .select("token", F.col("top.comp").alias("top"))
     )
     marked = stored(postings.join(largest.hint("merge"), "token"), "open-postings")
-    outside = marked.where("comp != top").select(
-        "token", *(F.col(c).alias(f"{c}_o") for c in ("key", "n", "matches", "comp"))
-    )
-    met = outside.join(marked, "token").where(
-        (F.col("comp") != F.col("comp_o"))
-        & ((F.col("comp") == F.col("top")) | (F.col("key_o") < F.col("key")))
-        & (100 * F.least("n", "n_o") >= percent * F.greatest("n", "n_o"))
-    )
+    outside = marked.where("comp != top").select("token", *(F.col(c).alias(f"{c}_o") for c in COLUMNS))
+    once = (F.col("comp") == F.col("top")) | (F.col("key_o") < F.col("key"))
+    met = outside.join(marked, "token").where(once & _possible(percent))
+    demand = F.ceil(percent * (F.first("n") + F.first("n_o")) / (100 + percent))
+    behind = F.greatest(F.first("n") - F.first("length"), F.first("n_o") - F.first("length_o"))
     return (
         met.groupBy(F.col("key_o").alias("a"), F.col("key").alias("b"))
-        .agg(F.count(F.lit(1)).alias("shared"), F.least(F.first("matches"), F.first("matches_o")).alias("demand"))
-        .where("shared >= demand")
+        .agg(F.count(F.lit(1)).alias("shared"), (demand - behind).alias("least"))
+        .where("shared >= least")
         .select("a", "b")
     )
 
@@ -306,7 +350,7 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80, seed: i
     rows = stored(
         docs.mapInArrow(
             _prefixes(width, percent, seed, rarity),
-            "doc_id long, n long, key long, check long, matches int, tokens array<long>",
+            "doc_id long, n long, key long, check long, matches int, tokens array<long>, text long",
         ),
         "prefixes",
     )
@@ -319,15 +363,25 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80, seed: i
     if keys.where("low != high").limit(1).count():  # two sets under one 64-bit key
         return linked_documents(docs.withColumn("text", F.col("text").cast("string")), width, percent, seed + 2)
 
-    prefixes = rows.where("tokens IS NOT NULL").select("key", "n", "matches", F.explode("tokens").alias("token"))
+    prefixes = (
+        rows.where("tokens IS NOT NULL")
+        .select("key", "n", "matches", F.size("tokens").alias("length"), F.posexplode("tokens").alias("at", "token"))
+        .select("key", "n", "matches", "length", "at", "token")
+    )
     met = (
         prefixes.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("token")
     )
     postings = stored(prefixes.join(met.hint("merge"), "token").distinct(), "postings")
+    for _ in range(2):
+        postings = stored(_kept(postings.select(prefixes.columns), percent), "postings")
     labels = stored(postings.select("key", F.col("key").alias("comp")).distinct(), "labels")
-    wanted = spark.sparkContext.broadcast(hash_filter(labels.select("key"), labels.count()))
+    texts = rows.join(labels, "key", "left_semi").select("text").distinct()
+    wanted = spark.sparkContext.broadcast(hash_filter(texts, labels.count()))
     sets = stored(
-        docs.mapInArrow(_wanted_sets(width, seed, wanted), "key long, shingles array<long>").dropDuplicates(["key"]), "sets"
+        docs.mapInArrow(_wanted_sets(width, seed, wanted), "key long, shingles array<long>")
+        .join(labels, "key", "left_semi")
+        .dropDuplicates(["key"]),
+        "sets",
     )
 
     for turn in range(ROUNDS):
