@@ -3,13 +3,77 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helpgrid.llm.common import documents, stored, without
+from helpgrid.llm.decontamination import decontaminated
+from helpgrid.llm.line_dedup import dedup_lines
+from helpgrid.llm.mixing import mixed
+from helpgrid.llm.ngram_join import linked_documents
+from helpgrid.llm.quality import accepted
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose chance of a grade above the least is at least a half."""
+    return accepted(spark, docs, sf_dir)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their later repeated runs of lines; ``n_chars`` follows the text.
+
+    A document of which nothing but white space is left was repeated as a whole, and goes.
+    """
+    done = dedup_lines(docs)
+    left = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    kept = done.where((F.col("n_removed") == 0) | left)
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, length).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that share 80 % of their runs of five words, the one with the smallest doc_id.
+
+    Rows that repeat a text are one group; documents without words are no copies of each other.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    linked = stored(
+        linked_documents(rows.select(F.col("_row").alias("doc_id"), "text"), width=5, percent=80).where(
+            "n_shingles > 0 AND component_id IS NOT NULL"
+        ),
+        "linked",
+    )
+    several = linked.groupBy("component_id").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = linked.join(several.hint("merge"), "component_id").select("component_id", F.col("doc_id").alias("_row"))
+    ids = members.join(rows.select("_row", F.col("doc_id").cast("long").alias("_id")), "_row")
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row"))["_row"].alias("first"))
+    copies = ids.join(first.hint("merge"), "component_id").where("_row != first").select("_row")
+    number = {"_k1": F.col("_row"), "_k2": F.lit(0).cast("long")}
+    gone = copies.select(*(c.alias(k) for k, c in number.items()))
+    return without(rows, gone, number).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return decontaminated(spark, docs, sf_dir)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix with the words taken of each and how often it is repeated."""
+    return mixed(spark, docs, sf_dir)
 
-from helpgrid.llm.common import documents, stored
 
 #: (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame.
-STAGES = []
+STAGES = [
+    ("quality", quality),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
 
-#: Every stage is trained, hashed or seeded: SQL cannot express the result. tests/llm/test_pipeline.py checks it by brute force.
+#: The stages are trained, hashed and seeded: SQL cannot express run(). tests/llm/test_pipeline.py checks it by brute force.
 ORACLE_SQL = None
 
 

@@ -194,14 +194,16 @@ def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.mapInArrow(_may_have("doc_id", shared), docs.schema).join(ids, "doc_id", "left_semi")
 
 
+def key_columns() -> dict[str, Column]:
+    """``_k1`` and ``_k2``, which identify a document: rows that repeat id and text are one."""
+    return {
+        "_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))),
+        "_k2": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))),
+    }
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """The documents with ``_k1`` and ``_k2``, which identify them: rows that repeat id and text are one."""
-    return docs.withColumns(
-        {
-            "_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))),
-            "_k2": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))),
-        }
-    )
+    return docs.withColumns(key_columns())
 
 
 def _flag(shared):
@@ -209,22 +211,24 @@ def _flag(shared):
         import pyarrow as pa
 
         for batch in batches:
-            may = shared.value.may_have(batch.column("_k2").to_numpy())
+            may = shared.value.may_have(batch.column("_h").to_numpy())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(may)], names=[*batch.schema.names, "_may"])
 
     return run
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` but for the rows whose keys are in ``gone`` (_k1, _k2: see :func:`keyed`).
+def without(docs: DataFrame, gone: DataFrame, keys: dict[str, Column] | None = None) -> DataFrame:
+    """``docs`` but for the rows whose ``keys`` (_k1, _k2: longs, not null) are in ``gone``.
 
     A filter of bounded size lets all other rows straight through: only the few it cannot tell are shuffled.
     """
     spark = docs.sparkSession
     ship_package(spark)
+    both = F.xxhash64("_k1", "_k2")
     gone = stored(gone.select("_k1", "_k2").distinct(), "gone")
-    shared = spark.sparkContext.broadcast(hash_filter(gone.select("_k2"), gone.count()))
-    rows = keyed(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")).select("_row", "_k1", "_k2")
+    shared = spark.sparkContext.broadcast(hash_filter(gone.select(both), gone.count()))
+    keys = keys or key_columns()
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *(c.alias(k) for k, c in keys.items())).withColumn("_h", both)
     schema = StructType([*rows.schema.fields, StructField("_may", BooleanType())])
     flagged = rows.mapInArrow(_flag(shared), schema)
     stays = flagged.where(~F.col("_may")).select("_row.*")

@@ -22,23 +22,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helpgrid.llm.common import documents, stored
+from helpgrid.llm.common import documents, keyed, stored
 
 MIN_LINES, MIN_WORDS = 3, 50
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"^[\x20\x09-\x0D]*$"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """The documents with the two columns that identify them: rows that repeat id and text are one."""
-    return docs.withColumns(
-        {
-            "_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))),
-            "_k2": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))),
-        }
-    )
-
-
 def _lines(text):
     """The lines of a text that are not blank, with their place among all its lines."""
     every = F.split(F.coalesce(text.cast("string"), F.lit("")), "\n")
@@ -95,7 +85,7 @@ def _windows(keyed: DataFrame, min_lines: int, min_words: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """(_k1, _k2, removed): for each document that repeats an earlier run, the places of the lines to delete
     among its lines that are not blank."""
-    windows = stored(_windows(_keyed(docs), min_lines, min_words).dropDuplicates(["_k1", "_k2"]), "windows")
+    windows = stored(_windows(keyed(docs), min_lines, min_words).dropDuplicates(["_k1", "_k2"]), "windows")
     marks = windows.select(
         F.explode(F.array_distinct(F.transform("windows", lambda x: F.struct(x["mark"], x["mark_at"])))).alias("m")
     ).select("m.mark")
@@ -130,7 +120,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     are never deleted. A null text stays null. Rows that repeat id and text are one document and get the same text.
     Columns of ``docs`` under the three names are replaced.
     """
-    keyed = _keyed(docs.drop("n_lines", "n_removed", "removed"))
+    rows = keyed(docs.drop("n_lines", "n_removed", "removed"))
     removed = repeated_lines(docs, min_lines, min_words)
     every = F.split("text", "\n")
     lines = _lines(F.col("text"))
@@ -140,7 +130,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
         F.array_join(F.transform(kept, lambda i: F.element_at(F.col("_every"), i + 1)), "\n")
     )
     return (
-        keyed.join(removed, ["_k1", "_k2"], "left")
+        rows.join(removed, ["_k1", "_k2"], "left")
         .withColumns({"_every": every, "_lines": lines})
         .withColumns({"text": text, "n_lines": F.size("_lines").cast("long")})
         .withColumn("removed", F.array_sort(F.coalesce("removed", F.array().cast("array<int>"))))
