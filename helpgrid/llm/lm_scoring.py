@@ -31,7 +31,7 @@ BUCKETS = CLASSES * MEMBERS
 OWN = BUCKETS // 2  # most frequent words with a bucket of their own
 FREQUENT = 1 << 17
 PAIRS = 1 << 13  # hashed word pairs
-ROUNDS, STRIDE, RATE = 2, 8, 0.15
+ROUNDS, STRIDE, RATE = 2, 8, 0.05
 CHUNK = 4096  # positions scored together
 TOKENS = 1 << 21  # tokens counted together in a task
 BLOCKS = 64
@@ -180,7 +180,7 @@ def _train(model, turn: int):
     def run(batches):
         vocabulary, flat = model.value
         flat = flat.copy()
-        w, s = split(flat), split(np.full_like(flat, 1e-6))
+        w, s = split(flat), split(np.full_like(flat, 0.5))
         cache = WordCache(vocabulary.code)
         end = int(vocabulary.buckets(np.array([vocabulary.end], np.uint64))[0])
         seen, pending = 0, []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from helpgrid.llm.decontamination import op8_decontamination
 from helpgrid.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from helpgrid.llm.line_dedup import OP1_SQL, op1_line_dedup
+from helpgrid.llm.lm_scoring import op7_lm_scoring
 from helpgrid.llm.mixing import op2_mixing
 from helpgrid.llm.ngram_join import op4_ngram_join
 from helpgrid.llm.pii import op5_pii
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_ngram_join": op4_ngram_join,
     "op5_pii": op5_pii,
     "op6_token_counts": op6_token_counts,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
