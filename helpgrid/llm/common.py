@@ -186,12 +186,17 @@ def _may_have(column: str, shared):
     return run
 
 
+def only_keys(frame: DataFrame, column: str, shared) -> DataFrame:
+    """The rows whose ``column`` (long) may be in the filter that is broadcast as ``shared``."""
+    return frame.mapInArrow(_may_have(column, shared), frame.schema)
+
+
 def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id (long) is in ``ids``; others are dropped by a filter before anything is shuffled."""
     ship_package(docs.sparkSession)
     ids = stored(ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), "ids")
     shared = docs.sparkSession.sparkContext.broadcast(hash_filter(ids, ids.count()))
-    return docs.mapInArrow(_may_have("doc_id", shared), docs.schema).join(ids, "doc_id", "left_semi")
+    return only_keys(docs, "doc_id", shared).join(ids, "doc_id", "left_semi")
 
 
 def key_columns() -> dict[str, Column]:

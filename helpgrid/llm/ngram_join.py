@@ -20,8 +20,8 @@ Steps, all on tables in the shared folder:
 6. Components by label propagation over the verified links.
 
 Bounds on a pair, all exact: sizes must allow the similarity; what both can still share from a common shingle on must reach the
-overlap that their sizes demand; and of the shared prefix shingles there must be as many as that overlap leaves
-once everything behind the prefixes is counted as shared.
+overlap that their sizes demand; there must be as many shared prefix shingles as that overlap leaves once
+everything behind the prefixes is counted as shared; and from the first of them on, both must have as many.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ from helpgrid.llm.common import (
     WordCache,
     documents,
     hash_filter,
+    only_keys,
     ship_package,
     shingle_hashes,
     shingles,
@@ -163,6 +164,30 @@ def _prefixes(width: int, percent: int, seed: int, shared):
     return run
 
 
+def _open_postings(shared):
+    """The prefix shingles of a document that may be in the filter, with their places."""
+
+    def run(batches):
+        for batch in batches:
+            tokens = batch.column("tokens")
+            flat = tokens.flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), tokens.value_lengths().to_numpy(zero_copy_only=False).astype(int))
+            first = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1]) if len(row) else np.empty(0, int)
+            place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+            on = np.flatnonzero(shared.value.may_have(flat)) if len(flat) else np.empty(0, int)
+            at = pa.array(row[on])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).take(at) for c in ("key", "n", "matches", "length")]
+                + [pa.array(place[on], pa.int32()), pa.array(flat[on], pa.int64())],
+                names=["key", "n", "matches", "length", "at", "token"],
+            )
+
+    return run
+
+
+POSTINGS = "key long, n long, matches int, length int, at int, token long"
+
+
 def _prefix_rows(ids, rows):
     i, n, key, check, matches, tokens, text = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
@@ -208,8 +233,12 @@ def _set_rows(keys, sets):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs whose sets link. One side is unique by key, so a hub with many partners is a
-    skewed join that adaptive execution can split."""
+    """(a, b) of the pairs whose sets link. A filter lets only sets of these pairs be shuffled. One side is unique
+    by key, so a hub with many partners is a skewed join that adaptive execution can split."""
+    pairs = stored(pairs, "pairs")
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    shared = pairs.sparkSession.sparkContext.broadcast(hash_filter(keys, keys.count()))
+    sets = only_keys(sets, "key", shared)
     left = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -266,16 +295,25 @@ def _kept(postings: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _demand(percent: int):
+    """The prefix shingles that two sets (the second one's columns end in _o) share at least if they link: the overlap
+    that their sizes demand, less all that stands behind a prefix."""
+    overlap = F.ceil(percent * (F.col("n") + F.col("n_o")) / (100 + percent))
+    return overlap, overlap - F.greatest(F.col("n") - F.col("length"), F.col("n_o") - F.col("length_o"))
+
+
 def _possible(percent: int):
-    """Whether the sets of two postings (the second one's columns end in _o) of one shingle can link at all."""
-    demand = F.ceil(percent * (F.col("n") + F.col("n_o")) / (100 + percent))
+    """Whether the sets of two postings of one shingle can link, and this can be the first shingle they share.
+
+    From the first shared one on, each set must still have as many prefix shingles as the two must share.
+    """
+    overlap, demand = _demand(percent)
     sizes = 100 * F.least("n", "n_o") >= percent * F.greatest("n", "n_o")
     ahead = F.least(F.col("n") - F.col("at"), F.col("n_o") - F.col("at_o"))
-    behind = F.greatest(F.col("n") - F.col("length"), F.col("n_o") - F.col("length_o"))
     return (
         sizes
-        & (F.least("rank", "rank_o") + ahead >= demand)
-        & (F.least("had", "had_o") + behind >= demand)
+        & (F.least("rank", "rank_o") + ahead >= overlap)
+        & (F.least(F.col("had") - F.col("rank"), F.col("had_o") - F.col("rank_o")) >= demand)
         & (F.col("comp") != F.col("comp_o"))
     )
 
@@ -308,15 +346,14 @@ def _candidates_left(postings: DataFrame, percent: int) -> DataFrame:
     marked = stored(postings.join(largest.hint("merge"), "token"), "open-postings")
     outside = marked.where("comp != top").select("token", *(F.col(c).alias(f"{c}_o") for c in COLUMNS))
     once = (F.col("comp") == F.col("top")) | (F.col("key_o") < F.col("key"))
-    met = outside.join(marked, "token").where(once & _possible(percent))
-    demand = F.ceil(percent * (F.first("n") + F.first("n_o")) / (100 + percent))
-    behind = F.greatest(F.first("n") - F.first("length"), F.first("n_o") - F.first("length_o"))
-    return (
-        met.groupBy(F.col("key_o").alias("a"), F.col("key").alias("b"))
-        .agg(F.count(F.lit(1)).alias("shared"), (demand - behind).alias("least"))
-        .where("shared >= least")
-        .select("a", "b")
+    pairs = outside.join(marked, "token").where(once & _possible(percent)).select(F.col("key_o").alias("a"), F.col("key").alias("b"))
+    prefixes = postings.groupBy("key", "n", "length").agg(F.collect_set("token").alias("tokens"))  # no longer than a prefix
+    both = (
+        pairs.distinct()
+        .join(prefixes.withColumnRenamed("key", "b"), "b")
+        .join(prefixes.select(F.col("key").alias("a"), *(F.col(c).alias(f"{c}_o") for c in ("n", "length", "tokens"))), "a")
     )
+    return both.where(F.size(F.array_intersect("tokens", "tokens_o")) >= _demand(percent)[1]).select("a", "b")
 
 
 def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80, seed: int = 11) -> DataFrame:
@@ -363,17 +400,20 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80, seed: i
     if keys.where("low != high").limit(1).count():  # two sets under one 64-bit key
         return linked_documents(docs.withColumn("text", F.col("text").cast("string")), width, percent, seed + 2)
 
-    prefixes = (
-        rows.where("tokens IS NOT NULL")
-        .select("key", "n", "matches", F.size("tokens").alias("length"), F.posexplode("tokens").alias("at", "token"))
-        .select("key", "n", "matches", "length", "at", "token")
-    )
-    met = (
-        prefixes.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("token")
+    prefixes = rows.where("tokens IS NOT NULL").select("key", "n", "matches", F.size("tokens").alias("length"), "tokens")
+    # Copies of a text count as well, so a shingle met once is in no other set.
+    again = stored(
+        prefixes.select(F.explode("tokens").alias("token"))
+        .groupBy("token")
+        .agg(F.count(F.lit(1)).alias("times"))
+        .where("times > 1")
+        .select("token"),
+        "tokens",
     )
-    postings = stored(prefixes.join(met.hint("merge"), "token").distinct(), "postings")
+    shared = spark.sparkContext.broadcast(hash_filter(again, again.count()))
+    postings = stored(prefixes.mapInArrow(_open_postings(shared), POSTINGS).distinct(), "postings")
     for _ in range(2):
-        postings = stored(_kept(postings.select(prefixes.columns), percent), "postings")
+        postings = stored(_kept(postings.select("key", "n", "matches", "length", "at", "token"), percent), "postings")
     labels = stored(postings.select("key", F.col("key").alias("comp")).distinct(), "labels")
     texts = rows.join(labels, "key", "left_semi").select("text").distinct()
     wanted = spark.sparkContext.broadcast(hash_filter(texts, labels.count()))

@@ -150,6 +150,8 @@ def fit(rows: DataFrame, grades: list[int], rounds: int = ROUNDS) -> tuple[np.nd
     for turn in range(rounds):
         model = rows.sparkSession.sparkContext.broadcast(state)
         done = rows.mapInArrow(_pass(grades, model, turn), "n long, state binary").collect()
+        if not done:  # no labelled document is there
+            break
         n = np.array([r.n for r in done], dtype=float)
         total = sum(w * np.frombuffer(r.state, np.float64) for w, r in zip(n / n.sum(), done, strict=True))
         state = [x.copy() for x in np.split(total, ends)]
