@@ -3,7 +3,9 @@
 import pytest
 from compare import connect, differences
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from helpgrid.plans.oracle import ORACLE
+from helpgrid.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -19,18 +21,18 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, connection, name):
     columns, extra, lacking, *_ = differences(
-        spark, connection, queries()[name], oracle_sql()[name], SF_DIR
+        spark, connection, QUERIES[name], ORACLE[name], SF_DIR
     )
     assert not columns and not extra and not lacking
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - {"index_refresh", "stream_triage"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"index_refresh", "stream_triage"}))
 def test_no_nested_loops(spark, name):
-    plan = queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
