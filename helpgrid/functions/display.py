@@ -18,13 +18,13 @@ def preview(text: Column, length: int) -> Column:
 
 
 def number(value: Column, decimals: int) -> Column:
-    """Fixed decimals, halves to even."""
-    return F.format_number(value, decimals)
+    """Fixed decimals without separators of thousands, halves to even."""
+    return F.call_function("format_number", value, F.lit("0." + "0" * decimals))
 
 
 def percent(value: Column) -> Column:
     """Whole percent, halves to even."""
-    return F.concat(F.format_number(value * 100, 0), F.lit("%"))
+    return F.concat(F.call_function("format_number", value * 100, F.lit("0")), F.lit("%"))
 
 
 def mark(flag: Column) -> Column:

@@ -256,6 +256,13 @@ def open_index(spark: SparkSession, path: str) -> Index:
     return Index(spark, path, tuple(row.count_paths), row.n, row.n_postings, row.dimension)
 
 
+def check_unique(rows: DataFrame, key: str) -> None:
+    """Raises if two rows have the same key, and names some of these keys."""
+    again = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(5).collect()
+    if again:
+        raise ValueError(f"{key} must be unique; repeated: {sorted(r[0] for r in again)}")
+
+
 def _finish(
     spark: SparkSession, path: str, count_paths: tuple[str, ...], vectors: DataFrame | None
 ) -> Index:
@@ -265,6 +272,7 @@ def _finish(
     if vectors is not None:
         first = vectors.where("embedding is not null").select(F.size("embedding")).first()
         dimension = first[0] if first else None
+    check_unique(counts, "kb_id")
     index = Index(spark, path, count_paths, n, n_postings, dimension)
     moved = shared_hashes(index.terms)
     spark.createDataFrame(list(moved.items()), CODES).write.parquet(f"{path}/codes")

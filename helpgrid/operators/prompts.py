@@ -31,6 +31,9 @@ def _text(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+# The layout of an entry in the two contexts.
+
+
 def context_entry() -> Column:
     """One article in the triage prompt."""
     return F.concat(
@@ -72,9 +75,9 @@ def triage_prompts(queries: DataFrame, hits: DataFrame) -> DataFrame:
         "query_id",
         F.concat(
             F.lit(TRIAGE_INSTRUCTIONS),
-            F.lit('\n\nCustomer Complaint:\n"""'), _text("text"), F.lit('"""\n\n'),
-            F.lit("Relevant Knowledge Base Context:"), _text("context"),
-            F.lit("\n\nRespond with the JSON object only."),
+            F.lit('\n\nWhat the customer wrote:\n"""'), _text("text"), F.lit('"""\n\n'),
+            F.lit("Entries found for it, best first:"), _text("context"),
+            F.lit("\n\nNow give that one object."),
         ).alias("prompt"),
     )
 
@@ -100,8 +103,8 @@ def judge_prompts(queries: DataFrame, hits: DataFrame, extracted: DataFrame) ->
         "query_id",
         F.concat(
             F.lit(JUDGE_INSTRUCTIONS),
-            F.lit("\n\nCUSTOMER COMPLAINT:\n"), _text("text"),
-            F.lit("\n\nRETRIEVED CONTEXT:\n"), _text("judge_context"),
-            F.lit("\n\nRESPONSE:\n"), _text("response"),
+            F.lit("\n\nThe complaint was:\n"), _text("text"),
+            F.lit("\n\nThe entries at hand were:\n"), _text("judge_context"),
+            F.lit("\n\nThe answer to be checked is:\n"), _text("response"),
         ).alias("prompt"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helpgrid.functions import replies as R
 from helpgrid.schemas import ARTICLE_FIELDS
+from helpgrid.session import scratch_path
 
 RESPONSE_TEXTS = ("category", "subcategory", "journey_stage", "confidence", "summary")
 
@@ -103,6 +104,10 @@ def extract_articles(generated: DataFrame) -> DataFrame:
         R.is_array(F.col("value")), F.try_variant_get(F.col("value"), "$", "array<variant>")
     )
     items = _positions(parsed(generated).select(*kept, listed.alias("items")), "items", "item")
+    # Which keys occur decides over all rows: the parsed items are written, so no reply is parsed twice.
+    path = scratch_path(generated.sparkSession, "items")
+    items.write.parquet(path)
+    items = generated.sparkSession.read.schema(items.schema).parquet(path)
     item = F.col("item")
     present = items.agg(
         F.struct(*(F.bool_or(R.has_field(item, n)).alias(n) for n in ARTICLE_FIELDS))

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from helpgrid.functions.text import with_term_counts
 from helpgrid.operators import scoring
-from helpgrid.operators.index import Index
+from helpgrid.operators.index import Index, check_unique
 from helpgrid.session import scratch_path, ship_package
 
 # Queries are broadcast in passes of at most this many bytes.
 PASS_BYTES = 64 << 20
-# A result is broadcast to the article table up to this many rows.
-BROADCAST_ROWS = 200_000
+# A result is broadcast to the article table up to this many bytes.
+BROADCAST_BYTES = 32 << 20
 
 RANGES = (
     "query_id long, sem_min double, sem_max double, kw_min double, kw_max double, n_matched long"
@@ -136,6 +136,7 @@ def _passes(
     index: Index, queries: DataFrame, limit: int, kinds: str = "ks"
 ) -> Iterable[scoring.QueryPack]:
     """Query packs, one at a time. ``kinds``: k for keyword scores, s for semantic ones."""
+    check_unique(queries, "query_id")
     passes = pass_count(queries, index, limit)
     for number in range(passes):
         part = queries if passes == 1 else queries.where(_pass_of(passes) == number)
@@ -253,11 +254,16 @@ def retrieve(
     return sweep(index, queries, top_k, (alpha,), **options).drop("alpha")
 
 
-def with_articles(hits: DataFrame, articles: DataFrame, n_hits: int | None = None) -> DataFrame:
+def with_articles(hits: DataFrame, articles: DataFrame) -> DataFrame:
     """Adds the article's columns to each hit, after the ranking has thrown away all others.
 
-    With ``n_hits`` known and small the hits are broadcast and the articles stay in place.
+    The hits are written and counted: as long as they are within ``BROADCAST_BYTES`` they go to the articles, which
+    stay in place. Beyond, the join shuffles both.
     """
-    if n_hits is not None and n_hits <= BROADCAST_ROWS:
-        hits = F.broadcast(hits)
-    return articles.join(hits, "kb_id")
+    path = scratch_path(hits.sparkSession, "hits")
+    hits.write.parquet(path)
+    written = hits.sparkSession.read.schema(hits.schema).parquet(path)
+    # ids, rank and scores: eight bytes a column and a row's overhead
+    if written.count() * (8 * len(hits.columns) + 32) <= BROADCAST_BYTES:
+        written = F.broadcast(written)
+    return articles.join(written, "kb_id")

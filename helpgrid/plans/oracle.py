@@ -33,8 +33,8 @@ LABELLED = """
 q AS (
   SELECT b.item_id AS query_id, b.text, e.embedding,
          CAST(e.label AS VARCHAR) AS expected_category, d.source AS expected_subcategory
-  FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id
-  JOIN documents d ON d.doc_id = b.item_id)"""
+  FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id
+  LEFT JOIN documents d ON d.doc_id = b.item_id)"""
 
 TURNS = """
 turns AS (
@@ -54,7 +54,7 @@ def tokens(name: str, source: str, key: str, text: str) -> str:
                      list_zip(words[1:len(words)-1], words[2:]), lambda z: z[1] || ' ' || z[2]))
               ELSE words END AS grams
   FROM {name}_words),
-{name}_tf AS (
+{name}_tf AS MATERIALIZED (
   SELECT {key}, term, count(*) AS tf
   FROM (SELECT {key}, unnest(grams) AS term FROM {name}_grams) GROUP BY ALL)"""
 
@@ -153,7 +153,7 @@ per_query AS (
          coalesce(string_agg(coalesce(f.category, '-'), '|' ORDER BY f.rank), '') AS marked_categories,
          coalesce(string_agg(coalesce(f.subcategory, '-'), '|' ORDER BY f.rank), '')
            AS marked_subcategories,
-         coalesce(string_agg(f.category, ', ' ORDER BY f.rank), '') AS shown_categories,
+         coalesce(string_agg(CASE WHEN f.rank IS NOT NULL THEN coalesce(f.category, '-') END, ', ' ORDER BY f.rank), '') AS shown_categories,
          count(f.rank) AS n_retrieved, max(f.hybrid_score) AS best_score,
          coalesce(bool_or(f.category = q.expected_category), false) AS hit,
          coalesce(bool_or(f.subcategory = q.expected_subcategory), false) AS sub_hit,
@@ -336,9 +336,9 @@ judge_contexts AS (
 PROMPTS = f"""
 prompts AS (
   SELECT query_id, {quoted(P.TRIAGE_INSTRUCTIONS)} || chr(10) || chr(10)
-         || 'Customer Complaint:' || chr(10) || '\"\"\"' || text || '\"\"\"' || chr(10) || chr(10)
-         || 'Relevant Knowledge Base Context:' || coalesce(context, '') || chr(10) || chr(10)
-         || 'Respond with the JSON object only.' AS prompt
+         || 'What the customer wrote:' || chr(10) || '\"\"\"' || text || '\"\"\"' || chr(10) || chr(10)
+         || 'Entries found for it, best first:' || coalesce(context, '') || chr(10) || chr(10)
+         || 'Now give that one object.' AS prompt
   FROM q LEFT JOIN contexts USING (query_id))"""
 
 TIER = "CASE WHEN value >= 0.75 THEN 'good' WHEN value >= 0.5 THEN 'ok' ELSE 'bad' END"
@@ -513,9 +513,9 @@ FROM report""",
     "judge_context": f"{HYBRID},{CONTEXTS} SELECT * FROM judge_contexts",
     "triage_prompt": f"{HYBRID},{CONTEXTS},{PROMPTS} SELECT * FROM prompts",
     "judge_prompt": f"""{HYBRID},{CONTEXTS},{EXTRACTED}
-SELECT query_id, {quoted(P.JUDGE_INSTRUCTIONS)} || chr(10) || chr(10) || 'CUSTOMER COMPLAINT:'
-       || chr(10) || q.text || chr(10) || chr(10) || 'RETRIEVED CONTEXT:' || chr(10)
-       || coalesce(judge_context, '') || chr(10) || chr(10) || 'RESPONSE:' || chr(10)
+SELECT query_id, {quoted(P.JUDGE_INSTRUCTIONS)} || chr(10) || chr(10) || 'The complaint was:'
+       || chr(10) || q.text || chr(10) || chr(10) || 'The entries at hand were:' || chr(10)
+       || coalesce(judge_context, '') || chr(10) || chr(10) || 'The answer to be checked is:' || chr(10)
        || coalesce(CAST(to_json(struct_pack(category := x.category, subcategory := x.subcategory,
             journey_stage := x.journey_stage, confidence := x.confidence, summary := x.summary,
             resolution_steps := x.steps)) AS VARCHAR), '') AS prompt
@@ -590,6 +590,20 @@ grown AS (
   WHERE category IN (SELECT category FROM allowed))
 SELECT category, count(*) AS n, count(*) FILTER (resolution_steps = '') AS n_without_steps
 FROM grown GROUP BY category""",
+    "kb_growth_search": f"""WITH {KB.split("corpus AS")[0].replace("kb AS (", "kb0 AS (", 1)}
+{GENERATED.strip()},{ALLOWED},
+kb AS (
+  SELECT * FROM kb0
+  UNION ALL BY NAME
+  SELECT (SELECT max(doc_id) FROM documents) + 1
+           + batch_id * (SELECT max(position) + 1 FROM new) + position AS kb_id,
+         category, subcategory, journey_stage, issue_description, resolution_steps
+  FROM new WHERE category IN (SELECT category FROM allowed)),
+corpus AS{KB.split("corpus AS")[1]},{DOC},{IDF},{LABELLED},{query_terms()},
+pairs AS (
+  SELECT query_id, q.kb_id, coalesce(kw, 0.0) AS kw, 0.0 AS sem
+  FROM (SELECT query_id, kb_id FROM q CROSS JOIN kb) q LEFT JOIN cosines USING (query_id, kb_id)){hits(0.0, scores="pairs")}
+SELECT query_id, rank, kb_id, round(keyword_score, 6) + 0.0 AS keyword_score FROM hits""",
     "append_accounting": f"""WITH {KB},{GENERATED}
 SELECT (SELECT count(*) FROM new) AS n_new,
        (SELECT count(*) FROM new) + (SELECT count(*) FROM kb) AS n_total""",

@@ -14,6 +14,7 @@ from helpgrid.functions import vectors as V
 from helpgrid.operators import evaluate as E
 from helpgrid.operators import growth as G
 from helpgrid.operators import index as I
+from helpgrid.operators import jobs as J
 from helpgrid.operators import prompts as P
 from helpgrid.operators import replies as M
 from helpgrid.operators import search as S
@@ -48,8 +49,7 @@ def hits(spark: SparkSession, sf_dir: str, alpha: float = ALPHA, **options) -> D
 
 def hit_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hits with the whole article."""
-    n_hits = TOP_K * T.table(spark, sf_dir, "benchmark").count()
-    return S.with_articles(hits(spark, sf_dir), T.articles(spark, sf_dir), n_hits)
+    return S.with_articles(hits(spark, sf_dir), T.articles(spark, sf_dir))
 
 
 def hybrid_retrieve(spark, sf_dir):
@@ -93,9 +93,8 @@ def sweep_hits(spark, sf_dir):
     found = S.sweep(
         T.index(spark, sf_dir), T.labelled(spark, sf_dir), max(SWEEP_K), SWEEP_ALPHAS
     )
-    n_hits = max(SWEEP_K) * len(SWEEP_ALPHAS) * T.table(spark, sf_dir, "benchmark").count()
     labels = T.articles(spark, sf_dir).select("kb_id", "category", "subcategory")
-    return S.with_articles(found, labels, n_hits)
+    return S.with_articles(found, labels)
 
 
 def hybrid_alpha_sweep(spark, sf_dir):
@@ -109,9 +108,8 @@ def hybrid_alpha_sweep(spark, sf_dir):
 def benchmark_passage_retrieval(spark, sf_dir):
     """Whether the best keyword hits contain the passage that was searched for."""
     items = T.labelled(spark, sf_dir)
-    n_hits = TOP_K * T.table(spark, sf_dir, "benchmark").count()
     texts = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("kb_id"), "text")
-    found = S.with_articles(hits(spark, sf_dir, alpha=0.0, used_only=True), texts, n_hits)
+    found = S.with_articles(hits(spark, sf_dir, alpha=0.0, used_only=True), texts)
     wanted = items.select("query_id", F.col("text").alias("passage"))
     return (
         wanted.join(found, "query_id")
@@ -425,6 +423,20 @@ def kb_growth(spark, sf_dir):
     )
 
 
+def kb_growth_search(spark, sf_dir):
+    """Keyword search of all passages in the knowledge base after it has grown by the generated articles."""
+    grown = J.grow(
+        T.index(spark, sf_dir),
+        T.articles(spark, sf_dir),
+        T.generated(spark, sf_dir),
+        T.allowed_categories(spark, sf_dir),
+    )
+    found = S.retrieve(
+        grown.index, T.labelled(spark, sf_dir), TOP_K, 0.0, scaled=False, used_only=True
+    )
+    return rounded(found.select("query_id", "rank", "kb_id", "keyword_score"), "keyword_score")
+
+
 def append_accounting(spark, sf_dir):
     new = M.extract_articles(T.generated(spark, sf_dir))
     return G.append_counts(T.articles(spark, sf_dir), new)
@@ -548,6 +560,7 @@ QUERIES = {
         kb_category_validation,
         kb_append,
         kb_growth,
+        kb_growth_search,
         append_accounting,
         kb_coverage,
         kb_csv_scan,

@@ -64,7 +64,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("query_id"), F.col("source").alias("expected_subcategory")
     )
-    return items.join(embeddings, "query_id").join(sources, "query_id")
+    return items.join(embeddings, "query_id", "left").join(sources, "query_id", "left")
 
 
 def user_turns(turns: DataFrame) -> DataFrame:

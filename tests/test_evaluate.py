@@ -154,7 +154,7 @@ def test_prompts(spark):
     queries = spark.createDataFrame([(1, "help"), (2, "none")], "query_id long, text string")
     got = {r.query_id: r.prompt for r in P.triage_prompts(queries, hits).collect()}
     assert '"""help"""' in got[1] and context in got[1]
-    assert got[2].endswith("Knowledge Base Context:\n\nRespond with the JSON object only.")
+    assert got[2].endswith("best first:\n\nNow give that one object.")
 
 
 def test_classified(spark):
@@ -170,3 +170,14 @@ def test_classified(spark):
     assert [tuple(r) for r in rows] == [
         (2, "help", "ok", "—", "b", "—", "Low", "", [], "low")
     ]
+
+
+def test_report_cells_without_separators_and_with_missing_categories(spark):
+    row = spark.range(1).select(D.number(F.lit(1234.5), 2), D.number(F.lit(0.125), 2), D.percent(F.lit(12.345)))
+    assert list(row.first()) == ["1234.50", "0.12", "1234%"]
+    report = spark.createDataFrame(
+        [("c", "A", "a", ["A", None, "B"], True, False, 1.0, 0.5)],
+        "complaint string, expected_category string, expected_subcategory string, retrieved_categories array<string>, "
+        "hit boolean, sub_hit boolean, reciprocal_rank double, avg_hybrid_score double",
+    )
+    assert E.retrieval_breakdown(report).first()["Retrieved Categories"] == "A, -, B"

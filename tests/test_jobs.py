@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from brute import make_articles, make_vectors
 from pyspark.sql import functions as F
@@ -77,3 +79,25 @@ def test_stream_equals_batch(kb, labelled, spark):
     # nothing new, nothing written
     start_triage(stream, index, out, state, 3, 0.0).awaitTermination()
     assert spark.read.parquet(out).count() == len(got)
+
+
+def reply_of(*issues, category="Account"):
+    return json.dumps([{"category": category, "issue_description": x} for x in issues])
+
+
+def test_growth_gives_free_ids_again_and_again(kb, spark):
+    articles, index = kb
+    n = articles.count()
+    allowed = spark.createDataFrame([("Account",)], "category string")
+    first = spark.createDataFrame(
+        [(0, reply_of("brand new wallpaper", "other thing")), (1, reply_of("odd", category="Pets")), (2, "no list")],
+        "batch_id long, raw string",
+    )
+    grown = jobs.grow(index, articles, first, allowed)
+    assert grown.counts.first() == (2, n + 2) and grown.rejected.count() == 1
+    again = jobs.grow(grown.index, grown.articles, first, allowed)
+    ids = [r.kb_id for r in again.articles.select("kb_id").collect()]
+    assert len(ids) == len(set(ids)) == again.index.n == n + 4
+    query = spark.createDataFrame([(1, "wallpaper")], "query_id long, text string")
+    hits = S.retrieve(again.index, query, 2, 0.0).collect()
+    assert {h.kb_id for h in hits} == {r.kb_id for r in again.articles.where("issue_description LIKE '%wallpaper'").collect()}

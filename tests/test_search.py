@@ -210,3 +210,11 @@ def test_plan(index, queries):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     dense = S._entries(index, S._pack(index, queries, "s"))
     assert "codes" not in dense._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeated_ids_are_refused(spark, index, queries, rows, held):
+    with pytest.raises(ValueError, match=r"query_id must be unique; repeated: \[1\]"):
+        S.retrieve(index, queries.union(queries.where("query_id = 1")), 3, 0.5)
+    articles, vectors = frames(spark, [*rows, rows[0]], held)
+    with pytest.raises(ValueError, match="kb_id must be unique"):
+        build_index(articles, vectors)
