@@ -65,10 +65,11 @@ class Classes(dict):
 def windows(text: bytes, classes: Classes, width: int = WIDTH):
     """(hash, at, slots) for each window of a text: slots are the hashed values in its placeholders, in order.
 
-    A text of fewer words has one window. A name is a capitalised word inside a sentence; a unit one after a number.
+    A text of fewer words has one window, of fewer than ``LITERALS`` none. A name is a capitalised word inside a
+    sentence; a unit one after a number.
     """
     words = [w for w in text.split() if w.strip(PUNCTUATION)]
-    if not words:
+    if len(words) < LITERALS:
         return np.empty(0, np.uint64), np.empty(0, np.int64), []
     token, value, flags = (np.array(x, dtype=np.uint64) for x in zip(*map(classes.__getitem__, words), strict=True))
     before = np.concatenate([[np.uint64(8)], flags[:-1]])
@@ -92,15 +93,16 @@ def windows(text: bytes, classes: Classes, width: int = WIDTH):
     return mix(total[at]), at, slots
 
 
-def _windows(key: str, shared=None):
-    """Rows (key, hash, at, slots, total) of the windows, only those that pass the filter if there is one."""
+def _windows(key: str, shared=None, widths: tuple[int, ...] = (WIDTH,)):
+    """Rows (key, hash, at, slots, total) of the windows of all widths, only those that pass the filter if there is one."""
 
     def run(batches):
         classes = Classes()
         for batch in batches:
             keys, hashes, places, slots, totals = [], [], [], [], []
-            for k, text in zip(batch.column(key).to_pylist(), batch.column("text"), strict=True):
-                h, at, s = windows(text.as_py() or b"", classes)
+            texts = [x.as_py() or b"" for x in batch.column("text")]
+            for k, text, width in ((k, x, w) for k, x in zip(batch.column(key).to_pylist(), texts, strict=True) for w in widths):
+                h, at, s = windows(text, classes, width)
                 total = len(h)
                 if shared is not None and total:
                     on = np.flatnonzero(shared.value.may_have(h))
@@ -144,6 +146,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataF
         ),
         "benchmark-windows",
     )
+    # Items of fewer words than a window have one window, as wide as they are: documents need that width as well.
+    sized = benchmark.select(F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w.rlike(r"[^\p{Punct}]"))).alias("n"))
+    short = sized.where((F.col("n") >= LITERALS) & (F.col("n") < WIDTH)).distinct().collect()
+    widths = (WIDTH, *sorted(x.n for x in short))
     distinct = items.select("hash").distinct()
     shared = spark.sparkContext.broadcast(hash_filter(distinct, distinct.count()))
     # The key of a row stands for the two columns: it numbers the rows of this one pass, which is written.
@@ -151,7 +157,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataF
         F.monotonically_increasing_id().alias("row"), "_k1", "_k2", text
     )
     found = stored(
-        rows.mapInArrow(_found(shared), f"_k1 long, _k2 long, {WINDOWS}").drop("key", "total"), "suspect-windows"
+        rows.mapInArrow(_found(shared, widths), f"_k1 long, _k2 long, {WINDOWS}").drop("key", "total"), "suspect-windows"
     )
     met = found.withColumnRenamed("slots", "theirs").join(
         items.select("hash", F.col("key").alias("item_id"), F.col("at").alias("item_at"), "slots", "total"), "hash"
@@ -193,8 +199,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataF
     )
 
 
-def _found(shared):
-    inner = _windows("row", shared)
+def _found(shared, widths: tuple[int, ...]):
+    inner = _windows("row", shared, widths)
 
     def run(batches):
         for batch in batches:
