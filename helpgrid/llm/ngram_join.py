@@ -235,7 +235,6 @@ def _set_rows(keys, sets):
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the pairs whose sets link. A filter lets only sets of these pairs be shuffled. One side is unique
     by key, so a hub with many partners is a skewed join that adaptive execution can split."""
-    pairs = stored(pairs, "pairs")
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     shared = pairs.sparkSession.sparkContext.broadcast(hash_filter(keys, keys.count()))
     sets = only_keys(sets, "key", shared)
@@ -254,6 +253,8 @@ def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     a, b = (labels.select(F.col("key").alias(k), F.col("comp").alias(c)) for k, c in (("a", "ca"), ("b", "cb")))
     links = edges.join(a, "a").join(b, "b").where("ca != cb").select("ca", "cb").distinct()
     links = stored(links.union(links.select("cb", "ca")).distinct().toDF("u", "v"), "links")
+    if not links.limit(1).count():
+        return labels
     root = stored(links.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")), "roots")
     while True:
         near = (
@@ -426,12 +427,13 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80, seed: i
 
     for turn in range(ROUNDS):
         open_ = postings.join(labels, "key")
-        edges = stored(_verified(_candidates_by_hub(open_, percent, turn), sets, percent), "edges")
-        if not edges.limit(1).count():
-            break
+        pairs = stored(_candidates_by_hub(open_, percent, turn), "pairs")
+        edges = stored(_verified(pairs, sets, percent), "edges")
         labels = components(labels, edges)
-    rest = stored(_verified(_candidates_left(postings.join(labels, "key"), percent), sets, percent), "edges")
-    labels = components(labels, rest)
+        if 2 * edges.count() < pairs.count():  # few sets link to a hub that is left: no group of near copies is
+            break
+    pairs = stored(_candidates_left(postings.join(labels, "key"), percent), "pairs")
+    labels = components(labels, stored(_verified(pairs, sets, percent), "edges"))
 
     rooted = keys.join(labels, "key", "left").select("key", "least", F.coalesce("comp", "key").alias("comp"))
     named = rooted.groupBy("comp").agg(F.min("least").alias("component_id"))
