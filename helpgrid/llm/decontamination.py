@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helpgrid.llm.common import WordCache, documents, hash_filter, keyed, mix, ship_package, stored, table, without
+from helpgrid.llm.common import HashFilter, WordCache, documents, hash_filter, keyed, mix, ship_package, stored, table, without
 
 WIDTH = 8
 LITERALS = 4  # words of a window that are no placeholder, at least
@@ -39,74 +39,70 @@ UNITS = frozenset(
 NUM, UNIT, NAMED = (xxhash.xxh64_intdigest(x) for x in (b"\x00num", b"\x00unit", b"\x00name"))
 
 
-def classify(word: bytes) -> tuple[int, int, int]:
-    """(token, value, flags) of a word: flag 1 a number, 2 a unit, 4 like a name, 8 ends a sentence."""
-    ends = 8 if word.rstrip(b"\"')]}").endswith((b".", b"!", b"?", b":")) else 0
+def classify(word: bytes) -> int:
+    """The hash of a word without punctuation and case, whose last bits are flags: 1 a number, 2 a unit, 4 like a
+    name, 8 ends a sentence. 0 for a word of punctuation alone."""
     core = word.strip(PUNCTUATION)
+    if not core:
+        return 0
     letters = core.decode("utf-8", "replace")
     low = letters.lower().encode()
-    value = xxhash.xxh64_intdigest(low)
+    flags = 8 if word.rstrip(b"\"')]}").endswith((b".", b"!", b"?", b":")) else 0
     if NUMBER.fullmatch(low) or ((parts := AMOUNT.fullmatch(low)) and parts[2] in UNITS | {b"%"}):
-        return NUM, value, 1 | ends
-    if low in UNITS:
-        return value, value, 2 | ends
-    like = 4 if letters.isalpha() and letters[0].isupper() and letters[1:].islower() else 0
-    return value, value, like | ends
+        flags |= 1
+    elif low in UNITS:
+        flags |= 2
+    elif letters.isalpha() and letters[0].isupper() and letters[1:].islower():
+        flags |= 4
+    return xxhash.xxh64_intdigest(low) >> 4 << 4 | flags
 
 
-class Classes(dict):
-    def __missing__(self, word: bytes):
-        if len(self) >= 200_000:
-            self.clear()
-        self[word] = found = classify(word)
-        return found
-
-
-def windows(text: bytes, classes: Classes, width: int = WIDTH):
-    """(hash, at, slots) for each window of a text: slots are the hashed values in its placeholders, in order.
+def windows(text: bytes, classes: WordCache, width: int = WIDTH, shared: HashFilter | None = None):
+    """(hash, at, slots, total) of a text's windows, only those that may be in the filter if there is one: slots are the
+    hashed values in a window's placeholders, in order, and total is the number of all windows.
 
     A text of fewer words has one window, of fewer than ``LITERALS`` none. A name is a capitalised word inside a
     sentence; a unit one after a number.
     """
-    words = [w for w in text.split() if w.strip(PUNCTUATION)]
-    if len(words) < LITERALS:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), []
-    token, value, flags = (np.array(x, dtype=np.uint64) for x in zip(*map(classes.__getitem__, words), strict=True))
+    codes = classes.values_of(text.split())
+    codes = codes[codes > 0]
+    if len(codes) < LITERALS:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
+    value, flags = codes >> np.uint64(4), codes & np.uint64(15)
     before = np.concatenate([[np.uint64(8)], flags[:-1]])
     number = (flags & 1) > 0
     unit = ((flags & 2) > 0) & ((before & 1) > 0)
     name = ((flags & 4) > 0) & ((before & 8) == 0)
-    token = np.where(unit, np.uint64(UNIT), np.where(name, np.uint64(NAMED), token))
+    token = np.select([number, unit, name], [np.uint64(x) for x in (NUM, UNIT, NAMED)], value)
     slot = number | unit | name
-    width = min(width, len(words))
-    n = len(words) - width + 1
+    width = min(width, len(codes))
+    n = len(codes) - width + 1
     with np.errstate(over="ignore"):
         total = np.full(n, width, np.uint64)
         for i in range(width):
             total = total * np.uint64(0x9E3779B97F4A7C15) + token[i : n + i]
     filled = np.concatenate([[0], np.cumsum(slot)])
     literal = width - (filled[width:] - filled[:n])
-    at = np.flatnonzero(literal >= min(LITERALS, width))
+    every = np.flatnonzero(literal >= min(LITERALS, width))
+    hashes = mix(total[every])
+    on = slice(None) if shared is None else shared.may_have(hashes)
+    at, hashes = every[on], hashes[on]
     where = np.flatnonzero(slot)
     kept = value[where].view(np.int64)
     slots = [kept[a:b].tolist() for a, b in zip(filled[at], filled[at + width], strict=True)]
-    return mix(total[at]), at, slots
+    return hashes, at, slots, len(every)
 
 
 def _windows(key: str, shared=None, widths: tuple[int, ...] = (WIDTH,)):
     """Rows (key, hash, at, slots, total) of the windows of all widths, only those that pass the filter if there is one."""
 
     def run(batches):
-        classes = Classes()
+        classes = WordCache(classify)
         for batch in batches:
             keys, hashes, places, slots, totals = [], [], [], [], []
             texts = [x.as_py() or b"" for x in batch.column("text")]
             for k, text, width in ((k, x, w) for k, x in zip(batch.column(key).to_pylist(), texts, strict=True) for w in widths):
-                h, at, s = windows(text, classes, width)
-                total = len(h)
-                if shared is not None and total:
-                    on = np.flatnonzero(shared.value.may_have(h))
-                    h, at, s = h[on], at[on], [s[i] for i in on]
+                h, at, s, total = windows(text, classes, width, shared.value if shared is not None else None)
                 keys += [k] * len(h)
                 hashes.append(h.view(np.int64))
                 places += at.tolist()
