@@ -150,6 +150,7 @@ def fit(rows: DataFrame, grades: list[int], rounds: int = ROUNDS) -> tuple[np.nd
     for turn in range(rounds):
         model = rows.sparkSession.sparkContext.broadcast(state)
         done = rows.mapInArrow(_pass(grades, model, turn), "n long, state binary").collect()
+        done.sort(key=lambda r: (r.n, bytes(r.state)))
         if not done:  # no labelled document is there
             break
         n = np.array([r.n for r in done], dtype=float)
@@ -202,11 +203,13 @@ def grade_documents(
             *keep, F.lit(only).alias("expected_grade"), F.array().cast("array<double>").alias("tails")
         )
     taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).join(F.broadcast(known), "doc_id")
+    order = F.xxhash64("places", "values")
     rows = stored(
         taught.select("label", "text")
         .mapInArrow(_extract, "label int, places array<long>, values array<double>")
         .where(F.size("places") > 0)
-        .repartition(PARTS, F.xxhash64("places", "values")),
+        .repartition(PARTS, order)
+        .sortWithinPartitions(order, "label"),  # so that a rerun trains in the same order
         "graded-features",
     )
     weights, steps = fit(rows, grades)
