@@ -33,6 +33,7 @@ FREQUENT = 1 << 17
 PAIRS = 1 << 13  # hashed word pairs
 ROUNDS, STRIDE, RATE = 2, 8, 0.05
 CHUNK = 4096  # positions scored together
+STEP = 2048  # positions of a gradient step
 TOKENS = 1 << 21  # tokens counted together in a task
 BLOCKS = 64
 END = xxhash.xxh64_intdigest(b"\x00end") >> 1
@@ -125,10 +126,10 @@ class Vocabulary:
         return flat
 
 
-def contexts(buckets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each position the places of its three words before in ``before`` (n-gram and skips), and its pair's."""
+def contexts(buckets: np.ndarray, end: int, at: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+    """For the positions ``at`` the places of their three words before in ``before`` (n-gram and skips), and their pair's."""
     padded = np.concatenate([[end] * 3, buckets])
-    back = [padded[3 - i : len(padded) - i] for i in (1, 2, 3)]
+    back = [padded[3 - i : len(padded) - i][at] for i in (1, 2, 3)]
     pair = (back[0] * 40_503 + back[1] * 48_271) % PAIRS
     return np.stack([back[0], BUCKETS + back[1], 2 * BUCKETS + back[2]], axis=1), pair
 
@@ -183,7 +184,7 @@ def _train(model, turn: int):
         w, s = split(flat), split(np.full_like(flat, 0.5))
         cache = WordCache(vocabulary.code)
         end = int(vocabulary.buckets(np.array([vocabulary.end], np.uint64))[0])
-        seen, pending = 0, []
+        seen, waiting, pending = 0, 0, []
 
         def step():
             train_step(w, s, *(np.concatenate(x) for x in zip(*pending, strict=True)))
@@ -193,15 +194,16 @@ def _train(model, turn: int):
             for i, text in enumerate(batch.column("text")):
                 codes = np.append(cache.values_of(_words(text.as_py())), np.uint64(vocabulary.end))
                 buckets = vocabulary.buckets(codes)
-                before, pair = contexts(buckets, end)
                 on = np.arange((i + turn * STRIDE // ROUNDS) % STRIDE, len(codes), STRIDE)
                 seen += len(on)
                 for part in range(0, len(on), CHUNK):
                     at = on[part : part + CHUNK]
-                    pending.append((before[at], pair[at], buckets[at]))
-                    if sum(len(x[1]) for x in pending) >= 512:
+                    pending.append((*contexts(buckets, end, at), buckets[at]))
+                    waiting += len(at)
+                    if waiting >= STEP:
                         step()
-        if pending and sum(len(x[1]) for x in pending):
+                        waiting = 0
+        if waiting:
             step()
         if seen:
             parts = np.array_split(flat, BLOCKS)
