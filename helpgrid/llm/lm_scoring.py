@@ -10,8 +10,8 @@ over all training texts. So every factor is normalised over a few dozen entries,
 the model's log-probability is the unigram base plus a gain that depends on buckets only.
 
 1. Counts of all words over all training texts. The ``FREQUENT`` most frequent go to every task.
-2. Distributed gradient updates: in each round every task trains on its texts, from the shared weights, on one position in
-   ``STRIDE`` of every text; the weights are averaged block by block on the executors.
+2. Distributed gradient updates: every task trains on all positions of its texts, from the shared weights, in steps of
+   about ``STEP`` positions; the weights are averaged block by block on the executors.
 3. Every whole text is scored in sparse numpy batches. Rare words leave the task as (row, word, times) and meet
    their counts in a join; none of them is frequent, so no key of that join is hot.
 """
@@ -31,7 +31,7 @@ BUCKETS = CLASSES * MEMBERS
 OWN = BUCKETS // 2  # most frequent words with a bucket of their own
 FREQUENT = 1 << 17
 PAIRS = 1 << 13  # hashed word pairs
-ROUNDS, STRIDE, RATE = 2, 8, 0.05
+ROUNDS, RATE = 1, 0.05
 CHUNK = 4096  # positions scored together
 STEP = 2048  # positions of a gradient step
 TOKENS = 1 << 21  # tokens counted together in a task
@@ -126,50 +126,64 @@ class Vocabulary:
         return flat
 
 
-def contexts(buckets: np.ndarray, end: int, at: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
-    """For the positions ``at`` the places of their three words before in ``before`` (n-gram and skips), and their pair's."""
+def contexts(buckets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each position the places of its three words before in ``before`` (n-gram and skips), and their pair's."""
     padded = np.concatenate([[end] * 3, buckets])
-    back = [padded[3 - i : len(padded) - i][at] for i in (1, 2, 3)]
+    back = [padded[3 - i : len(padded) - i] for i in (1, 2, 3)]
     pair = (back[0] * 40_503 + back[1] * 48_271) % PAIRS
     return np.stack([back[0], BUCKETS + back[1], 2 * BUCKETS + back[2]], axis=1), pair
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
 def _logits(w, before, pair, target):
     kind = target // MEMBERS
-    classes = w["class_bias"] + w["pairs"][pair]
+    classes = w["pairs"].take(pair, axis=0)
+    classes += w["class_bias"]
     for i in range(3):
-        classes += w["before"][before[:, i]]
+        classes += w["before"].take(before[:, i], axis=0)
     at = before[:, 0] * CLASSES + kind
-    return kind, at, log_softmax(classes), log_softmax(w["member_bias"][kind] + w["member"][at])
+    members = w["member"].take(at, axis=0)
+    members += w["member_bias"].take(kind, axis=0)
+    return kind, at, classes, members
+
+
+def _log_of(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The log-softmax of one column of each row."""
+    x -= x.max(axis=1, keepdims=True)
+    return x[np.arange(len(x)), chosen] - np.log(np.exp(x).sum(axis=1))
 
 
 def log_probability(w, before, pair, target) -> np.ndarray:
     """ln P(bucket | context) for each position."""
     kind, _, classes, members = _logits(w, before, pair, target)
-    row = np.arange(len(target))
-    return classes[row, kind] + members[row, target % MEMBERS]
+    return _log_of(classes, kind) + _log_of(members, target % MEMBERS)
+
+
+def _slope(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The gradient of -ln softmax of one column of each row, in place."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    x[np.arange(len(x)), chosen] -= 1
+    return x
 
 
 def _update(weights, squares, place, gradient):
     """An Adagrad step on the given rows; gradients of the same row are added up first."""
+    if len(weights) <= 1 << 16:
+        place = place.astype(np.uint16)  # sorted by radix
     order = np.argsort(place, kind="stable")
-    rows, first = np.unique(place[order], return_index=True)
-    total = np.add.reduceat(gradient[order], first, axis=0)
-    squares[rows] += total**2
-    weights[rows] -= RATE * total / (np.sqrt(squares[rows]) + 1e-4)
+    place = place[order]
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    rows = place[first].astype(np.int64)
+    total = np.add.reduceat(gradient.take(order, axis=0), first, axis=0)
+    seen = squares.take(rows, axis=0) + total**2
+    squares[rows] = seen
+    weights[rows] -= RATE * total / (np.sqrt(seen) + 1e-4)
 
 
 def train_step(w, s, before, pair, target) -> None:
     kind, at, classes, members = _logits(w, before, pair, target)
-    row = np.arange(len(target))
-    by_class, by_member = np.exp(classes), np.exp(members)
-    by_class[row, kind] -= 1
-    by_member[row, target % MEMBERS] -= 1
+    by_class, by_member = _slope(classes, kind), _slope(members, target % MEMBERS)
     for i in range(3):
         _update(w["before"], s["before"], before[:, i], by_class)
     _update(w["pairs"], s["pairs"], pair, by_class)
@@ -177,7 +191,7 @@ def train_step(w, s, before, pair, target) -> None:
     _update(w["member_bias"], s["member_bias"], kind, by_member)
 
 
-def _train(model, turn: int):
+def _train(model):
     def run(batches):
         vocabulary, flat = model.value
         flat = flat.copy()
@@ -191,15 +205,15 @@ def _train(model, turn: int):
             pending.clear()
 
         for batch in batches:
-            for i, text in enumerate(batch.column("text")):
+            for text in batch.column("text"):
                 codes = np.append(cache.values_of(_words(text.as_py())), np.uint64(vocabulary.end))
                 buckets = vocabulary.buckets(codes)
-                on = np.arange((i + turn * STRIDE // ROUNDS) % STRIDE, len(codes), STRIDE)
-                seen += len(on)
-                for part in range(0, len(on), CHUNK):
-                    at = on[part : part + CHUNK]
-                    pending.append((*contexts(buckets, end, at), buckets[at]))
-                    waiting += len(at)
+                before, pair = contexts(buckets, end)
+                seen += len(buckets)
+                for at in range(0, len(buckets), CHUNK):
+                    part = slice(at, at + CHUNK)
+                    pending.append((before[part], pair[part], buckets[part]))
+                    waiting += len(buckets[part])
                     if waiting >= STEP:
                         step()
                         waiting = 0
@@ -297,10 +311,10 @@ def score_texts(docs: DataFrame, folds: int = 10) -> DataFrame:
     )
     flat = vocabulary.start()
     few = taught.coalesce(max(1, spark.sparkContext.defaultParallelism))
-    for turn in range(ROUNDS if total.n else 0):
+    for _ in range(ROUNDS if total.n else 0):
         model = spark.sparkContext.broadcast((vocabulary, flat))
         blocks = (
-            few.mapInArrow(_train(model, turn), "block long, seen long, weights binary")
+            few.mapInArrow(_train(model), "block long, seen long, weights binary")
             .groupBy("block")
             .applyInArrow(_average, "block long, weights binary")
             .collect()  # the model once: a few MB

@@ -5,8 +5,10 @@ import math
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import SF_DIR, awkward, empty, real, rows
 
@@ -212,3 +214,17 @@ def test_training_learns_what_follows(spark):
     docs = spark.createDataFrame([(i, "tick tock " * 60) for i in range(40)], "doc_id long, text string")
     for r in lm_scoring.score_texts(docs).collect():
         assert r.score > r.base_score
+
+
+def test_every_position_is_trained(monkeypatch):
+    taught = Counter()
+    monkeypatch.setattr(lm_scoring, "train_step", lambda w, s, before, pair, target: taught.update(target.tolist()))
+    texts = [" ".join(["tick", "tock"] * 10)[: 5 * i] for i in range(1, 20)] + ["tick " * 5_000, None, ""]
+    words = [(text or "").encode().split() for text in texts]
+    counts = Counter(lm_scoring.word_hash(w) for ws in words for w in ws) + Counter({lm_scoring.END: len(words)})
+    top = counts.most_common()
+    vocabulary = lm_scoring.Vocabulary(np.array([w for w, _ in top]), np.array([n for _, n in top]), {}, counts.total(), len(top))
+    model = SimpleNamespace(value=(vocabulary, np.zeros(sum(lm_scoring.SIZES.values()), np.float32)))
+    blocks = list(lm_scoring._train(model)([pa.record_batch({"text": pa.array([t and t.encode() for t in texts], pa.binary())})]))
+    assert taught == Counter({i: n for i, (_, n) in enumerate(top)})
+    assert {n for b in blocks for n in b.column("seen").to_pylist()} == {counts.total()}
