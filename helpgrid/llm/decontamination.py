@@ -1,7 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names and units become typed placeholders, other words are lower-cased without punctuation. Windows of
-``WIDTH`` such tokens are templates: a question with other numbers and names has the same windows. Windows of the
+Numbers, numbers with a unit and runs of name words become one typed placeholder each, other words are lower-cased
+without punctuation. Windows of ``WIDTH`` such tokens are templates: a question with other numbers and names, also of
+more or fewer words, has the same windows. Three views of a text differ in what is a name: capitalised words inside
+sentences; those at the start of sentences, too; none, so that a copy in other case matches. Windows of the
 documents are hash-joined with those of the benchmark, and what stood in the placeholders must fit: along one alignment
 of a document with an item, the same value of the item must stand for the same value of the document.
 
@@ -34,22 +36,28 @@ UNITS = frozenset(
     b"mm cm m km in ft yd mi mg g kg lb oz t ml l gal s sec min h hr hrs ms mph kmh kph hz khz mhz ghz w kw kwh v a j kj cal "
     b"kcal k c f pa kpa bar mol usd eur gbp dollar dollars euro euros cent cents pound pounds percent meter meters metre "
     b"metres kilometer kilometers mile miles inch inches foot feet gram grams kilogram kilograms ounce ounces liter liters "
-    b"litre litres second seconds minute minutes hour hours day days week weeks month months year years degree degrees".split()
+    b"litre litres second seconds minute minutes hour hours day days week weeks month months year years degree degrees %".split()
 )
-NUM, UNIT, NAMED = (xxhash.xxh64_intdigest(x) for x in (b"\x00num", b"\x00unit", b"\x00name"))
+NUM, AMOUNTS, NAMED = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"\x00num", b"\x00amount", b"\x00name"))
+INSIDE, STARTS, CASELESS = VIEWS = range(3)
+STEP = 0x9E3779B97F4A7C15
+VALUE = (1 << 60) - 1
 
 
 def classify(word: bytes) -> int:
-    """The hash of a word without punctuation and case, whose last bits are flags: 1 a number, 2 a unit, 4 like a
-    name, 8 ends a sentence. 0 for a word of punctuation alone."""
+    """The hash of a word without punctuation and case, whose last bits are flags: 1 a number, 2 a unit, both a number
+    with its unit, 4 like a name, 8 ends a sentence. 0 for a word of punctuation alone."""
     core = word.strip(PUNCTUATION)
     if not core:
         return 0
     letters = core.decode("utf-8", "replace")
     low = letters.lower().encode()
     flags = 8 if word.rstrip(b"\"')]}").endswith((b".", b"!", b"?", b":")) else 0
-    if NUMBER.fullmatch(low) or ((parts := AMOUNT.fullmatch(low)) and parts[2] in UNITS | {b"%"}):
+    if NUMBER.fullmatch(low):
         flags |= 1
+    elif (parts := AMOUNT.fullmatch(low)) and parts[2] in UNITS:
+        number, unit = (xxhash.xxh64_intdigest(x) >> 4 for x in parts.groups())
+        return (number + unit * STEP & VALUE) << 4 | flags | 3  # as of two words
     elif low in UNITS:
         flags |= 2
     elif letters.isalpha() and letters[0].isupper() and letters[1:].islower():
@@ -57,72 +65,97 @@ def classify(word: bytes) -> int:
     return xxhash.xxh64_intdigest(low) >> 4 << 4 | flags
 
 
-def windows(text: bytes, classes: WordCache, width: int = WIDTH, shared: HashFilter | None = None):
-    """(hash, at, slots, total) of a text's windows, only those that may be in the filter if there is one: slots are the
-    hashed values in a window's placeholders, in order, and total is the number of all windows.
+def tokens(codes: np.ndarray, view: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, value, slot) of a text in a view: what stands in templates, the hashed value, and whether it is a placeholder.
 
-    A text of fewer words has one window, of fewer than ``LITERALS`` none. A name is a capitalised word inside a
-    sentence; a unit one after a number.
+    A number and the unit after it are one token, and so are name words in a row inside one sentence.
+    """
+    value, flags = codes >> np.uint64(4), (codes & np.uint64(15)).astype(np.int64)
+    before = np.concatenate([[8], flags[:-1]])
+    kind = flags & 3
+    unit = (kind == 2) & (before & 3 == 1)
+    opens = before & 8 > 0
+    name = (flags & 4 > 0) & (view != CASELESS) & (~opens | (view == STARTS))
+    joined = unit | (name & np.concatenate([[False], name[:-1]]) & ~opens)
+    first = np.flatnonzero(~joined)
+    ends = np.append(first[1:], len(codes))
+    place = np.arange(len(codes)) - np.repeat(first, ends - first)
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.append(np.uint64(1), np.full(int(place.max()), STEP, np.uint64)), dtype=np.uint64)
+        value = np.add.reduceat(value * powers[place], first) & np.uint64(VALUE)
+    amount = (kind[first] == 3) | ((kind[first] == 1) & (ends - first > 1))
+    token = np.select([amount, kind[first] == 1, name[first]], [AMOUNTS, NUM, NAMED], value)
+    return token, value, amount | (kind[first] == 1) | name[first]
+
+
+def _rolled(token: np.ndarray, width: int, seed: int) -> np.ndarray:
+    n = len(token) - width + 1
+    with np.errstate(over="ignore"):
+        total = np.full(n, width + (seed << 8), np.uint64)
+        for i in range(width):
+            total = total * np.uint64(STEP) + token[i : n + i]
+    return mix(total)
+
+
+def windows(text: bytes, classes: WordCache, width: int | None = None, shared: HashFilter | None = None):
+    """Tuples (view, width, hash, at, slots, rich, total) of arrays for each view of a text, only of windows that may be
+    in the filter if there is one: slots are the hashed values in a window's placeholders, in order, rich is the number
+    of windows with ``LITERALS`` literal words and total that of all windows.
+
+    Without a ``width``, a text of fewer than ``WIDTH`` tokens has one window.
     """
     codes = classes.values_of(text.split())
     codes = codes[codes > 0]
     if len(codes) < LITERALS:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
-    value, flags = codes >> np.uint64(4), codes & np.uint64(15)
-    before = np.concatenate([[np.uint64(8)], flags[:-1]])
-    number = (flags & 1) > 0
-    unit = ((flags & 2) > 0) & ((before & 1) > 0)
-    name = ((flags & 4) > 0) & ((before & 8) == 0)
-    token = np.select([number, unit, name], [np.uint64(x) for x in (NUM, UNIT, NAMED)], value)
-    slot = number | unit | name
-    width = min(width, len(codes))
-    n = len(codes) - width + 1
-    with np.errstate(over="ignore"):
-        total = np.full(n, width, np.uint64)
-        for i in range(width):
-            total = total * np.uint64(0x9E3779B97F4A7C15) + token[i : n + i]
-    filled = np.concatenate([[0], np.cumsum(slot)])
-    literal = width - (filled[width:] - filled[:n])
-    every = np.flatnonzero(literal >= min(LITERALS, width))
-    hashes = mix(total[every])
-    on = slice(None) if shared is None else shared.may_have(hashes)
-    at, hashes = every[on], hashes[on]
-    where = np.flatnonzero(slot)
-    kept = value[where].view(np.int64)
-    slots = [kept[a:b].tolist() for a, b in zip(filled[at], filled[at + width], strict=True)]
-    return hashes, at, slots, len(every)
-
-
-def _windows(key: str, shared=None, widths: tuple[int, ...] = (WIDTH,)):
-    """Rows (key, hash, at, slots, total) of the windows of all widths, only those that pass the filter if there is one."""
+        return
+    for view in VIEWS:
+        token, value, slot = tokens(codes, view)
+        wide = width or min(WIDTH, len(token))
+        n = len(token) - wide + 1
+        if n < 1:
+            continue
+        filled = np.concatenate([[0], np.cumsum(slot)])
+        literal = wide - (filled[wide:] - filled[:n])
+        at = np.flatnonzero(literal >= LITERALS)
+        rich = len(at)
+        hashes = _rolled(token, wide, view)[at]
+        if shared is not None:
+            on = shared.may_have(hashes)
+            at, hashes = at[on], hashes[on]
+        kept = value[slot].view(np.int64)
+        slots = [kept[a:b].tolist() for a, b in zip(filled[at], filled[at + wide], strict=True)]
+        yield view, wide, hashes, at, slots, rich, n
+
+
+def _windows(key: str, shared=None, widths: tuple[int | None, ...] = (None,)):
+    """Rows (key, hash, at, slots, view, width, rich, total) of the windows of all widths, only those that pass the filter if
+    there is one."""
 
     def run(batches):
         classes = WordCache(classify)
         for batch in batches:
-            keys, hashes, places, slots, totals = [], [], [], [], []
-            texts = [x.as_py() or b"" for x in batch.column("text")]
-            for k, text, width in ((k, x, w) for k, x in zip(batch.column(key).to_pylist(), texts, strict=True) for w in widths):
-                h, at, s, total = windows(text, classes, width, shared.value if shared is not None else None)
-                keys += [k] * len(h)
-                hashes.append(h.view(np.int64))
-                places += at.tolist()
-                slots += s
-                totals += [total] * len(h)
+            hashes, places, slots, rest = [], [], [], [[], [], [], [], []]
+            for k, text in zip(batch.column(key).to_pylist(), batch.column("text"), strict=True):
+                for width in widths:
+                    for view, wide, h, at, s, rich, total in windows(
+                        text.as_py() or b"", classes, width, shared.value if shared is not None else None
+                    ):
+                        hashes.append(h.view(np.int64))
+                        places.append(at)
+                        slots += s
+                        for column, x in zip(rest, (k, view, wide, rich, total), strict=True):
+                            column += [x] * len(h)
+            keys, *rest = (pa.array(x, pa.int64()) for x in rest)
+            hashes, places = (pa.array(np.concatenate([np.empty(0, np.int64), *x]), pa.int64()) for x in (hashes, places))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys, pa.int64()),
-                    pa.array(np.concatenate(hashes) if hashes else np.empty(0, np.int64), pa.int64()),
-                    pa.array(places, pa.int64()),
-                    pa.array(slots, pa.list_(pa.int64())),
-                    pa.array(totals, pa.int64()),
-                ],
-                names=["key", "hash", "at", "slots", "total"],
+                [keys, hashes, places, pa.array(slots, pa.list_(pa.int64())), *rest],
+                names=["key", "hash", "at", "slots", "view", "width", "rich", "total"],
             )
 
     return run
 
 
-WINDOWS = "key long, hash long, at long, slots array<long>, total long"
+WINDOWS = "key long, hash long, at long, slots array<long>, view long, width long, rich long, total long"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataFrame:
@@ -142,10 +175,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataF
         ),
         "benchmark-windows",
     )
-    # Items of fewer words than a window have one window, as wide as they are: documents need that width as well.
-    sized = benchmark.select(F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w.rlike(r"[^\p{Punct}]"))).alias("n"))
-    short = sized.where((F.col("n") >= LITERALS) & (F.col("n") < WIDTH)).distinct().collect()
-    widths = (WIDTH, *sorted(x.n for x in short))
+    # An item of fewer tokens than a window has one window, as wide as it is: documents need that width as well.
+    narrow = items.where(F.col("width") < WIDTH).select("width").distinct().collect()
+    widths = (WIDTH, *sorted(x.width for x in narrow))
     distinct = items.select("hash").distinct()
     shared = spark.sparkContext.broadcast(hash_filter(distinct, distinct.count()))
     # The key of a row stands for the two columns: it numbers the rows of this one pass, which is written.
@@ -153,15 +185,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataF
         F.monotonically_increasing_id().alias("row"), "_k1", "_k2", text
     )
     found = stored(
-        rows.mapInArrow(_found(shared, widths), f"_k1 long, _k2 long, {WINDOWS}").drop("key", "total"), "suspect-windows"
+        rows.mapInArrow(_found(shared, widths), f"_k1 long, _k2 long, {WINDOWS}").drop("key", "view", "width", "rich", "total"), "suspect-windows"
     )
     met = found.withColumnRenamed("slots", "theirs").join(
-        items.select("hash", F.col("key").alias("item_id"), F.col("at").alias("item_at"), "slots", "total"), "hash"
+        items.select("hash", F.col("key").alias("item_id"), F.col("at").alias("item_at"), "slots", "view", "rich", "total"), "hash"
     )
     aligned = met.select(
-        "_k1", "_k2", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "total", "slots", "theirs"
+        "_k1", "_k2", "item_id", "view", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "rich", "total", "slots", "theirs"
     ).distinct()
-    place = ["_k1", "_k2", "item_id", "shift"]
+    place = ["_k1", "_k2", "item_id", "view", "shift"]
     pairs = aligned.select(*place, F.explode(F.arrays_zip("slots", "theirs")).alias("p")).select(*place, "p.*")
     values = pairs.groupBy(*place, "slots").agg(F.min("theirs").alias("low"), F.max("theirs").alias("high"))
     fits = values.groupBy(*place).agg(
@@ -171,7 +203,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataF
     literal = aligned.groupBy(*place).agg(
         F.count_distinct("item_at").alias("n_windows"),
         F.count_distinct(F.when(F.size("slots") == 0, F.col("item_at"))).alias("n_plain"),
-        F.first("total").alias("total"),
+        F.first(F.when(F.col("view") == INSIDE, F.col("rich")).otherwise(F.col("total"))).alias("total"),
     )
     judged = literal.join(fits, place, "left").select(
         *place,

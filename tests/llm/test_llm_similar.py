@@ -169,3 +169,23 @@ def test_awkward_documents_are_clean(spark):
     assert left.columns == awkward(spark).columns and left.count() == len(rows())
     assert decontamination.decontaminated(spark, empty(spark), SF_DIR).count() == 0
     assert decontamination.contaminated(real(spark), real(spark, "benchmark").limit(0)).count() == 0
+
+
+def found_by_text(spark, item, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    return {r.doc_id: r.reparameterised for r in decontamination.contaminated(docs, benchmark).collect()}
+
+
+def test_values_of_other_lengths_and_case(spark):
+    item = "Yesterday the teacher told John to share 3 kg of ripe apples with Paul before the class began and then count what was left"
+    other = item.replace("John", "Mary Ann").replace("Paul", "Jean Luc Marc")
+    texts = [other, item.replace("3 kg", "3kg"), item.replace("3 kg", "12kg"), item.upper(), item.title(), item.lower().replace("3 kg", "7kg")]
+    texts.append("Yesterday the teacher went home with Mary Ann and 3 kg of other things that nobody ever wanted to share")
+    assert found_by_text(spark, item, texts) == {0: True, 1: False, 2: True, 3: False, 4: False, 5: True}
+
+
+def test_names_at_the_start_of_sentences(spark):
+    item = "John has many red apples in his bag. John gives some of them to a friend. Paul eats all that he gets from him. How many are left?"
+    texts = [item.replace("John", "Mary Ann").replace("Paul", "Luc"), item.replace("John gives", "Peter gives").replace("Paul", "John")]
+    assert found_by_text(spark, item, texts)[0] is True
