@@ -5,7 +5,9 @@ without punctuation. Windows of ``WIDTH`` such tokens are templates: a question
 more or fewer words, has the same windows. Three views of a text differ in what is a name: capitalised words inside
 sentences; those at the start of sentences, too; none, so that a copy in other case matches. Windows of the
 documents are hash-joined with those of the benchmark, and what stood in the placeholders must fit: along one alignment
-of a document with an item, the same value of the item must stand for the same value of the document.
+of a document with an item, the same value of the item must stand for the same value of the document. Windows of fewer
+than ``LITERALS`` words that are no placeholder match by their values, word for word. An item of fewer words than that
+matches a line, or a whole text, of the same words.
 
 A filter of bounded size over the benchmark's window hashes goes to every task. Only windows that pass are
 shuffled, so a corpus of clean documents moves next to nothing, however large the benchmark is.
@@ -40,6 +42,7 @@ UNITS = frozenset(
 )
 NUM, AMOUNTS, NAMED = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"\x00num", b"\x00amount", b"\x00name"))
 INSIDE, STARTS, CASELESS = VIEWS = range(3)
+VERBATIM, LINE = 3, 4  # seeds of hashes of values
 STEP = 0x9E3779B97F4A7C15
 VALUE = (1 << 60) - 1
 
@@ -102,10 +105,14 @@ def windows(text: bytes, classes: WordCache, width: int | None = None, shared: H
     in the filter if there is one: slots are the hashed values in a window's placeholders, in order, rich is the number
     of windows with ``LITERALS`` literal words and total that of all windows.
 
-    Without a ``width``, a text of fewer than ``WIDTH`` tokens has one window.
+    Without a ``width``, a text of fewer than ``WIDTH`` tokens has one window. Windows of fewer literals are hashed by
+    their values, in the view without case, and have no slots; width 0 means lines of fewer words.
     """
     codes = classes.values_of(text.split())
     codes = codes[codes > 0]
+    if width == 0 or (width is None and 0 < len(codes) < LITERALS):
+        yield from _lines(text, classes, codes, width, shared)
+        return
     if len(codes) < LITERALS:
         return
     for view in VIEWS:
@@ -116,17 +123,38 @@ def windows(text: bytes, classes: WordCache, width: int | None = None, shared: H
             continue
         filled = np.concatenate([[0], np.cumsum(slot)])
         literal = wide - (filled[wide:] - filled[:n])
-        at = np.flatnonzero(literal >= LITERALS)
-        rich = len(at)
-        hashes = _rolled(token, wide, view)[at]
+        enough = literal >= LITERALS
+        rich = int(enough.sum())
+        hashes = _rolled(token, wide, view)
+        if view == CASELESS and rich < n:
+            hashes = np.where(enough, hashes, _rolled(value, wide, VERBATIM))
+            at = np.arange(n)
+        else:
+            at = np.flatnonzero(enough)
+            hashes = hashes[at]
         if shared is not None:
             on = shared.may_have(hashes)
             at, hashes = at[on], hashes[on]
         kept = value[slot].view(np.int64)
-        slots = [kept[a:b].tolist() for a, b in zip(filled[at], filled[at + wide], strict=True)]
+        slots = [
+            kept[a:b].tolist() if e else [] for a, b, e in zip(filled[at], filled[at + wide], enough[at], strict=True)
+        ]
         yield view, wide, hashes, at, slots, rich, n
 
 
+def _lines(text: bytes, classes: WordCache, codes: np.ndarray, width: int | None, shared: HashFilter | None):
+    """An item of fewer than ``LITERALS`` words as one window, or the lines of a document of so few words."""
+    lines = [codes]
+    if width == 0:
+        parts = (classes.values_of(x) for x in map(bytes.split, text.split(b"\n")) if x)
+        lines += [x[x > 0] for x in parts]
+    hashes = [_rolled(x >> np.uint64(4), len(x), LINE) for x in lines if 0 < len(x) < LITERALS]
+    found = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]))
+    if shared is not None:
+        found = found[shared.may_have(found)]
+    yield CASELESS, 0, found, np.zeros(len(found), np.int64), [[]] * len(found), 0, 1
+
+
 def _windows(key: str, shared=None, widths: tuple[int | None, ...] = (None,)):
     """Rows (key, hash, at, slots, view, width, rich, total) of the windows of all widths, only those that pass the filter if
     there is one."""

@@ -189,3 +189,13 @@ def test_names_at_the_start_of_sentences(spark):
     item = "John has many red apples in his bag. John gives some of them to a friend. Paul eats all that he gets from him. How many are left?"
     texts = [item.replace("John", "Mary Ann").replace("Paul", "Luc"), item.replace("John gives", "Peter gives").replace("Paul", "John")]
     assert found_by_text(spark, item, texts)[0] is True
+
+
+def test_items_of_numbers_names_or_few_words(spark):
+    items = ["Compute 12 + 34 * 56 - 78 = ?", "Solve 3 4 5 6 7 8 9 10 now please", "Who Wrote The Great Gatsby And When?", "Define entropy."]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"Some words before it. {x} And some words after it." for x in items[:3]] + ["Read this:\ndefine entropy\nand more words"]
+    texts += ["Compute 12 + 34 * 56 - 79 = ?", "Solve 3 4 5 6 7 8 9 11 now please", "Who Wrote The Great Novel And When?", "They define entropy as follows"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.doc_id, r.item_id, r.reparameterised) for r in decontamination.contaminated(docs, benchmark).collect()}
+    assert found == {(i, i, False) for i in range(4)}
