@@ -8,6 +8,7 @@ from helpgrid.llm.line_dedup import OP1_SQL, op1_line_dedup
 from helpgrid.llm.lm_scoring import op7_lm_scoring
 from helpgrid.llm.mixing import op2_mixing
 from helpgrid.llm.ngram_join import op4_ngram_join
+from helpgrid.llm.periodic_runs import op13_periodic_runs
 from helpgrid.llm.pii import op5_pii
 from helpgrid.llm.quality import op9_quality
 from helpgrid.llm.token_counts import op6_token_counts
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE = {
