@@ -8,9 +8,11 @@ from helpgrid.llm.line_dedup import OP1_SQL, op1_line_dedup
 from helpgrid.llm.lm_scoring import op7_lm_scoring
 from helpgrid.llm.mixing import op2_mixing
 from helpgrid.llm.ngram_join import op4_ngram_join
+from helpgrid.llm.packing import op12_packing
 from helpgrid.llm.periodic_runs import op13_periodic_runs
 from helpgrid.llm.pii import op5_pii
 from helpgrid.llm.quality import op9_quality
+from helpgrid.llm.ranked_search import OP11_SQL, op11_ranked_search
 from helpgrid.llm.token_counts import op6_token_counts
 from helpgrid.llm.toxicity import op3_toxicity
 
@@ -25,10 +27,13 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_packing": op12_packing,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE = {
     "op1_line_dedup": OP1_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op11_ranked_search": OP11_SQL,
 }
