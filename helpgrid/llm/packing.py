@@ -9,8 +9,9 @@ to fill a window, the source that is due next is served ahead of its turn and ow
 
 Partitions are cut so that the carry between them is known without a pass from one to the next: of P
 partitions, partition p takes of a queue of N tokens those from ``(2 p N + P) div 2 P`` on, so every source enters
-with a deficit of ``p N / P`` less that number, at most half a token. Where queues start inside a partition follows from sums
-over buckets of documents; no task sees a whole source, and a document longer than a partition is cut.
+with a deficit of ``p N / P`` less that number, at most half a token. A document's place in its queue is what
+its task has counted of the source before it, plus the tokens of the source in earlier tasks, whose sums are small: texts
+are encoded once and their ids cross the network once. A document longer than a partition is cut.
 All windows of a partition are full but its last tokens, which make windows of powers of two and so need no padding either.
 """
 
@@ -26,19 +27,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helpgrid.llm.common import documents, ship_package, stored
-from helpgrid.llm.words import word_slices
+from helpgrid.llm.words import Words, word_slices
 
-WINDOW, GRAIN = 4096, 128
-#: Tokens of a partition, which one task packs, and of a bucket, in which a window function adds up document sizes.
-PARTITION, BUCKET = 1 << 22, 1 << 22
-#: Buckets whose sizes one window function adds up; the sums of these are added up by another.
-BUCKETS = 1 << 12
+WINDOW, GRAIN = 4096, 256
+#: Tokens of a partition, which one task packs.
+PARTITION = 1 << 22
+#: Encoded words that a task keeps, and words that are encoded together.
+CACHE_WORDS, TOGETHER = 500_000, 64
+#: Sums of tasks are broadcast up to this many bytes.
+BROADCAST_BYTES = 32 << 20
 
 PIECES = "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+#: Classes of bytes: 1 an ASCII letter, 2 other ASCII but digits and white space, 0 all else. A-Z become a-z.
+_FOLD = np.array([32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_CLASS = np.array([1 if chr(c).isalpha() else 0 if chr(c) in "0123456789 \t\n\r\x0b\x0c" else 2 for c in range(128)] + [0] * 128, np.uint8)
+
+
+def _cut_words(data: np.ndarray) -> np.ndarray:
+    """Cuts between an ASCII letter and a mark, but for letters after an apostrophe, which may belong to it."""
+    kind = _CLASS[data]
+    return ((kind[:-1] == 1) & (kind[1:] == 2)) | ((kind[:-1] == 2) & (kind[1:] == 1) & (data[:-1] != 39))
+
+
 class WordPieces:
-    """A vocabulary of the ``tokenizers`` library whose tokens depend on nothing outside a word between ASCII white space.
+    """A vocabulary of the ``tokenizers`` library that lower-cases and whose tokens depend on nothing outside a word.
+
+    Words end at ASCII white space and between ASCII letters and other marks, as its file's patterns have it: what
+    differs only in case or in marks around it is encoded once.
 
     The driver reads the file; tasks get its content, a few MB. ``end`` is the id that closes every document.
     """
@@ -57,12 +74,59 @@ class WordPieces:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task keeps to its own core
         tokenizer = Tokenizer.from_str(self.content)
         tokenizer.encode_special_tokens = True  # their strings in a text are then ordinary text
-
-        def encode(words: list[bytes]) -> list[list[int]]:
-            texts = [word.decode() for word in words]
-            return [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-        return encode
+        return Encoder(tokenizer)
+
+
+class Encoder:
+    """The ids of distinct words, many words a call. A control character stands between them, alone, and its id cuts the ids."""
+
+    MARK = "\x01"
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.mark = tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.known: dict[bytes, int] = {}
+        self.flat, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64)
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each)."""
+        flat, sizes = [], []
+        for low in range(0, len(words), TOGETHER * TOGETHER):
+            texts = [word.decode() for word in words[low : low + TOGETHER * TOGETHER]]
+            lots = [texts[i : i + TOGETHER] for i in range(0, len(texts), TOGETHER)]
+            joined = [f" {self.MARK} ".join(lot) for lot in lots]
+            for lot, text, encoded in zip(lots, joined, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+                if len(self.mark) != 1 or text.count(self.MARK) != len(lot) - 1:
+                    rows = [self.tokenizer.encode(word, add_special_tokens=False).ids for word in lot]
+                    flat += [np.array(row, np.uint32) for row in rows]
+                    sizes += [np.array([len(row)]) for row in rows]
+                    continue
+                ids = np.array(encoded.ids, np.uint32)
+                marks = np.flatnonzero(ids == self.mark[0])
+                sizes.append(np.diff(np.concatenate(([-1], marks, [len(ids)]))) - 1)
+                flat.append(np.delete(ids, marks))
+        return np.concatenate(flat or [np.empty(0, np.uint32)]), np.concatenate(sizes or [np.empty(0, np.int64)])
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, size): where each word's ids lie. Frequent words are known from earlier calls."""
+        at = np.array([self.known.get(word, -1) for word in words], np.int64)
+        new = np.flatnonzero(at < 0)
+        flat, sizes = self._encode([words[i] for i in new])
+        first = np.empty(len(words), np.int64)
+        size = np.empty(len(words), np.int64)
+        begins = np.cumsum(self.sizes) - self.sizes
+        first[at >= 0], size[at >= 0] = begins[at[at >= 0]], self.sizes[at[at >= 0]]
+        first[new], size[new] = len(self.flat) + np.cumsum(sizes) - sizes, sizes
+        ids = np.concatenate((self.flat, flat))
+        if len(self.known) + len(new) > CACHE_WORDS:  # starts anew with the words of this call
+            self.known, self.sizes, self.flat = {}, sizes, flat
+        else:
+            self.sizes, self.flat = np.concatenate((self.sizes, sizes)), ids
+        if len(new) <= CACHE_WORDS:
+            self.known.update(zip((words[i] for i in new), range(len(self.sizes) - len(new), len(self.sizes))))
+        else:
+            self.sizes, self.flat = self.sizes[:0], self.flat[:0]
+        return ids, first, size
 
 
 def _spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -70,68 +134,54 @@ def _spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
 
 
-def token_ids(words, encode, end: int) -> tuple[np.ndarray, np.ndarray]:
+def token_ids(words: Words, encode: Encoder, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts in one array and how many each text has. Every distinct word is encoded once."""
-    pieces = encode(words.vocabulary)
-    sizes = np.array([len(x) for x in pieces], np.int64)
-    flat = np.fromiter((i for x in pieces for i in x), np.uint32, int(sizes.sum()))
-    of_word = sizes[words.codes]
+    flat, first, size = encode(words.vocabulary.to_pylist())
+    of_word = size[words.codes]
     until = np.concatenate(([0], np.cumsum(of_word)))
     counts = np.diff(until[words.bounds]) + 1
     ids = np.full(int(counts.sum()), end, np.uint32)
     place = np.ones(len(ids), bool)
     place[np.cumsum(counts) - 1] = False
-    ids[place] = flat[_spread((np.cumsum(sizes) - sizes)[words.codes], of_word)]
+    ids[place] = flat[_spread(first[words.codes], of_word)]
     return ids, counts
 
 
 def _encode(shared):
+    """Adds ``n``, ``ids`` and ``before``, the tokens of the same source earlier in the same task."""
+
     def run(batches):
         tokenizer = shared.value
         encode, width = tokenizer(), tokenizer.width
+        seen: dict[str | None, int] = {}
         for batch in batches:
-            for first, words in word_slices(batch):
+            for first, rows, words in word_slices(batch, _FOLD, _cut_words):
                 ids, counts = token_ids(words, encode, tokenizer.end)
+                part, before = batch.slice(first, rows), np.empty(rows, np.int64)
+                queue = part.column("source").dictionary_encode(null_encoding="encode")
+                for number, source in enumerate(queue.dictionary.to_pylist()):
+                    mine = np.flatnonzero(queue.indices.to_numpy() == number)
+                    until = seen.get(source, 0) + np.cumsum(counts[mine])
+                    before[mine], seen[source] = until - counts[mine], int(until[-1])
                 offsets = np.concatenate(([0], np.cumsum(counts))) * width
-                buffers = [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(ids.astype(f"<u{width}").tobytes())]
-                part, data = batch.slice(first, len(counts)), pa.BinaryArray.from_buffers(pa.binary(), len(counts), buffers)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("source"), part.column("row"), pa.array(counts), data],
-                    names=["doc_id", "source", "row", "n", "ids"],
-                )
+                buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids.astype(f"<u{width}"))]
+                data = pa.BinaryArray.from_buffers(pa.binary(), rows, buffers)
+                columns = [*(part.column(c) for c in ("doc_id", "source", "task")), pa.array(before), pa.array(counts), data]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "task", "before", "n", "ids"])
 
     return run
 
 
-def queued(tokens: DataFrame, total: int, bucket: int = BUCKET, buckets: int = BUCKETS) -> DataFrame:
-    """(source, row, n, begin, size): where each document starts in its source's queue, and the queue's tokens.
+def queue_starts(tokens: DataFrame) -> DataFrame:
+    """(source, task, first, size): where the documents of a task start in their source's queue, and its tokens in all.
 
-    The queue is ordered by a hash of the row. Sizes are summed by bucket and by group of buckets first, so no
-    task holds a source: the window functions see a bucket's documents, a group's buckets and a source's groups.
+    Tasks follow each other in the order of a hash. One row a source and task is all that a window function sees.
     """
-    n_buckets = max(1, -(-total // bucket))
-    place = F.xxhash64("row", F.lit(12))
-    keyed = tokens.select("source", "row", "n", place.alias("at"), F.pmod(place, F.lit(n_buckets)).alias("bucket"))
-    keyed = keyed.withColumn("group", F.expr(f"bucket div {buckets}"))
-    sums = keyed.groupBy("source", "group", "bucket").agg(F.sum("n").alias("n"))
-    groups = sums.groupBy("source", "group").agg(F.sum("n").alias("n"))
-
-    def before(keys, order):
-        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum("n").over(upto), F.lit(0))
-
-    groups = groups.select(
-        "source", "group", before(["source"], ["group"]).alias("group_begin"), F.sum("n").over(Window.partitionBy("source")).alias("size")
-    )
-    sums = sums.select("source", "group", "bucket", before(["source", "group"], ["bucket"]).alias("bucket_begin"))
-    inside = keyed.withColumn("begin", before(["source", "bucket"], ["at", "row"]))
-    starts = sums.alias("s").join(
-        groups.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source")) & (F.col("s.group") == F.col("g.group"))
-    ).select("s.source", "bucket", (F.col("bucket_begin") + F.col("group_begin")).alias("first"), "size")
-    return (
-        inside.alias("i")
-        .join(starts.alias("s"), F.col("i.source").eqNullSafe(F.col("s.source")) & (F.col("i.bucket") == F.col("s.bucket")))
-        .select("i.source", "row", "n", (F.col("begin") + F.col("first")).alias("begin"), "size")
+    sums = tokens.groupBy("source", "task").agg(F.sum("n").alias("n"))
+    queue = Window.partitionBy("source")
+    before = queue.orderBy(F.xxhash64("task", F.lit(12)), "task").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(
+        "source", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.sum("n").over(queue).alias("size")
     )
 
 
@@ -261,7 +311,6 @@ def pack_documents(
     window: int = WINDOW,
     grain: int = GRAIN,
     partition: int = PARTITION,
-    bucket: int = BUCKET,
 ) -> DataFrame:
     """(doc_id, source, start, length, doc_tokens, sequence_id, offset, ids) for every piece of every document.
 
@@ -270,8 +319,8 @@ def pack_documents(
     of two. ``ids`` are little-endian unsigned 32-bit numbers.
 
     A null or empty text is its closing id alone; a null source is a source of its own; a null doc_id stays null.
-    Repeated rows are packed each. Ties in the order of a queue go by row number; the same files read in the same way
-    give the same packing. An empty table gives an empty result. A document longer than a partition is cut;
+    Repeated rows are packed each. Queues follow the order of the rows in their files; the same files read in
+    the same way give the same packing. An empty table gives an empty result. A document longer than a partition is cut;
     a task holds the longest text and one partition. Other columns are not read and may have any name.
     """
     spark = docs.sparkSession
@@ -279,27 +328,31 @@ def pack_documents(
     given = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
-        F.monotonically_increasing_id().alias("row"),
+        F.spark_partition_id().alias("task"),
         F.col("text").cast("string").alias("text"),
     )
     shared = spark.sparkContext.broadcast(tokenizer)
-    tokens = stored(given.mapInArrow(_encode(shared), "doc_id long, source string, row long, n long, ids binary"), "tokens")
-    total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    columns = "doc_id long, source string, task int, before long, n long, ids binary"
+    tokens = stored(given.mapInArrow(_encode(shared), columns), "tokens")
+    starts = stored(queue_starts(tokens), "starts")
+    total, size = tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], starts.agg(
+        F.coalesce(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 64), F.lit(0))
+    ).first()[0]
     partitions = max(1, -(-total // partition))
-    places = queued(tokens.select("source", "row", "n"), total, bucket)
+    same = F.col("t.source").eqNullSafe(F.col("s.source")) & (F.col("t.task") == F.col("s.task"))
+    small = F.broadcast(starts) if size <= BROADCAST_BYTES else starts
+    placed = tokens.alias("t").join(small.alias("s"), same).select(
+        "t.source", "doc_id", "n", "ids", "size", (F.col("before") + F.col("first")).alias("begin")
+    )
     first, last = _part("begin", partitions), _part("(begin + n - 1)", partitions)
-    pieces = (
-        places.select("row", "begin", "size", "n", F.explode(F.expr(f"sequence({first}, {last})")).alias("p"))
+    ids = f"substring(ids, cast({tokenizer.width} * start + 1 AS int), cast({tokenizer.width} * length AS int))"
+    return (
+        placed.withColumn("p", F.explode(F.expr(f"sequence({first}, {last})")))
         .withColumn("start", F.expr(f"greatest({_cut('p', partitions)} - begin, 0)"))
         .withColumn("length", F.expr(f"least({_cut('(p + 1)', partitions)} - begin, n) - start"))
         .withColumn("carry", F.expr(f"cast(cast(p AS decimal(20, 0)) * size % {partitions} AS double) / {partitions}"))
         .withColumn("carry", F.expr("if(carry >= 0.5, carry - 1, carry)"))
-        .select("row", "p", "start", "length", (F.col("begin") + F.col("start")).alias("begin"), "carry")
-    )
-    cut_ids = F.expr(f"substring(ids, cast({tokenizer.width} * start + 1 AS int), cast({tokenizer.width} * length AS int))")
-    return (
-        tokens.join(pieces.hint("shuffle_hash"), "row")
-        .select("p", "source", "row", "doc_id", "begin", "start", "length", "carry", F.col("n").alias("doc_tokens"), cut_ids.alias("ids"))
+        .select("p", "source", "doc_id", F.expr("begin + start").alias("begin"), "start", "length", "carry", F.col("n").alias("doc_tokens"), F.expr(ids).alias("ids"))
         .groupBy("p")
         .applyInArrow(_pack(window, grain, tokenizer.width), PIECES)
     )

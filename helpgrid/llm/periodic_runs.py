@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -241,21 +242,26 @@ def find_runs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return text, start, (found.end - found.begin)[order], found.period[order]
 
 
+def _kept(words: list[bytes], start: np.ndarray, length: np.ndarray, period: np.ndarray) -> bytes:
+    """A text without what its runs repeat."""
+    if len(start):
+        change = np.zeros(len(words) + 1, np.int64)
+        np.add.at(change, start + period, 1)
+        np.add.at(change, start + length, -1)
+        words = map(words.__getitem__, np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist())
+    return b" ".join(words)
+
+
 def _collapse(batches):
     for batch in batches:
         ids = batch.column("doc_id")
-        for first, words in word_slices(batch):
-            n = len(words.lists)
+        given = pc.fill_null(batch.column("text"), "").cast(pa.large_binary())
+        for first, n, words in word_slices(batch):
             text, start, length, period = find_runs(words)
-            texts = [b" ".join(x) for x in words.lists]
-            for t in np.unique(text):
-                mine = text == t
-                change = np.zeros(words.sizes[t] + 1, np.int64)
-                np.add.at(change, (start + period)[mine], 1)
-                np.add.at(change, (start + length)[mine], -1)
-                kept = np.flatnonzero(np.cumsum(change[:-1]) == 0)
-                texts[t] = b" ".join(map(words.lists[t].__getitem__, kept.tolist()))
-            offsets = np.searchsorted(text, np.arange(n + 1)).astype(np.int32)
+            lists = (x.as_py().split() for x in given.slice(first, n))
+            cut = np.searchsorted(text, np.arange(n + 1))
+            texts = [_kept(x, *(c[a:b] for c in (start, length, period))) for x, a, b in zip(lists, cut, cut[1:])]
+            offsets = pa.array(cut.astype(np.int32))
             runs = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (start, length, period)], ["start", "length", "period"])
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(first, n), pa.ListArray.from_arrays(offsets, runs), pa.array(texts, pa.binary()).cast(pa.string())],

@@ -35,6 +35,7 @@ BLOCK_ITEMS, CELLS = 512, 1 << 22
 _TERMS = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
+_TABLE = np.frombuffer(_TERMS, np.uint8)
 _MATCHED = "doc_id long, n long, terms array<int>, counts array<int>"
 _BEST = "item int, doc_id long, score long"
 
@@ -120,15 +121,15 @@ def _match(shared):
         numbers = shared.value
         for batch in batches:
             ids = batch.column("doc_id")
-            for first, words in word_slices(batch, terms_of):
-                number = np.array([numbers.get(w, -1) for w in words.vocabulary] or [-1], np.int64)
-                found = number[words.codes] if len(words.codes) else words.codes
-                row = np.repeat(np.arange(len(words.lists)), words.sizes)[found >= 0]
+            for first, n, words in word_slices(batch, _TABLE):
+                number = np.array([numbers.get(w, -1) for w in words.vocabulary.to_pylist()] or [-1], np.int64)
+                found = number[words.codes]
+                row = np.repeat(np.arange(n), words.sizes)[found >= 0]
                 cell, counts = np.unique(row * (len(numbers) + 1) + found[found >= 0], return_counts=True)
-                offsets = pa.array(np.searchsorted(cell // (len(numbers) + 1), np.arange(len(words.lists) + 1)).astype(np.int32))
+                offsets = pa.array(np.searchsorted(cell // (len(numbers) + 1), np.arange(n + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (cell % (len(numbers) + 1), counts)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(words.lists)), pa.array(words.sizes), *lists], names=["doc_id", "n", "terms", "counts"]
+                    [ids.slice(first, n), pa.array(words.sizes), *lists], names=["doc_id", "n", "terms", "counts"]
                 )
 
     return run

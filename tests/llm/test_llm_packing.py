@@ -10,11 +10,11 @@ from llm_cases import SF_DIR, awkward, empty, real, rows
 from tokenizers import Tokenizer
 
 from helpgrid.llm import packing
-from helpgrid.llm.words import numbered
+from helpgrid.llm.words import of_texts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 #: Texts in which word ends, marks, letters that change with case and special strings meet white space.
-ODD = ["á ́b", "É É é", "ΣΑΣ ΟΔΟΣ Σ", "don't DON'T ' t's 's", "x　y z", "<|endoftext|> <|startoftext|>a", "ﬁ ½ ①", "\x1c\x1d a\x85b", "가각 한"]
+ODD = ["á ́b", "É É é", "ΣΑΣ ΟΔΟΣ Σ", "don't DON'T ' t's 's 'tis a.'s x-'t \"'re\" ('ll) ''d'D", "a=\u0338b E\u0301x -\u2026- …a… 3a4.5b c'é'sé", "x　y z", "<|endoftext|> <|startoftext|>a", "ﬁ ½ ①", "\x1c\x1d a\x85b", "가각 한"]
 
 
 @pytest.fixture(scope="module")
@@ -24,11 +24,16 @@ def encode():
     return lambda text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
 
 
-def test_ids_word_by_word(spark, encode):
-    texts = ODD + [r.text for r in real(spark).collect()]
-    ids, counts = packing.token_ids(numbered([x.encode().split() for x in texts]), packing.WordPieces(PATH)(), 2)
+def test_ids_word_by_word(spark, encode, monkeypatch):
+    texts = [*ODD, "a\x01 \x01 b", *(r.text for r in real(spark).collect())]
     wanted = [encode(x) for x in texts]
-    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == wanted
+    for limit in (300_000, 3000, 10):  # words are known from earlier slices, or forgotten again
+        monkeypatch.setattr(packing, "CACHE_WORDS", limit)
+        encoder, found = packing.WordPieces(PATH)(), []
+        for low in range(0, len(texts), 40):
+            ids, counts = packing.token_ids(of_texts([x.encode() for x in texts[low : low + 40]], packing._FOLD, packing._cut_words), encoder, 2)
+            found += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert found == wanted
 
 
 def check(found, given, encode, window=4096):
@@ -60,11 +65,11 @@ def check(found, given, encode, window=4096):
     return sequences
 
 
-@pytest.mark.parametrize("window,grain,partition,bucket", [(4096, 128, 1 << 22, 1 << 22), (64, 8, 5000, 700), (256, 1000, 900, 50)])
-def test_pack(spark, encode, window, grain, partition, bucket):
+@pytest.mark.parametrize("window,grain,partition", [(4096, 128, 1 << 22), (64, 8, 5000), (256, 1000, 900)])
+def test_pack(spark, encode, window, grain, partition):
     tokenizer = packing.WordPieces(PATH)
     for docs, given in ((real(spark), [(r.doc_id, r.text) for r in real(spark).collect()]), (awkward(spark), [r[:2] for r in rows()])):
-        found = packing.pack_documents(docs, tokenizer, window, grain, partition, bucket).collect()
+        found = packing.pack_documents(docs, tokenizer, window, grain, partition).collect()
         check(found, given, encode, window)
     assert packing.pack_documents(empty(spark), tokenizer).count() == 0
 
@@ -72,7 +77,7 @@ def test_pack(spark, encode, window, grain, partition, bucket):
 def test_windows_keep_the_proportions(spark, encode):
     docs = real(spark).repartition(5)
     window, grain = 1024, 64
-    found = packing.pack_documents(docs, packing.WordPieces(PATH), window, grain, partition=40_000, bucket=9000).collect()
+    found = packing.pack_documents(docs, packing.WordPieces(PATH), window, grain, partition=40_000).collect()
     total = Counter()
     for r in found:
         total[r.source] += r.length
@@ -90,7 +95,7 @@ def test_windows_keep_the_proportions(spark, encode):
         for s in share:  # the deficit that is carried on never grows beyond a few pieces
             assert abs(served[s] - share[s] * filled) <= 2 * grain + share[s] * window + len(share)
     assert all(served[s] == total[s] for s in total)
-    again = packing.pack_documents(docs, packing.WordPieces(PATH), window, grain, partition=40_000, bucket=9000).collect()
+    again = packing.pack_documents(docs, packing.WordPieces(PATH), window, grain, partition=40_000).collect()
     assert sorted(map(tuple, again), key=str) == sorted(map(tuple, found), key=str)
 
 

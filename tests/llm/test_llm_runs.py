@@ -9,7 +9,7 @@ import pytest
 from llm_cases import SF_DIR, awkward, empty, real, rows
 
 from helpgrid.llm import periodic_runs
-from helpgrid.llm.words import numbered
+from helpgrid.llm.words import of_texts
 
 
 def slow_runs(words):
@@ -43,7 +43,7 @@ def repeated(doc_id, words):
 
 
 def runs_of(texts):
-    words = numbered(texts)
+    words = of_texts([b" ".join(x) for x in texts])
     out = [[] for _ in texts]
     for t, *run in zip(*(x.tolist() for x in periodic_runs.find_runs(words))):
         out[t].append(tuple(run))
@@ -81,7 +81,7 @@ def test_runs_equal_a_scan(seed, monkeypatch):
 def test_grammar_extends_like_a_scan():
     pick = random.Random(4)
     texts = [made(pick, 200) for _ in range(20)]
-    words = numbered(texts)
+    words = of_texts([b" ".join(x) for x in texts])
     grammar = periodic_runs.Grammar(words)
     text = np.array([t for t in range(20) if len(texts[t]) > 1 for _ in range(50)])
     places = [sorted(pick.sample(range(len(texts[t])), 2)) for t in text]
