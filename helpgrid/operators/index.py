@@ -1,73 +1,134 @@
-"""The search index: term counts, document frequencies, norms and vectors, as written tables.
+"""The search index: postings, document frequencies, norms and vectors, as written tables.
 
-Layout below the index path:
+An index is a version on top of segments. A segment holds what one build or refresh has added, and never changes:
 
-``counts``   one row per article: kb_id, terms, counts, n_terms
-``terms``    one row per term: term, df
-``codes``    the few terms whose code is not their hash: term, code
-``entries``  one row per article: kb_id, codes, counts, n_terms, keyword norm, dense vector
+``counts``    one row per article: kb_id, terms, counts, n_terms
+``terms``     one row per term of the segment: shard, code, term, df
+``postings``  one row per article and term: shard, code, kb_id, tf
+``vectors``   articles with a vector: kb_id, embedding, length
 
-A search reads ``entries`` article by article, so a term found in a third of all articles costs no
-more than any other and nothing is shuffled by term. Entries hold a number in place of each term,
-its code, which is cheaper to read and to compare; codes are unique. Counts and document
-frequencies are additive; weights and norms, which depend on the size of the whole knowledge base,
-are derived on refresh.
+A term's code is its 64-bit hash; the few terms that share one get another number, and a code is never changed. ``terms`` and
+``postings`` lie in folders by the leading bits of the code (the shard) and are sorted by code and article, so
+a search for some terms reads their shards, and inside them the pages that hold their codes. A term found in a
+third of all articles is spread over as many files as it needs.
+
+A version adds up its segments: document frequencies are sums over segments, and ``sums`` has what an article's norm
+follows from. With idf = A - g, where A = ln(1 + n) + 1 depends on the number of articles and g = ln(1 + df) on the
+term, the squared norm is ``A^2 s0 - 2 A s1 + s2`` for the sums s0, s1, s2 of tf^2, tf^2 g and tf^2 g^2 over an article's terms.
+New articles change A for all at no cost, and s1 and s2 only through the terms they contain.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helpgrid.functions.text import corpus_text, with_term_counts
-from helpgrid.functions.vectors import checked_vector
+from helpgrid.functions.vectors import checked_vector, l2_norm
 from helpgrid.session import scratch_path
 
 # At most this many terms, and this many bytes of them, are broadcast as frequent ones.
-FREQUENT_TERMS = 200_000
+FREQUENT_TERMS = 400_000
 FREQUENT_BYTES = 32 << 20
+# Postings of a shard, about; a power of two of shards is taken.
+SHARD_POSTINGS = 1 << 22
+# Codes are listed in the filter of a scan up to this many; beyond, their shards alone are.
+LISTED_CODES = 10_000
+# A refresh that would make more segments than this merges them into one.
+SEGMENTS = 16
 
 COUNTS = "kb_id long, terms array<string>, counts array<int>, n_terms int"
-TERMS = "term string, df long"
+TERMS = "code long, term string, df long, shard int"
+POSTINGS = "code long, kb_id long, tf int, shard int"
+VECTORS = "kb_id long, embedding array<float>, length double"
+SUMS = "kb_id long, n_terms int, has_vector boolean, s0 double, s1 double, s2 double"
 CODES = "term string, code long"
-ENTRIES = (
-    "kb_id long, codes array<long>, counts array<int>, n_terms int, norm double, "
-    "embedding array<float>"
-)
+
+
+@dataclass(frozen=True)
+class Segment:
+    """What one build or refresh has added. There are ``2 ** bits`` shards."""
+
+    path: str
+    bits: int
+
+    def shards(self, codes: Sequence[int]) -> list[int]:
+        return sorted({(code & (1 << 64) - 1) >> (64 - self.bits) for code in codes}) if self.bits else [0]
 
 
 @dataclass(frozen=True)
 class Index:
-    """A built index. ``n`` articles hold ``n_postings`` distinct (article, term) pairs."""
+    """One version of an index. ``n`` articles, ``n_vectors`` of them with a vector, hold ``n_postings`` (article, term) pairs."""
 
     spark: SparkSession
     path: str
-    count_paths: tuple[str, ...]
+    segments: tuple[Segment, ...]
     n: int
     n_postings: int
+    n_vectors: int
     dimension: int | None
 
+    def _read(self, kind: str, schema: str, codes: Sequence[int] | None = None) -> DataFrame:
+        parts = []
+        for segment in self.segments:
+            rows = self.spark.read.schema(schema).parquet(f"{segment.path}/{kind}")
+            if codes is not None:
+                rows = rows.where(F.col("shard").isin(segment.shards(codes)))
+                if len(codes) <= LISTED_CODES:
+                    rows = rows.where(F.col("code").isin(list(codes)))
+            parts.append(rows)
+        return reduce(DataFrame.unionByName, parts)
+
     @property
     def counts(self) -> DataFrame:
-        return self.spark.read.schema(COUNTS).parquet(*self.count_paths)
+        return self._read("counts", COUNTS)
 
     @property
-    def terms(self) -> DataFrame:
-        return self.spark.read.schema(TERMS).parquet(f"{self.path}/terms")
+    def vectors(self) -> DataFrame:
+        return self._read("vectors", VECTORS)
+
+    def postings(self, codes: Sequence[int] | None = None) -> DataFrame:
+        """code, kb_id, tf; of the shards that ``codes`` lie in, and of these codes alone if they are few."""
+        return self._read("postings", POSTINGS, codes).drop("shard")
+
+    def frequencies(self, codes: Sequence[int] | None = None) -> DataFrame:
+        """code, term, df; limited like ``postings``."""
+        rows = self._read("terms", TERMS, codes).drop("shard")
+        if len(self.segments) == 1:
+            return rows
+        return rows.groupBy("code", "term").agg(F.sum("df").alias("df"))
 
     @property
-    def entries(self) -> DataFrame:
-        return self.spark.read.schema(ENTRIES).parquet(f"{self.path}/entries")
+    def terms(self) -> DataFrame:
+        return self.frequencies().select("term", "df")
 
     @property
     def idf(self) -> DataFrame:
         return self.terms.withColumn("idf", smoothed_idf(F.col("df"), self.n))
 
-    def code(self, term: Column) -> Column:
+    @property
+    def sums(self) -> DataFrame:
+        return self.spark.read.schema(SUMS).parquet(f"{self.path}/sums")
+
+    @property
+    def norms(self) -> DataFrame:
+        """kb_id, n_terms, has_vector and the Euclidean length of the article's tf-idf vector."""
+        a = F.log(F.lit(1.0 + self.n)) + F.lit(1.0)
+        squared = a * a * F.col("s0") - F.lit(2.0) * a * F.col("s1") + F.col("s2")
+        return self.sums.select("kb_id", "n_terms", "has_vector", F.sqrt(F.greatest(squared, F.lit(0.0))).alias("norm"))
+
+    @property
+    def moved(self) -> dict[str, int]:
+        """The few terms whose code is not their hash."""
         rows = self.spark.read.schema(CODES).parquet(f"{self.path}/codes").collect()
-        return unique_code(term, {row.term: row.code for row in rows})
+        return {row.term: row.code for row in rows}
+
+    def code(self, term: Column) -> Column:
+        return unique_code(term, self.moved)
 
 
 def smoothed_idf(df: Column, n: int) -> Column:
@@ -78,30 +139,29 @@ def term_hash(term: Column) -> Column:
     return F.xxhash64(term)
 
 
-def shared_hashes(terms: DataFrame) -> dict[str, int]:
-    """Codes for the terms that share their hash with another one, all but the first of each.
+def shared_codes(terms: DataFrame) -> list[tuple[int, str]]:
+    """(code, term) of the terms (code, term) that have their code in common with another one, all but the first of each.
 
-    With 64 bits, a vocabulary of ten billion terms has about three such pairs, so they are few
-    whatever the data; each gets a number that is no other term's hash.
+    With 64 bits, a vocabulary of ten billion terms has about three such pairs, so they are few whatever the data.
     """
-    hashed = terms.select("term", term_hash(F.col("term")).alias("code"))
-    n, n_codes = hashed.agg(F.count(F.lit(1)), F.count_distinct("code")).first()
+    n, n_codes = terms.agg(F.count(F.lit(1)), F.count_distinct("code")).first()
     if n == n_codes:
-        return {}
-    shared = hashed.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("code")
-    groups: dict[int, list[str]] = {}
-    for row in hashed.join(shared, "code").orderBy("term").collect():
-        groups.setdefault(row.code, []).append(row.term)
-    moved = [term for group in groups.values() for term in group[1:]]
-    codes: dict[str, int] = {}
+        return []
+    shared = terms.groupBy("code").agg(F.array_sort(F.collect_list("term")).alias("terms")).where("size(terms) > 1")
+    rest = F.slice("terms", F.lit(2), F.size("terms") - 1)
+    return [tuple(r) for r in shared.select("code", F.explode(rest).alias("term")).orderBy("code", "term").collect()]
+
+
+def free_codes(count: int, taken_by: DataFrame) -> list[int]:
+    """The least numbers from 0 on that are no code of ``taken_by`` (code)."""
+    codes: list[int] = []
     candidate = 0
-    while len(codes) < len(moved):
-        tried = list(range(candidate, candidate + 2 * len(moved)))
-        taken = {row.code for row in hashed.where(F.col("code").isin(tried)).collect()}
-        free = [code for code in tried if code not in taken]
-        codes |= dict(zip(moved[len(codes) :], free))
+    while len(codes) < count:
+        tried = list(range(candidate, candidate + 2 * count))
+        taken = {row.code for row in taken_by.where(F.col("code").isin(tried)).select("code").collect()}
+        codes += [code for code in tried if code not in taken]
         candidate = tried[-1] + 1
-    return codes
+    return codes[:count]
 
 
 def unique_code(term: Column, moved: dict[str, int]) -> Column:
@@ -148,7 +208,12 @@ def article_counts(articles: DataFrame, stop_words=None) -> DataFrame:
     )
 
 
-def frequent_from(terms: DataFrame, n_postings: int) -> int:
+def coded(counts: DataFrame, moved: dict[str, int]) -> DataFrame:
+    """One row per article and term: kb_id, term, tf, code."""
+    return postings(counts.select("kb_id", "terms", "counts")).withColumn("code", unique_code(F.col("term"), moved))
+
+
+def frequent_from(frequencies: DataFrame, n_postings: int) -> int:
     """The least document frequency at which a term is broadcast.
 
     At most n_postings / f terms occur in f or more articles, which bounds their number whatever
@@ -156,49 +221,37 @@ def frequent_from(terms: DataFrame, n_postings: int) -> int:
     """
     least = max(1, -(-n_postings // FREQUENT_TERMS))
     while True:
-        size = (
-            terms.where(F.col("df") >= least)
-            .agg(F.coalesce(F.sum(F.octet_length("term") + 16), F.lit(0)))
-            .first()[0]
-        )
+        size = frequencies.where(F.col("df") >= least).agg(F.count(F.lit(1)) * 24).first()[0]
         if size <= FREQUENT_BYTES:
             return least
         least *= 2
 
 
-def weighted_postings(index: Index, counts: DataFrame) -> DataFrame:
-    """``postings(counts)`` with the idf of each term.
+def weighed(tall: DataFrame, sorted_postings: DataFrame, frequencies: DataFrame, n_postings: int) -> DataFrame:
+    """kb_id, code, term, tf and df of every posting.
 
-    Frequent terms hold most postings; their idf is broadcast and those postings never move. The
-    rest is joined by a shuffle in which no key is larger than the frequency limit.
+    Frequent terms hold most postings; their df is broadcast to the rows of ``tall`` (from the articles' counts),
+    which never move. The postings of all others are shuffled by code, and no key is larger than the limit.
     """
-    least = frequent_from(index.terms, index.n_postings)
-    tall = postings(counts)
-    frequent = F.broadcast(index.idf.where(F.col("df") >= least).drop("df"))
-    met_by_broadcast = tall.join(frequent, "term")
-    if least == 1:
-        return met_by_broadcast
-    rare = index.idf.where(F.col("df") < least).drop("df")
-    met_by_shuffle = tall.join(frequent, "term", "left_anti").join(rare, "term")
-    return met_by_broadcast.unionByName(met_by_shuffle)
-
-
-def keyword_norms(index: Index) -> DataFrame:
-    """Euclidean length of each article's tf-idf vector: kb_id, norm."""
-    weight = F.col("tf") * F.col("idf")
-    return (
-        weighted_postings(index, index.counts.select("kb_id", "terms", "counts"))
-        .groupBy("kb_id")
-        .agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
-    )
+    least = frequent_from(frequencies, n_postings)
+    frequent = F.broadcast(frequencies.where(F.col("df") >= least).select("code", "df"))
+    columns = ["kb_id", "code", "term", "tf", "df"]
+    rare = sorted_postings.join(frequent, "code", "left_anti").join(frequencies.where(F.col("df") < least), "code")
+    return tall.join(frequent, "code").select(*columns).unionByName(rare.select(*columns))
 
 
 def tfidf_weights(index: Index) -> DataFrame:
     """The normalized tf-idf matrix in long form: kb_id, term, tf, weight."""
-    norms = index.entries.select("kb_id", "norm")
-    counts = index.counts.select("kb_id", "terms", "counts").join(norms, "kb_id")
-    return weighted_postings(index, counts).select(
-        "kb_id", "term", "tf", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight")
+    rows = weighed(coded(index.counts, index.moved), index.postings(), index.frequencies(), index.n_postings)
+    weight = F.col("tf") * smoothed_idf(F.col("df"), index.n) / F.col("norm")
+    return rows.join(index.norms, "kb_id").select("kb_id", "term", "tf", weight.alias("weight"))
+
+
+def article_sums(rows: DataFrame) -> DataFrame:
+    """kb_id, s0, s1 and s2 from the postings (kb_id, tf, df) of whole articles."""
+    g, square = F.log(F.lit(1.0) + F.col("df")), (F.col("tf") * F.col("tf")).cast("double")
+    return rows.groupBy("kb_id").agg(
+        F.sum(square).alias("s0"), F.sum(square * g).alias("s1"), F.sum(square * g * g).alias("s2")
     )
 
 
@@ -213,13 +266,33 @@ def build_index(
     An article without a vector counts as a zero vector. ``path`` must be new and readable by all
     executors; by default it lies below ``spark.checkpoint.dir``.
     """
-    spark = articles.sparkSession
-    path = path or scratch_path(spark, "index")
-    counts_path = f"{path}/counts"
-    article_counts(articles, stop_words).write.parquet(counts_path)
-    counts = spark.read.schema(COUNTS).parquet(counts_path)
-    document_frequencies(counts).write.parquet(f"{path}/terms")
-    return _finish(spark, path, (counts_path,), vectors)
+    path = path or scratch_path(articles.sparkSession, "index")
+    article_counts(articles, stop_words).write.parquet(f"{path}/segment/counts")
+    return _index_counts(articles.sparkSession, path, vectors)
+
+
+def compact_index(index: Index, path: str | None = None) -> Index:
+    """The same index in one segment."""
+    path = path or scratch_path(index.spark, "index")
+    index.counts.write.parquet(f"{path}/segment/counts")
+    return _index_counts(index.spark, path, index.vectors.drop("length"), index.dimension)
+
+
+def _index_counts(spark: SparkSession, path: str, vectors: DataFrame | None, dimension: int | None = None) -> Index:
+    """An index of one segment, whose counts have been written."""
+    segment, counts, n, n_postings = _open_segment(spark, path)
+    check_unique(counts, "kb_id")
+    _write_terms(counts, segment, {})
+    dimension = dimension or _dimension(vectors)
+    n_vectors = _write_vectors(spark, vectors, dimension, segment)
+    index = Index(spark, path, (segment,), n, n_postings, n_vectors, dimension)
+    shared = shared_codes(index.frequencies())
+    moved = dict(zip((term for _, term in shared), free_codes(len(shared), index.frequencies()) if shared else []))
+    if moved:
+        _write_terms(counts, segment, moved)
+    _write_postings(counts, segment, moved)
+    rows = weighed(coded(counts, moved), index.postings(), index.frequencies(), n_postings)
+    return _finish(index, moved, _of_all(segment, counts, article_sums(rows)))
 
 
 def refresh_index(
@@ -229,71 +302,165 @@ def refresh_index(
     path: str | None = None,
     stop_words=None,
 ) -> Index:
-    """A new index with ``new_articles`` added; only their text is tokenized.
+    """A new version of the index with ``new_articles`` and their ``vectors`` added as a segment.
 
-    ``vectors`` are those of the new articles; the old ones are taken from the index.
+    Old segments stay as they are, and old versions keep working. Of the old articles only the sums of those that
+    contain a term of the new ones change, by the postings of these terms. Beyond ``SEGMENTS`` segments
+    all are merged into one.
     """
     spark = index.spark
     path = path or scratch_path(spark, "index")
-    counts_path = f"{path}/counts"
-    article_counts(new_articles, stop_words).write.parquet(counts_path)
-    added = document_frequencies(spark.read.schema(COUNTS).parquet(counts_path))
-    (
-        index.terms.unionByName(added)
-        .groupBy("term")
-        .agg(F.sum("df").alias("df"))
-        .write.parquet(f"{path}/terms")
+    article_counts(new_articles, stop_words).write.parquet(f"{path}/segment/counts")
+    segment, counts, n, n_postings = _open_segment(spark, path)
+    check_unique(counts, "kb_id")
+    again = index.sums.join(counts.select("kb_id"), "kb_id", "left_semi").limit(5).collect()
+    if again:
+        raise ValueError(f"kb_id must be unique; in the index already: {sorted(r.kb_id for r in again)}")
+
+    moved = index.moved
+    _write_terms(counts, segment, moved)
+
+    def own_terms() -> DataFrame:
+        rows = spark.read.schema(TERMS).parquet(f"{segment.path}/terms")
+        return rows.select("code", "term", F.col("df").alias("more"))
+
+    added = own_terms()
+    clashing = _clashes(index, added)
+    if clashing:
+        taken = index.frequencies().select("code").unionByName(added.select("code"))
+        moved = moved | dict(zip(clashing, free_codes(len(clashing), taken)))
+        _write_terms(counts, segment, moved)
+        added = own_terms()
+    _write_postings(counts, segment, moved)
+    dimension = index.dimension or _dimension(vectors)
+    n_vectors = index.n_vectors + _write_vectors(spark, vectors, dimension, segment)
+
+    # terms of the new articles with their df before and after; of other terms nothing changes
+    met_path = f"{path}/changed"
+    old = index.frequencies(_codes(added)).select("code", "df")
+    added.join(old, "code", "left").select(
+        "code", "term", F.coalesce("df", F.lit(0)).alias("before"), (F.coalesce("df", F.lit(0)) + F.col("more")).alias("df")
+    ).write.parquet(met_path)
+    changed = spark.read.parquet(met_path)
+    own = spark.read.schema(POSTINGS).parquet(f"{segment.path}/postings")
+    new_sums = article_sums(weighed(coded(counts, moved), own, changed, n_postings))
+
+    known = changed.where("before > 0")
+    g, h = F.log(F.lit(1.0) + F.col("df")), F.log(F.lit(1.0) + F.col("before"))
+    square = (F.col("tf") * F.col("tf")).cast("double")
+    codes = _codes(known)
+    steps = known.select("code", (g - h).alias("d1"), (g * g - h * h).alias("d2"))
+    if known.count() * 24 <= FREQUENT_BYTES:
+        steps = F.broadcast(steps)
+    moves = (
+        index.postings(codes).join(steps, "code").groupBy("kb_id")
+        .agg(F.sum(square * F.col("d1")).alias("d1"), F.sum(square * F.col("d2")).alias("d2"))
     )
-    old = index.entries.where("embedding is not null").select("kb_id", "embedding")
-    if vectors is not None:
-        old = old.unionByName(vectors.select("kb_id", F.col("embedding").cast("array<float>")))
-    return _finish(spark, path, (*index.count_paths, counts_path), old)
+    zero = F.lit(0.0)
+    old_sums = index.sums.join(moves, "kb_id", "left").select(
+        "kb_id", "n_terms", "has_vector", "s0",
+        (F.col("s1") + F.coalesce("d1", zero)).alias("s1"),
+        (F.col("s2") + F.coalesce("d2", zero)).alias("s2"),
+    )
+    version = Index(spark, path, (*index.segments, segment), index.n + n, index.n_postings + n_postings, n_vectors, dimension)
+    done = _finish(version, moved, old_sums.unionByName(_of_all(segment, counts, new_sums)))
+    return compact_index(done) if len(done.segments) > SEGMENTS else done
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
-    """An index written earlier."""
+    """A version written earlier."""
     row = spark.read.parquet(f"{path}/about").first()
-    return Index(spark, path, tuple(row.count_paths), row.n, row.n_postings, row.dimension)
+    segments = tuple(Segment(s.path, s.bits) for s in row.segments)
+    return Index(spark, path, segments, row.n, row.n_postings, row.n_vectors, row.dimension)
 
 
 def check_unique(rows: DataFrame, key: str) -> None:
-    """Raises if two rows have the same key, and names some of these keys."""
-    again = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(5).collect()
+    """Raises if a key is null or two rows have the same one, and names some of these keys."""
+    wrong = (F.col("n") > 1) | F.col(key).isNull()
+    again = [r[0] for r in rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(wrong).limit(5).collect()]
+    if None in again:
+        raise ValueError(f"{key} must not be null")
     if again:
-        raise ValueError(f"{key} must be unique; repeated: {sorted(r[0] for r in again)}")
+        raise ValueError(f"{key} must be unique; repeated: {sorted(again)}")
 
 
-def _finish(
-    spark: SparkSession, path: str, count_paths: tuple[str, ...], vectors: DataFrame | None
-) -> Index:
-    counts = spark.read.schema(COUNTS).parquet(*count_paths)
+def _open_segment(spark: SparkSession, path: str) -> tuple[Segment, DataFrame, int, int]:
+    """The segment whose counts have been written below ``path``: itself, its counts, articles and postings."""
+    counts = spark.read.schema(COUNTS).parquet(f"{path}/segment/counts")
     n, n_postings = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
-    dimension = None
-    if vectors is not None:
-        first = vectors.where("embedding is not null").select(F.size("embedding")).first()
-        dimension = first[0] if first else None
-    check_unique(counts, "kb_id")
-    index = Index(spark, path, count_paths, n, n_postings, dimension)
-    moved = shared_hashes(index.terms)
-    spark.createDataFrame(list(moved.items()), CODES).write.parquet(f"{path}/codes")
+    return Segment(f"{path}/segment", (n_postings // SHARD_POSTINGS).bit_length()), counts, n, n_postings
+
+
+def _sharded(rows: DataFrame, bits: int, order: list[str]) -> DataFrame:
+    """Adds the shard and sorts; neighbouring rows go to the same task, whatever the size of a code."""
+    shard = F.shiftrightunsigned("code", 64 - bits).cast("int") if bits else F.lit(0)
+    keys = ["shard", *order]
+    return rows.withColumn("shard", shard).repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
+def _write_terms(counts: DataFrame, segment: Segment, moved: dict[str, int]) -> None:
+    rows = document_frequencies(counts).select(unique_code(F.col("term"), moved).alias("code"), "term", "df")
+    _sharded(rows, segment.bits, ["code"]).write.mode("overwrite").partitionBy("shard").parquet(f"{segment.path}/terms")
+
 
-    entries = counts.join(keyword_norms(index), "kb_id", "left")
-    if dimension is None:
-        embedding = F.lit(None).cast("array<float>")
+def _write_postings(counts: DataFrame, segment: Segment, moved: dict[str, int]) -> None:
+    rows = coded(counts, moved).select("code", "kb_id", "tf")
+    _sharded(rows, segment.bits, ["code", "kb_id"]).write.partitionBy("shard").parquet(f"{segment.path}/postings")
+
+
+def _dimension(vectors: DataFrame | None) -> int | None:
+    if vectors is None:
+        return None
+    first = vectors.where("embedding is not null").select(F.size("embedding")).first()
+    return first[0] if first else None
+
+
+def _write_vectors(spark: SparkSession, vectors: DataFrame | None, dimension: int | None, segment: Segment) -> int:
+    if vectors is None or dimension is None:
+        rows = spark.createDataFrame([], VECTORS)
     else:
-        vectors = vectors.select("kb_id", F.col("embedding").cast("array<float>"))
-        entries = entries.join(vectors, "kb_id", "left")
-        embedding = checked_vector(F.col("embedding"), dimension)
-    entries.select(
-        "kb_id",
-        F.transform("terms", lambda term: unique_code(term, moved)).alias("codes"),
-        "counts",
-        "n_terms",
-        F.coalesce("norm", F.lit(0.0)).alias("norm"),
-        embedding.alias("embedding"),
-    ).write.parquet(f"{path}/entries")
+        # only vectors of the segment's articles count
+        known = spark.read.schema(COUNTS).parquet(f"{segment.path}/counts").select(F.col("kb_id").cast("long").alias("kb_id"))
+        given = vectors.where("embedding is not null").select(
+            F.col("kb_id").cast("long").alias("kb_id"), checked_vector(F.col("embedding").cast("array<float>"), dimension).alias("embedding")
+        )
+        rows = given.join(known, "kb_id", "left_semi").select("kb_id", "embedding", l2_norm(F.col("embedding")).alias("length"))
+    rows.write.parquet(f"{segment.path}/vectors")
+    return spark.read.schema(VECTORS).parquet(f"{segment.path}/vectors").count()
+
+
+def _codes(terms: DataFrame) -> list[int] | None:
+    """The codes of a few terms; None for many."""
+    rows = terms.select("code").limit(LISTED_CODES + 1).collect()
+    return None if len(rows) > LISTED_CODES else [row.code for row in rows]
+
+
+def _clashes(index: Index, added: DataFrame) -> list[str]:
+    """New terms that share a code with another term, old or new."""
+    old = index.frequencies(_codes(added)).select("code", F.col("term").alias("other"))
+    met = {row.term for row in added.join(old, "code").where("term != other").select("term").distinct().collect()}
+    listed = {term for _, term in shared_codes(added)}
+    if listed:  # a term that the index has keeps its code
+        listed -= {row.other for row in old.where(F.col("other").isin(sorted(listed))).collect()}
+    return sorted(met | listed)
+
+
+def _of_all(segment: Segment, counts: DataFrame, sums: DataFrame) -> DataFrame:
+    """All articles of a segment with their sums, zero for those without terms."""
+    held = counts.sparkSession.read.schema(VECTORS).parquet(f"{segment.path}/vectors").select("kb_id", F.lit(True).alias("held"))
+    zero = F.lit(0.0)
+    return counts.select("kb_id", "n_terms").join(held, "kb_id", "left").join(sums, "kb_id", "left").select(
+        "kb_id", "n_terms", F.col("held").isNotNull().alias("has_vector"), *(F.coalesce(c, zero).alias(c) for c in ("s0", "s1", "s2"))
+    )
+
+
+def _finish(index: Index, moved: dict[str, int], sums: DataFrame) -> Index:
+    spark = index.spark
+    sums.write.parquet(f"{index.path}/sums")
+    spark.createDataFrame(list(moved.items()), CODES).coalesce(1).write.parquet(f"{index.path}/codes")
+    segments = [(segment.path, segment.bits) for segment in index.segments]
     spark.createDataFrame(
-        [(list(count_paths), n, n_postings, dimension)],
-        "count_paths array<string>, n long, n_postings long, dimension int",
-    ).coalesce(1).write.parquet(f"{path}/about")
+        [(segments, index.n, index.n_postings, index.n_vectors, index.dimension)],
+        "segments array<struct<path:string,bits:int>>, n long, n_postings long, n_vectors long, dimension int",
+    ).coalesce(1).write.parquet(f"{index.path}/about")
     return index

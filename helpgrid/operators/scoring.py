@@ -1,8 +1,8 @@
-"""Scores of a block of queries against a batch of articles, inside one task.
+"""Inner products of a block of queries with a batch of article vectors, inside one task.
 
-Spark hands each task a stream of Arrow batches of index entries. The task holds one batch and one
-block of queries at a time, and returns a few rows per query: the range of its scores, or its best
-articles so far. The table of all (query, article) pairs is never emitted.
+Spark hands each task a stream of Arrow batches of vectors. The task holds one batch and one block of queries at a
+time, and returns a few rows per query: the range of its scores, or its best articles so far. The table
+of all (query, article) pairs is never emitted.
 """
 
 from __future__ import annotations
@@ -12,9 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
-# Cells of one score matrix, and entries of one expanded sparse product.
+# Cells of one score matrix.
 CELLS = 1 << 21
 QUERIES_PER_BLOCK = 1024
 
@@ -26,66 +25,28 @@ RANK_SCALE = 1e9
 
 @dataclass
 class QueryBlock:
-    """Queries as unit vectors and as weights listed by term, where ``starts`` cuts the list."""
+    """Queries, sorted by id, as unit vectors."""
 
     ids: np.ndarray
-    dense: np.ndarray | None
-    starts: np.ndarray
-    columns: np.ndarray
-    weights: np.ndarray
+    dense: np.ndarray
 
 
 @dataclass
-class QueryPack:
-    """Blocks of queries. Without keyword scores there is no vocabulary."""
+class Scales:
+    """Per query of a block: least semantic score, width of its range, and what a score of no keywords is scaled to.
 
-    vocabulary: pa.Array | None
-    blocks: list[QueryBlock]
+    ``floors`` has a row for each alpha: articles whose key lies below cannot be among the best.
+    """
 
+    low: np.ndarray
+    width: np.ndarray
+    no_keywords: np.ndarray
+    floors: np.ndarray
 
-@dataclass
-class Ranges:
-    """Per query: least score and width of the range; width 1 and least 0 where all are equal."""
-
-    sem_low: np.ndarray
-    sem_width: np.ndarray
-    kw_low: np.ndarray
-    kw_width: np.ndarray
-
-
-@dataclass
-class Articles:
-    """A run of articles, with the terms that some query has."""
 
-    ids: np.ndarray
-    norms: np.ndarray | None
-    dense: np.ndarray | None
-    owner: np.ndarray
-    term: np.ndarray
-    tf: np.ndarray
-
-
-def pack_queries(ids: np.ndarray, dense: np.ndarray | None, sparse: pa.Table | None) -> QueryPack:
-    """``sparse`` has query_id, code (of a term) and weight; ``ids`` are sorted and unique."""
-    vocabulary, none = None, np.zeros(0, dtype=np.int64)
-    term, query, weight = none, none, none.astype(float)
-    if sparse is not None:
-        encoded = sparse["code"].combine_chunks().dictionary_encode()
-        vocabulary = encoded.dictionary
-        term = encoded.indices.to_numpy(zero_copy_only=False)
-        query = np.searchsorted(ids, sparse["query_id"].to_numpy())
-        weight = sparse["weight"].to_numpy()
-    n_terms = 0 if vocabulary is None else len(vocabulary)
-    blocks = []
-    for first in range(0, len(ids), QUERIES_PER_BLOCK):
-        last = min(first + QUERIES_PER_BLOCK, len(ids))
-        mine = np.flatnonzero((query >= first) & (query < last))
-        mine = mine[np.lexsort((query[mine], term[mine]))]
-        starts = np.concatenate(([0], np.cumsum(np.bincount(term[mine], minlength=n_terms))))
-        vectors = None if dense is None else dense[first:last]
-        columns = query[mine] - first
-        blocks.append(QueryBlock(ids[first:last], vectors, starts, columns, weight[mine]))
-    return QueryPack(vocabulary, blocks)
+def blocks_of(ids: np.ndarray, dense: np.ndarray) -> list[QueryBlock]:
+    step = QUERIES_PER_BLOCK
+    return [QueryBlock(ids[i : i + step], dense[i : i + step]) for i in range(0, len(ids), step)]
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -93,131 +54,63 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(length > 0, length, 1.0)[:, None]
 
 
-def read_articles(batch: pa.RecordBatch, pack: QueryPack) -> Articles:
-    ids, n, dense = batch["kb_id"].to_numpy(), batch.num_rows, None
-    if pack.blocks[0].dense is not None:
-        dense = np.zeros((n, pack.blocks[0].dense.shape[1]))
-        values = batch["embedding"].flatten().to_numpy(zero_copy_only=False)
-        present = pc.is_valid(batch["embedding"]).to_numpy(zero_copy_only=False)
-        dense[present] = unit_rows(values.astype(np.float64).reshape(-1, dense.shape[1]))
-    if pack.vocabulary is None:
-        none = np.zeros(0, dtype=np.int64)
-        return Articles(ids, None, dense, none, none, none.astype(float))
-    known = pc.index_in(batch["codes"].flatten(), value_set=pack.vocabulary)
-    found = pc.is_valid(known).to_numpy(zero_copy_only=False)
-    sizes = pc.list_value_length(batch["codes"]).to_numpy(zero_copy_only=False)
-    return Articles(
-        ids,
-        batch["norm"].to_numpy(),
-        dense,
-        np.repeat(np.arange(n), sizes)[found],
-        known.drop_null().to_numpy().astype(np.int64),
-        batch["counts"].flatten().to_numpy(zero_copy_only=False)[found].astype(np.float64),
-    )
-
-
-def runs(articles: Articles, block: QueryBlock) -> Iterator[Articles]:
-    """Cuts a batch into runs of articles that keep the score matrix and its products small."""
-    n = len(articles.ids)
-    fan_out = block.starts[articles.term + 1] - block.starts[articles.term]
-    work = np.bincount(articles.owner, weights=fan_out, minlength=n)
-    done = np.concatenate(([0], np.cumsum(np.maximum(work, len(block.ids)))))
-    first = 0
-    while first < n:
-        last = max(first + 1, int(np.searchsorted(done, done[first] + CELLS, side="right")) - 1)
-        low, high = np.searchsorted(articles.owner, [first, last])
-        yield Articles(
-            articles.ids[first:last],
-            None if articles.norms is None else articles.norms[first:last],
-            None if articles.dense is None else articles.dense[first:last],
-            articles.owner[low:high] - first,
-            articles.term[low:high],
-            articles.tf[low:high],
-        )
-        first = last
-
-
-def keyword_scores(run: Articles, block: QueryBlock) -> np.ndarray:
-    """Cosine of every article (down) with every query (across)."""
-    shape = len(run.ids), len(block.ids)
-    if run.norms is None:
-        return np.zeros(shape)
-    begin = block.starts[run.term]
-    fan_out = block.starts[run.term + 1] - begin
-    source = np.repeat(np.arange(len(begin)), fan_out)
-    at = np.arange(len(source)) + np.repeat(begin - (np.cumsum(fan_out) - fan_out), fan_out)
-    cell = run.owner[source] * shape[1] + block.columns[at]
-    dots = np.bincount(cell, run.tf[source] * block.weights[at], shape[0] * shape[1])
-    norms = np.where(run.norms > 0, run.norms, 1.0)
-    return np.round(dots.reshape(shape) / norms[:, None], SCORE_DECIMALS)
-
-
-def semantic_scores(run: Articles, block: QueryBlock) -> np.ndarray:
-    if run.dense is None:
-        return np.zeros((len(run.ids), len(block.ids)))
-    return np.round(run.dense @ block.dense.T, SCORE_DECIMALS)
-
-
-def scored(
-    batches: Iterator[pa.RecordBatch], pack: QueryPack
-) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Number of the block, kb_ids, semantic and keyword scores of one run after another."""
+def scored(batches: Iterator[pa.RecordBatch], blocks: list[QueryBlock]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number of the block, kb_ids and scores (article down, query across) of one run of articles after another."""
     for batch in batches:
-        if batch.num_rows:
-            articles = read_articles(batch, pack)
-            for i, block in enumerate(pack.blocks):
-                for run in runs(articles, block):
-                    yield i, run.ids, semantic_scores(run, block), keyword_scores(run, block)
+        if not batch.num_rows:
+            continue
+        ids = batch["kb_id"].to_numpy()
+        values = batch["embedding"].flatten().to_numpy(zero_copy_only=False)
+        dense = unit_rows(values.astype(np.float64).reshape(len(ids), -1))
+        for i, block in enumerate(blocks):
+            run = max(1, CELLS // len(block.ids))
+            for first in range(0, len(ids), run):
+                part = slice(first, first + run)
+                yield i, ids[part], np.round(dense[part] @ block.dense.T, SCORE_DECIMALS)
 
 
-def score_ranges(batches: Iterator[pa.RecordBatch], pack: QueryPack) -> Iterator[pa.RecordBatch]:
-    """Per query: least and greatest score of each kind over the task's articles, and matches."""
-    merge = (np.minimum, np.maximum, np.minimum, np.maximum, np.add)
+def score_ranges(batches: Iterator[pa.RecordBatch], blocks: list[QueryBlock]) -> Iterator[pa.RecordBatch]:
+    """Per query: least and greatest score over the task's articles."""
     held: dict[int, list[np.ndarray]] = {}
-    for i, _, sem, kw in scored(batches, pack):
-        seen = [sem.min(0), sem.max(0), kw.min(0), kw.max(0), (kw > 0).sum(0)]
+    for i, _, scores in scored(batches, blocks):
+        low, high = scores.min(0), scores.max(0)
         if i in held:
-            seen = [f(a, b) for f, a, b in zip(merge, held[i], seen)]
-        held[i] = seen
-    names = ["query_id", "sem_min", "sem_max", "kw_min", "kw_max", "n_matched"]
+            low, high = np.minimum(low, held[i][0]), np.maximum(high, held[i][1])
+        held[i] = [low, high]
     for i, seen in held.items():
-        columns = [pa.array(c) for c in (pack.blocks[i].ids, *seen)]
-        yield pa.RecordBatch.from_arrays(columns, names)
+        columns = [pa.array(c) for c in (blocks[i].ids, *seen)]
+        yield pa.RecordBatch.from_arrays(columns, ["query_id", "sem_min", "sem_max"])
 
 
 def best_articles(
     batches: Iterator[pa.RecordBatch],
-    pack: QueryPack,
-    ranges: list[Ranges],
+    blocks: list[QueryBlock],
+    scales: list[Scales],
     alphas: list[float],
     top_k: int,
 ) -> Iterator[pa.RecordBatch]:
-    """Per alpha and query: the task's ``top_k`` articles by fused score."""
+    """Per alpha and query: the task's ``top_k`` articles by fused score, were they without keywords, above the floor."""
     best: dict[tuple[int, int], list[np.ndarray]] = {}
-    for i, ids, sem, kw in scored(batches, pack):
-        scale = ranges[i]
-        sem = ((sem - scale.sem_low) / scale.sem_width).T
-        kw = ((kw - scale.kw_low) / scale.kw_width).T
+    for i, ids, scores in scored(batches, blocks):
+        scale = scales[i]
+        scaled = ((scores - scale.low) / scale.width).T
         for a, alpha in enumerate(alphas):
-            found = _top(ids, sem, kw, alpha, top_k)
+            hybrid = alpha * scaled + (1.0 - alpha) * scale.no_keywords[:, None]
+            found = _top(ids, np.rint(hybrid * RANK_SCALE).astype(np.int64), scores.T, top_k)
             if (a, i) in best:
                 found = [np.concatenate(pair, axis=1) for pair in zip(best[a, i], found)]
                 order = np.lexsort((found[0], -found[1]), axis=1)[:, :top_k]
                 found = [np.take_along_axis(c, order, axis=1) for c in found]
             best[a, i] = found
-    names = ["query_id", "alpha", "kb_id", "rank_key", "semantic", "keyword", "hybrid"]
-    for (a, i), found in best.items():
-        query = np.repeat(pack.blocks[i].ids, found[0].shape[1])
-        columns = [query, np.full(len(query), alphas[a]), *(c.ravel() for c in found)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-
-
-def _top(
-    ids: np.ndarray, sem: np.ndarray, kw: np.ndarray, alpha: float, top_k: int
-) -> list[np.ndarray]:
-    """The best articles of each query. One whole number orders them by score, then by kb_id."""
-    hybrid = alpha * sem + (1.0 - alpha) * kw
-    key = np.rint(hybrid * RANK_SCALE).astype(np.int64)
+    for (a, i), (ids, key, scores) in best.items():
+        above = key >= scales[i].floors[a][:, None]
+        query = np.broadcast_to(blocks[i].ids[:, None], key.shape)[above]
+        columns = [query, np.full(len(query), alphas[a]), ids[above], key[above], scores[above]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "alpha", "kb_id", "rank_key", "semantic"])
+
+
+def _top(ids: np.ndarray, key: np.ndarray, scores: np.ndarray, top_k: int) -> list[np.ndarray]:
+    """The best articles of each query: by key, then by the lower kb_id. One whole number orders them."""
     n = len(ids)
     chosen = np.broadcast_to(np.arange(n), key.shape)
     if n > top_k:
@@ -225,4 +118,4 @@ def _top(
         place[np.argsort(ids)] = np.arange(n)
         ordered = key * n - place
         chosen = np.argpartition(ordered, n - top_k, axis=1)[:, n - top_k :]
-    return [ids[chosen], *(np.take_along_axis(c, chosen, axis=1) for c in (key, sem, kw, hybrid))]
+    return [ids[chosen], *(np.take_along_axis(c, chosen, axis=1) for c in (key, scores))]

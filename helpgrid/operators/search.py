@@ -1,52 +1,110 @@
-"""Hybrid top-k search of a whole table of queries against an index."""
+"""Hybrid top-k search of a whole table of queries against an index.
+
+Keyword scores come from a join: the terms of a pass of queries are broadcast to the postings of these terms, and the
+products are summed by query and article. Semantic scores of all articles are computed by tasks over the vectors, which
+return ranges and each query's best articles, never all pairs. Scores are scaled by the range over **all** articles; an
+article without a common term, or without a vector, has a score of zero that is implied and takes part in the range.
+
+The best k by the fused score are among few candidates. Without looking at keywords, the best by semantic score are
+(any article above one of them has a higher semantic score, and keywords only add), so the tasks over the
+vectors need not know who shares a term. Of the articles that do, those stay whose keyword score and the best semantic
+score there is reach the threshold: the k-th best of all lower bounds known by then. Only for them the semantic score is looked up.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import math
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helpgrid.functions.text import with_term_counts
 from helpgrid.operators import scoring
-from helpgrid.operators.index import Index, check_unique
-from helpgrid.session import scratch_path, ship_package
+from helpgrid.operators.index import LISTED_CODES, Index, check_unique, smoothed_idf
+from helpgrid.session import BROADCAST_BYTES, ship_package, small, written
 
 # Queries are broadcast in passes of at most this many bytes.
 PASS_BYTES = 64 << 20
-# A result is broadcast to the article table up to this many bytes.
-BROADCAST_BYTES = 32 << 20
+# From this many files of vectors on, a first part of them gives the floors for the others.
+FLOOR_FILES = 64
 
 RANGES = (
     "query_id long, sem_min double, sem_max double, kw_min double, kw_max double, n_matched long"
 )
-CANDIDATES = (
-    "query_id long, alpha double, kb_id long, rank_key long, "
-    "semantic double, keyword double, hybrid double"
+CANDIDATES = "query_id long, alpha double, kb_id long, rank_key long, semantic double"
+HITS = (
+    "query_id long, alpha double, rank int, kb_id long, semantic_score double, keyword_score double, hybrid_score double"
 )
 
 
-def query_weights(
-    index: Index, queries: DataFrame, stop_words=None, small: bool = False
-) -> DataFrame:
+# --- keyword scores ---------------------------------------------------------------------------
+
+
+def query_terms(index: Index, queries: DataFrame, stop_words=None) -> tuple[DataFrame, list[int] | None]:
+    """The terms of the queries (query_id, term, tf, code), and their codes if these are few enough to be listed."""
+    counted = with_term_counts(queries.select("query_id", "text"), "text", stop_words)
+    rows = (
+        counted.select("query_id", F.inline(F.arrays_zip("terms", "counts")))
+        .select("query_id", F.col("terms").alias("term"), F.col("counts").alias("tf"))
+        .withColumn("code", index.code(F.col("term")))
+    )
+    terms = written(rows, "query-terms")
+    codes = terms.select("code").distinct().limit(LISTED_CODES + 1).collect()
+    return terms, None if len(codes) > LISTED_CODES else sorted(row.code for row in codes)
+
+
+def query_weights(index: Index, queries: DataFrame, stop_words=None) -> DataFrame:
     """tf-idf weights of the queries: query_id, term, tf, idf, weight.
 
     Terms that the index does not know are dropped before the length is taken. A query without a
-    known term has no rows. ``small`` states that the queries have been found small enough to
-    broadcast to the table of terms.
+    known term has no rows.
     """
-    counted = (
-        with_term_counts(queries.select("query_id", "text"), "text", stop_words)
-        .select("query_id", F.inline(F.arrays_zip("terms", "counts")))
-        .select("query_id", F.col("terms").alias("term"), F.col("counts").alias("tf"))
-    )
-    known = index.idf.select("term", "idf").join(
-        F.broadcast(counted) if small else counted, "term"
-    )
+    return _weights(index, *query_terms(index, queries, stop_words)).drop("code")
+
+
+def _weights(index: Index, terms: DataFrame, codes: list[int] | None) -> DataFrame:
+    size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + 48), F.lit(0))).first()[0]
+    known = index.frequencies(codes).select("code", "term", smoothed_idf(F.col("df"), index.n).alias("idf"))
+    rows = known.join(F.broadcast(terms) if size <= PASS_BYTES else terms, ["code", "term"])
     raw = F.col("tf") * F.col("idf")
     length = F.sqrt(F.sum(raw * raw).over(Window.partitionBy("query_id")))
-    return known.select("query_id", "term", "tf", "idf", (raw / length).alias("weight"))
+    return rows.select("query_id", "code", "term", "tf", "idf", (raw / length).alias("weight"))
+
+
+def keyword_pairs(index: Index, queries: DataFrame) -> DataFrame:
+    """query_id, kb_id and keyword (the cosine) of every query and article that share a term.
+
+    ``queries`` are one pass. The postings of a term lie in as many files as they need, and their products are summed by
+    query and article, so a term of a third of all articles makes no large task.
+    """
+    terms, codes = query_terms(index, queries)
+    weights = written(
+        _weights(index, terms, codes).select("query_id", "code", (F.col("weight") * F.col("idf")).alias("weight")), "query-weights"
+    )
+    products = (
+        index.postings(codes)
+        .join(F.broadcast(weights), "code")
+        .select("query_id", "kb_id", (F.col("tf") * F.col("weight")).alias("part"))
+    )
+    norms = index.norms.select("kb_id", "norm")
+    if index.n * 32 <= BROADCAST_BYTES:
+        norms = F.broadcast(norms)
+    else:  # summed and joined by article, with one shuffle for both
+        products = products.repartition("kb_id")
+    cosine = F.round(F.col("dot") / F.col("norm"), scoring.SCORE_DECIMALS)
+    return (
+        products.groupBy("query_id", "kb_id")
+        .agg(F.sum("part").alias("dot"))
+        .join(norms, "kb_id")
+        .select("query_id", "kb_id", cosine.alias("keyword"))
+    )
+
+
+# --- passes of queries ------------------------------------------------------------------------
 
 
 def pass_count(queries: DataFrame, index: Index, limit: int = PASS_BYTES) -> int:
@@ -74,120 +132,277 @@ def _pass_of(passes: int):
     return F.pmod(F.xxhash64("query_id"), F.lit(passes))
 
 
-def _pack(index: Index, queries: DataFrame, kinds: str) -> scoring.QueryPack:
-    """One pass of queries as arrays; its size has been checked by ``pass_count``."""
-    sparse = None
-    if "k" in kinds:
-        sparse = (
-            query_weights(index, queries, small=True)
-            .select(
-                "query_id",
-                index.code(F.col("term")).alias("code"),
-                (F.col("weight") * F.col("idf")).alias("weight"),
-            )
-            .toArrow()
-        )
-    if "s" not in kinds or index.dimension is None or "embedding" not in queries.columns:
-        ids = np.sort(queries.select("query_id").toArrow()["query_id"].to_numpy())
-        return scoring.pack_queries(ids, None, sparse)
-    table = queries.select("query_id", F.col("embedding").cast("array<double>")).toArrow()
+@dataclass
+class Pass:
+    """One pass of queries: all of them, those with a vector as blocks, and the pairs that share a term, if wanted."""
+
+    queries: DataFrame
+    blocks: list[scoring.QueryBlock]
+    pairs: DataFrame | None
+
+
+def _blocks(index: Index, queries: DataFrame) -> list[scoring.QueryBlock]:
+    """The query vectors, whose bytes ``pass_count`` has checked, as unit vectors. None without vectors on both sides."""
+    if index.dimension is None or "embedding" not in queries.columns:
+        return []
+    table = queries.select("query_id", F.col("embedding").cast("array<double>")).where("embedding IS NOT NULL").toArrow()
     table = table.sort_by("query_id").combine_chunks()
     dense = np.zeros((table.num_rows, index.dimension))
     for row, vector in enumerate(table["embedding"]):
-        if vector.is_valid:
-            if len(vector) != index.dimension:
-                raise ValueError(
-                    f"expected a query vector of {index.dimension} numbers, found {len(vector)}"
-                )
-            dense[row] = vector.values.to_numpy()
-    ids = table["query_id"].to_numpy()
-    return scoring.pack_queries(ids, scoring.unit_rows(dense), sparse)
-
-
-def _entries(index: Index, pack: scoring.QueryPack) -> DataFrame:
-    """The columns of the index that the queries need."""
-    columns = ["kb_id"]
-    if pack.vocabulary is not None:
-        columns += ["codes", "counts", "norm"]
-    if pack.blocks[0].dense is not None:
-        columns.append("embedding")
-    return index.entries.select(*columns)
-
-
-def _ranges(index: Index, pack: scoring.QueryPack, shared) -> DataFrame:
-    def task(batches):
-        yield from scoring.score_ranges(batches, shared.value)
-
-    return (
-        _entries(index, pack)
-        .mapInArrow(task, RANGES)
-        .groupBy("query_id")
-        .agg(
-            F.min("sem_min").alias("sem_min"),
-            F.max("sem_max").alias("sem_max"),
-            F.min("kw_min").alias("kw_min"),
-            F.max("kw_max").alias("kw_max"),
-            F.sum("n_matched").alias("n_matched"),
-        )
-    )
+        if len(vector) != index.dimension:
+            raise ValueError(f"expected a query vector of {index.dimension} numbers, found {len(vector)}")
+        dense[row] = vector.values.to_numpy()
+    return scoring.blocks_of(table["query_id"].to_numpy(), scoring.unit_rows(dense))
 
 
-def _passes(
-    index: Index, queries: DataFrame, limit: int, kinds: str = "ks"
-) -> Iterable[scoring.QueryPack]:
-    """Query packs, one at a time. ``kinds``: k for keyword scores, s for semantic ones."""
+def _passes(index: Index, queries: DataFrame, limit: int, kinds: str) -> Iterator[Pass]:
+    """``kinds``: k for keyword scores, s for semantic ones."""
     check_unique(queries, "query_id")
     passes = pass_count(queries, index, limit)
     for number in range(passes):
         part = queries if passes == 1 else queries.where(_pass_of(passes) == number)
-        pack = _pack(index, part, kinds)
-        if pack.blocks:
-            yield pack
-
-
-def _gather(parts: Iterable[DataFrame], spark, schema: str, label: str) -> DataFrame:
-    """The union of the passes. One pass stays lazy; more are written one after the other."""
-    parts = iter(parts)
-    first = next(parts, None)
-    if first is None:
-        return spark.createDataFrame([], schema)
-    second = next(parts, None)
-    if second is None:
-        return first
-    path = scratch_path(spark, label)
-    for part in (first, second):
-        part.write.mode("append").parquet(path)
-    for part in parts:
-        part.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+        blocks = _blocks(index, part) if "s" in kinds else []
+        pairs = written(keyword_pairs(index, part), "pairs") if "k" in kinds else None
+        yield Pass(part, blocks, pairs)
+
+
+def _gather(parts: Iterator[DataFrame], spark, schema: str) -> DataFrame:
+    """The union of the passes."""
+    empty = spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, parts, empty)
+
+
+# --- ranges -----------------------------------------------------------------------------------
+
+
+def _implied(name: str, function, known: Column) -> Column:
+    """The range's end, with the zero of articles that are not listed."""
+    return F.when(known, F.coalesce(F.col(name), F.lit(0.0))).otherwise(function(F.coalesce(F.col(name), F.lit(0.0)), F.lit(0.0)))
+
+
+def _ranges(index: Index, one: Pass) -> DataFrame:
+    spark = index.spark
+    found = one.queries.select("query_id")
+    if one.blocks:
+        shared = spark.sparkContext.broadcast(one.blocks)
+
+        def task(batches):
+            yield from scoring.score_ranges(batches, shared.value)
+
+        dense = index.vectors.select("kb_id", "embedding").mapInArrow(task, "query_id long, sem_min double, sem_max double")
+        dense = dense.groupBy("query_id").agg(F.min("sem_min").alias("sem_min"), F.max("sem_max").alias("sem_max"))
+        found = found.join(dense, "query_id", "left")
+    else:
+        found = found.select("query_id", F.lit(0.0).alias("sem_min"), F.lit(0.0).alias("sem_max"))
+    if one.pairs is not None:
+        sparse = one.pairs.groupBy("query_id").agg(
+            F.min("keyword").alias("kw_min"), F.max("keyword").alias("kw_max"), F.count_if(F.col("keyword") > 0).alias("n_matched"), F.count(F.lit(1)).alias("n_pairs")
+        )
+        found = found.join(sparse, "query_id", "left")
+    else:
+        zero = F.lit(0.0)
+        found = found.withColumns({"kw_min": zero, "kw_max": zero, "n_matched": F.lit(0), "n_pairs": F.lit(0)})
+    all_vectors, all_pairs = F.lit(index.n_vectors == index.n), F.coalesce("n_pairs", F.lit(0)) == index.n
+    return found.select(
+        "query_id",
+        _implied("sem_min", F.least, all_vectors).alias("sem_min"),
+        _implied("sem_max", F.greatest, all_vectors).alias("sem_max"),
+        _implied("kw_min", F.least, all_pairs).alias("kw_min"),
+        _implied("kw_max", F.greatest, all_pairs).alias("kw_max"),
+        F.coalesce("n_matched", F.lit(0)).cast("long").alias("n_matched"),
+    )
 
 
 def score_ranges(index: Index, queries: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """Per query: least and greatest raw score of each kind over all articles, and ``n_matched``,
-    the number of articles that share a term with the query."""
+    the number of articles that share a term with the query. Without articles there are no ranges."""
     ship_package(index.spark)
-    context = index.spark.sparkContext
-    parts = (
-        _ranges(index, pack, context.broadcast(pack))
-        for pack in _passes(index, queries, pass_bytes)
+    if index.n == 0:
+        return index.spark.createDataFrame([], RANGES)
+    parts = (_ranges(index, one) for one in _passes(index, queries, pass_bytes, "ks"))
+    return _gather(parts, index.spark, RANGES)
+
+
+# --- ranking ----------------------------------------------------------------------------------
+
+
+def _scaling(index: Index, one: Pass, scaled: bool) -> DataFrame:
+    """Per query: what to subtract from and divide by, and the least and greatest scaled semantic score."""
+    if not scaled:
+        return one.queries.select(
+            "query_id", *(F.lit(x).alias(c) for c, x in zip(("sem_low", "sem_width", "kw_low", "kw_width"), (0.0, 1.0, 0.0, 1.0))),
+            F.lit(-1.0 if one.blocks else 0.0).alias("sem_least"), F.lit(1.0 if one.blocks else 0.0).alias("sem_most"),
+        )
+    found = _ranges(index, one)
+
+    def ends(kind: str):
+        low, high = F.col(f"{kind}_min"), F.col(f"{kind}_max")
+        return F.when(high > low, low).otherwise(0.0), F.when(high > low, high - low).otherwise(1.0)
+
+    (sem_low, sem_width), (kw_low, kw_width) = ends("sem"), ends("kw")
+    return found.select(
+        "query_id", sem_low.alias("sem_low"), sem_width.alias("sem_width"), kw_low.alias("kw_low"), kw_width.alias("kw_width"),
+        ((F.col("sem_min") - sem_low) / sem_width).alias("sem_least"), ((F.col("sem_max") - sem_low) / sem_width).alias("sem_most"),
+    )
+
+
+def _fused(alpha, semantic: Column, keyword: Column) -> Column:
+    """The hybrid score of raw scores, for a row that has the query's scaling."""
+    return alpha * ((semantic - F.col("sem_low")) / F.col("sem_width")) + (1.0 - alpha) * (
+        (keyword - F.col("kw_low")) / F.col("kw_width")
     )
-    return _gather(parts, index.spark, RANGES, "ranges")
 
 
-def _scales(pack: scoring.QueryPack, rows) -> list[scoring.Ranges]:
-    found = {row.query_id: row for row in rows}
-    scales = []
-    for block in pack.blocks:
-        n = len(block.ids)
-        scale = scoring.Ranges(np.zeros(n), np.ones(n), np.zeros(n), np.ones(n))
-        for i, query_id in enumerate(block.ids):
-            row = found.get(int(query_id))
-            if row is not None and row.sem_max > row.sem_min:
-                scale.sem_low[i], scale.sem_width[i] = row.sem_min, row.sem_max - row.sem_min
-            if row is not None and row.kw_max > row.kw_min:
-                scale.kw_low[i], scale.kw_width[i] = row.kw_min, row.kw_max - row.kw_min
-        scales.append(scale)
-    return scales
+def _scales(one: Pass, rows: dict, alphas: list[float], floors: dict) -> list[scoring.Scales]:
+    out = []
+    for block in one.blocks:
+        mine = [rows[int(i)] for i in block.ids]
+        least = np.iinfo(np.int64).min
+        out.append(
+            scoring.Scales(
+                np.array([r.sem_low for r in mine]),
+                np.array([r.sem_width for r in mine]),
+                np.array([-r.kw_low / r.kw_width for r in mine]),
+                np.array([[floors.get((int(i), alpha), least) for i in block.ids] for alpha in alphas]),
+            )
+        )
+    return out
+
+
+def _best_by_vector(index: Index, one: Pass, rows: dict, alphas: list[float], top_k: int) -> DataFrame:
+    """query_id, alpha, kb_id, rank_key, semantic: the best ``top_k`` articles with a vector, keywords left aside.
+
+    With many files a first part of them, about the root of their number, is searched before the others; nothing
+    below its k-th best needs to leave a task after that.
+    """
+    spark = index.spark
+    order = Window.partitionBy("query_id", "alpha").orderBy(F.desc("rank_key"), "kb_id")
+
+    def search(vectors: DataFrame, floors: dict) -> DataFrame:
+        shared = spark.sparkContext.broadcast((one.blocks, _scales(one, rows, alphas, floors)))
+
+        def task(batches):
+            yield from scoring.best_articles(batches, *shared.value, alphas, top_k)
+
+        found = vectors.select("kb_id", "embedding").mapInArrow(task, CANDIDATES)
+        best = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_k)
+        return written(best, "best")
+
+    vectors = index.vectors
+    files = sorted(vectors.inputFiles())
+    if len(files) < FLOOR_FILES:
+        return search(vectors, {}).drop("place")
+    step = math.isqrt(len(files))
+    read = spark.read.schema(vectors.schema)
+    first = search(read.parquet(*files[::step]), {})
+    floors = {(r.query_id, r.alpha): r.rank_key for r in first.where(F.col("place") == top_k).collect()}
+    rest = search(read.parquet(*(f for i, f in enumerate(files) if i % step)), floors)
+    return first.unionByName(rest).withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_k).drop("place")
+
+
+def _lowest(index: Index, top_k: int, bare: bool) -> list[int]:
+    """The lowest ids of all articles, or of those without a vector."""
+    rows = index.sums.where("NOT has_vector") if bare else index.sums
+    return [r.kb_id for r in rows.orderBy("kb_id").select("kb_id").limit(top_k).collect()]
+
+
+def _ranked(index: Index, one: Pass, alphas: list[float], top_k: int, scaled: bool, kinds: str) -> DataFrame:
+    spark = index.spark
+    scaling = written(_scaling(index, one, scaled), "scaling")
+    per_query = F.broadcast(scaling)  # a few numbers for each query of the pass
+    rows = {r.query_id: r for r in scaling.collect()}
+    unknown = F.lit(None).cast("double")
+
+    # candidates whose keyword score is taken for zero
+    dense = [alpha for alpha in alphas if alpha > 0] if one.blocks else []
+    listed = []
+    if dense:
+        found = _best_by_vector(index, one, rows, dense, top_k)
+        listed.append(found.select("query_id", "kb_id", "semantic"))
+        if index.n_vectors < index.n:
+            ids = _lowest(index, top_k, bare=True)
+            listed.append(scaling.select("query_id", F.explode(F.lit(ids).cast("array<long>")).alias("kb_id"), F.lit(0.0).alias("semantic")))
+    # articles that tie at zero: those of queries without a vector, or where the vector does not count
+    ids = F.lit(_lowest(index, top_k, bare=False)).cast("array<long>")
+    same = F.lit(0.0) if not one.blocks else unknown
+    if len(dense) < len(alphas):
+        listed.append(scaling.select("query_id", F.explode(ids).alias("kb_id"), same.alias("semantic")))
+    elif one.blocks:
+        held = [int(i) for block in one.blocks for i in block.ids]
+        without = scaling.join(F.broadcast(spark.createDataFrame([(i,) for i in held], "query_id long")), "query_id", "left_anti")
+        listed.append(without.select("query_id", F.explode(ids).alias("kb_id"), F.lit(0.0).alias("semantic")))
+    zero = reduce(DataFrame.unionByName, listed).groupBy("query_id", "kb_id").agg(F.max("semantic").alias("semantic"))
+    zero = written(zero, "candidates")
+
+    candidates = zero.withColumn("keyword", unknown)
+    if one.pairs is not None:
+        candidates = candidates.unionByName(_with_keywords(one, per_query, zero, alphas, top_k))
+    candidates = candidates.groupBy("query_id", "kb_id").agg(F.max("semantic").alias("semantic"), F.max("keyword").alias("keyword"))
+    candidates = candidates.withColumn("keyword", F.coalesce("keyword", F.lit(0.0)))
+    scored = _with_semantic(index, one, written(candidates, "candidates"))
+
+    every = scored.join(per_query, "query_id").withColumn("alpha", F.explode(F.lit(alphas).cast("array<double>")))
+    hybrid = every.withColumn("hybrid_score", _fused(F.col("alpha"), F.col("semantic"), F.col("keyword")))
+    order = Window.partitionBy("query_id", "alpha").orderBy(F.desc(F.rint(F.col("hybrid_score") * scoring.RANK_SCALE)), "kb_id")
+    semantic = (F.col("semantic") - F.col("sem_low")) / F.col("sem_width")
+    keyword = (F.col("keyword") - F.col("kw_low")) / F.col("kw_width")
+    return (
+        hybrid.withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= top_k)
+        .select(
+            "query_id", "alpha", "rank", "kb_id",
+            (semantic if "s" in kinds else unknown).alias("semantic_score"),
+            (keyword if "k" in kinds else unknown).alias("keyword_score"),
+            "hybrid_score",
+        )
+    )
+
+
+def _with_keywords(one: Pass, per_query: DataFrame, zero: DataFrame, alphas: list[float], top_k: int) -> DataFrame:
+    """query_id, kb_id, semantic (null), keyword: pairs that are candidates already or may reach the threshold."""
+    alpha = F.explode(F.lit(alphas).cast("array<double>")).alias("alpha")
+    # lower bounds: a semantic score that is not known yet is at least the least one, a keyword score at least zero
+    best = Window.partitionBy("query_id").orderBy(F.desc("keyword"), "kb_id")
+    top = one.pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top_k).select(
+        "query_id", "kb_id", F.lit(None).cast("double").alias("semantic"), "keyword"
+    )
+    known = zero.withColumn("keyword", F.lit(0.0)).unionByName(top).join(per_query, "query_id")
+    least = F.coalesce("semantic", F.col("sem_least") * F.col("sem_width") + F.col("sem_low"))
+    bounds = (
+        known.select("*", alpha)
+        .groupBy("query_id", "alpha", "kb_id")
+        .agg(F.max(_fused(F.col("alpha"), least, F.col("keyword"))).alias("bound"))
+    )
+    order = Window.partitionBy("query_id", "alpha").orderBy(F.desc("bound"))
+    thresholds = bounds.withColumn("place", F.row_number().over(order)).where(F.col("place") == top_k).groupBy("query_id").agg(
+        F.collect_list(F.struct("alpha", (F.col("bound") - 2 / scoring.RANK_SCALE).alias("least"))).alias("thresholds")
+    )
+    plan = per_query.join(written(thresholds, "thresholds"), "query_id", "left")  # both have a row a query of the pass
+    most = F.col("sem_most") * F.col("sem_width") + F.col("sem_low")
+    reaches = F.coalesce(F.size("thresholds"), F.lit(0)) < len(alphas)
+    for number in range(len(alphas)):
+        t = F.get("thresholds", F.lit(number))
+        reaches = reaches | (_fused(t.alpha, most, F.col("keyword")) >= t.least)
+    listed = zero.select("query_id", "kb_id", F.lit(True).alias("listed"))
+    rows = one.pairs.join(F.broadcast(plan), "query_id").join(small(listed), ["query_id", "kb_id"], "left")
+    return rows.where(F.col("listed") | reaches).select("query_id", "kb_id", F.lit(None).cast("double").alias("semantic"), "keyword")
+
+
+def _with_semantic(index: Index, one: Pass, candidates: DataFrame) -> DataFrame:
+    """The candidates with their semantic score looked up where it is missing."""
+    if not one.blocks:
+        return candidates.withColumn("semantic", F.lit(0.0))
+    asked = one.queries.where("embedding IS NOT NULL").select("query_id", F.col("embedding").cast("array<double>").alias("wanted"))
+    missing = candidates.where("semantic IS NULL")
+    pairs = small(missing.select("query_id", "kb_id"))
+    met = index.vectors.join(pairs, "kb_id").join(F.broadcast(asked), "query_id")  # the vectors of one pass
+    product = F.aggregate(F.zip_with("wanted", "embedding", lambda a, b: a * b.cast("double")), F.lit(0.0), lambda x, y: x + y)
+    size = F.sqrt(F.aggregate("wanted", F.lit(0.0), lambda x, y: x + y * y)) * F.col("length")
+    found = met.select("query_id", "kb_id", F.when(size > 0, F.round(product / size, scoring.SCORE_DECIMALS)).alias("found"))
+    known = missing.join(found, ["query_id", "kb_id"], "left").select(
+        "query_id", "kb_id", F.coalesce("found", F.lit(0.0)).alias("semantic"), "keyword"
+    )
+    return candidates.where("semantic IS NOT NULL").unionByName(known)
 
 
 def sweep(
@@ -205,7 +420,8 @@ def sweep(
     times. Both scores are scaled to 0..1 per query over all articles, zeros included, unless all
     are equal; ``scaled=False`` keeps the raw cosines. ``used_only`` leaves a score that no alpha
     weighs uncomputed and null. Returns query_id, alpha, rank, kb_id, semantic_score,
-    keyword_score and hybrid_score. Ties of the score, to nine decimals, go to the lower kb_id.
+    keyword_score and hybrid_score. Ties of the score, to nine decimals, go to the lower kb_id; where fewer
+    than ``top_k`` articles score above zero, the lowest ids follow.
     """
     if top_k < 0:
         raise ValueError("top_k must not be negative")
@@ -217,34 +433,10 @@ def sweep(
     kinds = "ks"
     if used_only:
         kinds = ("k" if min(alphas) < 1 else "") + ("s" if max(alphas) > 0 else "")
-
-    def one_pass(pack):
-        shared = spark.sparkContext.broadcast(pack)
-        rows = _ranges(index, pack, shared).collect() if scaled else []
-        scales = spark.sparkContext.broadcast(_scales(pack, rows))
-
-        def task(batches):
-            yield from scoring.best_articles(batches, shared.value, scales.value, alphas, top_k)
-
-        return _entries(index, pack).mapInArrow(task, CANDIDATES)
-
-    packs = _passes(index, queries, pass_bytes, kinds) if top_k else ()
-    candidates = _gather((one_pass(p) for p in packs), spark, CANDIDATES, "candidates")
-    order = Window.partitionBy("query_id", "alpha").orderBy(F.desc("rank_key"), "kb_id")
-    unused = F.lit(None).cast("double")
-    return (
-        candidates.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= top_k)
-        .select(
-            "query_id",
-            "alpha",
-            "rank",
-            "kb_id",
-            (F.col("semantic") if "s" in kinds else unused).alias("semantic_score"),
-            (F.col("keyword") if "k" in kinds else unused).alias("keyword_score"),
-            F.col("hybrid").alias("hybrid_score"),
-        )
-    )
+    if top_k == 0 or index.n == 0:
+        return spark.createDataFrame([], HITS)
+    parts = (_ranked(index, one, alphas, top_k, scaled, kinds) for one in _passes(index, queries, pass_bytes, kinds))
+    return _gather(parts, spark, HITS)
 
 
 def retrieve(
@@ -260,10 +452,4 @@ def with_articles(hits: DataFrame, articles: DataFrame) -> DataFrame:
     The hits are written and counted: as long as they are within ``BROADCAST_BYTES`` they go to the articles, which
     stay in place. Beyond, the join shuffles both.
     """
-    path = scratch_path(hits.sparkSession, "hits")
-    hits.write.parquet(path)
-    written = hits.sparkSession.read.schema(hits.schema).parquet(path)
-    # ids, rank and scores: eight bytes a column and a row's overhead
-    if written.count() * (8 * len(hits.columns) + 32) <= BROADCAST_BYTES:
-        written = F.broadcast(written)
-    return articles.join(written, "kb_id")
+    return articles.join(small(written(hits, "hits")), "kb_id")

@@ -147,7 +147,7 @@ def smoothed_idf(spark, sf_dir):
 
 
 def tfidf_norms(spark, sf_dir):
-    found = T.index(spark, sf_dir).entries.select("kb_id", "n_terms", "norm")
+    found = T.index(spark, sf_dir).norms.select("kb_id", "n_terms", "norm")
     return rounded(found, "norm")
 
 
@@ -459,8 +459,8 @@ def evaluation_set(spark, sf_dir):
 
 def dense_vectors(spark, sf_dir):
     """How many articles and queries have a vector."""
-    held = T.index(spark, sf_dir).entries.select(
-        F.lit("article").alias("kind"), F.col("embedding").isNotNull().alias("present")
+    held = T.index(spark, sf_dir).norms.select(
+        F.lit("article").alias("kind"), F.col("has_vector").alias("present")
     )
     asked = T.labelled(spark, sf_dir).select(
         F.lit("query").alias("kind"), F.col("embedding").isNotNull().alias("present")

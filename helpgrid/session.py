@@ -8,7 +8,11 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# A table is broadcast up to this many bytes, measured.
+BROADCAST_BYTES = 32 << 20
 
 _local_roots: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -51,6 +55,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/helpgrid/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The frame as a table in the shared folder: what was computed is not lost with an executor."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written frame of numbers, marked for broadcast if its rows are few enough."""
+    # eight bytes a column and a row's overhead
+    return F.broadcast(df) if df.count() * (8 * len(df.columns) + 32) <= BROADCAST_BYTES else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, wherever the driver found it."""
     context = spark.sparkContext

@@ -8,11 +8,12 @@ from helpgrid.operators import index as I
 
 def tables(index):
     """The contents of an index, less the order of its rows."""
-    entries = {
-        r.kb_id: (r.codes, r.counts, round(r.norm, 9), r.embedding) for r in index.entries.collect()
-    }
-    terms = {r.term: (r.df, round(r.idf, 9)) for r in index.idf.collect()}
-    return entries, terms
+    postings = {(r.kb_id, r.code): r.tf for r in index.postings().collect()}
+    norms = {r.kb_id: (r.n_terms, r.has_vector, round(r.norm, 9)) for r in index.norms.collect()}
+    vectors = {r.kb_id: (r.embedding, round(r.length, 9)) for r in index.vectors.collect()}
+    terms = {r.term: (r.code, r.df) for r in index.frequencies().collect()}
+    idf = {r.term: round(r.idf, 9) for r in index.idf.collect()}
+    return postings, norms, vectors, terms, idf
 
 
 @pytest.fixture(scope="module")
@@ -42,16 +43,15 @@ def test_weights(index, rows, vectors):
 def test_rare_terms_by_shuffle(monkeypatch, spark, rows, vectors, index):
     """With few frequent terms allowed, most go through the shuffle; the index is the same."""
     monkeypatch.setattr(I, "FREQUENT_TERMS", 40)
-    assert I.frequent_from(index.terms, index.n_postings) > 1
+    assert I.frequent_from(index.frequencies(), index.n_postings) > 1
     other = I.build_index(*frames(spark, rows, vectors))
     assert tables(other) == tables(index)
 
 
 def test_frequent_terms_fit_the_byte_limit(monkeypatch, index):
     monkeypatch.setattr(I, "FREQUENT_BYTES", 200)
-    least = I.frequent_from(index.terms, index.n_postings)
-    kept = index.terms.where(F.col("df") >= least)
-    assert kept.agg(F.coalesce(F.sum(F.octet_length("term") + 16), F.lit(0))).first()[0] <= 200
+    least = I.frequent_from(index.frequencies(), index.n_postings)
+    assert index.terms.where(F.col("df") >= least).count() * 24 <= 200
 
 
 def test_refresh_equals_rebuild(spark, rows, vectors, index):
@@ -60,8 +60,36 @@ def test_refresh_equals_rebuild(spark, rows, vectors, index):
     first = I.build_index(*frames(spark, old, {i: v for i, v in vectors.items() if i in old_ids}))
     articles, added = frames(spark, new, {i: v for i, v in vectors.items() if i not in old_ids})
     second = I.refresh_index(first, articles, added)
-    assert (second.n, second.n_postings) == (index.n, index.n_postings)
+    assert (second.n, second.n_postings, second.n_vectors) == (index.n, index.n_postings, index.n_vectors)
+    assert len(second.segments) == 2 and second.segments[0] == first.segments[0]
     assert tables(second) == tables(index)
+    compact = I.compact_index(second)
+    assert len(compact.segments) == 1 and tables(compact) == tables(index)
+    assert tables(I.open_index(spark, second.path)) == tables(index)
+
+
+def test_many_refreshes(monkeypatch, spark, rows, vectors, index):
+    """Article by article, in shards and with shuffles where there is nothing to broadcast, merged now and then."""
+    monkeypatch.setattr(I, "SEGMENTS", 3)
+    monkeypatch.setattr(I, "SHARD_POSTINGS", 30)
+    monkeypatch.setattr(I, "FREQUENT_BYTES", 100)
+    monkeypatch.setattr(I, "LISTED_CODES", 8)
+    part, held = I.build_index(*frames(spark, rows[:40], {i: v for i, v in vectors.items() if i in {r[0] for r in rows[:40]}})), []
+    for low in range(40, len(rows), 13):
+        some = rows[low : low + 13]
+        ids = {r[0] for r in some}
+        part = I.refresh_index(part, *frames(spark, some, {i: v for i, v in vectors.items() if i in ids} or {-1: [0.0] * 6}))
+        held.append(len(part.segments))
+    assert 1 in held and max(held) > 1
+    assert tables(part) == tables(index)
+
+
+def test_ids_are_refused_twice(spark, rows, vectors, index):
+    articles, given = frames(spark, rows[:2], vectors)
+    with pytest.raises(ValueError, match="in the index already"):
+        I.refresh_index(index, articles, given)
+    with pytest.raises(ValueError, match="must not be null"):
+        I.build_index(spark.createDataFrame([(None, "a", "b", "c", "d", "e")], ARTICLE_COLUMNS))
 
 
 def test_open(spark, index):
@@ -73,8 +101,8 @@ def test_open(spark, index):
 def test_without_vectors(spark, rows):
     articles = spark.createDataFrame(rows, ARTICLE_COLUMNS)
     index = I.build_index(articles)
-    assert index.dimension is None
-    assert index.entries.where("embedding is not null").count() == 0
+    assert index.dimension is None and index.n_vectors == 0
+    assert index.vectors.count() == 0 and index.norms.where("has_vector").count() == 0
 
 
 def test_wrong_dimension_fails(spark, rows):
@@ -87,7 +115,7 @@ def test_empty_texts(spark):
     rows = [(1, None, None, None, None, None), (2, "the", "of", "x", "a", "b")]
     index = I.build_index(spark.createDataFrame(rows, ARTICLE_COLUMNS))
     assert (index.n, index.n_postings) == (2, 0)
-    assert sorted(r.norm for r in index.entries.collect()) == [0.0, 0.0]
+    assert sorted(r.norm for r in index.norms.collect()) == [0.0, 0.0]
 
 
 def test_terms_with_one_hash(monkeypatch, spark, rows, vectors, index):
@@ -100,8 +128,15 @@ def test_terms_with_one_hash(monkeypatch, spark, rows, vectors, index):
     expected = sorted(retrieve(index, asked, 5, 0.0).collect())
     monkeypatch.setattr(I, "term_hash", lambda term: F.pmod(F.xxhash64(term), F.lit(60)))
     poor = I.build_index(*frames(spark, rows, vectors))
-    moved = I.shared_hashes(poor.terms)
     codes = poor.terms.select(poor.code(F.col("term")).alias("code"))
-    assert len(moved) > 20
+    assert len(poor.moved) > 20
     assert codes.distinct().count() == poor.terms.count()
     assert sorted(retrieve(poor, asked, 5, 0.0).collect()) == expected
+    # new terms that meet the code of an old one get another; no code is changed
+    some = {row[0] for row in rows[:30]}
+    part = I.build_index(*frames(spark, rows[:30], {i: v for i, v in vectors.items() if i in some}))
+    grown = I.refresh_index(part, *frames(spark, rows[30:], {i: v for i, v in vectors.items() if i not in some}))
+    before, after = ({r.term: r.code for r in x.frequencies().collect()} for x in (part, grown))
+    assert all(after[t] == code for t, code in before.items())
+    assert len(set(after.values())) == len(after) == index.terms.count()
+    assert sorted(retrieve(grown, asked, 5, 0.0).collect()) == expected

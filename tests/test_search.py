@@ -4,6 +4,7 @@ import pytest
 from brute import Brute, make_articles, make_vectors
 from pyspark.sql import functions as F
 
+from helpgrid.operators import index as I
 from helpgrid.operators import scoring
 from helpgrid.operators import search as S
 from helpgrid.operators.index import build_index
@@ -179,37 +180,110 @@ def test_query_vector_of_wrong_length(spark, index):
         S.retrieve(index, asked, 3)
 
 
-def test_small_blocks_and_runs(monkeypatch, index, queries, brute):
+@pytest.mark.parametrize("k,alpha", [(3, 0.5), (2, 1.0), (4, 0.2)])
+def test_small_blocks_and_runs(monkeypatch, index, queries, brute, k, alpha):
     """The task's own loops: several blocks of queries, runs of a few articles, many batches."""
-    whole = S._pack(index, queries, "ks")
     monkeypatch.setattr(scoring, "QUERIES_PER_BLOCK", 3)
+    blocks = S._blocks(index, queries)
+    assert len(blocks) == 3 and sum(len(b.ids) for b in blocks) == 7
+    table = index.vectors.toArrow().combine_chunks()
+    whole = pa.Table.from_batches(scoring.score_ranges(iter(table.to_batches()), blocks)).to_pylist()
     monkeypatch.setattr(scoring, "CELLS", 16)
-    pack = S._pack(index, queries, "ks")
-    assert len(whole.blocks) == 1 and len(pack.blocks) == 3
-    table = S._entries(index, pack).toArrow().combine_chunks()
     batches = table.to_batches(max_chunksize=7)
-    ranges = pa.Table.from_batches(scoring.score_ranges(iter(batches), pack)).to_pylist()
-    scales = S._scales(pack, [type("Row", (), r) for r in ranges])
-    best = scoring.best_articles(iter(batches), pack, scales, [0.5], 3)
-    found = {}
-    for row in pa.Table.from_batches(best).to_pylist():
-        found.setdefault(row["query_id"], []).append(row)
+    assert pa.Table.from_batches(scoring.score_ranges(iter(batches), blocks)).to_pylist() == whole
+    scales = [scoring.Scales(*(np.full(len(b.ids), x) for x in (0.0, 1.0, 0.0)), np.full((1, len(b.ids)), -(1 << 62))) for b in blocks]
+    best = pa.Table.from_batches(scoring.best_articles(iter(batches), blocks, scales, [1.0], k)).to_pylist()
+    held = {r["kb_id"] for r in table.select(["kb_id"]).to_pylist()}
     for query_id, text, vector in QUERIES:
-        hits = sorted(found[query_id], key=lambda r: (-r["rank_key"], r["kb_id"]))
-        assert [h["kb_id"] for h in hits] == [e[0] for e in brute.top(text, vector, 3, 0.5)]
+        if vector is not None:
+            hits = sorted((r for r in best if r["query_id"] == query_id), key=lambda r: (-r["rank_key"], r["kb_id"]))[:k]
+            wanted = [e for e in brute.top(text, vector, 10_000, 1.0, False) if e[0] in held]
+            assert [(h["kb_id"], h["semantic"]) for h in hits] == [(e[0], pytest.approx(e[1], abs=1e-12)) for e in wanted[:k]]
+
+
+def test_floors_of_a_first_part_keep_candidates_few(monkeypatch, spark, rows, held, queries, brute):
+    """Vectors in many files: the k-th best of a part of them bounds what the other tasks return."""
+    articles, vectors = frames(spark, rows, held)
+    monkeypatch.setattr(S, "FLOOR_FILES", 4)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")  # every file a task of its own
+    try:
+        many = build_index(articles, vectors.repartition(16))
+        files = many.vectors.inputFiles()
+        check(S.retrieve(many, queries, 2, 0.5), brute, QUERIES, 2, 0.5)
+        one = next(S._passes(many, queries, S.PASS_BYTES, "s"))
+        scaling = {r.query_id: r for r in S._scaling(many, one, False).collect()}
+        seen = []
+        real = S.written
+        monkeypatch.setattr(S, "written", lambda df, label: seen.append(df) or real(df, label))
+        found = S._best_by_vector(many, one, scaling, [1.0], 2)
+        assert len(files) >= 16 and found.count() == 2 * 7
+        returned = [df._jdf.queryExecution().executedPlan() and df.count() for df in seen]
+        assert len(seen) == 2 and sum(returned) < 2 * 7 * 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_unit_rows_keep_zero():
     assert np.array_equal(scoring.unit_rows(np.zeros((2, 3))), np.zeros((2, 3)))
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_plan(index, queries):
     found = S.retrieve(index, queries, 3)
     plan = found._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
     assert "Cartesian" not in plan and "NestedLoop" not in plan
-    dense = S._entries(index, S._pack(index, queries, "s"))
-    assert "codes" not in dense._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keywords_need_no_python_and_read_their_terms_only(monkeypatch, spark, rows, held, queries, brute):
+    """Shards and codes of the query's terms reach the scan, and the join with the query's terms is a broadcast."""
+    monkeypatch.setattr(I, "SHARD_POSTINGS", 20)
+    sharded = build_index(*frames(spark, rows, held))
+    assert sharded.segments[0].bits > 2
+    seen = []
+    real = S.written
+    monkeypatch.setattr(S, "written", lambda df, label: seen.append((label, plan_of(df))) or real(df, label))
+    found = S.retrieve(sharded, queries, 5, 0.0, used_only=True)
+    plans = [plan for _, plan in seen] + [plan_of(found)]
+    assert not any("MapInArrow" in plan or "Python" in plan for plan in plans)
+    pairs = next(plan for label, plan in seen if label == "pairs")
+    assert "PartitionFilters: [shard#" in pairs and "PushedFilters: [In(code" in pairs
+    assert "BroadcastHashJoin" in pairs and "SortMergeJoin" not in pairs
+    codes = S.query_terms(sharded, queries.where("query_id = 7"))[1]
+    read = set(sharded.postings(codes).select("_metadata.file_path").distinct().toPandas().iloc[:, 0])
+    assert len(codes) == 1 and 0 < len(read) <= 2 < len(sharded.postings().inputFiles())
+    whole = found.drop("semantic_score")
+    wanted = S.retrieve(sharded, queries, 5, 0.0).drop("semantic_score")
+    assert sorted(whole.collect()) == sorted(wanted.collect())
+
+
+def test_a_term_of_a_third_of_all_articles_makes_no_large_task(spark):
+    """Its postings lie in several files, and its products are spread by article."""
+    rows = [(i, "x", "y", "z", "common" if i % 3 == 0 else f"word{i} other{i}", None) for i in range(6000)]
+    articles = spark.createDataFrame(rows, ARTICLE_COLUMNS)
+    index = build_index(articles)
+    asked = spark.createDataFrame([(0, "common"), (1, "common word1")], "query_id long, text string")
+    pairs = S.keyword_pairs(index, asked)
+    sizes = [r["count"] for r in pairs.groupBy(F.pmod(F.xxhash64("query_id", "kb_id"), F.lit(8))).count().collect()]
+    assert pairs.count() == 2 * 2000 + 1 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+    found = S.retrieve(index, asked, 3, 0.0).collect()
+    assert [(r.query_id, r.kb_id) for r in sorted(found)] == [(0, 0), (0, 3), (0, 6), (1, 0), (1, 1), (1, 3)] or len(found) == 6
+
+
+@pytest.mark.parametrize("alpha", [0.0, 0.25, 0.5, 0.9])
+def test_only_candidates_are_looked_up(monkeypatch, index, queries, brute, alpha):
+    """Pairs below the threshold are left out, and the hits stay the same."""
+    seen = []
+    real = S._with_semantic
+    monkeypatch.setattr(S, "_with_semantic", lambda i, one, c: seen.append((c.count(), one.pairs.count())) or real(i, one, c))
+    check(S.retrieve(index, queries, 2, alpha), brute, QUERIES, 2, alpha)
+    (candidates, pairs), = seen
+    assert candidates < pairs + 2 * 3 * len(QUERIES)
+    if alpha == 0.0:
+        assert candidates < 6 * 2 * len(QUERIES)
 
 
 def test_repeated_ids_are_refused(spark, index, queries, rows, held):
