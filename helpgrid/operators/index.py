@@ -36,8 +36,8 @@ FREQUENT_TERMS = 400_000
 FREQUENT_BYTES = 32 << 20
 # Postings of a shard, about; a power of two of shards is taken.
 SHARD_POSTINGS = 1 << 22
-# Codes are listed in the filter of a scan up to this many; beyond, their shards alone are.
-LISTED_CODES = 10_000
+# Codes are looked up by shard up to this many, and listed in the filter of a scan up to this many.
+SHARDED_CODES, LISTED_CODES = 100_000, 500
 # A refresh that would make more segments than this merges them into one.
 SEGMENTS = 16
 
@@ -77,9 +77,9 @@ class Index:
         for segment in self.segments:
             rows = self.spark.read.schema(schema).parquet(f"{segment.path}/{kind}")
             if codes is not None:
-                rows = rows.where(F.col("shard").isin(segment.shards(codes)))
+                rows = rows.where(_one_of("shard", segment.shards(codes)))
                 if len(codes) <= LISTED_CODES:
-                    rows = rows.where(F.col("code").isin(list(codes)))
+                    rows = rows.where(_one_of("code", codes))
             parts.append(rows)
         return reduce(DataFrame.unionByName, parts)
 
@@ -131,6 +131,11 @@ class Index:
         return unique_code(term, self.moved)
 
 
+def _one_of(column: str, numbers: Sequence[int]) -> Column:
+    """As SQL, the numbers cross to the JVM at once."""
+    return F.expr(f"{column} IN ({', '.join(f'{x}L' if column == 'code' else str(x) for x in numbers)})") if numbers else F.lit(False)
+
+
 def smoothed_idf(df: Column, n: int) -> Column:
     return F.log((F.lit(1.0) + F.lit(float(n))) / (F.lit(1.0) + df)) + F.lit(1.0)
 
@@ -337,7 +342,7 @@ def refresh_index(
 
     # terms of the new articles with their df before and after; of other terms nothing changes
     met_path = f"{path}/changed"
-    old = index.frequencies(_codes(added)).select("code", "df")
+    old = index.frequencies(few_codes(added)).select("code", "df")
     added.join(old, "code", "left").select(
         "code", "term", F.coalesce("df", F.lit(0)).alias("before"), (F.coalesce("df", F.lit(0)) + F.col("more")).alias("df")
     ).write.parquet(met_path)
@@ -348,7 +353,7 @@ def refresh_index(
     known = changed.where("before > 0")
     g, h = F.log(F.lit(1.0) + F.col("df")), F.log(F.lit(1.0) + F.col("before"))
     square = (F.col("tf") * F.col("tf")).cast("double")
-    codes = _codes(known)
+    codes = few_codes(known)
     steps = known.select("code", (g - h).alias("d1"), (g * g - h * h).alias("d2"))
     if known.count() * 24 <= FREQUENT_BYTES:
         steps = F.broadcast(steps)
@@ -374,6 +379,23 @@ def open_index(spark: SparkSession, path: str) -> Index:
     return Index(spark, path, segments, row.n, row.n_postings, row.n_vectors, row.dimension)
 
 
+def publish_index(index: Index, head: str) -> None:
+    """Makes a version the current one below ``head``, a folder of which each row names a version."""
+    spark = index.spark
+    schema = "number long, path string"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(head)
+    known = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(hadoop)
+    last = spark.read.schema(schema).parquet(head).agg(F.max("number")).first()[0] if known else None
+    row = [((last or 0) + 1, index.path)]
+    spark.createDataFrame(row, schema).coalesce(1).write.mode("append").parquet(head)
+
+
+def current_index(spark: SparkSession, head: str) -> Index:
+    """The version that was published last."""
+    row = spark.read.schema("number long, path string").parquet(head).orderBy(F.desc("number"), "path").first()
+    return open_index(spark, row.path)
+
+
 def check_unique(rows: DataFrame, key: str) -> None:
     """Raises if a key is null or two rows have the same one, and names some of these keys."""
     wrong = (F.col("n") > 1) | F.col(key).isNull()
@@ -391,21 +413,22 @@ def _open_segment(spark: SparkSession, path: str) -> tuple[Segment, DataFrame, i
     return Segment(f"{path}/segment", (n_postings // SHARD_POSTINGS).bit_length()), counts, n, n_postings
 
 
-def _sharded(rows: DataFrame, bits: int, order: list[str]) -> DataFrame:
-    """Adds the shard and sorts; neighbouring rows go to the same task, whatever the size of a code."""
-    shard = F.shiftrightunsigned("code", 64 - bits).cast("int") if bits else F.lit(0)
-    keys = ["shard", *order]
-    return rows.withColumn("shard", shard).repartitionByRange(*keys).sortWithinPartitions(*keys)
+def _shard(bits: int) -> Column:
+    return F.shiftrightunsigned("code", 64 - bits).cast("int") if bits else F.lit(0)
 
 
 def _write_terms(counts: DataFrame, segment: Segment, moved: dict[str, int]) -> None:
+    """Codes are spread evenly, so their leading bits make even tasks without looking at them first."""
     rows = document_frequencies(counts).select(unique_code(F.col("term"), moved).alias("code"), "term", "df")
-    _sharded(rows, segment.bits, ["code"]).write.mode("overwrite").partitionBy("shard").parquet(f"{segment.path}/terms")
+    rows = rows.withColumn("shard", _shard(segment.bits)).repartition("shard", F.shiftrightunsigned("code", 56))
+    rows.sortWithinPartitions("shard", "code").write.mode("overwrite").partitionBy("shard").parquet(f"{segment.path}/terms")
 
 
 def _write_postings(counts: DataFrame, segment: Segment, moved: dict[str, int]) -> None:
-    rows = coded(counts, moved).select("code", "kb_id", "tf")
-    _sharded(rows, segment.bits, ["code", "kb_id"]).write.partitionBy("shard").parquet(f"{segment.path}/postings")
+    """Ranges of code and article: a frequent term fills as many tasks and files as it needs."""
+    rows = coded(counts, moved).select("code", "kb_id", "tf").withColumn("shard", _shard(segment.bits))
+    keys = ["shard", "code", "kb_id"]
+    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy("shard").parquet(f"{segment.path}/postings")
 
 
 def _dimension(vectors: DataFrame | None) -> int | None:
@@ -429,15 +452,15 @@ def _write_vectors(spark: SparkSession, vectors: DataFrame | None, dimension: in
     return spark.read.schema(VECTORS).parquet(f"{segment.path}/vectors").count()
 
 
-def _codes(terms: DataFrame) -> list[int] | None:
+def few_codes(terms: DataFrame) -> list[int] | None:
     """The codes of a few terms; None for many."""
-    rows = terms.select("code").limit(LISTED_CODES + 1).collect()
-    return None if len(rows) > LISTED_CODES else [row.code for row in rows]
+    rows = terms.select("code").distinct().limit(SHARDED_CODES + 1).toArrow()["code"].to_pylist()
+    return None if len(rows) > SHARDED_CODES else sorted(rows)
 
 
 def _clashes(index: Index, added: DataFrame) -> list[str]:
     """New terms that share a code with another term, old or new."""
-    old = index.frequencies(_codes(added)).select("code", F.col("term").alias("other"))
+    old = index.frequencies(few_codes(added)).select("code", F.col("term").alias("other"))
     met = {row.term for row in added.join(old, "code").where("term != other").select("term").distinct().collect()}
     listed = {term for _, term in shared_codes(added)}
     if listed:  # a term that the index has keeps its code

@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from helpgrid.functions.text import with_term_counts
 from helpgrid.operators import scoring
-from helpgrid.operators.index import LISTED_CODES, Index, check_unique, smoothed_idf
+from helpgrid.operators.index import Index, check_unique, few_codes, smoothed_idf
 from helpgrid.session import BROADCAST_BYTES, ship_package, small, written
 
 # Queries are broadcast in passes of at most this many bytes.
 PASS_BYTES = 64 << 20
+# Pairs whose vectors one task multiplies.
+PAIRS = 1 << 14
 # From this many files of vectors on, a first part of them gives the floors for the others.
 FLOOR_FILES = 64
 
@@ -45,7 +47,7 @@ HITS = (
 
 
 def query_terms(index: Index, queries: DataFrame, stop_words=None) -> tuple[DataFrame, list[int] | None]:
-    """The terms of the queries (query_id, term, tf, code), and their codes if these are few enough to be listed."""
+    """The terms of the queries (query_id, term, tf, code), and their codes unless these are many."""
     counted = with_term_counts(queries.select("query_id", "text"), "text", stop_words)
     rows = (
         counted.select("query_id", F.inline(F.arrays_zip("terms", "counts")))
@@ -53,8 +55,7 @@ def query_terms(index: Index, queries: DataFrame, stop_words=None) -> tuple[Data
         .withColumn("code", index.code(F.col("term")))
     )
     terms = written(rows, "query-terms")
-    codes = terms.select("code").distinct().limit(LISTED_CODES + 1).collect()
-    return terms, None if len(codes) > LISTED_CODES else sorted(row.code for row in codes)
+    return terms, few_codes(terms)
 
 
 def query_weights(index: Index, queries: DataFrame, stop_words=None) -> DataFrame:
@@ -76,7 +77,7 @@ def _weights(index: Index, terms: DataFrame, codes: list[int] | None) -> DataFra
 
 
 def keyword_pairs(index: Index, queries: DataFrame) -> DataFrame:
-    """query_id, kb_id and keyword (the cosine) of every query and article that share a term.
+    """query_id, kb_id, has_vector and keyword (the cosine) of every query and article that share a term.
 
     ``queries`` are one pass. The postings of a term lie in as many files as they need, and their products are summed by
     query and article, so a term of a third of all articles makes no large task.
@@ -90,7 +91,7 @@ def keyword_pairs(index: Index, queries: DataFrame) -> DataFrame:
         .join(F.broadcast(weights), "code")
         .select("query_id", "kb_id", (F.col("tf") * F.col("weight")).alias("part"))
     )
-    norms = index.norms.select("kb_id", "norm")
+    norms = index.norms.select("kb_id", "has_vector", "norm")
     if index.n * 32 <= BROADCAST_BYTES:
         norms = F.broadcast(norms)
     else:  # summed and joined by article, with one shuffle for both
@@ -100,7 +101,7 @@ def keyword_pairs(index: Index, queries: DataFrame) -> DataFrame:
         products.groupBy("query_id", "kb_id")
         .agg(F.sum("part").alias("dot"))
         .join(norms, "kb_id")
-        .select("query_id", "kb_id", cosine.alias("keyword"))
+        .select("query_id", "kb_id", "has_vector", cosine.alias("keyword"))
     )
 
 
@@ -108,24 +109,26 @@ def keyword_pairs(index: Index, queries: DataFrame) -> DataFrame:
 
 
 def pass_count(queries: DataFrame, index: Index, limit: int = PASS_BYTES) -> int:
-    """How many passes keep every broadcast within ``limit`` bytes, by measuring each.
+    """How many passes keep every broadcast within ``limit`` bytes, by measuring each. Refuses repeated ids.
 
     A query that alone is larger than the limit raises it to twice its own size.
     """
     vector = 8 * (index.dimension or 0)
     # a text yields at most its words, as many bigrams of twice the length, and their numbers
     size = F.octet_length(F.coalesce("text", F.lit(""))) * 8 + vector + 32
+    sizes = queries.groupBy("query_id").agg(F.sum(size).alias("size"), F.count(F.lit(1)).alias("rows"))
+    total, longest, rows = sizes.agg(
+        F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0)), F.max(F.when(F.col("query_id").isNull(), 2).otherwise(F.col("rows")))
+    ).first()
+    if (rows or 1) > 1:
+        check_unique(queries, "query_id")
     passes = 1
-    while True:
-        largest, longest = (
-            queries.groupBy(_pass_of(passes).alias("pass"))
-            .agg(F.sum(size).alias("bytes"), F.max(size).alias("longest"))
-            .agg(F.max("bytes"), F.max("longest"))
-            .first()
-        )
-        if largest is None or largest <= max(limit, 2 * longest):
-            return passes
+    while total > max(limit, 2 * longest):
+        largest = sizes.groupBy(_pass_of(passes).alias("pass")).agg(F.sum("size").alias("bytes")).agg(F.max("bytes")).first()[0]
+        if largest <= max(limit, 2 * longest):
+            break
         passes = max(passes + 1, -(-passes * largest // limit))
+    return passes
 
 
 def _pass_of(passes: int):
@@ -157,7 +160,6 @@ def _blocks(index: Index, queries: DataFrame) -> list[scoring.QueryBlock]:
 
 def _passes(index: Index, queries: DataFrame, limit: int, kinds: str) -> Iterator[Pass]:
     """``kinds``: k for keyword scores, s for semantic ones."""
-    check_unique(queries, "query_id")
     passes = pass_count(queries, index, limit)
     for number in range(passes):
         part = queries if passes == 1 else queries.where(_pass_of(passes) == number)
@@ -339,11 +341,11 @@ def _ranked(index: Index, one: Pass, alphas: list[float], top_k: int, scaled: bo
         candidates = candidates.unionByName(_with_keywords(one, per_query, zero, alphas, top_k))
     candidates = candidates.groupBy("query_id", "kb_id").agg(F.max("semantic").alias("semantic"), F.max("keyword").alias("keyword"))
     candidates = candidates.withColumn("keyword", F.coalesce("keyword", F.lit(0.0)))
-    scored = _with_semantic(index, one, written(candidates, "candidates"))
+    scored = _with_semantic(index, one, written(candidates, "candidates")) if one.blocks else candidates
 
     every = scored.join(per_query, "query_id").withColumn("alpha", F.explode(F.lit(alphas).cast("array<double>")))
     hybrid = every.withColumn("hybrid_score", _fused(F.col("alpha"), F.col("semantic"), F.col("keyword")))
-    order = Window.partitionBy("query_id", "alpha").orderBy(F.desc(F.rint(F.col("hybrid_score") * scoring.RANK_SCALE)), "kb_id")
+    order = Window.partitionBy("query_id", "alpha").orderBy(F.desc(_rank_key(F.col("hybrid_score"))), "kb_id")
     semantic = (F.col("semantic") - F.col("sem_low")) / F.col("sem_width")
     keyword = (F.col("keyword") - F.col("kw_low")) / F.col("kw_width")
     return (
@@ -358,50 +360,61 @@ def _ranked(index: Index, one: Pass, alphas: list[float], top_k: int, scaled: bo
     )
 
 
+def _rank_key(hybrid: Column) -> Column:
+    return F.rint(hybrid * scoring.RANK_SCALE)
+
+
 def _with_keywords(one: Pass, per_query: DataFrame, zero: DataFrame, alphas: list[float], top_k: int) -> DataFrame:
-    """query_id, kb_id, semantic (null), keyword: pairs that are candidates already or may reach the threshold."""
-    alpha = F.explode(F.lit(alphas).cast("array<double>")).alias("alpha")
+    """query_id, kb_id, semantic (null if not known), keyword: the pairs that may be among the best, and the candidates so far."""
+    semantic = F.when(~F.col("has_vector"), F.lit(0.0)) if one.blocks else F.lit(0.0)
+    pairs = one.pairs.withColumn("semantic", semantic).drop("has_vector")
+    best = Window.partitionBy("query_id").orderBy(F.desc(_rank_key((F.col("keyword") - F.col("kw_low")) / F.col("kw_width"))), "kb_id")
+    top = pairs.join(per_query.select("query_id", "kw_low", "kw_width"), "query_id").withColumn("place", F.row_number().over(best))
+    top = top.where(F.col("place") <= top_k).select("query_id", "kb_id", "semantic", "keyword")
+    if max(alphas) == 0:  # by keywords alone: these are the best, if they are better than nothing at all
+        return top
+    top = written(top, "top")
+    listed = small(zero.select("query_id", "kb_id"))
+    mixed = [alpha for alpha in alphas if 0 < alpha < 1]
+    if not mixed:
+        return top.unionByName(pairs.join(listed, ["query_id", "kb_id"])).distinct()
+
     # lower bounds: a semantic score that is not known yet is at least the least one, a keyword score at least zero
-    best = Window.partitionBy("query_id").orderBy(F.desc("keyword"), "kb_id")
-    top = one.pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top_k).select(
-        "query_id", "kb_id", F.lit(None).cast("double").alias("semantic"), "keyword"
-    )
     known = zero.withColumn("keyword", F.lit(0.0)).unionByName(top).join(per_query, "query_id")
     least = F.coalesce("semantic", F.col("sem_least") * F.col("sem_width") + F.col("sem_low"))
     bounds = (
-        known.select("*", alpha)
+        known.select("*", F.explode(F.lit(mixed).cast("array<double>")).alias("alpha"))
         .groupBy("query_id", "alpha", "kb_id")
         .agg(F.max(_fused(F.col("alpha"), least, F.col("keyword"))).alias("bound"))
     )
     order = Window.partitionBy("query_id", "alpha").orderBy(F.desc("bound"))
-    thresholds = bounds.withColumn("place", F.row_number().over(order)).where(F.col("place") == top_k).groupBy("query_id").agg(
-        F.collect_list(F.struct("alpha", (F.col("bound") - 2 / scoring.RANK_SCALE).alias("least"))).alias("thresholds")
+    kth = bounds.withColumn("place", F.row_number().over(order)).where(F.col("place") == top_k)
+    thresholds = kth.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("alpha", (F.col("bound") - 2 / scoring.RANK_SCALE).alias("least")))).alias("thresholds")
     )
     plan = per_query.join(written(thresholds, "thresholds"), "query_id", "left")  # both have a row a query of the pass
-    most = F.col("sem_most") * F.col("sem_width") + F.col("sem_low")
-    reaches = F.coalesce(F.size("thresholds"), F.lit(0)) < len(alphas)
-    for number in range(len(alphas)):
+    most = F.coalesce("semantic", F.col("sem_most") * F.col("sem_width") + F.col("sem_low"))
+    reaches = F.coalesce(F.size("thresholds"), F.lit(0)) < len(mixed)
+    for number in range(len(mixed)):
         t = F.get("thresholds", F.lit(number))
         reaches = reaches | (_fused(t.alpha, most, F.col("keyword")) >= t.least)
-    listed = zero.select("query_id", "kb_id", F.lit(True).alias("listed"))
-    rows = one.pairs.join(F.broadcast(plan), "query_id").join(small(listed), ["query_id", "kb_id"], "left")
-    return rows.where(F.col("listed") | reaches).select("query_id", "kb_id", F.lit(None).cast("double").alias("semantic"), "keyword")
+    rows = pairs.join(F.broadcast(plan), "query_id").where(reaches).select("query_id", "kb_id", "semantic", "keyword")
+    return rows.unionByName(top).unionByName(pairs.join(listed, ["query_id", "kb_id"])).distinct()
 
 
 def _with_semantic(index: Index, one: Pass, candidates: DataFrame) -> DataFrame:
     """The candidates with their semantic score looked up where it is missing."""
-    if not one.blocks:
-        return candidates.withColumn("semantic", F.lit(0.0))
     asked = one.queries.where("embedding IS NOT NULL").select("query_id", F.col("embedding").cast("array<double>").alias("wanted"))
-    missing = candidates.where("semantic IS NULL")
-    pairs = small(missing.select("query_id", "kb_id"))
-    met = index.vectors.join(pairs, "kb_id").join(F.broadcast(asked), "query_id")  # the vectors of one pass
+    missing = candidates.where("semantic IS NULL").drop("semantic")
+    missing = missing.repartition(1 + missing.count() // PAIRS, "kb_id")
+    vectors = index.vectors
+    if index.n_vectors * (4 * index.dimension + 64) <= BROADCAST_BYTES:
+        vectors = F.broadcast(vectors)
+    met = missing.join(vectors, "kb_id", "left").join(F.broadcast(asked), "query_id", "left")  # the vectors of one pass
     product = F.aggregate(F.zip_with("wanted", "embedding", lambda a, b: a * b.cast("double")), F.lit(0.0), lambda x, y: x + y)
     size = F.sqrt(F.aggregate("wanted", F.lit(0.0), lambda x, y: x + y * y)) * F.col("length")
-    found = met.select("query_id", "kb_id", F.when(size > 0, F.round(product / size, scoring.SCORE_DECIMALS)).alias("found"))
-    known = missing.join(found, ["query_id", "kb_id"], "left").select(
-        "query_id", "kb_id", F.coalesce("found", F.lit(0.0)).alias("semantic"), "keyword"
-    )
+    cosine = F.when(size > 0, F.round(product / size, scoring.SCORE_DECIMALS)).otherwise(0.0)
+    known = met.select("query_id", "kb_id", cosine.alias("semantic"), "keyword")
     return candidates.where("semantic IS NOT NULL").unionByName(known)
 
 

@@ -88,6 +88,14 @@ cosines AS (
 
 INDEX = KB + "," + DOC + "," + IDF
 
+#: The articles and, as further articles, the user turns of the conversations.
+EVERY = f"""{KB},{TURNS},
+every AS (
+  SELECT kb_id, corpus AS body FROM corpus
+  UNION ALL
+  SELECT (SELECT max(doc_id) FROM documents) + 1 + query_id, '  ' || coalesce(text, '') || ' '
+  FROM turns),{tokens("doc", "every", "kb_id", "body")}"""
+
 UNIT = """
 unit_q AS (
   SELECT query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / norm) AS u
@@ -465,15 +473,18 @@ SELECT kb_id, term, tf, round(tf * idf / norm, 6) AS weight
 FROM doc_tf JOIN idf USING (term) JOIN norms USING (kb_id)""",
     "query_weights": f"""WITH {INDEX},{LABELLED},{query_terms()}
 SELECT query_id, term, tf, round(tf * idf / length, 6) AS weight FROM query_known""",
-    "index_refresh": f"""WITH {KB},{TURNS},
-every AS (
-  SELECT kb_id, corpus AS body FROM corpus
-  UNION ALL
-  SELECT (SELECT max(doc_id) FROM documents) + 1 + query_id, '  ' || coalesce(text, '') || ' '
-  FROM turns),{tokens("doc", "every", "kb_id", "body")}
+    "index_refresh": f"""WITH {EVERY}
 SELECT term, count(*) AS df,
        round(ln((1.0 + (SELECT count(*) FROM every)) / (1.0 + count(*))) + 1.0, 9) AS idf
 FROM doc_tf GROUP BY term""",
+    "index_refresh_norms": f"""WITH {EVERY},
+weights AS (
+  SELECT term, ln((1.0 + (SELECT count(*) FROM every)) / (1.0 + count(*))) + 1.0 AS idf FROM doc_tf GROUP BY term),
+lengths AS (
+  SELECT kb_id, count(*) AS n_terms, sqrt(sum(tf * idf * tf * idf)) AS norm
+  FROM doc_tf JOIN weights USING (term) GROUP BY kb_id)
+SELECT kb_id, CAST(coalesce(n_terms, 0) AS INTEGER) AS n_terms, coalesce(round(norm, 6), 0.0) AS norm
+FROM every LEFT JOIN lengths USING (kb_id)""",
     "vector_normalize": """WITH n AS (
   SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding,
            lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS norm FROM embeddings)
@@ -572,6 +583,14 @@ SELECT query_id, text FROM turns WHERE trim(text, {BLANKS}) <> ''""",
     "model_call": f"""{HYBRID},{CONTEXTS},{PROMPTS}
 SELECT query_id, 'ok' AS status, right(prompt, 30) AS summary, length(prompt) AS "length"
 FROM prompts""",
+    "model_embed": """WITH given AS (
+  SELECT 'article ' || doc_id AS id, text FROM documents UNION ALL SELECT 'query ' || item_id, text FROM benchmark),
+sized AS (SELECT *, length(text) % 5 > 0 AS good FROM given)
+SELECT id, CASE WHEN good THEN 'ok' ELSE 'error' END AS status,
+       CASE WHEN good THEN CAST(length(text) AS BIGINT) END AS "length",
+       CASE WHEN good THEN CAST(length(text) - length(replace(text, ' ', '')) AS BIGINT) END AS spaces,
+       CASE WHEN good THEN CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) END AS breaks
+FROM sized""",
     "generated_array_explode": f"WITH {GENERATED} SELECT * FROM new",
     "kb_conform": """SELECT doc_id AS kb_id, source AS category, '' AS subcategory,
        '' AS journey_stage, text AS issue_description, '' AS resolution_steps FROM documents""",
@@ -613,6 +632,10 @@ SELECT category, subcategory,
        CAST(sum(n) OVER (PARTITION BY category) AS BIGINT) AS category_entries,
        n AS subcategory_entries
 FROM pairs""",
+    "kb_csv_position": f"""WITH {KB}
+SELECT row_number() OVER (ORDER BY kb_id) - 1 AS kb_id, {empty_as_null(
+    "category, subcategory, journey_stage, issue_description, resolution_steps"
+)} FROM kb""",
     "kb_csv_scan": f"""WITH {KB}
 SELECT kb_id, {empty_as_null(
     "category, subcategory, journey_stage, issue_description, resolution_steps"

@@ -19,7 +19,7 @@ from helpgrid.operators import prompts as P
 from helpgrid.operators import replies as M
 from helpgrid.operators import search as S
 from helpgrid.operators import triage as H
-from helpgrid.operators.model_call import call_model
+from helpgrid.operators.model_call import call_model, embed
 from helpgrid.plans import tables as T
 from helpgrid.schemas import ARTICLE_FIELDS
 from helpgrid.session import scratch_path
@@ -160,8 +160,8 @@ def query_weights(spark, sf_dir):
     return rounded(found.select("query_id", "term", "tf", "weight"), "weight")
 
 
-def index_refresh(spark, sf_dir):
-    """The idf after the user turns of the conversations have been added as articles."""
+def _refreshed(spark, sf_dir):
+    """The index after the user turns of the conversations have been added as articles."""
     turns = T.user_turns(T.table(spark, sf_dir, "conversations"))
     largest = T.table(spark, sf_dir, "documents").agg(F.max("doc_id")).scalar()
     added = G.conform(
@@ -171,7 +171,16 @@ def index_refresh(spark, sf_dir):
         ),
         ["kb_id"],
     )
-    return rounded(I.refresh_index(T.index(spark, sf_dir), added).idf, "idf", places=9)
+    return I.refresh_index(T.index(spark, sf_dir), added)
+
+
+def index_refresh(spark, sf_dir):
+    return rounded(_refreshed(spark, sf_dir).idf, "idf", places=9)
+
+
+def index_refresh_norms(spark, sf_dir):
+    """The norms of all articles, old and new, after the refresh."""
+    return rounded(_refreshed(spark, sf_dir).norms.select("kb_id", "n_terms", "norm"), "norm")
 
 
 def vector_normalize(spark, sf_dir):
@@ -378,6 +387,27 @@ def model_call(spark, sf_dir):
     )
 
 
+def _stub_embedder():
+    """A deterministic stand-in; it refuses texts whose length is a multiple of five."""
+
+    def answer(texts: list[str]) -> list[list[float]]:
+        if any(len(text) % 5 == 0 for text in texts):
+            raise ValueError("a text of such a length")
+        return [[float(len(text)), float(text.count(" ")), float(text.count("\n"))] for text in texts]
+
+    return answer
+
+
+def model_embed(spark, sf_dir):
+    """Vectors of all articles and queries by the stand-in. The second run finds all but failed calls in the log."""
+    articles = T.table(spark, sf_dir, "documents").select(F.concat(F.lit("article "), "doc_id").alias("id"), "text")
+    asked = T.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("query "), "item_id").alias("id"), "text")
+    log = scratch_path(spark, "calls")
+    embed(articles, _stub_embedder, log, "id")
+    found = embed(articles.unionByName(asked), _stub_embedder, log, "id")
+    return found.select("id", "status", *(F.get("embedding", F.lit(i)).cast("long").alias(c) for i, c in enumerate(("length", "spaces", "breaks"))))
+
+
 # --- knowledge-base growth --------------------------------------------------------------------
 
 
@@ -453,6 +483,14 @@ def kb_csv_scan(spark, sf_dir):
     return IO.read_articles_csv(spark, path, with_key=True)
 
 
+def kb_csv_position(spark, sf_dir):
+    """The knowledge base from two CSV files without ids: rows are numbered in the order of files and lines."""
+    path = scratch_path(spark, "kb-csv")
+    ordered = T.articles(spark, sf_dir).repartitionByRange(2, "kb_id").sortWithinPartitions("kb_id")
+    ordered.select(*ARTICLE_FIELDS).write.options(**IO.CSV).csv(path)
+    return IO.read_articles_csv(spark, path)
+
+
 def evaluation_set(spark, sf_dir):
     return T.labelled(spark, sf_dir).drop("embedding")
 
@@ -527,6 +565,7 @@ QUERIES = {
         tfidf_weights,
         query_weights,
         index_refresh,
+        index_refresh_norms,
         vector_normalize,
         vector_dimensions,
         eval_per_query,
@@ -555,6 +594,7 @@ QUERIES = {
         ticket_triage,
         complaint_filter,
         model_call,
+        model_embed,
         generated_array_explode,
         kb_conform,
         kb_category_validation,
@@ -564,6 +604,7 @@ QUERIES = {
         append_accounting,
         kb_coverage,
         kb_csv_scan,
+        kb_csv_position,
         evaluation_set,
         dense_vectors,
         generation_plan,

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from helpgrid.operators.growth import conform
 from helpgrid.schemas import ARTICLE, ARTICLE_FIELDS, LABELLED_COMPLAINT
+from helpgrid.session import written
 
 # RFC 4180: a quote inside quotes is doubled, and fields keep their blanks and line breaks.
 CSV = {
@@ -45,12 +46,12 @@ def read_articles_csv(spark: SparkSession, path: str, with_key: bool = False) ->
     if with_key:
         schema = T.StructType([T.StructField("kb_id", T.LongType()), *ARTICLE.fields])
         return read_csv(spark, path, schema)
-    return with_position(read_csv(spark, path, ARTICLE), "kb_id")
+    return read_positions(spark, path, ARTICLE, "kb_id")
 
 
 def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
     """An evaluation set: query_id (from 0), text and the two expected labels."""
-    rows = with_position(read_csv(spark, path, LABELLED_COMPLAINT), "query_id")
+    rows = read_positions(spark, path, LABELLED_COMPLAINT, "query_id")
     return rows.withColumnRenamed("complaint", "text")
 
 
@@ -62,21 +63,20 @@ def labelled_queries(spark: SparkSession, cases: list[tuple[str, str, str]]) ->
     )
 
 
-def with_position(df: DataFrame, name: str) -> DataFrame:
-    """Adds ``name``: the row's position in the table, from 0.
+def read_positions(spark: SparkSession, path: str, schema: T.StructType, name: str) -> DataFrame:
+    """A CSV table with ``name``, the row's position from 0: files in the order of their paths, rows as they stand in them.
 
-    Rows are counted per partition, and each partition starts after those before it; no row moves.
+    A file with quoted line breaks is read by one task, in order. Rows are numbered once and written with their
+    numbers; each file starts after the rows of those before it, which takes one row a file.
     """
-    places = df.withColumn("_id", F.monotonically_increasing_id()).withColumn(
-        "_part", F.shiftrightunsigned("_id", 33)
-    )
-    sizes = places.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    offset = F.col("_id") - F.shiftleft(F.col("_part"), 33)
-    return places.join(F.broadcast(starts), "_part").select(
-        (F.col("_start") + offset).alias(name), *df.columns
-    )
+    rows = spark.read.options(**CSV).schema(schema).csv(path)
+    marked = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"))
+    marked = written(_empty_as_null(marked), "positions")
+    files = marked.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("_file", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.col("_row") - F.col("_first")
+    return marked.join(starts, "_file").select(place.alias(name), *schema.names)
 
 
 def read_vectors(spark: SparkSession, path: str, key: str, vector: str) -> DataFrame:

@@ -73,7 +73,7 @@ def test_many_refreshes(monkeypatch, spark, rows, vectors, index):
     monkeypatch.setattr(I, "SEGMENTS", 3)
     monkeypatch.setattr(I, "SHARD_POSTINGS", 30)
     monkeypatch.setattr(I, "FREQUENT_BYTES", 100)
-    monkeypatch.setattr(I, "LISTED_CODES", 8)
+    monkeypatch.setattr(I, "SHARDED_CODES", 8)
     part, held = I.build_index(*frames(spark, rows[:40], {i: v for i, v in vectors.items() if i in {r[0] for r in rows[:40]}})), []
     for low in range(40, len(rows), 13):
         some = rows[low : low + 13]
