@@ -237,17 +237,22 @@ def op2_mixing(spark, sf_dir):
 
 
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, each with the words taken and how often it is repeated."""
+    """The documents that the mix takes, each with the words taken and how often it is repeated.
+
+    ``taken``, ``n_words`` and ``repeats`` replace columns of these names; others keep their values, whatever their names.
+    Of rows that repeat id and text each gets the largest number of words that one of them has.
+    """
     mix = (
         mix_sources(docs)
         .where("taken > 0")
         .groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
         .agg(F.max("taken").alias("taken"), F.max("size").alias("n_words"))
     )
-    keyed = docs.withColumn("_hash", F.xxhash64(F.lit(7), F.col("doc_id").cast("long"), F.col("text")))
-    return (
-        keyed.drop("taken", "n_words", "repeats")
-        .join(mix, F.col("_hash").eqNullSafe(F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-        .withColumn("repeats", F.expr("taken div n_words"))
-        .drop("_hash", "_key", "_id")
+    names = [c for c in docs.columns if c not in ("taken", "n_words", "repeats")]
+    rows = docs.select(
+        F.struct(*names).alias("doc"),
+        F.col("doc_id").cast("long").alias("id"),
+        F.xxhash64(F.lit(7), F.col("doc_id").cast("long"), F.col("text")).alias("hash"),
     )
+    met = rows.join(mix, F.col("hash").eqNullSafe(F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")))
+    return met.select("doc.*", "taken", "n_words", F.expr("taken div n_words").alias("repeats"))

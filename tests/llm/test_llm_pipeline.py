@@ -3,6 +3,7 @@
 import pytest
 from compare import connect, differences
 from llm_cases import SF_DIR, awkward, empty, real
+from pyspark.sql import functions as F
 from test_llm_similar import expected_components
 
 import corpus_pipeline
@@ -16,7 +17,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert [int(name[2:].split("_")[0]) for name in QUERIES] == list(range(1, 11))
+    assert [int(name[2:].split("_")[0]) for name in QUERIES] == list(range(1, 14))
 
 
 def test_stages_keep_the_columns(spark):
@@ -26,6 +27,20 @@ def test_stages_keep_the_columns(spark):
             assert stage(spark, docs, SF_DIR).columns == docs.columns, name
 
 
+CLASHING = ("_k1", "_k2", "_lines", "_every", "removed", "n_lines", "n_removed", "_row", "row", "doc", "_id", "_hash", "_key", "hash", "id", "_may", "_h")
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    given = awkward(spark).withColumns({c: F.concat(F.lit(c), F.coalesce("doc_id", F.lit(-1))) for c in CLASHING})
+    for name, stage in corpus_pipeline.STAGES:
+        done = stage(spark, given, SF_DIR)
+        rows = done.collect()
+        assert rows and len(set(done.columns)) == len(done.columns), name
+        for row in rows:
+            number = -1 if row.doc_id is None else row.doc_id
+            assert all(row[c] == f"{c}{number}" for c in CLASHING), name
+
+
 def test_near_dedup_keeps_one_of_each_group(spark):
     docs = real(spark).unionByName(real(spark).limit(20))  # rows that repeat
     groups = {}
