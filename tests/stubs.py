@@ -14,6 +14,37 @@ def shouting():
     return answer
 
 
+def three_numbers():
+    """A unit vector for each text; fails for a list that holds a bad text."""
+
+    def answer(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("bad text")
+        return [[1.0, 0.0, 0.0] for _ in texts]
+
+    return answer
+
+
+def counting(path):
+    """Upper case; notes every text it is asked for in a file, and fails for bad ones while there is no file "mended"."""
+
+    def make():
+        import os
+
+        def answer(texts):
+            if len(texts) > 1:
+                raise ValueError("one at a time")
+            with open(f"{path}/asked", "a") as file:
+                file.write(texts[0] + "\n")
+            if "bad" in texts[0] and not os.path.exists(f"{path}/mended"):
+                raise ValueError("bad text")
+            return [t.upper() for t in texts]
+
+        return answer
+
+    return make
+
+
 def two_each():
     """Brings two articles per batch, whatever was asked for."""
 

@@ -1,6 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
-
 from helpgrid.schemas import ARTICLE_FIELDS
 from helpgrid.session import scratch_path
 from helpgrid.sources import tables as IO
@@ -54,11 +52,19 @@ def test_labelled(spark, tmp_path):
     assert [tuple(r) for r in IO.labelled_queries(spark, cases).collect()] == want
 
 
-def test_position(spark):
-    df = spark.range(0, 1000, 1, 7).where(F.col("id") % 3 != 0)
-    rows = IO.with_position(df, "place").orderBy("place").collect()
-    assert [r.place for r in rows] == list(range(len(rows)))
-    assert [r.id for r in rows] == [i for i in range(1000) if i % 3]
+def test_positions_over_files(spark, tmp_path):
+    """Files count in the order of their paths, whatever their sizes, and rows as they stand in them."""
+    sizes = [3, 40, 0, 1, 17]
+    wanted = []
+    for number, size in enumerate(sizes):
+        names = [f"f{number}-{i}" for i in range(size)]
+        wanted += names
+        rows = [f'{name},"line\nbreak, {name}",x,"say ""hi""",' for name in names]
+        (tmp_path / f"part-{number}.csv").write_text("\n".join([",".join(ARTICLE_FIELDS), *rows]) + "\n")
+    got = IO.read_articles_csv(spark, str(tmp_path)).orderBy("kb_id").collect()
+    assert [r.kb_id for r in got] == list(range(len(wanted)))
+    assert [r.category for r in got] == wanted
+    assert got[5].subcategory == f"line\nbreak, {wanted[5]}" and got[5].resolution_steps is None
 
 
 def test_append_and_overwrite(spark):
