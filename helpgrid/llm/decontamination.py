@@ -30,6 +30,7 @@ WIDTH = 8
 LITERALS = 4  # words of a window that are no placeholder, at least
 #: Windows in a row that make a document contaminated (a run of WIDTH + RUN - 1 words), or all that an item has.
 RUN = 6
+CHUNK = 1 << 16  # words of several texts that are hashed at once
 PUNCTUATION = string.punctuation.encode()
 NUMBER = re.compile(rb"[+-]?[0-9][0-9.,:/]*")
 AMOUNT = re.compile(rb"([+-]?[0-9][0-9.,:/]*)([a-z%\xc2\xb0]+)")
@@ -68,13 +69,15 @@ def classify(word: bytes) -> int:
     return xxhash.xxh64_intdigest(low) >> 4 << 4 | flags
 
 
-def tokens(codes: np.ndarray, view: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, value, slot) of a text in a view: what stands in templates, the hashed value, and whether it is a placeholder.
+def tokens(codes: np.ndarray, view: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token, value, slot, first) of texts that begin at ``starts``, in a view: what stands in templates, the hashed
+    value, whether it is a placeholder, and its first word.
 
     A number and the unit after it are one token, and so are name words in a row inside one sentence.
     """
     value, flags = codes >> np.uint64(4), (codes & np.uint64(15)).astype(np.int64)
     before = np.concatenate([[8], flags[:-1]])
+    before[starts] = 8
     kind = flags & 3
     unit = (kind == 2) & (before & 3 == 1)
     opens = before & 8 > 0
@@ -88,62 +91,66 @@ def tokens(codes: np.ndarray, view: int) -> tuple[np.ndarray, np.ndarray, np.nda
         value = np.add.reduceat(value * powers[place], first) & np.uint64(VALUE)
     amount = (kind[first] == 3) | ((kind[first] == 1) & (ends - first > 1))
     token = np.select([amount, kind[first] == 1, name[first]], [AMOUNTS, NUM, NAMED], value)
-    return token, value, amount | (kind[first] == 1) | name[first]
+    return token, value, amount | (kind[first] == 1) | name[first], first
 
 
-def _rolled(token: np.ndarray, width: int, seed: int) -> np.ndarray:
+def _rolled(token: np.ndarray, width: int, seed: int, at: np.ndarray | None = None) -> np.ndarray:
+    """The hashes of all windows, or of those at the places ``at``."""
     n = len(token) - width + 1
     with np.errstate(over="ignore"):
-        total = np.full(n, width + (seed << 8), np.uint64)
+        total = np.full(n if at is None else len(at), width + (seed << 8), np.uint64)
         for i in range(width):
-            total = total * np.uint64(STEP) + token[i : n + i]
+            total *= np.uint64(STEP)
+            total += token[i : n + i] if at is None else token[at + i]
     return mix(total)
 
 
-def windows(text: bytes, classes: WordCache, width: int | None = None, shared: HashFilter | None = None):
-    """Tuples (view, width, hash, at, slots, rich, total) of arrays for each view of a text, only of windows that may be
-    in the filter if there is one: slots are the hashed values in a window's placeholders, in order, rich is the number
-    of windows with ``LITERALS`` literal words and total that of all windows.
+def windows(codes: np.ndarray, owner: np.ndarray, widths: tuple[int, ...] | None = None, shared: HashFilter | None = None):
+    """Tuples (view, width, owner, hash, at, lengths, slots, rich, total) of arrays for each view and width of several
+    texts, only of windows that may be in the filter if there is one. ``owner`` numbers the text of each word. Slots are
+    the hashed values in the windows' placeholders, one window after the other, as many as its length says. Of a
+    single text, rich is the number of windows with ``LITERALS`` literal words and total that of all windows.
 
-    Without a ``width``, a text of fewer than ``WIDTH`` tokens has one window. Windows of fewer literals are hashed by
-    their values, in the view without case, and have no slots; width 0 means lines of fewer words.
+    Without ``widths`` there is one text, and one of fewer than ``WIDTH`` tokens has one window. Windows of fewer literals
+    are hashed by their values, in the view without case, and have no slots.
     """
-    codes = classes.values_of(text.split())
-    codes = codes[codes > 0]
-    if width == 0 or (width is None and 0 < len(codes) < LITERALS):
-        yield from _lines(text, classes, codes, width, shared)
-        return
-    if len(codes) < LITERALS:
+    many = np.bincount(owner)[owner] >= LITERALS
+    codes, owner = codes[many], owner[many]
+    if not len(codes):
         return
+    starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     for view in VIEWS:
-        token, value, slot = tokens(codes, view)
-        wide = width or min(WIDTH, len(token))
-        n = len(token) - wide + 1
-        if n < 1:
-            continue
+        token, value, slot, first = tokens(codes, view, starts)
+        home = owner[first]
+        begins = np.searchsorted(first, starts)  # the first token of each text
+        begin = np.repeat(begins, np.diff(np.append(begins, len(token))))
         filled = np.concatenate([[0], np.cumsum(slot)])
-        literal = wide - (filled[wide:] - filled[:n])
-        enough = literal >= LITERALS
-        rich = int(enough.sum())
-        hashes = _rolled(token, wide, view)
-        if view == CASELESS and rich < n:
-            hashes = np.where(enough, hashes, _rolled(value, wide, VERBATIM))
-            at = np.arange(n)
-        else:
-            at = np.flatnonzero(enough)
-            hashes = hashes[at]
-        if shared is not None:
-            on = shared.may_have(hashes)
-            at, hashes = at[on], hashes[on]
         kept = value[slot].view(np.int64)
-        slots = [
-            kept[a:b].tolist() if e else [] for a, b, e in zip(filled[at], filled[at + wide], enough[at], strict=True)
-        ]
-        yield view, wide, hashes, at, slots, rich, n
+        for wide in widths or (min(WIDTH, len(token)),):
+            n = len(token) - wide + 1
+            if n < 1:
+                continue
+            whole = home[:n] == home[wide - 1 :]
+            enough = wide - (filled[wide:] - filled[:n]) >= LITERALS
+            hashes = _rolled(token, wide, view)
+            if view == CASELESS:
+                poor = np.flatnonzero(whole & ~enough)
+                hashes[poor] = _rolled(value, wide, VERBATIM, poor)
+                at = np.flatnonzero(whole)
+            else:
+                at = np.flatnonzero(whole & enough)
+            rich, hashes = int((whole & enough).sum()), hashes[at]
+            if shared is not None:
+                on = shared.may_have(hashes)
+                at, hashes = at[on], hashes[on]
+            lengths = np.where(enough[at], filled[at + wide] - filled[at], 0)
+            ends = np.cumsum(lengths)
+            slots = kept[np.arange(lengths.sum()) + np.repeat(filled[at] - ends + lengths, lengths)]
+            yield view, wide, home[at], hashes, at - begin[at], lengths, slots, rich, int(whole.sum())
 
 
 def _lines(text: bytes, classes: WordCache, codes: np.ndarray, width: int | None, shared: HashFilter | None):
-    """An item of fewer than ``LITERALS`` words as one window, or the lines of a document of so few words."""
+    """An item of fewer than ``LITERALS`` words as one window, or the lines of a document of so few words, of width 0."""
     lines = [codes]
     if width == 0:
         parts = (classes.values_of(x) for x in map(bytes.split, text.split(b"\n")) if x)
@@ -152,38 +159,85 @@ def _lines(text: bytes, classes: WordCache, codes: np.ndarray, width: int | None
     found = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]))
     if shared is not None:
         found = found[shared.may_have(found)]
-    yield CASELESS, 0, found, np.zeros(len(found), np.int64), [[]] * len(found), 0, 1
+    none = np.zeros(len(found), np.int64)
+    yield CASELESS, 0, none, found, none, none, none[:0], 0, 1
+
+
+def _rows(keys: list, parts: list[tuple]) -> pa.RecordBatch:
+    """Rows of WINDOWS; ``parts`` are the tuples of ``windows``, whose owners number ``keys``."""
+    empty = np.empty(0, np.int64)
+    owner, hashes, places, lengths, slots = (
+        np.concatenate([empty, *(part[i].view(np.int64) for part in parts)]) for i in range(2, 7)
+    )
+    repeated = [np.repeat([part[i] for part in parts], [len(part[3]) for part in parts]) for i in (0, 1, 7, 8)]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(keys, pa.int64()).take(pa.array(owner)),
+            pa.array(hashes),
+            pa.array(places),
+            pa.ListArray.from_arrays(offsets, pa.array(slots)),
+            *(pa.array(x, pa.int64()) for x in repeated),
+        ],
+        names=["key", "hash", "at", "slots", "view", "width", "rich", "total"],
+    )
 
 
-def _windows(key: str, shared=None, widths: tuple[int | None, ...] = (None,)):
-    """Rows (key, hash, at, slots, view, width, rich, total) of the windows of all widths, only those that pass the filter if
-    there is one."""
+def _item_windows(batches):
+    """Rows of the windows of the benchmark's items."""
+    classes = WordCache(classify)
+    for batch in batches:
+        keys, parts = batch.column("item_id").to_pylist(), []
+        for i, text in enumerate(batch.column("text")):
+            value = text.as_py() or b""
+            codes = classes.values_of(value.split())
+            codes = codes[codes > 0]
+            found = _lines(value, classes, codes, None, None) if 0 < len(codes) < LITERALS else windows(codes, np.zeros(len(codes), np.int64))
+            parts += [(view, wide, home + i, *rest) for view, wide, home, *rest in found]
+        yield _rows(keys, parts)
+
+
+def _document_windows(shared, widths: tuple[int, ...]):
+    """Rows of the windows of documents that pass the filter; several texts are hashed at once, until they have ``CHUNK`` words."""
+    wide = tuple(w for w in widths if w)
+
+    def found(first: int, texts: list[bytes], classes: WordCache, words: list[bytes], counts: list[int]):
+        codes = classes.values_of(words)
+        owner = np.repeat(np.arange(first, first + len(counts)), counts)[codes > 0]
+        codes = codes[codes > 0]
+        yield from windows(codes, owner, wide, shared.value)
+        if 0 in widths:  # some item has few words
+            ends = np.searchsorted(owner, np.arange(first, first + len(counts) + 1))
+            for i, text in enumerate(texts):
+                for view, width, home, *rest in _lines(text, classes, codes[ends[i] : ends[i + 1]], 0, shared.value):
+                    yield view, width, home + first + i, *rest
 
     def run(batches):
         classes = WordCache(classify)
         for batch in batches:
-            hashes, places, slots, rest = [], [], [], [[], [], [], [], []]
-            for k, text in zip(batch.column(key).to_pylist(), batch.column("text"), strict=True):
-                for width in widths:
-                    for view, wide, h, at, s, rich, total in windows(
-                        text.as_py() or b"", classes, width, shared.value if shared is not None else None
-                    ):
-                        hashes.append(h.view(np.int64))
-                        places.append(at)
-                        slots += s
-                        for column, x in zip(rest, (k, view, wide, rich, total), strict=True):
-                            column += [x] * len(h)
-            keys, *rest = (pa.array(x, pa.int64()) for x in rest)
-            hashes, places = (pa.array(np.concatenate([np.empty(0, np.int64), *x]), pa.int64()) for x in (hashes, places))
-            yield pa.RecordBatch.from_arrays(
-                [keys, hashes, places, pa.array(slots, pa.list_(pa.int64())), *rest],
-                names=["key", "hash", "at", "slots", "view", "width", "rich", "total"],
-            )
+            keys = list(range(batch.num_rows))
+            first, texts, words, counts = 0, [], [], []
+            for i, text in enumerate(batch.column("text")):
+                value = text.as_py() or b""
+                own = value.split()
+                texts.append(value)
+                words += own
+                counts.append(len(own))
+                if len(words) < CHUNK and i + 1 < batch.num_rows:
+                    continue
+                out = _rows(keys, list(found(first, texts, classes, words, counts)))
+                row = out.column("key")
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_k1").take(row), batch.column("_k2").take(row), *(out.column(c) for c in ("hash", "at", "slots"))],
+                    names=["_k1", "_k2", "hash", "at", "slots"],
+                )
+                first, texts, words, counts = i + 1, [], [], []
 
     return run
 
 
 WINDOWS = "key long, hash long, at long, slots array<long>, view long, width long, rich long, total long"
+SUSPECTS = "_k1 long, _k2 long, hash long, at long, slots array<long>"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataFrame:
@@ -199,7 +253,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataF
     text = F.col("text").cast("string").cast("binary").alias("text")
     items = stored(
         benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), text).mapInArrow(
-            _windows("item_id"), WINDOWS
+            _item_windows, WINDOWS
         ),
         "benchmark-windows",
     )
@@ -208,13 +262,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataF
     widths = (WIDTH, *sorted(x.width for x in narrow))
     distinct = items.select("hash").distinct()
     shared = spark.sparkContext.broadcast(hash_filter(distinct, distinct.count()))
-    # The key of a row stands for the two columns: it numbers the rows of this one pass, which is written.
-    rows = keyed(docs.select("doc_id", "text")).select(
-        F.monotonically_increasing_id().alias("row"), "_k1", "_k2", text
-    )
-    found = stored(
-        rows.mapInArrow(_found(shared, widths), f"_k1 long, _k2 long, {WINDOWS}").drop("key", "view", "width", "rich", "total"), "suspect-windows"
-    )
+    rows = keyed(docs.select("doc_id", "text")).select("_k1", "_k2", text)
+    found = stored(rows.mapInArrow(_document_windows(shared, widths), SUSPECTS), "suspect-windows")
     met = found.withColumnRenamed("slots", "theirs").join(
         items.select("hash", F.col("key").alias("item_id"), F.col("at").alias("item_at"), "slots", "view", "rich", "total"), "hash"
     )
@@ -255,22 +304,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataF
     )
 
 
-def _found(shared, widths: tuple[int, ...]):
-    inner = _windows("row", shared, widths)
-
-    def run(batches):
-        for batch in batches:
-            first = {k: i for i, k in enumerate(batch.column("row").to_pylist())}
-            for out in inner([batch]):
-                at = pa.array([first[k] for k in out.column("key").to_pylist()], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("_k1").take(at), batch.column("_k2").take(at), *out.columns],
-                    names=["_k1", "_k2", *out.schema.names],
-                )
-
-    return run
-
-
 def op8_decontamination(spark, sf_dir):
     """One row for each contaminated document; clean ones have none."""
     hits = contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))

@@ -2,9 +2,11 @@
 
 from collections import Counter, defaultdict
 
+import numpy as np
 from llm_cases import SF_DIR, awkward, empty, real, rows
 
 from helpgrid.llm import decontamination
+from helpgrid.llm.common import hash_filter
 from helpgrid.llm.line_dedup import dedup_lines
 from helpgrid.llm.ngram_join import linked_documents, op4_ngram_join
 
@@ -199,3 +201,29 @@ def test_items_of_numbers_names_or_few_words(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {(r.doc_id, r.item_id, r.reparameterised) for r in decontamination.contaminated(docs, benchmark).collect()}
     assert found == {(i, i, False) for i in range(4)}
+
+
+def test_filter_of_hashes(spark):
+    hashes = np.random.default_rng(5).integers(-(2**63), 2**63 - 1, 220_000)
+    inside, absent = hashes[:20_000], hashes[20_000:]
+    frame = spark.createDataFrame([(int(x),) for x in inside], "h long").repartition(5)
+    made = hash_filter(frame, len(inside))
+    assert made.may_have(inside).all() and made.may_have(absent).mean() < 0.005
+    assert made.may_have(absent[:0]).shape == (0,)
+    assert not hash_filter(frame.limit(0), 0).may_have(inside).any()
+
+
+def test_windows_of_several_texts_are_those_of_each():
+    texts = [QUESTION, "", "two words", QUESTION.title(), "Anna Maria Smith saw 12 kg 5 3 kg.", "1 2 3 4 5 6 7 8 9", "kg of a b c d e f g h"] * 2
+    classes = decontamination.WordCache(decontamination.classify)
+    codes = [classes.values_of(x.encode().split()) for x in texts]
+    owner = np.repeat(np.arange(len(texts)), [len(x) for x in codes])
+
+    def rows(codes, owner, first=0):
+        for view, wide, home, hashes, at, lengths, slots, *_ in decontamination.windows(codes, owner, (8, 3)):
+            ends = np.cumsum(lengths)
+            for k, (i, h, a) in enumerate(zip(home, hashes, at, strict=True)):
+                yield view, wide, int(i) + first, int(h), int(a), tuple(slots[ends[k] - lengths[k] : ends[k]].tolist())
+
+    alone = [x for i, own in enumerate(codes) for x in rows(own, np.zeros(len(own), np.int64), i)]
+    assert sorted(alone) == sorted(rows(np.concatenate(codes), owner)) and len(alone) > 100
