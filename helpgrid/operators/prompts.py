@@ -20,11 +20,20 @@ JUDGE_INSTRUCTIONS = (
     "complaint. Answer with one JSON object that has the keys faithfulness, faithfulness_reason, "
     "answer_relevance and relevance_reason. Write nothing else."
 )
+#: What each field of a new article holds, in the words of this library.
+FIELD_NOTES = {
+    "category": "as given for its place",
+    "subcategory": "a short name for the narrower topic",
+    "journey_stage": "where in an order's life it comes up",
+    "issue_description": "what a customer would report",
+    "resolution_steps": "what an agent does about it, numbered, as a single text",
+}
 GENERATE_INSTRUCTIONS = (
-    "Answer with a JSON list and nothing else. Each item is an object with the keys category, "
-    "subcategory (2 to 4 words), journey_stage, issue_description (one or two sentences) and "
-    "resolution_steps (one text of numbered steps)."
+    "The reply is read by a program: a JSON array, an object per article, all fields texts.\n"
+    + "\n".join(f"- {name}: {note}" for name, note in FIELD_NOTES.items())
 )
+#: Before and after the number of articles, and before and after their categories.
+GENERATE_OPENING = ("Articles that the help desk still lacks: ", ".\nTheir categories by place: ", ".\n\n")
 
 
 def _text(name: str) -> Column:

@@ -648,9 +648,8 @@ UNION ALL SELECT 'query', count(*), count(embedding) FROM q""",
     "generation_plan": f"WITH {ALLOWED},{PLAN} SELECT * FROM plan",
     "generation_prompts": f"""WITH {ALLOWED},{PLAN}
 SELECT batch_id, count(*) AS n_requested,
-       'Write ' || count(*) || ' different knowledge base entries about problems of online shoppers.'
-       || chr(10) || 'Category of each entry, in order: ['
-       || string_agg('"' || category || '"', ', ' ORDER BY request_id) || ']' || chr(10) || chr(10)
+       {quoted(P.GENERATE_OPENING[0])} || count(*) || {quoted(P.GENERATE_OPENING[1])}
+       || string_agg('"' || category || '"', ', ' ORDER BY request_id) || {quoted(P.GENERATE_OPENING[2])}
        || {quoted(P.GENERATE_INSTRUCTIONS)} AS prompt
 FROM plan GROUP BY batch_id""",
     "stream_triage": f"""WITH {INDEX},{TURNS},
