@@ -12,7 +12,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from helpgrid.session import scratch_path, ship_package
 
-__all__ = ["WordCache", "bounded_labels", "documents", "lower_ascii", "mix", "only_ids", "ship_package", "stored", "table"]
+__all__ = ["WordCache", "bounded_labels", "documents", "drop_stored", "lower_ascii", "mix", "only_ids", "ship_package", "stored", "table"]
 
 #: A cache of words in a task starts anew beyond this many entries (about 50 MB).
 CACHE_WORDS = 300_000
@@ -37,7 +37,17 @@ def stored(frame: DataFrame, label: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    found = spark.read.schema(frame.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def drop_stored(*frames: DataFrame) -> None:
+    """Deletes the tables of frames that ``stored`` returned, once all that reads them has been written."""
+    for frame in frames:
+        spark = frame.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from helpgrid.llm.common import (
     WordCache,
     documents,
+    drop_stored,
     hash_filter,
     only_keys,
     ship_package,
@@ -248,14 +249,16 @@ def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """(key, comp) after joining the components that ``edges`` (a, b: keys) connect; the smallest label wins.
 
     Labels take the least label of their neighbours, then the label of that label, until nothing changes.
-    Only components that an edge touches take part.
+    Only components that an edge touches take part. ``labels`` is a stored table, dropped if another takes its place.
     """
     a, b = (labels.select(F.col("key").alias(k), F.col("comp").alias(c)) for k, c in (("a", "ca"), ("b", "cb")))
     links = edges.join(a, "a").join(b, "b").where("ca != cb").select("ca", "cb").distinct()
     links = stored(links.union(links.select("cb", "ca")).distinct().toDF("u", "v"), "links")
     if not links.limit(1).count():
+        drop_stored(links)
         return labels
     root = stored(links.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")), "roots")
+    root_table = root
     while True:
         near = (
             links.join(root.withColumnRenamed("node", "v"), "v")
@@ -268,15 +271,18 @@ def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
             moved.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root")),
             "roots",
         )
+        drop_stored(root_table)
         if not new.where("root != old").limit(1).count():
             break
-        root = new.select("node", "root")
-    return stored(
+        root, root_table = new.select("node", "root"), new
+    named = stored(
         labels.join(new.select(F.col("node").alias("comp"), "root"), "comp", "left").select(
             "key", F.coalesce("root", "comp").alias("comp")
         ),
         "labels",
     )
+    drop_stored(links, new, labels)
+    return named
 
 
 def _kept(postings: DataFrame, percent: int) -> DataFrame:
@@ -336,7 +342,7 @@ def _candidates_by_hub(postings: DataFrame, percent: int, turn: int) -> DataFram
 
 
 def _candidates_left(postings: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that share as many prefix shingles as the overlap they need demands."""
+    """All pairs of different components that share as many prefix shingles as the overlap they need demands, stored."""
     sizes = postings.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("members"))
     largest = (
         sizes.groupBy("token")
@@ -354,7 +360,9 @@ def _candidates_left(postings: DataFrame, percent: int) -> DataFrame:
         .join(prefixes.withColumnRenamed("key", "b"), "b")
         .join(prefixes.select(F.col("key").alias("a"), *(F.col(c).alias(f"{c}_o") for c in ("n", "length", "tokens"))), "a")
     )
-    return both.where(F.size(F.array_intersect("tokens", "tokens_o")) >= _demand(percent)[1]).select("a", "b")
+    pairs = stored(both.where(F.size(F.array_intersect("tokens", "tokens_o")) >= _demand(percent)[1]).select("a", "b"), "pairs")
+    drop_stored(marked)
+    return pairs
 
 
 def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80, seed: int = 11) -> DataFrame:
@@ -413,8 +421,11 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80, seed: i
     )
     shared = spark.sparkContext.broadcast(hash_filter(again, again.count()))
     postings = stored(prefixes.mapInArrow(_open_postings(shared), POSTINGS).distinct(), "postings")
+    drop_stored(again)
     for _ in range(2):
-        postings = stored(_kept(postings.select("key", "n", "matches", "length", "at", "token"), percent), "postings")
+        wide = postings
+        postings = stored(_kept(wide.select("key", "n", "matches", "length", "at", "token"), percent), "postings")
+        drop_stored(wide)
     labels = stored(postings.select("key", F.col("key").alias("comp")).distinct(), "labels")
     texts = rows.join(labels, "key", "left_semi").select("text").distinct()
     wanted = spark.sparkContext.broadcast(hash_filter(texts, labels.count()))
@@ -424,16 +435,24 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80, seed: i
         .dropDuplicates(["key"]),
         "sets",
     )
+    prefixes, rows = rows, stored(rows.select("doc_id", "n", "key"), "rows")
+    drop_stored(prefixes)
 
     for turn in range(ROUNDS):
         open_ = postings.join(labels, "key")
         pairs = stored(_candidates_by_hub(open_, percent, turn), "pairs")
         edges = stored(_verified(pairs, sets, percent), "edges")
         labels = components(labels, edges)
-        if 2 * edges.count() < pairs.count():  # few sets link to a hub that is left: no group of near copies is
+        few = 2 * edges.count() < pairs.count()  # link to a hub that is left: no group of near copies is
+        drop_stored(pairs, edges)
+        if few:
             break
-    pairs = stored(_candidates_left(postings.join(labels, "key"), percent), "pairs")
-    labels = components(labels, stored(_verified(pairs, sets, percent), "edges"))
+    pairs = _candidates_left(postings.join(labels, "key"), percent)
+    drop_stored(postings)
+    edges = stored(_verified(pairs, sets, percent), "edges")
+    drop_stored(pairs, sets)
+    labels = components(labels, edges)
+    drop_stored(edges)
 
     rooted = keys.join(labels, "key", "left").select("key", "least", F.coalesce("comp", "key").alias("comp"))
     named = rooted.groupBy("comp").agg(F.min("least").alias("component_id"))
