@@ -33,7 +33,7 @@ GENERATE_INSTRUCTIONS = (
     + "\n".join(f"- {name}: {note}" for name, note in FIELD_NOTES.items())
 )
 #: Before and after the number of articles, and before and after their categories.
-GENERATE_OPENING = ("Articles that the help desk still lacks: ", ".\nTheir categories by place: ", ".\n\n")
+GENERATE_OPENING = ("Articles that the help desk still lacks: ", ".\nTheir categories by place: [", "].\n\n")
 
 
 def _text(name: str) -> Column:
