@@ -3,17 +3,25 @@
 The vocabulary falls into 1024 buckets: one for each of the most frequent words, the rest by hash. 32 classes hold
 32 buckets each. With the words before as context,
 
-    P(word) = P(class | context) * P(bucket | class, context) * P(word | bucket),
+    P(word) = P(class | context) * P(bucket | class, word before) * P(word | bucket),
 
-where the first two are softmaxes over n-gram and skip features in hashed tables and the last comes from exact counts
-over all training texts. So every factor is normalised over a few dozen entries, and
+where the first factor is a softmax over n-gram and skip features in a hashed table, the second a softmax with one weight for each
+bucket before and bucket, and the last comes from exact counts over all training texts. So every factor is normalised over a few dozen entries, and
 the model's log-probability is the unigram base plus a gain that depends on buckets only.
 
 1. Counts of all words over all training texts. The ``FREQUENT`` most frequent go to every task.
-2. Distributed gradient updates: every task trains on all positions of its texts, from the shared weights, in steps of
-   about ``STEP`` positions; the weights are averaged block by block on the executors.
-3. Every whole text is scored in sparse numpy batches. Rare words leave the task as (row, word, times) and meet
+2. Every text is encoded once: its buckets, two bytes a token, and the sums that its frequent words give.
+3. Distributed gradient updates: texts fall into shards of about ``SHARD`` tokens by a hash of id and text, so neither files nor
+   cores decide what is trained together. A shard's task steps through its positions in the order of the hashes, from the shared
+   weights, by about ``STEP`` positions; weights are averaged block by block on the executors. The shards of a round start
+   from the average of the round before; each position is trained once. The second factor has its optimum in closed form:
+   where the gradient of the likelihood with a prior of ``PRIOR`` positions that follow the buckets' shares is zero. Its counts add up
+   over all shards.
+4. Gains are computed from the buckets in sparse numpy batches. Rare words leave the task as (row, word, times) and meet
    their counts in a join; none of them is frequent, so no key of that join is hot.
+
+The table of word pairs has a cell for every word of the counted vocabulary, rounded up to a power of two,
+between ``CELLS``; beyond, more pairs share a cell, as in any hashed model.
 """
 
 from __future__ import annotations
@@ -30,22 +38,16 @@ CLASSES = MEMBERS = 32
 BUCKETS = CLASSES * MEMBERS
 OWN = BUCKETS // 2  # most frequent words with a bucket of their own
 FREQUENT = 1 << 17
-PAIRS = 1 << 13  # hashed word pairs
-ROUNDS, RATE = 1, 0.05
+CELLS = 1 << 13, 1 << 17  # least and greatest number of cells for word pairs
+ROUNDS, RATE, PRIOR = 2, 0.05, 16.0
+SHARD = 1 << 22  # tokens that one task trains
+PIECE = 1 << 16  # positions of a text that stay together in a shard
 CHUNK = 4096  # positions scored together
 STEP = 2048  # positions of a gradient step
 TOKENS = 1 << 21  # tokens counted together in a task
 BLOCKS = 64
 END = xxhash.xxh64_intdigest(b"\x00end") >> 1
 SMOOTH = 0.1
-SHAPES = {
-    "class_bias": (CLASSES,),
-    "member_bias": (CLASSES, MEMBERS),
-    "before": (3 * BUCKETS, CLASSES),
-    "pairs": (PAIRS, CLASSES),
-    "member": (BUCKETS * CLASSES, MEMBERS),
-}
-SIZES = {name: int(np.prod(shape)) for name, shape in SHAPES.items()}
 
 
 def word_hash(word: bytes) -> int:
@@ -53,11 +55,6 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) >> 1
 
 
-def split(flat: np.ndarray) -> dict[str, np.ndarray]:
-    ends = np.cumsum(list(SIZES.values()))
-    return {n: flat[e - SIZES[n] : e].reshape(SHAPES[n]) for n, e in zip(SHAPES, ends, strict=True)}
-
-
 def _words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
@@ -87,6 +84,7 @@ class Vocabulary:
     def __init__(self, words: np.ndarray, counts: np.ndarray, rest: dict[int, tuple[int, int]], total: int, types: int):
         self.rank = {int(w): i for i, w in enumerate(words)}
         self.total, self.types = total, types
+        self.cells = min(max(CELLS[0], 1 << (types - 1).bit_length() if types else 0), CELLS[1])
         self.denominator = total + SMOOTH * (types + 1)
         self.log10 = np.log10((counts + SMOOTH) / self.denominator) if len(counts) else np.empty(0)
         shared = OWN + (words & (OWN - 1))
@@ -116,55 +114,46 @@ class Vocabulary:
         of[~rare] = self.bucket[codes[~rare].astype(np.int64)]
         return of
 
-    def start(self) -> np.ndarray:
-        """Weights that say what the counts say: the biases are the buckets' shares."""
-        share = (self.share / self.share.sum()).reshape(CLASSES, MEMBERS)
-        flat = np.zeros(sum(SIZES.values()), np.float32)
-        parts = split(flat)
-        parts["class_bias"][:] = np.log(share.sum(axis=1))
-        parts["member_bias"][:] = np.log(share / share.sum(axis=1, keepdims=True))
-        return flat
+    def class_bias(self) -> np.ndarray:
+        """The logarithms of the classes' shares: with all other weights zero, the model says what the counts say."""
+        return np.log(self.share.reshape(CLASSES, MEMBERS).sum(axis=1) / self.share.sum()).astype(np.float32)
 
 
-def contexts(buckets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each position the places of its three words before in ``before`` (n-gram and skips), and their pair's."""
-    padded = np.concatenate([[end] * 3, buckets])
-    back = [padded[3 - i : len(padded) - i] for i in (1, 2, 3)]
-    pair = (back[0] * 40_503 + back[1] * 48_271) % PAIRS
-    return np.stack([back[0], BUCKETS + back[1], 2 * BUCKETS + back[2]], axis=1), pair
-
+def contexts(padded: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, target) of the positions after the first three of ``padded``.
 
-def _logits(w, before, pair, target):
-    kind = target // MEMBERS
-    classes = w["pairs"].take(pair, axis=0)
-    classes += w["class_bias"]
-    for i in range(3):
-        classes += w["before"].take(before[:, i], axis=0)
-    at = before[:, 0] * CLASSES + kind
-    members = w["member"].take(at, axis=0)
-    members += w["member_bias"].take(kind, axis=0)
-    return kind, at, classes, members
+    The rows of ``places`` are the features' rows of the table: the word before, the next two before it (skips) and the pair
+    of the two words before.
+    """
+    padded = padded.astype(np.int64)
+    back = [padded[3 - i : len(padded) - i] for i in (1, 2, 3)]
+    pair = (back[0] * BUCKETS + back[1]).astype(np.uint32) * np.uint32(0x9E3779B1)
+    cell = (pair.astype(np.uint64) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
+    return np.stack([back[0], BUCKETS + back[1], 2 * BUCKETS + back[2], 3 * BUCKETS + cell]), padded[3:]
 
 
-def _log_of(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """The log-softmax of one column of each row."""
+def _logits(weights, bias, places):
+    x = weights.take(places[0], axis=0)
+    for place in places[1:]:
+        x += weights.take(place, axis=0)
+    x += bias
     x -= x.max(axis=1, keepdims=True)
-    return x[np.arange(len(x)), chosen] - np.log(np.exp(x).sum(axis=1))
+    return x
 
 
-def log_probability(w, before, pair, target) -> np.ndarray:
-    """ln P(bucket | context) for each position."""
-    kind, _, classes, members = _logits(w, before, pair, target)
-    return _log_of(classes, kind) + _log_of(members, target % MEMBERS)
+def member_logs(counts: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """ln P(bucket | its class, bucket before), by bucket before and bucket; ``counts`` are those of all such pairs."""
+    by_class = counts.astype(np.float64).reshape(BUCKETS, CLASSES, MEMBERS)
+    prior = share.reshape(CLASSES, MEMBERS) / share.reshape(CLASSES, MEMBERS).sum(axis=1, keepdims=True)
+    chance = (by_class + PRIOR * prior) / (by_class.sum(axis=2, keepdims=True) + PRIOR)
+    return np.log(chance).astype(np.float32).reshape(BUCKETS, BUCKETS)
 
 
-def _slope(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """The gradient of -ln softmax of one column of each row, in place."""
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    x[np.arange(len(x)), chosen] -= 1
-    return x
+def log_probability(weights, bias, members, places, target) -> np.ndarray:
+    """ln P(bucket | context) for each position."""
+    x = _logits(weights, bias, places)
+    of_class = x[np.arange(len(x)), target // MEMBERS] - np.log(np.exp(x).sum(axis=1))
+    return of_class + members[places[0], target]
 
 
 def _update(weights, squares, place, gradient):
@@ -181,111 +170,194 @@ def _update(weights, squares, place, gradient):
     weights[rows] -= RATE * total / (np.sqrt(seen) + 1e-4)
 
 
-def train_step(w, s, before, pair, target) -> None:
-    kind, at, classes, members = _logits(w, before, pair, target)
-    by_class, by_member = _slope(classes, kind), _slope(members, target % MEMBERS)
-    for i in range(3):
-        _update(w["before"], s["before"], before[:, i], by_class)
-    _update(w["pairs"], s["pairs"], pair, by_class)
-    _update(w["member"], s["member"], at, by_member)
-    _update(w["member_bias"], s["member_bias"], kind, by_member)
+def train_step(weights, squares, bias, places, target) -> None:
+    x = _logits(weights, bias, places)  # becomes the gradient of -ln softmax of the class
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    x[np.arange(len(x)), target // MEMBERS] -= 1
+    for place in places:
+        _update(weights, squares, place, x)
 
 
-def _train(model):
+def _encode(model):
     def run(batches):
-        vocabulary, flat = model.value
-        flat = flat.copy()
-        w, s = split(flat), split(np.full_like(flat, 0.5))
+        vocabulary = model.value
         cache = WordCache(vocabulary.code)
-        end = int(vocabulary.buckets(np.array([vocabulary.end], np.uint64))[0])
+        for batch in batches:
+            out = {n: [] for n in ("n_tokens", "known", "base", "buckets", "rare", "times")}
+            for text in batch.column("text"):
+                codes = np.append(cache.values_of(_words(text.as_py())), np.uint64(vocabulary.end))
+                often = codes >> np.uint64(63) == 0
+                rare, times = np.unique(codes[~often] & np.uint64((1 << 63) - 1), return_counts=True)
+                out["n_tokens"].append(len(codes))
+                out["known"].append(int(often.sum()))
+                out["base"].append(float(vocabulary.log10[codes[often].astype(np.int64)].sum()))
+                out["buckets"].append(vocabulary.buckets(codes).astype(np.int16).tobytes())
+                out["rare"].append(rare.view(np.int64))
+                out["times"].append(times)
+            lists = pa.list_(pa.int64())
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), lists, lists]
+            given = ["row", "doc_id", "held_out", "key"]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in given), *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))],
+                names=[*given, *out],
+            )
+
+    return run
+
+
+ENCODED = (
+    "row long, doc_id long, held_out boolean, key long, n_tokens long, known long, base double, buckets binary,"
+    " rare array<long>, times array<long>"
+)
+
+
+def _pieces(end: int, shards: int):
+    """Texts in pieces of ``PIECE`` positions, each with the three buckets before it."""
+
+    def run(batches):
+        for batch in batches:
+            shard, keys, data = [], [], []
+            for key, buckets in zip(batch.column("key").to_pylist(), batch.column("buckets"), strict=True):
+                padded = np.concatenate([np.full(3, end, np.int16), np.frombuffer(buckets.as_py(), np.int16)])
+                for at in range(0, len(padded) - 3, PIECE):
+                    of = xxhash.xxh64_intdigest(b"%d %d" % (key, at))
+                    shard.append(of % shards)
+                    keys.append(of >> 1)
+                    data.append(padded[at : at + PIECE + 3].tobytes())
+            yield pa.record_batch(
+                {"shard": pa.array(shard, pa.int64()), "key": pa.array(keys, pa.int64()), "data": pa.array(data, pa.binary())}
+            )
+
+    return run
+
+
+def _train(model):
+    """Steps through a shard: the blocks of its weights, and how often each bucket follows each."""
+
+    def run(key, shard):
+        vocabulary, flat = model.value
+        weights = flat.copy()
+        squares, bias = np.full_like(weights, 0.5), vocabulary.class_bias()
+        counts = np.zeros(BUCKETS * BUCKETS, np.int64)
         seen, waiting, pending = 0, 0, []
 
         def step():
-            train_step(w, s, *(np.concatenate(x) for x in zip(*pending, strict=True)))
+            places, target = (np.concatenate(x, axis=-1) for x in zip(*pending, strict=True))
+            train_step(weights, squares, bias, places, target)
+            np.add.at(counts, places[0] * BUCKETS + target, 1)
             pending.clear()
 
-        for batch in batches:
-            for text in batch.column("text"):
-                codes = np.append(cache.values_of(_words(text.as_py())), np.uint64(vocabulary.end))
-                buckets = vocabulary.buckets(codes)
-                before, pair = contexts(buckets, end)
-                seen += len(buckets)
-                for at in range(0, len(buckets), CHUNK):
-                    part = slice(at, at + CHUNK)
-                    pending.append((before[part], pair[part], buckets[part]))
-                    waiting += len(buckets[part])
-                    if waiting >= STEP:
-                        step()
-                        waiting = 0
+        shard = shard.sort_by([("key", "ascending"), ("data", "ascending")])
+        for data in shard.column("data"):
+            padded = np.frombuffer(data.as_py(), np.int16)
+            for at in range(0, len(padded) - 3, CHUNK):
+                places, target = contexts(padded[at : at + CHUNK + 3], vocabulary.cells)
+                pending.append((places, target))
+                seen += len(target)
+                waiting += len(target)
+                if waiting >= STEP:
+                    step()
+                    waiting = 0
         if waiting:
             step()
-        if seen:
-            parts = np.array_split(flat, BLOCKS)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(range(BLOCKS), pa.int64()),
-                    pa.array([seen] * BLOCKS, pa.int64()),
-                    pa.array([x.tobytes() for x in parts], pa.binary()),
-                ],
-                names=["block", "seen", "weights"],
-            )
+        return pa.table(
+            {
+                "block": pa.array(range(BLOCKS), pa.int64()),
+                "shard": pa.array([key[0].as_py()] * BLOCKS, pa.int64()),
+                "seen": pa.array([seen] * BLOCKS, pa.int64()),
+                "weights": pa.array([x.tobytes() for x in np.array_split(weights, BLOCKS)], pa.binary()),
+                "counts": pa.array([x.tobytes() for x in np.array_split(counts, BLOCKS)], pa.binary()),
+            }
+        )
 
     return run
 
 
-def _average(key, rows):
-    seen = rows.column("seen").to_numpy().astype(np.float64)
-    total = 0.0
-    for n, weights in zip(seen, rows.column("weights"), strict=True):
-        total = total + n / seen.sum() * np.frombuffer(weights.as_py(), np.float32)
-    return pa.table({"block": [key[0].as_py()], "weights": [total.astype(np.float32).tobytes()]})
+TRAINED = "block long, shard long, seen long, weights binary, counts binary"
+
 
+def _combine(batches):
+    """The average of each block's weights, by positions seen, and the sum of its counts; rows come in the order of blocks."""
+    block, total, seen, counts = None, 0.0, 0, 0
 
-def _score(model):
+    def done():
+        average = (total / seen).astype(np.float32)
+        return pa.record_batch({"block": [block], "weights": [average.tobytes()], "counts": [counts.tobytes()]})
+
+    for batch in batches:
+        columns = (batch.column(n) for n in ("block", "seen", "weights", "counts"))
+        for of, n, weights, pairs in zip(*columns, strict=True):
+            if block is not None and of.as_py() != block:
+                yield done()
+                total, seen, counts = 0.0, 0, 0
+            block, seen = of.as_py(), seen + n.as_py()
+            total = total + n.as_py() * np.frombuffer(weights.as_py(), np.float32).astype(np.float64)
+            counts = counts + np.frombuffer(pairs.as_py(), np.int64)
+    if block is not None:
+        yield done()
+
+
+def _gain(model, end: int):
     def run(batches):
-        vocabulary, flat = model.value
-        w, cache = split(flat), WordCache(vocabulary.code)
-        end = int(vocabulary.buckets(np.array([vocabulary.end], np.uint64))[0])
-        log_share = np.log(vocabulary.share)
+        vocabulary, weights, members = model.value
+        bias, log_share = vocabulary.class_bias(), np.log(vocabulary.share)
         for batch in batches:
-            out = {n: [] for n in ("n_tokens", "known", "base", "gain", "rare", "times")}
-            for text in batch.column("text"):
-                codes = np.append(cache.values_of(_words(text.as_py())), np.uint64(vocabulary.end))
-                buckets = vocabulary.buckets(codes)
-                before, pair = contexts(buckets, end)
+            gains = []
+            for buckets in batch.column("buckets"):
+                padded = np.concatenate([np.full(3, end, np.int16), np.frombuffer(buckets.as_py(), np.int16)])
                 gain = 0.0
-                for at in range(0, len(codes), CHUNK):
-                    part = slice(at, at + CHUNK)
-                    got = log_probability(w, before[part], pair[part], buckets[part])
-                    gain += float((got - log_share[buckets[part]]).sum())
-                often = codes >> np.uint64(63) == 0
-                rare, times = np.unique(codes[~often] & np.uint64((1 << 63) - 1), return_counts=True)
-                out["n_tokens"].append(len(codes))
-                out["known"].append(int(often.sum()))
-                out["base"].append(float(vocabulary.log10[codes[often].astype(np.int64)].sum()))
-                out["gain"].append(gain / np.log(10))
-                out["rare"].append(rare.view(np.int64))
-                out["times"].append(times)
-            lists = pa.list_(pa.int64())
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), lists, lists]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))],
-                names=["row", "doc_id", *out],
-            )
+                for at in range(0, len(padded) - 3, CHUNK):
+                    places, target = contexts(padded[at : at + CHUNK + 3], vocabulary.cells)
+                    got = log_probability(weights, bias, members, places, target)
+                    gain += float((got - log_share[target]).sum())
+                gains.append(gain / np.log(10))
+            given = ["row", "doc_id", "held_out", "n_tokens", "known", "base"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in given), pa.array(gains, pa.float64())], names=[*given, "gain"])
 
     return run
 
 
-SCORED = "row long, doc_id long, n_tokens long, known long, base double, gain double, rare array<long>, times array<long>"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, gain double"
+
+
+def _fitted(taught: DataFrame, vocabulary: Vocabulary, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The weights and the table of ``member_logs``, trained on the encoded texts. Both have a bounded size."""
+    spark = taught.sparkSession
+    weights = np.zeros((3 * BUCKETS + vocabulary.cells, CLASSES), np.float32)
+    counts = np.zeros((BUCKETS, BUCKETS), np.int64)
+    shards = -(-vocabulary.total // SHARD)
+    pieces = taught.select("key", "buckets").mapInArrow(_pieces(end, shards), "shard long, key long, data binary")
+    rounds = min(ROUNDS, shards)
+    for i in range(rounds):
+        model = spark.sparkContext.broadcast((vocabulary, weights))
+        mine = pieces if rounds == 1 else pieces.where(F.col("shard") % rounds == i)
+        blocks = (
+            mine.repartition(-(-shards // rounds), "shard")
+            .groupBy("shard")
+            .applyInArrow(_train(model), TRAINED)
+            .repartition(BLOCKS, "block")
+            .sortWithinPartitions("block", "shard")
+            .mapInArrow(_combine, "block long, weights binary, counts binary")
+            .collect()  # the model once: 25 MB at most
+        )
+        model.unpersist()
+        if blocks:
+            blocks.sort(key=lambda r: r.block)
+            weights = np.frombuffer(b"".join(r.weights for r in blocks), np.float32).reshape(weights.shape)
+            counts += np.frombuffer(b"".join(r.counts for r in blocks), np.int64).reshape(counts.shape)
+    return weights, member_logs(counts, vocabulary.share)
 
 
 def score_texts(docs: DataFrame, folds: int = 10) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     Tokens are the words without ASCII white space, A-Z lower-cased, and one end. Texts whose
-    crc32(doc_id) mod ``folds`` is 0 are held out of all training; a null doc_id is not. A null text is
-    empty and has the end as its only token. Words are told apart by 63-bit hashes. If nothing is left to train
-    on, every word is unknown.
+    crc32(doc_id) mod ``folds`` is 0 are held out of all training; a null doc_id is not. A null or empty text has the end as
+    its only token. Very long texts are trained in pieces and scored whole. Repeated rows each count and each get a row;
+    equal texts get equal scores. Words of equal count are ranked by their 63-bit hash, which tells words apart. Of other columns
+    none is read or kept. An empty table gives no rows; if nothing is left to train on, every word is unknown. Scores do not depend on
+    the files' layout or the cluster (rows of null doc_id apart, which are spread by their place).
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -309,21 +381,22 @@ def score_texts(docs: DataFrame, folds: int = 10) -> DataFrame:
         total.n or 0,
         total.v,
     )
-    flat = vocabulary.start()
-    few = taught.coalesce(max(1, spark.sparkContext.defaultParallelism))
-    for _ in range(ROUNDS if total.n else 0):
-        model = spark.sparkContext.broadcast((vocabulary, flat))
-        blocks = (
-            few.mapInArrow(_train(model), "block long, seen long, weights binary")
-            .groupBy("block")
-            .applyInArrow(_average, "block long, weights binary")
-            .collect()  # the model once: a few MB
-        )
-        flat = np.concatenate([np.frombuffer(r.weights, np.float32) for r in sorted(blocks, key=lambda r: r.block)])
-    model = spark.sparkContext.broadcast((vocabulary, flat))
-    rows = kept.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    scored = stored(rows.mapInArrow(_score(model), SCORED), "lm-scores")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
+    model = spark.sparkContext.broadcast(vocabulary)
+    row = F.monotonically_increasing_id()
+    rows = kept.select(
+        row.alias("row"),
+        "doc_id",
+        F.coalesce(fold == 0, F.lit(False)).alias("held_out"),
+        F.xxhash64(F.coalesce("doc_id", row), "text").alias("key"),
+        "text",
+    )
+    encoded = stored(rows.mapInArrow(_encode(model), ENCODED), "lm-encoded")
+    end = int(vocabulary.buckets(np.array([vocabulary.end], np.uint64))[0])
+    weights, members = _fitted(encoded.where("NOT held_out"), vocabulary, end)
+    model = spark.sparkContext.broadcast((vocabulary, weights, members))
+    columns = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "buckets"]
+    scored = encoded.select(*columns).mapInArrow(_gain(model, end), SCORED)
+    rare = encoded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
         "row", F.col("x.rare").alias("word"), "x.times"
     )
     n = F.coalesce("n", F.lit(0))
@@ -336,9 +409,9 @@ def score_texts(docs: DataFrame, folds: int = 10) -> DataFrame:
         )
     )
     base = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
-    return scored.drop("rare", "times").join(sums, "row", "left").select(
+    return scored.join(sums, "row", "left").select(
         "doc_id",
-        F.coalesce(fold == 0, F.lit(False)).alias("held_out"),
+        "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(int(vocabulary.total)).cast("long").alias("train_tokens"),

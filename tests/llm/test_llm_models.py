@@ -9,6 +9,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from llm_cases import SF_DIR, awkward, empty, real, rows
 
@@ -201,12 +202,14 @@ def test_base_scores(spark, monkeypatch, frequent):
 
 def test_probabilities_add_up():
     vocabulary = lm_scoring.Vocabulary(np.arange(1000) * 7919, np.arange(1000, 0, -1), {i: (2000, 9) for i in range(512)}, 1024_000, 4608)
-    w = lm_scoring.split(vocabulary.start())
     pick = np.random.default_rng(0)
-    for part in w.values():
-        part += pick.normal(0, 0.5, part.shape)
-    before, pair = np.array([[3, 1024 + 9, 2048 + 77]]), np.array([12])
-    total = sum(math.exp(lm_scoring.log_probability(w, before, pair, np.array([b]))[0]) for b in range(lm_scoring.BUCKETS))
+    weights = pick.normal(0, 0.5, (3 * lm_scoring.BUCKETS + vocabulary.cells, lm_scoring.CLASSES)).astype(np.float32)
+    members = lm_scoring.member_logs(pick.integers(0, 4, (lm_scoring.BUCKETS,) * 2), vocabulary.share)
+    total = 0.0
+    for b in range(lm_scoring.BUCKETS):
+        places, target = lm_scoring.contexts(np.array([77, 9, 3, b], np.int16), vocabulary.cells)
+        assert places[:3].tolist() == [[3], [1024 + 9], [2048 + 77]] and target.tolist() == [b]
+        total += math.exp(lm_scoring.log_probability(weights, vocabulary.class_bias(), members, places, target)[0])
     assert total == pytest.approx(1, abs=1e-4)
 
 
@@ -216,15 +219,98 @@ def test_training_learns_what_follows(spark):
         assert r.score > r.base_score
 
 
+def slow_model(sequences, vocabulary, end):
+    """One gradient step over all positions and the counted second factor, by the formulas: ln P(bucket | context)."""
+    one = lm_scoring
+    table = np.zeros((3 * one.BUCKETS + vocabulary.cells, one.CLASSES))
+    share = vocabulary.share / vocabulary.share.sum()
+    by_class = share.reshape(one.CLASSES, one.MEMBERS).sum(axis=1)
+    follows = Counter()
+
+    def features(sequence, i):
+        back = [sequence[i - k] if i >= k else end for k in (1, 2, 3)]
+        cell = ((back[0] * one.BUCKETS + back[1]) * 0x9E3779B1 % 2**32) * vocabulary.cells >> 32
+        return [back[0], one.BUCKETS + back[1], 2 * one.BUCKETS + back[2], 3 * one.BUCKETS + cell]
+
+    def classes(at):
+        x = np.log(by_class) + table[at].sum(axis=0)
+        return np.exp(x) / np.exp(x).sum()
+
+    slopes = [{} for _ in range(4)]  # each kind of feature makes its step by itself
+    for s in sequences:
+        for i, b in enumerate(s):
+            at = features(s, i)
+            slope = classes(at) - (np.arange(one.CLASSES) == b // one.MEMBERS)
+            for kind, row in zip(slopes, at, strict=True):
+                kind[row] = kind.get(row, 0) + slope
+            follows[at[0], b] += 1
+    for kind in slopes:
+        for row, slope in kind.items():
+            table[row] -= one.RATE * slope / (np.sqrt(0.5 + slope**2) + 1e-4)
+
+    def log_of(s, i):
+        at, b = features(s, i), s[i]
+        low = b // one.MEMBERS * one.MEMBERS
+        n = sum(follows[at[0], c] for c in range(low, low + one.MEMBERS))
+        member = (follows[at[0], b] + one.PRIOR * share[b] / by_class[b // one.MEMBERS]) / (n + one.PRIOR)
+        return math.log(classes(at)[b // one.MEMBERS] * member)
+
+    return log_of
+
+
+def test_scores_are_those_of_the_formulas(spark):
+    rows = [(i, text) for i, text in enumerate(["a b c a b", "b c", None, "", "c C x a  b\na", "unseen words"] * 4)]
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0}
+    words = {i: (text or "").lower().split() + [None] for i, text in rows}
+    counts = Counter(w for i, ws in words.items() if i not in held for w in ws)
+    code = {w: lm_scoring.END if w is None else lm_scoring.word_hash(w.encode()) for ws in words.values() for w in ws}
+    top = sorted(counts, key=lambda w: (-counts[w], code[w]))
+    low = {w: code[w] & (lm_scoring.OWN - 1) for w in top}
+    rest = {x: (sum(counts[w] for w in top if low[w] == x), sum(low[w] == x for w in top)) for x in low.values()}
+    vocabulary = lm_scoring.Vocabulary(
+        np.array([code[w] for w in top]), np.array([counts[w] for w in top]), rest, counts.total(), len(top)
+    )
+    bucket = {w: top.index(w) if w in top else lm_scoring.OWN + (code[w] & (lm_scoring.OWN - 1)) for w in code}
+    sequences = {i: [bucket[w] for w in ws] for i, ws in words.items()}
+    log_of = slow_model([s for i, s in sequences.items() if i not in held], vocabulary, bucket[None])
+    got = lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and held
+    for r in got:
+        s = sequences[r.doc_id]
+        gain = sum(log_of(s, i) - math.log(vocabulary.share[b]) for i, b in enumerate(s)) / math.log(10)
+        assert r.score == pytest.approx(r.base_score + gain, abs=1e-4)
+
+
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD", 1 << 14)
+    docs = real(spark).select("doc_id", "text")
+    found = [
+        {r.doc_id: r.score for r in lm_scoring.score_texts(docs.repartition(n)).select("doc_id", "score").collect()} for n in (1, 7)
+    ]
+    assert found[0].keys() == found[1].keys()
+    assert all(found[0][i] == pytest.approx(found[1][i], rel=1e-6) for i in found[0])
+
+
 def test_every_position_is_trained(monkeypatch):
     taught = Counter()
-    monkeypatch.setattr(lm_scoring, "train_step", lambda w, s, before, pair, target: taught.update(target.tolist()))
+    monkeypatch.setattr(lm_scoring, "PIECE", 700)
+    monkeypatch.setattr(lm_scoring, "train_step", lambda w, s, bias, places, target: taught.update(target.tolist()))
     texts = [" ".join(["tick", "tock"] * 10)[: 5 * i] for i in range(1, 20)] + ["tick " * 5_000, None, ""]
     words = [(text or "").encode().split() for text in texts]
     counts = Counter(lm_scoring.word_hash(w) for ws in words for w in ws) + Counter({lm_scoring.END: len(words)})
     top = counts.most_common()
     vocabulary = lm_scoring.Vocabulary(np.array([w for w, _ in top]), np.array([n for _, n in top]), {}, counts.total(), len(top))
-    model = SimpleNamespace(value=(vocabulary, np.zeros(sum(lm_scoring.SIZES.values()), np.float32)))
-    blocks = list(lm_scoring._train(model)([pa.record_batch({"text": pa.array([t and t.encode() for t in texts], pa.binary())})]))
+    given = {"text": pa.array([t and t.encode() for t in texts], pa.binary())}
+    given |= {n: pa.array([1] * len(texts), pa.int64()) for n in ("row", "doc_id", "key")} | {"held_out": pa.array([False] * len(texts))}
+    encoded = list(lm_scoring._encode(SimpleNamespace(value=vocabulary))([pa.record_batch(given)]))
+    flat = np.zeros((3 * lm_scoring.BUCKETS + vocabulary.cells, lm_scoring.CLASSES), np.float32)
+    pieces = pa.Table.from_batches(lm_scoring._pieces(0, 3)(encoded))
+    assert set(pieces.column("shard").to_pylist()) == {0, 1, 2}
+    seen, follows = 0, 0
+    for shard in range(3):
+        mine = pieces.filter(pc.equal(pieces.column("shard"), shard))
+        blocks = lm_scoring._train(SimpleNamespace(value=(vocabulary, flat)))((pa.scalar(shard),), mine)
+        seen += blocks.column("seen").to_pylist()[0]
+        follows += sum(np.frombuffer(x.as_py(), np.int64).sum() for x in blocks.column("counts"))
     assert taught == Counter({i: n for i, (_, n) in enumerate(top)})
-    assert {n for b in blocks for n in b.column("seen").to_pylist()} == {counts.total()}
+    assert seen == follows == counts.total()
