@@ -32,7 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helpgrid.llm.common import WordCache, documents, ship_package, stored
+from helpgrid.llm.common import documents, ship_package, stored
+from helpgrid.llm.words import WHITE_SPACE, word_slices
 
 CLASSES = MEMBERS = 32
 BUCKETS = CLASSES * MEMBERS
@@ -44,7 +45,7 @@ SHARD = 1 << 22  # tokens that one task trains
 PIECE = 1 << 16  # positions of a text that stay together in a shard
 CHUNK = 4096  # positions scored together
 STEP = 2048  # positions of a gradient step
-TOKENS = 1 << 21  # tokens counted together in a task
+WORDS = 1 << 20  # counts of words that a task gathers before it adds them up
 BLOCKS = 64
 END = xxhash.xxh64_intdigest(b"\x00end") >> 1
 SMOOTH = 0.1
@@ -55,23 +56,26 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) >> 1
 
 
-def _words(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+#: White space separates words, A-Z become lower case.
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in WHITE_SPACE], np.uint8)
 
 
 def _count(batches):
-    cache, pending, size = WordCache(word_hash), [], 0
+    pending, size = [], 0
 
     def rows():
-        of, n = np.unique(np.concatenate(pending), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(of.view(np.int64)), pa.array(n)], names=["word", "n"])
+        words, counts = (np.concatenate(x) for x in zip(*pending, strict=True))
+        order = np.argsort(words, kind="stable")
+        words, counts = words[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+        return pa.record_batch({"word": words[first].view(np.int64), "n": np.add.reduceat(counts, first)})
 
     for batch in batches:
-        for text in batch.column("text"):
-            words = _words(text.as_py())
-            pending += [cache.values_of(words), np.array([END], np.uint64)]
-            size += len(words) + 1
-            if size > TOKENS:
+        for _, texts, words in word_slices(batch, LOWER):
+            hashes = np.fromiter(map(word_hash, words.vocabulary.to_pylist()), np.uint64, len(words.vocabulary))
+            pending.append((np.append(hashes, np.uint64(END)), np.append(np.bincount(words.codes, minlength=len(hashes)), texts)))
+            size += len(hashes)
+            if size > WORDS:
                 yield rows()
                 pending, size = [], 0
     if pending:
@@ -182,26 +186,36 @@ def train_step(weights, squares, bias, places, target) -> None:
 def _encode(model):
     def run(batches):
         vocabulary = model.value
-        cache = WordCache(vocabulary.code)
+        end = np.array([vocabulary.end], np.uint64)
         for batch in batches:
-            out = {n: [] for n in ("n_tokens", "known", "base", "buckets", "rare", "times")}
-            for text in batch.column("text"):
-                codes = np.append(cache.values_of(_words(text.as_py())), np.uint64(vocabulary.end))
+            for first, texts, words in word_slices(batch, LOWER):
+                known = np.fromiter(map(vocabulary.code, words.vocabulary.to_pylist()), np.uint64, len(words.vocabulary))
+                codes = np.insert(np.append(known, end)[words.codes], words.bounds[1:], end)  # an end after each text
+                starts = words.bounds + np.arange(texts + 1)
                 often = codes >> np.uint64(63) == 0
-                rare, times = np.unique(codes[~often] & np.uint64((1 << 63) - 1), return_counts=True)
-                out["n_tokens"].append(len(codes))
-                out["known"].append(int(often.sum()))
-                out["base"].append(float(vocabulary.log10[codes[often].astype(np.int64)].sum()))
-                out["buckets"].append(vocabulary.buckets(codes).astype(np.int16).tobytes())
-                out["rare"].append(rare.view(np.int64))
-                out["times"].append(times)
-            lists = pa.list_(pa.int64())
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), lists, lists]
-            given = ["row", "doc_id", "held_out", "key"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in given), *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))],
-                names=[*given, *out],
-            )
+                logs = np.zeros(len(codes))
+                logs[often] = vocabulary.log10[codes[often].astype(np.int64)]
+                of = np.repeat(np.arange(texts), np.diff(starts))[~often]
+                rare = codes[~often] & np.uint64((1 << 63) - 1)
+                order = np.lexsort((rare, of))
+                of, rare = of[order], rare[order]
+                new = np.ones(len(rare) + 1, bool)
+                new[1:-1] = (rare[1:] != rare[:-1]) | (of[1:] != of[:-1])
+                at = np.flatnonzero(new)  # where each (text, word) begins; the last is the end
+                ends = pa.array(np.searchsorted(of[at[:-1]], np.arange(texts + 1)), pa.int32())
+                buckets = pa.py_buffer(vocabulary.buckets(codes).astype(np.int16))
+                given = {n: batch.column(n).slice(first, texts) for n in ("row", "doc_id", "held_out", "key")}
+                yield pa.record_batch(
+                    given
+                    | {
+                        "n_tokens": pa.array(np.diff(starts)),
+                        "known": pa.array(np.add.reduceat(often, starts[:-1], dtype=np.int64)),
+                        "base": pa.array(np.add.reduceat(logs, starts[:-1])),
+                        "buckets": pa.Array.from_buffers(pa.binary(), texts, [None, pa.py_buffer((2 * starts).astype(np.int32)), buckets]),
+                        "rare": pa.ListArray.from_arrays(ends, pa.array(rare[at[:-1]].view(np.int64))),
+                        "times": pa.ListArray.from_arrays(ends, pa.array(np.diff(at))),
+                    }
+                )
 
     return run
 
@@ -235,12 +249,12 @@ def _pieces(end: int, shards: int):
 def _train(model):
     """Steps through a shard: the blocks of its weights, and how often each bucket follows each."""
 
-    def run(key, shard):
+    def run(batches):
         vocabulary, flat = model.value
         weights = flat.copy()
         squares, bias = np.full_like(weights, 0.5), vocabulary.class_bias()
-        counts = np.zeros(BUCKETS * BUCKETS, np.int64)
-        seen, waiting, pending = 0, 0, []
+        counts = np.zeros(BUCKETS * BUCKETS, np.int32)
+        shard, seen, waiting, pending = None, 0, 0, []
 
         def step():
             places, target = (np.concatenate(x, axis=-1) for x in zip(*pending, strict=True))
@@ -248,28 +262,29 @@ def _train(model):
             np.add.at(counts, places[0] * BUCKETS + target, 1)
             pending.clear()
 
-        shard = shard.sort_by([("key", "ascending"), ("data", "ascending")])
-        for data in shard.column("data"):
-            padded = np.frombuffer(data.as_py(), np.int16)
-            for at in range(0, len(padded) - 3, CHUNK):
-                places, target = contexts(padded[at : at + CHUNK + 3], vocabulary.cells)
-                pending.append((places, target))
-                seen += len(target)
-                waiting += len(target)
-                if waiting >= STEP:
-                    step()
-                    waiting = 0
+        for batch in batches:
+            for of, data in zip(batch.column("shard"), batch.column("data"), strict=True):
+                shard, padded = of.as_py(), np.frombuffer(data.as_py(), np.int16)
+                for at in range(0, len(padded) - 3, CHUNK):
+                    places, target = contexts(padded[at : at + CHUNK + 3], vocabulary.cells)
+                    pending.append((places, target))
+                    seen += len(target)
+                    waiting += len(target)
+                    if waiting >= STEP:
+                        step()
+                        waiting = 0
         if waiting:
             step()
-        return pa.table(
-            {
-                "block": pa.array(range(BLOCKS), pa.int64()),
-                "shard": pa.array([key[0].as_py()] * BLOCKS, pa.int64()),
-                "seen": pa.array([seen] * BLOCKS, pa.int64()),
-                "weights": pa.array([x.tobytes() for x in np.array_split(weights, BLOCKS)], pa.binary()),
-                "counts": pa.array([x.tobytes() for x in np.array_split(counts, BLOCKS)], pa.binary()),
-            }
-        )
+        if seen:
+            yield pa.record_batch(
+                {
+                    "block": pa.array(range(BLOCKS), pa.int64()),
+                    "shard": pa.array([shard] * BLOCKS, pa.int64()),
+                    "seen": pa.array([seen] * BLOCKS, pa.int64()),
+                    "weights": pa.array([x.tobytes() for x in np.array_split(weights, BLOCKS)], pa.binary()),
+                    "counts": pa.array([x.tobytes() for x in np.array_split(counts, BLOCKS)], pa.binary()),
+                }
+            )
 
     return run
 
@@ -293,7 +308,7 @@ def _combine(batches):
                 total, seen, counts = 0.0, 0, 0
             block, seen = of.as_py(), seen + n.as_py()
             total = total + n.as_py() * np.frombuffer(weights.as_py(), np.float32).astype(np.float64)
-            counts = counts + np.frombuffer(pairs.as_py(), np.int64)
+            counts = counts + np.frombuffer(pairs.as_py(), np.int32).astype(np.int64)
     if block is not None:
         yield done()
 
@@ -333,9 +348,9 @@ def _fitted(taught: DataFrame, vocabulary: Vocabulary, end: int) -> tuple[np.nda
         model = spark.sparkContext.broadcast((vocabulary, weights))
         mine = pieces if rounds == 1 else pieces.where(F.col("shard") % rounds == i)
         blocks = (
-            mine.repartition(-(-shards // rounds), "shard")
-            .groupBy("shard")
-            .applyInArrow(_train(model), TRAINED)
+            mine.repartitionById(-(-shards // rounds), F.expr(f"int(shard div {rounds})"))  # a task a shard
+            .sortWithinPartitions("key", "data")
+            .mapInArrow(_train(model), TRAINED)
             .repartition(BLOCKS, "block")
             .sortWithinPartitions("block", "shard")
             .mapInArrow(_combine, "block long, weights binary, counts binary")

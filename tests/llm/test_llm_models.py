@@ -308,9 +308,9 @@ def test_every_position_is_trained(monkeypatch):
     assert set(pieces.column("shard").to_pylist()) == {0, 1, 2}
     seen, follows = 0, 0
     for shard in range(3):
-        mine = pieces.filter(pc.equal(pieces.column("shard"), shard))
-        blocks = lm_scoring._train(SimpleNamespace(value=(vocabulary, flat)))((pa.scalar(shard),), mine)
+        mine = pieces.filter(pc.equal(pieces.column("shard"), shard)).to_batches()
+        (blocks,) = lm_scoring._train(SimpleNamespace(value=(vocabulary, flat)))(mine)
         seen += blocks.column("seen").to_pylist()[0]
-        follows += sum(np.frombuffer(x.as_py(), np.int64).sum() for x in blocks.column("counts"))
+        follows += sum(np.frombuffer(x.as_py(), np.int32).sum() for x in blocks.column("counts"))
     assert taught == Counter({i: n for i, (_, n) in enumerate(top)})
     assert seen == follows == counts.total()
