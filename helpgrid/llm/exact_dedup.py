@@ -7,13 +7,15 @@ Only rows whose cells were all filled twice are shuffled and grouped by their SH
 The filter is split into segments of fixed size. A hash belongs to one segment, so the segments
 are filled by separate tasks from 8-byte hashes, which every batch reduces to distinct ones first:
 a text that makes up a third of all rows counts once or twice a batch. Filters are sized by
-the number of rows and never exceed ``MAX_CELLS``: beyond, hashes are split into classes which are
-filtered one after another, each reading only its own rows. False positives only cost a shuffled row.
+the number of rows and never exceed ``MAX_CELLS``: beyond, hashes are split into classes, each a folder of
+the written digests. Classes are filtered one after another: each reads only its own folder, and its rows are written and its filter is
+destroyed before the next one begins. False positives only cost a shuffled row.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -91,7 +93,7 @@ def _look_up(segments: int, broadcast):
 
 
 def _flagged(rows: DataFrame, n: int) -> DataFrame:
-    """The rows of one class with ``maybe``: false only where no other row has the same hash."""
+    """The rows of one class with ``maybe``, written: false only where no other row has the same hash."""
     segments = max(1, -(-n * CELLS_PER_ROW // SEGMENT))
     filled = (
         rows.select("h")
@@ -103,7 +105,9 @@ def _flagged(rows: DataFrame, n: int) -> DataFrame:
     for segment, part in filled.toLocalIterator():  # MAX_CELLS bits at most
         plane[segment * SEGMENT // 8 :][: SEGMENT // 8] = np.frombuffer(part, np.uint8)
     shared = rows.sparkSession.sparkContext.broadcast(plane)
-    return rows.mapInArrow(_look_up(segments, shared), "doc_id long, row long, sha binary, maybe boolean")
+    flagged = stored(rows.mapInArrow(_look_up(segments, shared), "doc_id long, row long, sha binary, maybe boolean"), "flagged")
+    shared.destroy()
+    return flagged
 
 
 def exact_duplicates(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
@@ -111,26 +115,24 @@ def exact_duplicates(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
 
     Texts are equal when identical after lower-casing A-Z. Of equal texts the row with the largest
     doc_id stays. A null text counts as empty; a null doc_id is the smallest; of
-    rows that repeat text and doc_id one stays. An empty table gives an empty result.
+    rows that repeat text and doc_id one stays. Very long texts are hashed whole. Of other columns none is read or kept.
+    An empty table gives an empty result.
     """
     ship_package(docs.sparkSession)
-    digests = stored(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.monotonically_increasing_id().alias("row"),
-            F.col("text").cast("string").alias("text"),
-        ).mapInArrow(_digest, "doc_id long, row long, sha binary, h long"),
-        "digests",
-    )
-    n = digests.count()
+    n = docs.count()
     classes = max(1, -(-n * CELLS_PER_ROW // max_cells))
-    parts = [
-        _flagged(digests.where(F.pmod(F.xxhash64("h"), F.lit(classes)) == c), -(-n // classes)) for c in range(classes)
-    ]
-    flagged = parts[0]
-    for part in parts[1:]:
-        flagged = flagged.union(part)
-    flagged = stored(flagged, "flagged")
+    digests = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.monotonically_increasing_id().alias("row"),
+        F.col("text").cast("string").alias("text"),
+    ).mapInArrow(_digest, "doc_id long, row long, sha binary, h long")
+    if classes == 1:
+        flagged = _flagged(stored(digests, "digests"), n)
+    else:
+        of = F.pmod(F.xxhash64("h"), F.lit(classes))
+        digests = stored(digests.withColumn("class", of), "digests", partition_by=["class"])
+        parts = [_flagged(digests.where(F.col("class") == c), -(-n // classes)) for c in range(classes)]
+        flagged = reduce(DataFrame.unionByName, parts)
     sha = F.lower(F.hex("sha")).alias("text_sha256")
     alone = flagged.where(~F.col("maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha

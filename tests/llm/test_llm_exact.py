@@ -3,12 +3,13 @@
 import hashlib
 import heapq
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
 from llm_cases import SF_DIR, TEXTS, awkward, empty, real, rows
 
-from helpgrid.llm import mixing, token_counts
+from helpgrid.llm import exact_dedup, mixing, token_counts
 from helpgrid.llm.exact_dedup import exact_duplicates
 from helpgrid.session import scratch_path
 
@@ -40,6 +41,23 @@ def test_exact_duplicates(spark, max_cells):
     assert exact_duplicates(empty(spark)).count() == 0
 
 
+def test_each_class_reads_its_own_folder(spark, monkeypatch):
+    plans, pairs = [], [(r.doc_id, r.text) for r in real(spark).select("doc_id", "text").collect()]
+    flagged = exact_dedup._flagged
+
+    def seen(rows, n):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        found = flagged(rows, n)
+        assert rows.count() < len(pairs)
+        return found
+
+    monkeypatch.setattr(exact_dedup, "_flagged", seen)
+    found = exact_duplicates(real(spark), len(pairs) * exact_dedup.CELLS_PER_ROW // 3).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in found) == expected_duplicates(pairs)[0]
+    assert len(plans) >= 3
+    assert all(re.search(r"PartitionFilters: \[[^\]]*class", plan) for plan in plans)
+
+
 def slow_apportion(votes, seats):
     won = [0] * len(votes)
     heap = [(-v, i) for i, v in enumerate(votes) if v > 0]
