@@ -2,7 +2,8 @@
 
 1. A lexicon: words (and the first letters of longer words) get the log-odds of standing in toxic and in clean
    documents, with an informative Dirichlet prior, drawn towards zero by two standard deviations. It is fitted on at most
-   ``MAX_LABELS`` labelled documents and holds at most ``MAX_WORDS`` entries, which bounds what is broadcast.
+   ``MAX_LABELS`` labelled documents and holds every entry that is still not zero then, rare ones too; so the words of
+   these documents bound what is broadcast.
 2. A linear scan over every whole text finds all maximal segments whose sum of scores no extension raises. Words
    outside the lexicon cost ``GAP``, so scores are negative in the mean and segments stay local.
 3. Extreme-value calibration: by chance a text of n words has a segment above S with expectation K n exp(-lambda S). Lambda
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 from helpgrid.llm.common import WordCache, bounded_labels, documents, ship_package, stored, table
 
 MAX_LABELS = 200_000
-MAX_WORDS = 50_000
 PRIOR = 1000.0  # pseudo-count of the prior, shared by all words as they occur
 GAP = 0.3
 STEM, STEM_OF = 5, 7  # first characters that stand for a word of at least so many
@@ -79,8 +79,7 @@ def log_odds(counts: DataFrame) -> tuple[dict[bytes, float], list[tuple[float, f
         counts.select("form", "clean", (F.signum(odds) * sure).alias("score"), sure.alias("sure"))
         .where("sure > 0")
         .orderBy(F.desc("sure"), "form")
-        .limit(MAX_WORDS)
-        .collect()
+        .collect()  # forms of at most MAX_LABELS documents
     )
     lexicon = {bytes(r.form): r.score for r in ranked}
     shares: defaultdict[float, float] = defaultdict(float)

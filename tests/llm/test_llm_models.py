@@ -32,6 +32,20 @@ def slow_segments(scores):
     return left + [(a, b)] + [(x + b, y + b) for x, y in slow_segments(scores[b:])]
 
 
+def test_lexicon_holds_every_sure_form(spark):
+    counts = [(b"vile%d" % i, 9, 1) for i in range(40_000)] + [(b"kind%d" % i, 0, 4_000) for i in range(30_000)] + [(b"even", 50, 50)]
+    lexicon, shares = toxicity.log_odds(spark.createDataFrame(counts, "form binary, toxic long, clean long"))
+    assert {f for f, score in lexicon.items() if score > 0} >= {b"vile%d" % i for i in range(40_000)}
+    for form, toxic, clean in counts[::997]:
+        t, c = (sum(x[i] for x in counts) for i in (1, 2))
+        prior = toxicity.PRIOR * (toxic + clean) / (t + c)
+        a, b = toxic + prior, clean + prior
+        odds = math.log(a / (t + toxicity.PRIOR - a)) - math.log(b / (c + toxicity.PRIOR - b))
+        sure = abs(odds) - 2 * math.sqrt(1 / a + 1 / b)
+        assert lexicon.get(form, 0.0) == pytest.approx(math.copysign(max(sure, 0.0), odds), rel=1e-9)
+    assert sum(share for _, share in shares) == pytest.approx(1)
+
+
 def test_maximal_segments():
     pick = np.random.default_rng(5)
     for _ in range(200):
