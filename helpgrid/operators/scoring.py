@@ -1,8 +1,8 @@
-"""Inner products of a block of queries with a batch of article vectors, inside one task.
+"""Inner products of a block of queries with a batch of articles, inside one task.
 
 Spark hands each task a stream of Arrow batches of vectors. The task holds one batch and one block of queries at a
 time, and returns a few rows per query: the range of its scores, or its best articles so far. The table
-of all (query, article) pairs is never emitted.
+of all (query, article) pairs is never emitted. Keyword scores have the postings of whole articles in place of vectors.
 """
 
 from __future__ import annotations
@@ -17,10 +17,15 @@ import pyarrow as pa
 CELLS = 1 << 21
 QUERIES_PER_BLOCK = 1024
 
+# Articles whose keyword scores with a block of queries are held at a time, and products summed at once.
+ARTICLES_PER_RUN, PRODUCTS = 4096, 1 << 21
+
 # Scores keep this many decimals, so that the order of a summation cannot make equal scores differ.
 SCORE_DECIMALS = 12
 # Articles are ranked by the fused score to nine decimals, then by kb_id.
 RANK_SCALE = 1e9
+# Keyword scores that differ by more than this, in units of the last decimal kept, never share a rank key.
+NEAR = 2 * round(10**SCORE_DECIMALS / RANK_SCALE)
 
 
 @dataclass
@@ -119,3 +124,132 @@ def _top(ids: np.ndarray, key: np.ndarray, scores: np.ndarray, top_k: int) -> li
         ordered = key * n - place
         chosen = np.argpartition(ordered, n - top_k, axis=1)[:, n - top_k :]
     return [ids[chosen], *(np.take_along_axis(c, chosen, axis=1) for c in (key, scores))]
+
+
+# --- keyword scores ---------------------------------------------------------------------------
+
+
+@dataclass
+class QueryWeights:
+    """Weights of the terms of queries: ``query`` is a place in ``ids``, and rows are sorted by it."""
+
+    ids: np.ndarray
+    query: np.ndarray
+    code: np.ndarray
+    weight: np.ndarray
+
+
+def best_by_keywords(batches: Iterator[pa.RecordBatch], weights: QueryWeights, top_k: int) -> Iterator[pa.RecordBatch]:
+    """Per query: the task's best ``top_k`` articles by keyword score, and what it found.
+
+    The rows are postings (kb_id, code, tf) of whole articles, and for each article one row with its norm. The scores of
+    a run of articles with a block of queries are held at a time. Equal scores go to the lower kb_id; scores too near
+    for the rank key to tell are all kept, as the lower kb_id of them may win. ``low`` and ``pairs`` of the rows
+    without kb_id are the least score, zero for articles without a common term, and the number of articles with one.
+    """
+    batches = [batch for batch in batches if batch.num_rows]
+    if not batches or not len(weights.ids):
+        return
+    table = pa.Table.from_batches(batches)
+    is_norm = table["norm"].is_valid().to_numpy()
+    articles, code, tf = (table[c].to_numpy() for c in ("kb_id", "code", "tf"))
+    held, norm = articles[is_norm], table["norm"].to_numpy()[is_norm]
+    has_vector = table["has_vector"].to_numpy()[is_norm].astype(bool)
+    order = np.argsort(held)
+    held, norm, has_vector = held[order], norm[order], has_vector[order]
+    articles, code, tf = articles[~is_norm], code[~is_norm], tf[~is_norm]
+    used, article = np.unique(np.searchsorted(held, articles), return_inverse=True)
+    held, norm, has_vector = held[used], norm[used], has_vector[used]
+    order = np.argsort(article, kind="stable")
+    article, code, tf = article[order], code[order], tf[order].astype(np.float64)
+
+    floor = np.zeros(len(weights.ids), dtype=np.int64)
+    low, pairs = np.full(len(weights.ids), np.inf), np.zeros(len(weights.ids), dtype=np.int64)
+    for first in range(0, len(held), ARTICLES_PER_RUN):
+        run = slice(first, first + ARTICLES_PER_RUN)
+        a, b = np.searchsorted(article, (first, first + ARTICLES_PER_RUN))
+        by_code = a + np.argsort(code[a:b], kind="stable")
+        mine = code[by_code], article[by_code] - first, tf[by_code]
+        n = len(held[run])
+        step = max(1, CELLS // n)
+        for start in range(0, len(weights.ids), step):
+            block = slice(start, start + step)
+            dot = _products(weights, block, mine, n)
+            scores = np.round(dot / norm[run], SCORE_DECIMALS)
+            low[block] = np.minimum(low[block], scores.min(1))
+            pairs[block] += (dot > 0).sum(1)
+            key = np.rint(scores * 10**SCORE_DECIMALS).astype(np.int64)
+            row, column, least = _leading(key, top_k)
+            floor[block] = np.maximum(floor[block], least)
+            kept = key[row, column] >= floor[block][row] - NEAR
+            row, column = row[kept], column[kept]
+            yield _found(weights.ids[block][row], held[run][column], has_vector[run][column], scores[row, column])
+    seen = pairs > 0
+    none = pa.nulls(int(seen.sum()), pa.int64())
+    columns = [weights.ids[seen], none, none.cast(pa.bool_()), none.cast(pa.float64()), low[seen], pairs[seen]]
+    yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], BEST_COLUMNS)
+
+
+BEST_COLUMNS = ["query_id", "kb_id", "has_vector", "keyword", "low", "pairs"]
+
+
+def _found(query: np.ndarray, kb_id: np.ndarray, has_vector: np.ndarray, keyword: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(c) for c in (query, kb_id, has_vector, keyword)]
+    columns += [pa.nulls(len(query), pa.float64()), pa.nulls(len(query), pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, BEST_COLUMNS)
+
+
+def _products(weights: QueryWeights, block: slice, postings: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    """Sums of tf * weight by query of the block and article of the run. ``postings`` are sorted by code."""
+    code, article, tf = postings
+    size = len(weights.ids[block])
+    a, b = np.searchsorted(weights.query, (block.start, block.start + size))
+    left, right = np.searchsorted(code, weights.code[a:b], "left"), np.searchsorted(code, weights.code[a:b], "right")
+    found = np.flatnonzero(right > left)
+    counts, left = (right - left)[found], left[found]
+    cell, weight = (weights.query[a:b][found] - block.start) * n, weights.weight[a:b][found]
+    dot = np.zeros(size * n)
+    ends = np.cumsum(counts)
+    at = 0
+    while at < len(found):  # a term has at most a run of postings, so a step has few more than PRODUCTS
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PRODUCTS, "right")))
+        many = counts[at:to]
+        offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        place = np.repeat(left[at:to], many) + offset
+        # cells of these queries only, which are neighbours
+        base = cell[at]
+        top = cell[to - 1] + n
+        where = np.repeat(cell[at:to] - base, many) + article[place]
+        dot[base:top] += np.bincount(where, tf[place] * np.repeat(weight[at:to], many), top - base)
+        at = to
+    return dot.reshape(size, n)
+
+
+def _leading(key: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells (row, column) that may be among the best ``top_k`` of their row, and the k-th best key of each row.
+
+    Columns are in the order of ids. Of equal keys the first ``top_k`` are enough; of keys that are near the k-th best all
+    values have to stay. Zeros are not listed.
+    """
+    rows, n = key.shape
+    if n <= top_k:
+        row, column = np.nonzero(key)
+        return row, column, np.zeros(rows, dtype=np.int64)
+    ordered = key * n + np.arange(n - 1, -1, -1)
+    chosen = np.argpartition(ordered, n - top_k, axis=1)[:, n - top_k :]
+    least = np.take_along_axis(key, chosen, axis=1).min(1)
+    equal = (key == least[:, None]).sum(1)
+    near = (np.abs(key - least[:, None]) <= NEAR).sum(1)
+    plain = near == equal
+    row, column = np.repeat(np.flatnonzero(plain), top_k), chosen[plain].ravel()
+    more = [(row, column)]
+    for r in np.flatnonzero(~plain):
+        at = np.flatnonzero(key[r] >= least[r] - NEAR)
+        at = at[np.argsort(-key[r][at], kind="stable")]
+        values = key[r][at]
+        place = np.arange(len(at)) - np.searchsorted(-values, -values, "left")
+        at = at[place < top_k]
+        more.append((np.full(len(at), r), at))
+    row, column = (np.concatenate(c) for c in zip(*more))
+    some = key[row, column] > 0
+    return row[some], column[some], least

@@ -31,6 +31,10 @@ from helpgrid.session import BROADCAST_BYTES, ship_package, small, written
 PASS_BYTES = 64 << 20
 # Pairs whose vectors one task multiplies.
 PAIRS = 1 << 14
+# Up to this many (query, article) pairs of a pass, a search by keywords alone lists those that share a term.
+LISTED_PAIRS = 1 << 24
+# Postings that a task holds to find the best articles by keywords, about.
+POSTINGS_PER_TASK = 1 << 22
 # From this many files of vectors on, a first part of them gives the floors for the others.
 FLOOR_FILES = 64
 
@@ -38,6 +42,7 @@ RANGES = (
     "query_id long, sem_min double, sem_max double, kw_min double, kw_max double, n_matched long"
 )
 CANDIDATES = "query_id long, alpha double, kb_id long, rank_key long, semantic double"
+BEST = "query_id long, kb_id long, has_vector boolean, keyword double, low double, pairs long"
 HITS = (
     "query_id long, alpha double, rank int, kb_id long, semantic_score double, keyword_score double, hybrid_score double"
 )
@@ -76,16 +81,20 @@ def _weights(index: Index, terms: DataFrame, codes: list[int] | None) -> DataFra
     return rows.select("query_id", "code", "term", "tf", "idf", (raw / length).alias("weight"))
 
 
+def _pass_weights(index: Index, queries: DataFrame) -> tuple[list[int] | None, DataFrame]:
+    """The codes of a pass unless these are many, and query_id, code and weight times idf, written."""
+    terms, codes = query_terms(index, queries)
+    weights = _weights(index, terms, codes).select("query_id", "code", (F.col("weight") * F.col("idf")).alias("weight"))
+    return codes, written(weights, "query-weights")
+
+
 def keyword_pairs(index: Index, queries: DataFrame) -> DataFrame:
     """query_id, kb_id, has_vector and keyword (the cosine) of every query and article that share a term.
 
     ``queries`` are one pass. The postings of a term lie in as many files as they need, and their products are summed by
     query and article, so a term of a third of all articles makes no large task.
     """
-    terms, codes = query_terms(index, queries)
-    weights = written(
-        _weights(index, terms, codes).select("query_id", "code", (F.col("weight") * F.col("idf")).alias("weight")), "query-weights"
-    )
+    codes, weights = _pass_weights(index, queries)
     products = (
         index.postings(codes)
         .join(F.broadcast(weights), "code")
@@ -105,6 +114,31 @@ def keyword_pairs(index: Index, queries: DataFrame) -> DataFrame:
     )
 
 
+def best_keyword_pairs(index: Index, queries: DataFrame, top_k: int) -> DataFrame:
+    """What ``keyword_pairs`` has that a search by keywords alone needs: the best ``top_k`` pairs of every query, and its range.
+
+    The postings of the pass's terms are dealt by article, with each article's norm, and the products of an article are summed inside
+    its task, so the pairs are neither shuffled nor written. Rows are as in ``scoring.best_by_keywords``; some more
+    pairs than the best may come. ``queries`` are one pass, whose weights every task gets.
+    """
+    codes, weights = _pass_weights(index, queries)
+    table = weights.toArrow().sort_by([("query_id", "ascending"), ("code", "ascending")])
+    ids, query = np.unique(table["query_id"].to_numpy(), return_inverse=True)
+    shared = index.spark.sparkContext.broadcast(
+        scoring.QueryWeights(ids, query, table["code"].to_numpy(), table["weight"].to_numpy())
+    )
+
+    def task(batches):
+        yield from scoring.best_by_keywords(batches, shared.value, top_k)
+
+    met = index.postings(codes).join(F.broadcast(weights.select("code").distinct()), "code", "left_semi")
+    unknown = F.lit(None)
+    rows = met.select("kb_id", "code", "tf", unknown.cast("double").alias("norm"), unknown.cast("boolean").alias("has_vector"))
+    norms = index.norms.select("kb_id", F.lit(0).cast("long").alias("code"), F.lit(0).alias("tf"), "norm", "has_vector")
+    tasks = max(index.spark.sparkContext.defaultParallelism, index.n_postings // POSTINGS_PER_TASK + 1)
+    return rows.unionByName(norms).repartition(tasks, "kb_id").mapInArrow(task, BEST)
+
+
 # --- passes of queries ------------------------------------------------------------------------
 
 
@@ -137,11 +171,15 @@ def _pass_of(passes: int):
 
 @dataclass
 class Pass:
-    """One pass of queries: all of them, those with a vector as blocks, and the pairs that share a term, if wanted."""
+    """One pass of queries: all of them, those with a vector as blocks, and the pairs that share a term, if wanted.
+
+    ``spans`` has the ranges of the keyword scores where ``pairs`` are the best ones only.
+    """
 
     queries: DataFrame
     blocks: list[scoring.QueryBlock]
     pairs: DataFrame | None
+    spans: DataFrame | None = None
 
 
 def _blocks(index: Index, queries: DataFrame) -> list[scoring.QueryBlock]:
@@ -158,12 +196,20 @@ def _blocks(index: Index, queries: DataFrame) -> list[scoring.QueryBlock]:
     return scoring.blocks_of(table["query_id"].to_numpy(), scoring.unit_rows(dense))
 
 
-def _passes(index: Index, queries: DataFrame, limit: int, kinds: str) -> Iterator[Pass]:
-    """``kinds``: k for keyword scores, s for semantic ones."""
+def _passes(index: Index, queries: DataFrame, limit: int, kinds: str, best: int | None = None) -> Iterator[Pass]:
+    """``kinds``: k for keyword scores, s for semantic ones. ``best``: how many pairs of a query are enough, unless all are needed."""
     passes = pass_count(queries, index, limit)
     for number in range(passes):
         part = queries if passes == 1 else queries.where(_pass_of(passes) == number)
         blocks = _blocks(index, part) if "s" in kinds else []
+        if best is not None and "k" in kinds and part.count() * index.n > LISTED_PAIRS:
+            found = written(best_keyword_pairs(index, part, best), "pairs")
+            spans = found.groupBy("query_id").agg(
+                F.min("low").alias("kw_min"), F.max("keyword").alias("kw_max"), F.sum("pairs").alias("n_pairs")
+            )
+            pairs = found.where("kb_id IS NOT NULL").select("query_id", "kb_id", "has_vector", "keyword")
+            yield Pass(part, blocks, pairs, spans.withColumns({"kw_max": F.coalesce("kw_max", F.lit(0.0)), "n_matched": F.col("n_pairs")}))
+            continue
         pairs = written(keyword_pairs(index, part), "pairs") if "k" in kinds else None
         yield Pass(part, blocks, pairs)
 
@@ -196,7 +242,9 @@ def _ranges(index: Index, one: Pass) -> DataFrame:
         found = found.join(dense, "query_id", "left")
     else:
         found = found.select("query_id", F.lit(0.0).alias("sem_min"), F.lit(0.0).alias("sem_max"))
-    if one.pairs is not None:
+    if one.spans is not None:
+        found = found.join(one.spans, "query_id", "left")
+    elif one.pairs is not None:
         sparse = one.pairs.groupBy("query_id").agg(
             F.min("keyword").alias("kw_min"), F.max("keyword").alias("kw_max"), F.count_if(F.col("keyword") > 0).alias("n_matched"), F.count(F.lit(1)).alias("n_pairs")
         )
@@ -448,7 +496,8 @@ def sweep(
         kinds = ("k" if min(alphas) < 1 else "") + ("s" if max(alphas) > 0 else "")
     if top_k == 0 or index.n == 0:
         return spark.createDataFrame([], HITS)
-    parts = (_ranked(index, one, alphas, top_k, scaled, kinds) for one in _passes(index, queries, pass_bytes, kinds))
+    best = top_k if max(alphas, default=1.0) == 0 else None  # by keywords alone
+    parts = (_ranked(index, one, alphas, top_k, scaled, kinds) for one in _passes(index, queries, pass_bytes, kinds, best))
     return _gather(parts, spark, HITS)
 
 

@@ -292,3 +292,53 @@ def test_repeated_ids_are_refused(spark, index, queries, rows, held):
     articles, vectors = frames(spark, [*rows, rows[0]], held)
     with pytest.raises(ValueError, match="kb_id must be unique"):
         build_index(articles, vectors)
+
+
+@pytest.mark.parametrize("k, task", [(1, 1 << 22), (3, 50), (100, 50)])
+def test_many_pairs_are_summed_inside_tasks(monkeypatch, index, queries, brute, k, task):
+    """Beyond a number of pairs neither their products nor the pairs are shuffled or written, and the hits stay the same."""
+    monkeypatch.setattr(S, "LISTED_PAIRS", 0)
+    monkeypatch.setattr(S, "POSTINGS_PER_TASK", task)
+    monkeypatch.setattr(S, "keyword_pairs", None)
+    check(S.retrieve(index, queries, k, 0.0), brute, QUERIES, k, 0.0)
+    check(S.retrieve(index, queries, k, 0.0, scaled=False), brute, QUERIES, k, 0.0, scaled=False)
+
+
+@pytest.mark.parametrize("run, products, cells", [(4096, 1 << 21, 1 << 21), (7, 5, 30)])
+def test_runs_of_articles_and_products(monkeypatch, run, products, cells):
+    monkeypatch.setattr(scoring, "ARTICLES_PER_RUN", run)
+    monkeypatch.setattr(scoring, "PRODUCTS", products)
+    monkeypatch.setattr(scoring, "CELLS", cells)
+    random = np.random.default_rng(1)
+    tf, weight = random.integers(0, 3, (30, 12)), random.integers(0, 3, (9, 12)) / 3
+    weight[4] = 0
+    norm = random.integers(20, 40, 30).astype(float)
+    a, code = np.nonzero(tf)
+    postings = [(int(i) * 10, int(c), int(tf[i, c]), None, None) for i, c in zip(a, code)]
+    postings += [(i * 10, 0, 0, float(norm[i]), i % 2 == 0) for i in range(30)]
+    schema = pa.schema({"kb_id": pa.int64(), "code": pa.int64(), "tf": pa.int32(), "norm": pa.float64(), "has_vector": pa.bool_()})
+    random.shuffle(postings)
+    parts = [pa.record_batch([list(c) for c in zip(*p)], schema=schema) for p in (postings[:50], [], postings[50:]) if p]
+    q, code = np.nonzero(weight)
+    ids, place = np.unique(q, return_inverse=True)
+    weights = scoring.QueryWeights(ids, place, code, weight[q, code])
+    rows = pa.Table.from_batches(scoring.best_by_keywords(iter(parts), weights, 3)).to_pylist()
+    score = np.round(weight @ tf.T / norm, 12)
+    for query in range(9):
+        wanted = sorted((-score[query, i], i * 10) for i in range(30) if score[query, i] > 0)[:3]
+        mine = [r for r in rows if r["query_id"] == query]
+        hits = sorted((-r["keyword"], r["kb_id"]) for r in mine if r["kb_id"] is not None)
+        assert hits[: len(wanted)] == [(pytest.approx(s, abs=1e-11), i) for s, i in wanted]
+        assert all(r["has_vector"] == (r["kb_id"] % 20 == 0) for r in mine if r["kb_id"] is not None)
+        about = [(r["low"], r["pairs"]) for r in mine if r["kb_id"] is None]
+        matched = int((score[query] > 0).sum())
+        assert about == ([(pytest.approx(score[query].min(), abs=1e-11), matched)] if matched else [])
+
+
+def test_scores_that_share_a_rank_key_all_stay():
+    """The lower kb_id of nearly equal scores may win once they are scaled; of equal ones the first are enough."""
+    unit = 10**12
+    key = np.array([[unit - 900, unit, unit, unit - 900, unit - 5000, 0, unit - 900], [0, 0, 7 * unit // 8, 0, 0, 0, unit // 2]])
+    row, column, least = scoring._leading(key, 2)
+    assert sorted(zip(row.tolist(), column.tolist())) == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 2), (1, 6)]
+    assert least.tolist() == [unit, unit // 2]
