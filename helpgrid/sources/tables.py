@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +22,9 @@ CSV = {
     "ignoreTrailingWhiteSpace": "false",
 }
 
+# A file that one task reads whole has about this many bytes of text.
+FILE_BYTES = 32 << 20
+
 
 def _empty_as_null(df: DataFrame) -> DataFrame:
     return df.select(
@@ -76,7 +81,7 @@ def read_positions(spark: SparkSession, path: str, schema: T.StructType, name: s
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("_file", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     place = F.col("_start") + F.col("_row") - F.col("_first")
-    return marked.join(starts, "_file").select(place.alias(name), *schema.names)
+    return marked.join(F.broadcast(starts), "_file").select(place.alias(name), *schema.names)
 
 
 def read_vectors(spark: SparkSession, path: str, key: str, vector: str) -> DataFrame:
@@ -110,6 +115,17 @@ def write_articles(
         rows.write.mode(mode).format(kind).save(path)
 
 
+def write_ordered_csv(rows: DataFrame, path: str, key: str, columns: list[str]) -> None:
+    """The columns without the key as CSV files, in its order over files and lines.
+
+    One task reads a file whose fields hold line breaks, so there are as many files as the text needs, and two at least.
+    """
+    text = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c in columns]
+    size = rows.agg(F.coalesce(F.sum(reduce(Column.__add__, text)), F.lit(0))).first()[0]
+    ordered = rows.repartitionByRange(max(2, -(-size // FILE_BYTES)), key).sortWithinPartitions(key)
+    ordered.select(*columns).write.options(**CSV).csv(path)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A breakdown as CSV with header, replacing an earlier one."""
     report.write.mode("overwrite").options(**CSV).csv(path)

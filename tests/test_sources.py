@@ -67,6 +67,18 @@ def test_positions_over_files(spark, tmp_path):
     assert got[5].subcategory == f"line\nbreak, {wanted[5]}" and got[5].resolution_steps is None
 
 
+def test_ordered_files_are_as_many_as_the_text_needs(monkeypatch, spark, tmp_path):
+    """A task reads one file, so files must not grow with the table."""
+    monkeypatch.setattr(IO, "FILE_BYTES", 1000)
+    rows = [(i, f"c{i}", None, "", f"line\nbreak {i}", "x" * 20) for i in range(300)]
+    given = spark.createDataFrame(rows[::-1], "kb_id long, category string, subcategory string, journey_stage string, issue_description string, resolution_steps string")
+    IO.write_ordered_csv(given, str(tmp_path / "kb"), "kb_id", ARTICLE_FIELDS)
+    sizes = [p.stat().st_size for p in (tmp_path / "kb").glob("part-*.csv")]
+    assert len(sizes) >= 10 and max(sizes) < 3 * 1000
+    got = IO.read_articles_csv(spark, str(tmp_path / "kb")).orderBy("kb_id").collect()
+    assert [(r.kb_id, r.category, r.subcategory) for r in got] == [(i, f"c{i}", None) for i in range(300)]
+
+
 def test_append_and_overwrite(spark):
     path = scratch_path(spark, "kb")
     IO.write_articles(frame(spark), path, "overwrite")
