@@ -140,3 +140,36 @@ def test_terms_with_one_hash(monkeypatch, spark, rows, vectors, index):
     assert all(after[t] == code for t, code in before.items())
     assert len(set(after.values())) == len(after) == index.terms.count()
     assert sorted(retrieve(grown, asked, 5, 0.0).collect()) == expected
+
+
+@pytest.fixture
+def two_partitions(spark):
+    """Few partitions are set, and none are put together."""
+    wanted = {"spark.sql.shuffle.partitions": "2", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    given = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in given.items():
+        spark.conf.set(name, value)
+
+
+def test_partitions_grow_in_number_with_the_postings(monkeypatch, spark, two_partitions):
+    """A task of a build must not hold more postings because there are more articles."""
+    monkeypatch.setattr("helpgrid.session.PARTITION_ROWS", 100, raising=False)
+    monkeypatch.setattr(I, "PARTITION_ROWS", 100, raising=False)
+    monkeypatch.setattr(I, "BROADCAST_BYTES", 0, raising=False)
+    names = "kb_id long, category string, subcategory string, journey_stage string, issue_description string, resolution_steps string"
+    rows = [(i, "c", "s", "j", f"word{i} other{i % 7}", None) for i in range(400)]
+    index = I.build_index(spark.createDataFrame(rows, names))
+    sizes = [r["count"] for r in index.postings().groupBy(F.input_file_name()).count().collect()]
+    assert index.n_postings >= 1200 and max(sizes) <= 3 * 100
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "2"
+    weights = I.tfidf_weights(index)
+    assert weights.rdd.getNumPartitions() >= index.n_postings // 100
+    assert weights.groupBy("kb_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("n")).where("abs(n - 1) > 1e-9").count() == 0
+    more = spark.createDataFrame([(i, "c", "s", "j", f"word{i} other{i % 7}", None) for i in range(400, 420)], names)
+    grown, whole = I.refresh_index(index, more), I.build_index(spark.createDataFrame(rows, names).unionByName(more))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "2"
+    near = grown.norms.alias("a").join(whole.norms.alias("b"), "kb_id").where("abs(a.norm - b.norm) < 1e-9")
+    assert near.count() == 420
