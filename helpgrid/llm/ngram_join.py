@@ -51,6 +51,7 @@ from helpgrid.llm.common import (
 SKETCH_SEGMENT, MAX_SEGMENTS = 1 << 16, 1 << 9
 SHORTEST, LONGEST = 32, 16  # a set of n picks an l of at least n / SHORTEST and at most n / LONGEST, or 8
 VERIFY_COST = 4  # a list entry against a shingle compared in verification, which costs one for so many
+SHORT = (1 << 40) - 1  # the bits of a shingle by which repeated ones are looked for; fewer bytes to shuffle
 ROUNDS = 4
 SUB = 256  # documents handled together inside a task
 
@@ -74,6 +75,21 @@ def _cell(of: np.ndarray, cells: int) -> np.ndarray:
     return (of % np.uint64(cells)).astype(np.int64)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts of one task, most of them 0 or 1: four bits a cell, 15 for more, and the larger ones after them in order."""
+    low = np.minimum(counts, 15).astype(np.uint8)
+    return zlib.compress((low[::2] | low[1::2] << 4).tobytes() + counts[counts >= 15].astype(np.uint16).tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    data = zlib.decompress(packed)
+    pairs = np.frombuffer(data, np.uint8, SKETCH_SEGMENT // 2)
+    counts = np.empty(SKETCH_SEGMENT, np.uint16)
+    counts[::2], counts[1::2] = pairs & 15, pairs >> 4
+    counts[counts == 15] = np.frombuffer(data, np.uint16, offset=SKETCH_SEGMENT // 2)
+    return counts
+
+
 def _sketch(width: int, cells: int):
     def add(counts, pending):
         if pending:
@@ -93,7 +109,7 @@ def _sketch(width: int, cells: int):
             part = counts[segment * SKETCH_SEGMENT :][:SKETCH_SEGMENT]
             if part.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([segment]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())],
+                    [pa.array([segment]), pa.array([_packed(part)], pa.binary())],
                     names=["segment", "counts"],
                 )
 
@@ -116,7 +132,7 @@ def _merge(batches):
                 if current is not None:
                     yield coded()
                 current, total = segment, np.zeros(SKETCH_SEGMENT, np.int64)
-            total += np.frombuffer(zlib.decompress(counts), np.uint16)
+            total += _unpacked(counts)
     if current is not None:
         yield coded()
 
@@ -175,7 +191,7 @@ def _open_postings(shared):
             row = np.repeat(np.arange(batch.num_rows), tokens.value_lengths().to_numpy(zero_copy_only=False).astype(int))
             first = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1]) if len(row) else np.empty(0, int)
             place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
-            on = np.flatnonzero(shared.value.may_have(flat)) if len(flat) else np.empty(0, int)
+            on = np.flatnonzero(shared.value.may_have(flat & SHORT)) if len(flat) else np.empty(0, int)
             at = pa.array(row[on])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c).take(at) for c in ("key", "n", "matches", "length")]
@@ -410,9 +426,11 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80, seed: i
         return linked_documents(docs.withColumn("text", F.col("text").cast("string")), width, percent, seed + 2)
 
     prefixes = rows.where("tokens IS NOT NULL").select("key", "n", "matches", F.size("tokens").alias("length"), "tokens")
-    # Copies of a text count as well, so a shingle met once is in no other set.
+    # Copies of a text count as well, so a shingle met once is in no other set. Counted by a part of its bits: two shingles
+    # that share it stay until their whole hashes are compared.
     again = stored(
         prefixes.select(F.explode("tokens").alias("token"))
+        .select(F.col("token").bitwiseAND(F.lit(SHORT)).alias("token"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("times"))
         .where("times > 1")

@@ -1,11 +1,12 @@
 """Line dedup, the n-gram join and decontamination."""
 
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 from llm_cases import SF_DIR, awkward, empty, real, rows
 
-from helpgrid.llm import decontamination
+from helpgrid.llm import decontamination, ngram_join
 from helpgrid.llm.common import hash_filter
 from helpgrid.llm.line_dedup import dedup_lines
 from helpgrid.llm.ngram_join import linked_documents, op4_ngram_join
@@ -227,3 +228,18 @@ def test_windows_of_several_texts_are_those_of_each():
 
     alone = [x for i, own in enumerate(codes) for x in rows(own, np.zeros(len(own), np.int64), i)]
     assert sorted(alone) == sorted(rows(np.concatenate(codes), owner)) and len(alone) > 100
+
+
+def test_few_bits_of_a_shingle(monkeypatch, spark):
+    """Repeated shingles are looked for by a part of their bits: with hardly any left, all links are the same."""
+    wanted = sorted(linked_documents(real(spark), 4, 85).collect())
+    monkeypatch.setattr(ngram_join, "SHORT", 7)
+    assert sorted(linked_documents(real(spark), 4, 85).collect()) == wanted
+
+
+def test_sketch_of_a_task_is_small():
+    counts = np.random.default_rng(3).poisson(0.16, ngram_join.SKETCH_SEGMENT).astype(np.uint16)
+    counts[[5, 70, 900, 65535]] = [14, 15, 16, 65535]
+    packed = ngram_join._packed(counts)
+    assert (ngram_join._unpacked(packed) == counts).all()
+    assert 3 * len(packed) < 2 * len(zlib.compress(counts.tobytes(), 1))
