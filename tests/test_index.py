@@ -1,3 +1,4 @@
+import pyarrow.parquet as pq
 import pytest
 from brute import Brute, make_articles, make_vectors
 from pyspark.sql import functions as F
@@ -173,3 +174,31 @@ def test_partitions_grow_in_number_with_the_postings(monkeypatch, spark, two_par
     assert spark.conf.get("spark.sql.shuffle.partitions") == "2"
     near = grown.norms.alias("a").join(whole.norms.alias("b"), "kb_id").where("abs(a.norm - b.norm) < 1e-9")
     assert near.count() == 420
+
+
+def test_terms_of_one_article_are_not_joined(spark, index):
+    """The sums of articles do not need the postings of the terms that no other article has."""
+    frequencies = index.frequencies()
+    common = index.postings().join(frequencies.where("df > 1").select("code"), "code", "left_semi")
+    assert common.count() < index.n_postings
+    tall = I.coded(index.counts, index.moved)
+    found = I.article_sums(tall, common, frequencies, index.n_postings)
+    got = {r.kb_id: (r.s0, r.s1, r.s2) for r in found.collect()}
+    wanted = {r.kb_id: (r.s0, r.s1, r.s2) for r in index.sums.where("n_terms > 0").collect()}
+    assert got.keys() == wanted.keys()
+    assert all(got[i] == pytest.approx(wanted[i], rel=1e-12) for i in got)
+
+
+def test_files_of_shards_are_in_order(monkeypatch, spark, rows):
+    """A task that writes several shards sorts by the code alone, and its files are in order."""
+    monkeypatch.setattr(I, "SHARD_POSTINGS", 200)
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    given = spark.conf.get(name)
+    index = I.build_index(spark.createDataFrame(rows, ARTICLE_COLUMNS))
+    assert spark.conf.get(name) == given and index.segments[0].bits >= 3
+    for kind, schema in (("postings", I.POSTINGS), ("terms", I.TERMS)):
+        files = spark.read.schema(schema).parquet(f"{index.segments[0].path}/{kind}").inputFiles()
+        assert len(files) >= 1 << index.segments[0].bits
+        for file in files:
+            codes = pq.ParquetFile(file.removeprefix("file://")).read(["code"])["code"].to_pylist()
+            assert codes == sorted(codes)
