@@ -217,7 +217,8 @@ def _united(batches):
 def hash_filter(hashes: DataFrame, n: int) -> HashFilter:
     """A filter over the only column (long, not null) of ``hashes``, of about ``n`` distinct ones; 16 bits for each.
 
-    Every task fills a filter of its own, of bounded size; the parts that hold a hash are united by segment.
+    Every task fills a filter of its own, of bounded size; the parts that hold a hash are united by segment, and come
+    to the driver in one job (64 MB at most), as a job for each partition would take longer the more of them there are.
     """
     size = FILTER_SEGMENT
     while size < min(16 * n, FILTER_BITS):
@@ -229,8 +230,9 @@ def hash_filter(hashes: DataFrame, n: int) -> HashFilter:
         .mapInArrow(_united, "segment long, plane binary")
     )
     plane = np.zeros(size // 8, np.uint8)
-    for segment, part in parts.toLocalIterator():
-        plane[segment * FILTER_SEGMENT // 8 :][: FILTER_SEGMENT // 8] = np.frombuffer(part, np.uint8)
+    for batch in parts.toArrow().to_batches():
+        for segment, part in zip(batch.column("segment").to_pylist(), batch.column("plane"), strict=True):
+            plane[segment * FILTER_SEGMENT // 8 :][: FILTER_SEGMENT // 8] = np.frombuffer(part.as_buffer(), np.uint8)
     return HashFilter(plane)
 
 

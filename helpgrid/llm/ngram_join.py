@@ -41,6 +41,7 @@ from helpgrid.llm.common import (
     drop_stored,
     hash_filter,
     only_keys,
+    rows_of,
     ship_package,
     shingle_hashes,
     shingles,
@@ -405,7 +406,7 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80, seed: i
         .sortWithinPartitions("segment")
         .mapInArrow(_merge, "segment long, classes binary")
     )
-    for segment, part in merged.toLocalIterator():
+    for segment, part in rows_of(merged.toArrow().to_batches(), "segment", "classes"):  # 32 MB at most, in one job
         classes[segment * SKETCH_SEGMENT :][:SKETCH_SEGMENT] = np.frombuffer(part, np.uint8)
     rarity = spark.sparkContext.broadcast(classes)
 

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 from llm_cases import SF_DIR, awkward, empty, real, rows
+from pyspark.sql import functions as F
 
 from helpgrid.llm import decontamination, ngram_join
 from helpgrid.llm.common import hash_filter
@@ -243,3 +244,21 @@ def test_sketch_of_a_task_is_small():
     packed = ngram_join._packed(counts)
     assert (ngram_join._unpacked(packed) == counts).all()
     assert 3 * len(packed) < 2 * len(zlib.compress(counts.tobytes(), 1))
+
+
+def test_filter_comes_in_few_jobs(spark):
+    """A job for each partition made the join slower the more partitions were set."""
+    tracker, group = spark.sparkContext.statusTracker(), "filter-jobs"
+    hashes = spark.range(0, 100_000, 1, 4).select(F.xxhash64("id").alias("h")).localCheckpoint()
+    given = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.sparkContext.setJobGroup(group, "filter")
+    try:
+        found = hash_filter(hashes, 100_000)
+        assert len(tracker.getJobIdsForGroup(group)) < 10
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", given)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found.may_have(hashes.toPandas()["h"].to_numpy()).all()
