@@ -202,3 +202,36 @@ def test_files_of_shards_are_in_order(monkeypatch, spark, rows):
         for file in files:
             codes = pq.ParquetFile(file.removeprefix("file://")).read(["code"])["code"].to_pylist()
             assert codes == sorted(codes)
+
+
+def test_terms_are_shuffled_once(monkeypatch, spark, rows, vectors, index):
+    """Terms are counted in batches, dealt out by their codes and added up there; codes are counted only where terms share one."""
+    dealt = I.segment_terms(index.counts, 3, {})
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "HashAggregate" not in plan
+    wanted = sorted(I.document_frequencies(index.counts).collect())
+    assert sorted(dealt.select("term", "df").collect()) == wanted and dealt.where("clash").count() == 0
+    # an article a batch, so that every term comes several times
+    monkeypatch.setattr(I, "TERM_ROWS", 3)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        assert sorted(I.segment_terms(index.counts, 0, {}).select("term", "df").collect()) == wanted
+    finally:
+        spark.conf.set(name, given)
+
+    def counted(terms):
+        raise AssertionError("no terms share a code")
+
+    monkeypatch.setattr(I, "shared_codes", counted)
+    again = I.build_index(*frames(spark, rows, vectors))
+    assert sorted(again.frequencies().collect()) == sorted(index.frequencies().collect())
+
+
+def test_terms_that_share_a_code_are_found(monkeypatch, spark, index):
+    monkeypatch.setattr(I, "term_hash", lambda term: F.pmod(F.xxhash64(term), F.lit(60)))
+    found = I.segment_terms(index.counts, 0, {})
+    wanted = I.document_frequencies(index.counts).groupBy(I.term_hash(F.col("term")).alias("code"))
+    wanted = wanted.agg(F.sum("df").alias("df"), (F.count(F.lit(1)) > 1).alias("clash")).select("code", "df", "clash")
+    assert sorted(found.select("code", "df", "clash").collect()) == sorted(wanted.collect())
