@@ -2,7 +2,8 @@
 
 Spark hands each task a stream of Arrow batches of vectors. The task holds one batch and one block of queries at a
 time, and returns a few rows per query: the range of its scores, or its best articles so far. The table
-of all (query, article) pairs is never emitted. Keyword scores have the postings of whole articles in place of vectors.
+of all (query, article) pairs is never emitted. Keyword scores have the postings of whole articles in place of vectors,
+and fused scores have both.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Cells of one score matrix.
 CELLS = 1 << 21
@@ -101,12 +103,8 @@ def best_articles(
         scaled = ((scores - scale.low) / scale.width).T
         for a, alpha in enumerate(alphas):
             hybrid = alpha * scaled + (1.0 - alpha) * scale.no_keywords[:, None]
-            found = _top(ids, np.rint(hybrid * RANK_SCALE).astype(np.int64), scores.T, top_k)
-            if (a, i) in best:
-                found = [np.concatenate(pair, axis=1) for pair in zip(best[a, i], found)]
-                order = np.lexsort((found[0], -found[1]), axis=1)[:, :top_k]
-                found = [np.take_along_axis(c, order, axis=1) for c in found]
-            best[a, i] = found
+            found = _top(ids, np.rint(hybrid * RANK_SCALE).astype(np.int64), top_k, scores.T)
+            best[a, i] = _better(best.get((a, i)), found, top_k)
     for (a, i), (ids, key, scores) in best.items():
         above = key >= scales[i].floors[a][:, None]
         query = np.broadcast_to(blocks[i].ids[:, None], key.shape)[above]
@@ -114,7 +112,7 @@ def best_articles(
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "alpha", "kb_id", "rank_key", "semantic"])
 
 
-def _top(ids: np.ndarray, key: np.ndarray, scores: np.ndarray, top_k: int) -> list[np.ndarray]:
+def _top(ids: np.ndarray, key: np.ndarray, top_k: int, *scores: np.ndarray) -> list[np.ndarray]:
     """The best articles of each query: by key, then by the lower kb_id. One whole number orders them."""
     n = len(ids)
     chosen = np.broadcast_to(np.arange(n), key.shape)
@@ -123,7 +121,16 @@ def _top(ids: np.ndarray, key: np.ndarray, scores: np.ndarray, top_k: int) -> li
         place[np.argsort(ids)] = np.arange(n)
         ordered = key * n - place
         chosen = np.argpartition(ordered, n - top_k, axis=1)[:, n - top_k :]
-    return [ids[chosen], *(np.take_along_axis(c, chosen, axis=1) for c in (key, scores))]
+    return [ids[chosen], *(np.take_along_axis(c, chosen, axis=1) for c in (key, *scores))]
+
+
+def _better(before: list[np.ndarray] | None, found: list[np.ndarray], top_k: int) -> list[np.ndarray]:
+    """The best of what ``_top`` has found in two runs of articles."""
+    if before is None:
+        return found
+    found = [np.concatenate(pair, axis=1) for pair in zip(before, found)]
+    order = np.lexsort((found[0], -found[1]), axis=1)[:, :top_k]
+    return [np.take_along_axis(c, order, axis=1) for c in found]
 
 
 # --- keyword scores ---------------------------------------------------------------------------
@@ -139,17 +146,53 @@ class QueryWeights:
     weight: np.ndarray
 
 
-def best_by_keywords(batches: Iterator[pa.RecordBatch], weights: QueryWeights, top_k: int) -> Iterator[pa.RecordBatch]:
-    """Per query: the task's best ``top_k`` articles by keyword score, and what it found.
+@dataclass
+class Articles:
+    """A task's articles by kb_id, and their postings (code, tf) by article, which is a place in ``ids``.
 
-    The rows are postings (kb_id, code, tf) of whole articles, and for each article one row with its norm. The scores of
-    a run of articles with a block of queries are held at a time. Equal scores go to the lower kb_id; scores too near
-    for the rank key to tell are all kept, as the lower kb_id of them may win. ``low`` and ``pairs`` of the rows
-    without kb_id are the least score, zero for articles without a common term, and the number of articles with one.
+    ``vectors`` are unit vectors of the articles at ``with_vector``.
+    """
+
+    ids: np.ndarray
+    norm: np.ndarray
+    has_vector: np.ndarray
+    article: np.ndarray
+    code: np.ndarray
+    tf: np.ndarray
+    with_vector: np.ndarray
+    vectors: pa.Array | None
+
+    def matched(self) -> Articles:
+        """Those with a posting."""
+        used, article = np.unique(self.article, return_inverse=True)
+        rest = self.ids[used], self.norm[used], self.has_vector[used]
+        return Articles(*rest, article, self.code, self.tf, np.zeros(0, dtype=np.int64), None)
+
+    def runs(self) -> Iterator[tuple[slice, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """One run of articles after another, with its postings by code."""
+        for first in range(0, len(self.ids), ARTICLES_PER_RUN):
+            a, b = np.searchsorted(self.article, (first, first + ARTICLES_PER_RUN))
+            by_code = a + np.argsort(self.code[a:b], kind="stable")
+            yield slice(first, first + ARTICLES_PER_RUN), (self.code[by_code], self.article[by_code] - first, self.tf[by_code])
+
+    def dense(self, run: slice, dimension: int) -> np.ndarray:
+        """The unit vectors of a run, zeros for articles without one."""
+        dense = np.zeros((len(self.ids[run]), dimension))
+        a, b = np.searchsorted(self.with_vector, (run.start, run.stop))
+        if b > a:
+            values = self.vectors.slice(a, b - a).flatten().to_numpy(zero_copy_only=False)
+            dense[self.with_vector[a:b] - run.start] = unit_rows(values.astype(np.float64).reshape(b - a, dimension))
+        return dense
+
+
+def _whole_articles(batches: Iterator[pa.RecordBatch]) -> Articles | None:
+    """From postings (kb_id, code, tf), one row an article with its norm, and one with its vector, if these are wanted.
+
+    ``embedding`` is empty in rows of the other kinds.
     """
     batches = [batch for batch in batches if batch.num_rows]
-    if not batches or not len(weights.ids):
-        return
+    if not batches:
+        return None
     table = pa.Table.from_batches(batches)
     is_norm = table["norm"].is_valid().to_numpy()
     articles, code, tf = (table[c].to_numpy() for c in ("kb_id", "code", "tf"))
@@ -157,19 +200,35 @@ def best_by_keywords(batches: Iterator[pa.RecordBatch], weights: QueryWeights, t
     has_vector = table["has_vector"].to_numpy()[is_norm].astype(bool)
     order = np.argsort(held)
     held, norm, has_vector = held[order], norm[order], has_vector[order]
-    articles, code, tf = articles[~is_norm], code[~is_norm], tf[~is_norm]
-    used, article = np.unique(np.searchsorted(held, articles), return_inverse=True)
-    held, norm, has_vector = held[used], norm[used], has_vector[used]
+    posting, with_vector, vectors = ~is_norm, np.zeros(0, dtype=np.int64), None
+    if "embedding" in table.column_names:
+        is_vector = pc.list_value_length(table["embedding"]).to_numpy() > 0
+        posting &= ~is_vector
+        at = np.flatnonzero(is_vector)
+        at = at[np.argsort(articles[at])]
+        with_vector, vectors = np.searchsorted(held, articles[at]), table["embedding"].combine_chunks().take(pa.array(at))
+    article = np.searchsorted(held, articles[posting])
     order = np.argsort(article, kind="stable")
-    article, code, tf = article[order], code[order], tf[order].astype(np.float64)
+    return Articles(held, norm, has_vector, article[order], code[posting][order], tf[posting][order].astype(np.float64), with_vector, vectors)
+
+
+def best_by_keywords(batches: Iterator[pa.RecordBatch], weights: QueryWeights, top_k: int) -> Iterator[pa.RecordBatch]:
+    """Per query: the task's best ``top_k`` articles by keyword score, and what it found.
+
+    The rows are postings (kb_id, code, tf) of whole articles, and for each article one row with its norm. The scores of
+    a run of articles with a block of queries are held at a time. Equal scores go to the lower kb_id; scores too near
+    for the rank key to tell are all kept, as the lower kb_id of them may win. ``low`` and ``pairs`` of the rows
+    without kb_id are the least score, zero for articles without a common term, and the number of articles with one.
+    """
+    articles = _whole_articles(batches)
+    if articles is None or not len(weights.ids):
+        return
+    articles = articles.matched()
+    held, norm, has_vector = articles.ids, articles.norm, articles.has_vector
 
     floor = np.zeros(len(weights.ids), dtype=np.int64)
     low, pairs = np.full(len(weights.ids), np.inf), np.zeros(len(weights.ids), dtype=np.int64)
-    for first in range(0, len(held), ARTICLES_PER_RUN):
-        run = slice(first, first + ARTICLES_PER_RUN)
-        a, b = np.searchsorted(article, (first, first + ARTICLES_PER_RUN))
-        by_code = a + np.argsort(code[a:b], kind="stable")
-        mine = code[by_code], article[by_code] - first, tf[by_code]
+    for run, mine in articles.runs():
         n = len(held[run])
         step = max(1, CELLS // n)
         for start in range(0, len(weights.ids), step):
@@ -193,6 +252,48 @@ def best_by_keywords(batches: Iterator[pa.RecordBatch], weights: QueryWeights, t
 BEST_COLUMNS = ["query_id", "kb_id", "has_vector", "keyword", "low", "pairs"]
 
 
+@dataclass
+class Fusion:
+    """Per query, in the order of the weights' ``ids``: unit vector (zeros for none), and what is subtracted from and divides its scores."""
+
+    vectors: np.ndarray
+    sem_low: np.ndarray
+    sem_width: np.ndarray
+    kw_low: np.ndarray
+    kw_width: np.ndarray
+
+
+def best_fused(
+    batches: Iterator[pa.RecordBatch], weights: QueryWeights, fusion: Fusion, alphas: list[float], top_k: int
+) -> Iterator[pa.RecordBatch]:
+    """Per alpha and query: the task's ``top_k`` articles by the fused score.
+
+    The rows are as in ``best_by_keywords``, of all articles, and one row more for each vector. The scores of a run of
+    articles with a block of queries are held at a time. Equal scores, to the decimals of the rank, go to the lower kb_id.
+    """
+    articles = _whole_articles(batches)
+    if articles is None or not len(weights.ids):
+        return
+    best: dict[tuple[int, int], list[np.ndarray]] = {}
+    step = max(1, CELLS // ARTICLES_PER_RUN)
+    for run, mine in articles.runs():
+        ids, dense = articles.ids[run], articles.dense(run, fusion.vectors.shape[1])
+        norm = np.where(articles.norm[run] > 0, articles.norm[run], 1.0)
+        for start in range(0, len(weights.ids), step):
+            block = slice(start, start + step)
+            keyword = np.round(_products(weights, block, mine, len(ids)) / norm, SCORE_DECIMALS)
+            semantic = np.round(fusion.vectors[block] @ dense.T, SCORE_DECIMALS)
+            scaled = (semantic - fusion.sem_low[block, None]) / fusion.sem_width[block, None]
+            matched = (keyword - fusion.kw_low[block, None]) / fusion.kw_width[block, None]
+            for a, alpha in enumerate(alphas):
+                key = np.rint((alpha * scaled + (1.0 - alpha) * matched) * RANK_SCALE).astype(np.int64)
+                best[a, start] = _better(best.get((a, start)), _top(ids, key, top_k, semantic, keyword), top_k)
+    for (a, start), (ids, key, semantic, keyword) in best.items():
+        query = np.repeat(weights.ids[start : start + step], ids.shape[1])
+        columns = [query, np.full(len(query), alphas[a]), *(c.ravel() for c in (ids, key, semantic, keyword))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "alpha", "kb_id", "rank_key", "semantic", "keyword"])
+
+
 def _found(query: np.ndarray, kb_id: np.ndarray, has_vector: np.ndarray, keyword: np.ndarray) -> pa.RecordBatch:
     columns = [pa.array(c) for c in (query, kb_id, has_vector, keyword)]
     columns += [pa.nulls(len(query), pa.float64()), pa.nulls(len(query), pa.int64())]

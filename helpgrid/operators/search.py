@@ -9,6 +9,10 @@ The best k by the fused score are among few candidates. Without looking at keywo
 (any article above one of them has a higher semantic score, and keywords only add), so the tasks over the
 vectors need not know who shares a term. Of the articles that do, those stay whose keyword score and the best semantic
 score there is reach the threshold: the k-th best of all lower bounds known by then. Only for them the semantic score is looked up.
+
+Pairs that share a term grow with the product of queries and articles. Beyond ``LISTED_PAIRS`` they are neither shuffled nor
+written: tasks hold whole articles, with their postings of the pass's terms and their vectors, and return ranges first and
+then, with the scaling known, each query's best articles by the fused score.
 """
 
 from __future__ import annotations
@@ -31,9 +35,9 @@ from helpgrid.session import BROADCAST_BYTES, partitions_for, ship_package, smal
 PASS_BYTES = 64 << 20
 # Pairs whose vectors one task multiplies.
 PAIRS = 1 << 14
-# Up to this many (query, article) pairs of a pass, a search by keywords alone lists those that share a term.
+# Up to this many (query, article) pairs of a pass, a search lists those that share a term.
 LISTED_PAIRS = 1 << 24
-# Postings that a task holds to find the best articles by keywords, about.
+# Postings that a task holds to score its articles, about.
 POSTINGS_PER_TASK = 1 << 22
 # From this many files of vectors on, a first part of them gives the floors for the others.
 FLOOR_FILES = 64
@@ -42,12 +46,17 @@ RANGES = (
     "query_id long, sem_min double, sem_max double, kw_min double, kw_max double, n_matched long"
 )
 CANDIDATES = "query_id long, alpha double, kb_id long, rank_key long, semantic double"
+FUSED = f"{CANDIDATES}, keyword double"
 BEST = "query_id long, kb_id long, has_vector boolean, keyword double, low double, pairs long"
 HITS = (
     "query_id long, alpha double, rank int, kb_id long, semantic_score double, keyword_score double, hybrid_score double"
 )
 
 
+# The codes of a pass unless these are many, and query_id, code and weight times idf, written.
+PassTerms = tuple[list[int] | None, DataFrame]
+
+
 # --- keyword scores ---------------------------------------------------------------------------
 
 
@@ -81,8 +90,7 @@ def _weights(index: Index, terms: DataFrame, codes: list[int] | None) -> DataFra
     return rows.select("query_id", "code", "term", "tf", "idf", (raw / length).alias("weight"))
 
 
-def _pass_weights(index: Index, queries: DataFrame) -> tuple[list[int] | None, DataFrame]:
-    """The codes of a pass unless these are many, and query_id, code and weight times idf, written."""
+def _pass_weights(index: Index, queries: DataFrame) -> PassTerms:
     terms, codes = query_terms(index, queries)
     weights = _weights(index, terms, codes).select("query_id", "code", (F.col("weight") * F.col("idf")).alias("weight"))
     return codes, written(weights, "query-weights")
@@ -114,29 +122,45 @@ def keyword_pairs(index: Index, queries: DataFrame) -> DataFrame:
     )
 
 
-def best_keyword_pairs(index: Index, queries: DataFrame, top_k: int) -> DataFrame:
+def _shared_weights(weights: DataFrame, ids: np.ndarray | None = None) -> scoring.QueryWeights:
+    """The weights of a pass for its tasks: of the queries that have some, or of all ``ids`` (sorted)."""
+    table = weights.toArrow().sort_by([("query_id", "ascending"), ("code", "ascending")])
+    query = table["query_id"].to_numpy()
+    ids = np.unique(query) if ids is None else ids
+    return scoring.QueryWeights(ids, np.searchsorted(ids, query), table["code"].to_numpy(), table["weight"].to_numpy())
+
+
+def _whole_articles(index: Index, terms: PassTerms, vectors: bool = False) -> DataFrame:
+    """The postings of a pass's terms, a row for each article's norm and, if wanted, one for its vector, dealt by article."""
+    codes, weights = terms
+    met = index.postings(codes).join(F.broadcast(weights.select("code").distinct()), "code", "left_semi")
+    unknown, none = F.lit(None), F.lit(0)
+    norm, has_vector = unknown.cast("double").alias("norm"), unknown.cast("boolean").alias("has_vector")
+    rows = met.select("kb_id", "code", "tf", norm, has_vector)
+    code, tf = none.cast("long").alias("code"), none.alias("tf")
+    rows = rows.unionByName(index.norms.select("kb_id", code, tf, "norm", "has_vector"))
+    size = index.n_postings
+    if vectors:  # empty arrays for the others: a batch with null ones takes time quadratic in its rows to hand over
+        dense = index.vectors.select("kb_id", code, tf, norm, has_vector, "embedding")
+        rows = rows.withColumn("embedding", F.array().cast("array<float>")).unionByName(dense)
+        size += index.n_vectors * (index.dimension or 0)
+    tasks = max(index.spark.sparkContext.defaultParallelism, size // POSTINGS_PER_TASK + 1)
+    return rows.repartition(tasks, "kb_id")
+
+
+def best_keyword_pairs(index: Index, terms: PassTerms, top_k: int) -> DataFrame:
     """What ``keyword_pairs`` has that a search by keywords alone needs: the best ``top_k`` pairs of every query, and its range.
 
     The postings of the pass's terms are dealt by article, with each article's norm, and the products of an article are summed inside
     its task, so the pairs are neither shuffled nor written. Rows are as in ``scoring.best_by_keywords``; some more
-    pairs than the best may come. ``queries`` are one pass, whose weights every task gets.
+    pairs than the best may come. ``terms`` are those of one pass, whose weights every task gets.
     """
-    codes, weights = _pass_weights(index, queries)
-    table = weights.toArrow().sort_by([("query_id", "ascending"), ("code", "ascending")])
-    ids, query = np.unique(table["query_id"].to_numpy(), return_inverse=True)
-    shared = index.spark.sparkContext.broadcast(
-        scoring.QueryWeights(ids, query, table["code"].to_numpy(), table["weight"].to_numpy())
-    )
+    shared = index.spark.sparkContext.broadcast(_shared_weights(terms[1]))
 
     def task(batches):
         yield from scoring.best_by_keywords(batches, shared.value, top_k)
 
-    met = index.postings(codes).join(F.broadcast(weights.select("code").distinct()), "code", "left_semi")
-    unknown = F.lit(None)
-    rows = met.select("kb_id", "code", "tf", unknown.cast("double").alias("norm"), unknown.cast("boolean").alias("has_vector"))
-    norms = index.norms.select("kb_id", F.lit(0).cast("long").alias("code"), F.lit(0).alias("tf"), "norm", "has_vector")
-    tasks = max(index.spark.sparkContext.defaultParallelism, index.n_postings // POSTINGS_PER_TASK + 1)
-    return rows.unionByName(norms).repartition(tasks, "kb_id").mapInArrow(task, BEST)
+    return _whole_articles(index, terms).mapInArrow(task, BEST)
 
 
 # --- passes of queries ------------------------------------------------------------------------
@@ -173,13 +197,15 @@ def _pass_of(passes: int):
 class Pass:
     """One pass of queries: all of them, those with a vector as blocks, and the pairs that share a term, if wanted.
 
-    ``spans`` has the ranges of the keyword scores where ``pairs`` are the best ones only.
+    ``spans`` has the ranges of the keyword scores where ``pairs`` are the best ones only, or where there are too many to list:
+    then ``terms`` are those of the pass, for tasks that score whole articles.
     """
 
     queries: DataFrame
     blocks: list[scoring.QueryBlock]
     pairs: DataFrame | None
     spans: DataFrame | None = None
+    terms: PassTerms | None = None
 
 
 def _blocks(index: Index, queries: DataFrame) -> list[scoring.QueryBlock]:
@@ -203,19 +229,28 @@ def _passes(index: Index, queries: DataFrame, limit: int, kinds: str, best: int
         part = queries if passes == 1 else queries.where(_pass_of(passes) == number)
         blocks = _blocks(index, part) if "s" in kinds else []
         most = part.count() * index.n if "k" in kinds else 0
-        if best is not None and most > LISTED_PAIRS:
-            found = written(best_keyword_pairs(index, part, best), "pairs")
-            spans = found.groupBy("query_id").agg(
-                F.min("low").alias("kw_min"), F.max("keyword").alias("kw_max"), F.sum("pairs").alias("n_pairs")
-            )
+        if most > LISTED_PAIRS:
+            terms = _pass_weights(index, part)
+            if best is None:
+                yield Pass(part, blocks, None, _spans(best_keyword_pairs(index, terms, 1)), terms)
+                continue
+            found = written(best_keyword_pairs(index, terms, best), "pairs")
             pairs = found.where("kb_id IS NOT NULL").select("query_id", "kb_id", "has_vector", "keyword")
-            yield Pass(part, blocks, pairs, spans.withColumns({"kw_max": F.coalesce("kw_max", F.lit(0.0)), "n_matched": F.col("n_pairs")}))
+            yield Pass(part, blocks, pairs, _spans(found))
             continue
         with partitions_for(index.spark, most):
             pairs = written(keyword_pairs(index, part), "pairs") if "k" in kinds else None
         yield Pass(part, blocks, pairs)
 
 
+def _spans(found: DataFrame) -> DataFrame:
+    """Per query, of what ``best_keyword_pairs`` has found: the range of the scores of its pairs and their number."""
+    spans = found.groupBy("query_id").agg(
+        F.min("low").alias("kw_min"), F.max("keyword").alias("kw_max"), F.sum("pairs").alias("n_pairs")
+    )
+    return spans.withColumns({"kw_max": F.coalesce("kw_max", F.lit(0.0)), "n_matched": F.col("n_pairs")})
+
+
 def _gather(parts: Iterator[DataFrame], spark, schema: str) -> DataFrame:
     """The union of the passes."""
     empty = spark.createDataFrame([], schema)
@@ -359,10 +394,58 @@ def _lowest(index: Index, top_k: int, bare: bool) -> list[int]:
 
 
 def _ranked(index: Index, one: Pass, alphas: list[float], top_k: int, scaled: bool, kinds: str) -> DataFrame:
-    spark = index.spark
     scaling = written(_scaling(index, one, scaled), "scaling")
     per_query = F.broadcast(scaling)  # a few numbers for each query of the pass
     rows = {r.query_id: r for r in scaling.collect()}
+    if one.terms is not None:
+        every = _best_fused(index, one, rows, alphas, top_k).join(per_query, "query_id")
+    else:
+        scored = _candidates(index, one, scaling, rows, alphas, top_k)
+        every = scored.join(per_query, "query_id").withColumn("alpha", F.explode(F.lit(alphas).cast("array<double>")))
+    hybrid = every.withColumn("hybrid_score", _fused(F.col("alpha"), F.col("semantic"), F.col("keyword")))
+    order = Window.partitionBy("query_id", "alpha").orderBy(F.desc(_rank_key(F.col("hybrid_score"))), "kb_id")
+    unknown = F.lit(None).cast("double")
+    semantic = (F.col("semantic") - F.col("sem_low")) / F.col("sem_width")
+    keyword = (F.col("keyword") - F.col("kw_low")) / F.col("kw_width")
+    return (
+        hybrid.withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= top_k)
+        .select(
+            "query_id", "alpha", "rank", "kb_id",
+            (semantic if "s" in kinds else unknown).alias("semantic_score"),
+            (keyword if "k" in kinds else unknown).alias("keyword_score"),
+            "hybrid_score",
+        )
+    )
+
+
+def _best_fused(index: Index, one: Pass, rows: dict, alphas: list[float], top_k: int) -> DataFrame:
+    """query_id, alpha, kb_id, rank_key, semantic, keyword: the best ``top_k`` articles.
+
+    Tasks hold whole articles, with the postings of the pass's terms and the vector, and score them with every query, so that neither
+    pairs nor candidates leave them.
+    """
+    spark = index.spark
+    ids = np.array(sorted(rows), dtype=np.int64)
+    vectors = np.zeros((len(ids), index.dimension if one.blocks else 0))
+    for block in one.blocks:
+        vectors[np.searchsorted(ids, block.ids)] = block.dense
+    numbers = (np.array([rows[int(i)][c] for i in ids]) for c in ("sem_low", "sem_width", "kw_low", "kw_width"))
+    shared = spark.sparkContext.broadcast((_shared_weights(one.terms[1], ids), scoring.Fusion(vectors, *numbers)))
+
+    def task(batches):
+        yield from scoring.best_fused(batches, *shared.value, alphas, top_k)
+
+    found = _whole_articles(index, one.terms, vectors=bool(one.blocks)).mapInArrow(task, FUSED)
+    order = Window.partitionBy("query_id", "alpha").orderBy(F.desc("rank_key"), "kb_id")
+    best = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_k)
+    return written(best.drop("place"), "best")
+
+
+def _candidates(index: Index, one: Pass, scaling: DataFrame, rows: dict, alphas: list[float], top_k: int) -> DataFrame:
+    """query_id, kb_id, semantic, keyword: pairs that hold the best ``top_k`` of every alpha."""
+    spark = index.spark
+    per_query = F.broadcast(scaling)
     unknown = F.lit(None).cast("double")
 
     # candidates whose keyword score is taken for zero
@@ -391,23 +474,7 @@ def _ranked(index: Index, one: Pass, alphas: list[float], top_k: int, scaled: bo
         candidates = candidates.unionByName(_with_keywords(one, per_query, zero, alphas, top_k))
     candidates = candidates.groupBy("query_id", "kb_id").agg(F.max("semantic").alias("semantic"), F.max("keyword").alias("keyword"))
     candidates = candidates.withColumn("keyword", F.coalesce("keyword", F.lit(0.0)))
-    scored = _with_semantic(index, one, written(candidates, "candidates")) if one.blocks else candidates
-
-    every = scored.join(per_query, "query_id").withColumn("alpha", F.explode(F.lit(alphas).cast("array<double>")))
-    hybrid = every.withColumn("hybrid_score", _fused(F.col("alpha"), F.col("semantic"), F.col("keyword")))
-    order = Window.partitionBy("query_id", "alpha").orderBy(F.desc(_rank_key(F.col("hybrid_score"))), "kb_id")
-    semantic = (F.col("semantic") - F.col("sem_low")) / F.col("sem_width")
-    keyword = (F.col("keyword") - F.col("kw_low")) / F.col("kw_width")
-    return (
-        hybrid.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= top_k)
-        .select(
-            "query_id", "alpha", "rank", "kb_id",
-            (semantic if "s" in kinds else unknown).alias("semantic_score"),
-            (keyword if "k" in kinds else unknown).alias("keyword_score"),
-            "hybrid_score",
-        )
-    )
+    return _with_semantic(index, one, written(candidates, "candidates")) if one.blocks else candidates
 
 
 def _rank_key(hybrid: Column) -> Column:

@@ -1,7 +1,10 @@
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from brute import Brute, make_articles, make_vectors
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helpgrid.operators import index as I
@@ -304,6 +307,71 @@ def test_many_pairs_are_summed_inside_tasks(monkeypatch, index, queries, brute,
     check(S.retrieve(index, queries, k, 0.0, scaled=False), brute, QUERIES, k, 0.0, scaled=False)
 
 
+@pytest.mark.parametrize("k, task, run", [(1, 1 << 22, 4096), (3, 50, 7), (100, 50, 7)])
+def test_many_hybrid_pairs_are_scored_inside_tasks(monkeypatch, index, queries, brute, k, task, run):
+    """Beyond a number of pairs no search lists them, whatever the alphas, and hits and ranges stay the same."""
+    monkeypatch.setattr(S, "LISTED_PAIRS", 0)
+    monkeypatch.setattr(S, "POSTINGS_PER_TASK", task)
+    monkeypatch.setattr(S, "keyword_pairs", None)
+    monkeypatch.setattr(S, "_with_semantic", None)
+    monkeypatch.setattr(scoring, "ARTICLES_PER_RUN", run)
+    found = S.sweep(index, queries, k, (0.0, 0.4, 1.0)).collect()
+    for alpha in (0.0, 0.4, 1.0):
+        rows = index.spark.createDataFrame([r for r in found if r.alpha == alpha], S.HITS)
+        check(rows, brute, QUERIES, k, alpha)
+    check(S.retrieve(index, queries, k, 0.5, scaled=False), brute, QUERIES, k, 0.5, scaled=False)
+    without = [(i, text, None) for i, text, _ in QUERIES]
+    check(S.retrieve(index, queries.drop("embedding"), k, 0.5), brute, without, k, 0.5)
+    test_ranges(index, queries, brute)
+
+
+def test_a_search_of_many_pairs_shuffles_no_pairs(monkeypatch, spark, rows, held, queries):
+    """What is dealt has a row a posting, an article and a vector, however many queries ask for it."""
+    monkeypatch.setattr(S, "LISTED_PAIRS", 0)
+    index = build_index(*frames(spark, rows, held))
+    more = reduce(DataFrame.unionByName, [queries.withColumn("query_id", F.col("query_id") + 100 * i) for i in range(5)])
+    dealt = []
+    real = S._whole_articles
+    monkeypatch.setattr(S, "_whole_articles", lambda *a, **b: dealt.append(real(*a, **b)) or dealt[-1])
+    S.retrieve(index, queries, 3, 0.5).collect()
+    S.retrieve(index, more, 3, 0.5).collect()
+    sizes = [df.count() for df in dealt]
+    assert sizes[:2] == sizes[2:] and sizes[1] == sizes[0] + len(held)
+
+
+@pytest.mark.parametrize("alphas, k, run, cells", [([0.5], 3, 4096, 1 << 21), ([0.0, 0.3, 1.0], 4, 7, 30)])
+def test_fused_scores_of_runs_and_blocks(monkeypatch, alphas, k, run, cells):
+    """Articles without postings or without a vector, and queries without either, are scored too; ties go to the lower id."""
+    monkeypatch.setattr(scoring, "ARTICLES_PER_RUN", run)
+    monkeypatch.setattr(scoring, "CELLS", cells)
+    random = np.random.default_rng(2)
+    tf, weight = random.integers(0, 3, (30, 12)), random.integers(0, 3, (9, 12)) / 3
+    weight[4], tf[3] = 0, 0
+    vectors, wanted = random.integers(-2, 3, (30, 4)).astype(float), random.integers(-2, 3, (9, 4)).astype(float)
+    vectors[::3], wanted[5] = 0, 0
+    norm = random.integers(20, 40, 30).astype(float)
+    norm[3] = 0
+    rows = [(int(i) * 10, int(c), int(tf[i, c]), None, None, []) for i, c in zip(*np.nonzero(tf))]
+    rows += [(i * 10, 0, 0, float(norm[i]), i % 3 > 0, []) for i in range(30)]
+    rows += [(i * 10, 0, 0, None, None, vectors[i].tolist()) for i in range(30) if i % 3]
+    random.shuffle(rows)
+    kinds = {"kb_id": pa.int64(), "code": pa.int64(), "tf": pa.int32(), "norm": pa.float64(), "has_vector": pa.bool_(), "embedding": pa.list_(pa.float32())}
+    parts = [pa.RecordBatch.from_pylist([dict(zip(kinds, r)) for r in part], schema=pa.schema(kinds)) for part in (rows[:40], [], rows[40:])]
+    q, code = np.nonzero(weight)
+    weights = scoring.QueryWeights(np.arange(9) + 100, q, code, weight[q, code])
+    fusion = scoring.Fusion(scoring.unit_rows(wanted), *(np.full(9, x) for x in (-0.5, 1.5, 0.01, 0.25)))
+    found = pa.Table.from_batches(scoring.best_fused(iter(parts), weights, fusion, alphas, k)).to_pylist()
+    keyword = np.round(weight @ tf.T / np.where(norm > 0, norm, 1), 12)
+    semantic = np.round(scoring.unit_rows(wanted) @ scoring.unit_rows(vectors).T, 12)
+    for alpha in alphas:
+        key = np.rint((alpha * (semantic + 0.5) / 1.5 + (1 - alpha) * (keyword - 0.01) / 0.25) * 1e9)
+        for query in range(9):
+            best = sorted((-key[query, i], i * 10) for i in range(30))[:k]
+            mine = sorted((-r["rank_key"], r["kb_id"], r["semantic"], r["keyword"]) for r in found if (r["query_id"], r["alpha"]) == (query + 100, alpha))
+            assert [m[1] for m in mine] == [i for _, i in best]
+            assert [m[2:] for m in mine] == [pytest.approx((semantic[query, i // 10], keyword[query, i // 10]), abs=1e-11) for _, i in best]
+
+
 @pytest.mark.parametrize("run, products, cells", [(4096, 1 << 21, 1 << 21), (7, 5, 30)])
 def test_runs_of_articles_and_products(monkeypatch, run, products, cells):
     monkeypatch.setattr(scoring, "ARTICLES_PER_RUN", run)
