@@ -252,6 +252,31 @@ def best_by_keywords(batches: Iterator[pa.RecordBatch], weights: QueryWeights, t
 BEST_COLUMNS = ["query_id", "kb_id", "has_vector", "keyword", "low", "pairs"]
 
 
+def keyword_ranges(batches: Iterator[pa.RecordBatch], weights: QueryWeights) -> Iterator[pa.RecordBatch]:
+    """Per query that shares a term with one of the task's articles: range of its keyword scores, and the number of such articles.
+
+    The rows are as in ``best_by_keywords``. Articles of the task without a common term count as zero in the range.
+    """
+    articles = _whole_articles(batches)
+    if articles is None or not len(weights.ids):
+        return
+    articles = articles.matched()
+    low, high = np.full(len(weights.ids), np.inf), np.zeros(len(weights.ids))
+    pairs = np.zeros(len(weights.ids), dtype=np.int64)
+    for run, mine in articles.runs():
+        norm = articles.norm[run]
+        step = max(1, CELLS // len(norm))
+        for start in range(0, len(weights.ids), step):
+            block = slice(start, start + step)
+            dot = _products(weights, block, mine, len(norm))
+            pairs[block] += np.count_nonzero(dot, axis=1)
+            dot /= norm
+            low[block], high[block] = np.minimum(low[block], dot.min(1)), np.maximum(high[block], dot.max(1))
+    seen = pairs > 0
+    columns = [weights.ids[seen], np.round(low[seen], SCORE_DECIMALS), np.round(high[seen], SCORE_DECIMALS), pairs[seen]]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "kw_min", "kw_max", "n_pairs"])
+
+
 @dataclass
 class Fusion:
     """Per query, in the order of the weights' ``ids``: unit vector (zeros for none), and what is subtracted from and divides its scores."""

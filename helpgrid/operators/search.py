@@ -163,6 +163,18 @@ def best_keyword_pairs(index: Index, terms: PassTerms, top_k: int) -> DataFrame:
     return _whole_articles(index, terms).mapInArrow(task, BEST)
 
 
+def keyword_spans(index: Index, terms: PassTerms) -> DataFrame:
+    """query_id, kw_min, kw_max, n_pairs and n_matched of the pairs that ``keyword_pairs`` has, summed inside tasks as well."""
+    shared = index.spark.sparkContext.broadcast(_shared_weights(terms[1]))
+
+    def task(batches):
+        yield from scoring.keyword_ranges(batches, shared.value)
+
+    found = _whole_articles(index, terms).mapInArrow(task, "query_id long, kw_min double, kw_max double, n_pairs long")
+    spans = found.groupBy("query_id").agg(F.min("kw_min").alias("kw_min"), F.max("kw_max").alias("kw_max"), F.sum("n_pairs").alias("n_pairs"))
+    return spans.withColumn("n_matched", F.col("n_pairs"))
+
+
 # --- passes of queries ------------------------------------------------------------------------
 
 
@@ -232,25 +244,20 @@ def _passes(index: Index, queries: DataFrame, limit: int, kinds: str, best: int
         if most > LISTED_PAIRS:
             terms = _pass_weights(index, part)
             if best is None:
-                yield Pass(part, blocks, None, _spans(best_keyword_pairs(index, terms, 1)), terms)
+                yield Pass(part, blocks, None, keyword_spans(index, terms), terms)
                 continue
             found = written(best_keyword_pairs(index, terms, best), "pairs")
+            spans = found.groupBy("query_id").agg(
+                F.min("low").alias("kw_min"), F.max("keyword").alias("kw_max"), F.sum("pairs").alias("n_pairs")
+            )
             pairs = found.where("kb_id IS NOT NULL").select("query_id", "kb_id", "has_vector", "keyword")
-            yield Pass(part, blocks, pairs, _spans(found))
+            yield Pass(part, blocks, pairs, spans.withColumns({"kw_max": F.coalesce("kw_max", F.lit(0.0)), "n_matched": F.col("n_pairs")}))
             continue
         with partitions_for(index.spark, most):
             pairs = written(keyword_pairs(index, part), "pairs") if "k" in kinds else None
         yield Pass(part, blocks, pairs)
 
 
-def _spans(found: DataFrame) -> DataFrame:
-    """Per query, of what ``best_keyword_pairs`` has found: the range of the scores of its pairs and their number."""
-    spans = found.groupBy("query_id").agg(
-        F.min("low").alias("kw_min"), F.max("keyword").alias("kw_max"), F.sum("pairs").alias("n_pairs")
-    )
-    return spans.withColumns({"kw_max": F.coalesce("kw_max", F.lit(0.0)), "n_matched": F.col("n_pairs")})
-
-
 def _gather(parts: Iterator[DataFrame], spark, schema: str) -> DataFrame:
     """The union of the passes."""
     empty = spark.createDataFrame([], schema)

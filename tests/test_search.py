@@ -363,6 +363,12 @@ def test_fused_scores_of_runs_and_blocks(monkeypatch, alphas, k, run, cells):
     found = pa.Table.from_batches(scoring.best_fused(iter(parts), weights, fusion, alphas, k)).to_pylist()
     keyword = np.round(weight @ tf.T / np.where(norm > 0, norm, 1), 12)
     semantic = np.round(scoring.unit_rows(wanted) @ scoring.unit_rows(vectors).T, 12)
+    spans = {r["query_id"] - 100: r for r in pa.Table.from_batches(scoring.keyword_ranges(iter(parts), weights)).to_pylist()}
+    assert sorted(spans) == [query for query in range(9) if keyword[query].any()]
+    for query, span in spans.items():
+        with_terms = keyword[query, tf.any(axis=1)]
+        assert (span["kw_min"], span["kw_max"]) == pytest.approx((with_terms.min(), with_terms.max()), abs=1e-11)
+        assert span["n_pairs"] == (keyword[query] > 0).sum()
     for alpha in alphas:
         key = np.rint((alpha * (semantic + 0.5) / 1.5 + (1 - alpha) * (keyword - 0.01) / 0.25) * 1e9)
         for query in range(9):
