@@ -9,7 +9,7 @@ and fused scores have both.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,9 @@ CELLS = 1 << 21
 QUERIES_PER_BLOCK = 1024
 
 # Articles whose keyword scores with a block of queries are held at a time, and products summed at once.
-ARTICLES_PER_RUN, PRODUCTS = 4096, 1 << 21
+ARTICLES_PER_RUN, PRODUCTS = 4096, 1 << 16
+# Articles of a task that a search by keywords scores first, for floors under the others.
+FIRST_ARTICLES = 256
 
 # Scores keep this many decimals, so that the order of a summation cannot make equal scores differ.
 SCORE_DECIMALS = 12
@@ -168,12 +170,20 @@ class Articles:
         rest = self.ids[used], self.norm[used], self.has_vector[used]
         return Articles(*rest, article, self.code, self.tf, np.zeros(0, dtype=np.int64), None)
 
-    def runs(self) -> Iterator[tuple[slice, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-        """One run of articles after another, with its postings by code."""
-        for first in range(0, len(self.ids), ARTICLES_PER_RUN):
-            a, b = np.searchsorted(self.article, (first, first + ARTICLES_PER_RUN))
-            by_code = a + np.argsort(self.code[a:b], kind="stable")
-            yield slice(first, first + ARTICLES_PER_RUN), (self.code[by_code], self.article[by_code] - first, self.tf[by_code])
+    def runs(self, start: int = 0) -> Iterator[tuple[slice, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """One run of articles after another, with its postings: where each code's begin, articles and tf.
+
+        ``code`` has numbers from 0 (``_numbered``). The first run has ``start`` articles, if that is given.
+        """
+        codes = int(self.code.max(initial=-1)) + 1
+        ends = [*([start] if 0 < start < len(self.ids) else []), len(self.ids)]
+        for first, last in zip([0, *ends], ends):
+            for at in range(first, last, ARTICLES_PER_RUN):
+                to = min(at + ARTICLES_PER_RUN, last)
+                a, b = np.searchsorted(self.article, (at, to))
+                by_code = a + np.argsort(self.code[a:b], kind="stable")
+                begins = np.concatenate([[0], np.cumsum(np.bincount(self.code[a:b], minlength=codes))])
+                yield slice(at, to), (begins, self.article[by_code] - at, self.tf[by_code])
 
     def dense(self, run: slice, dimension: int) -> np.ndarray:
         """The unit vectors of a run, zeros for articles without one."""
@@ -212,43 +222,89 @@ def _whole_articles(batches: Iterator[pa.RecordBatch]) -> Articles | None:
     return Articles(held, norm, has_vector, article[order], code[posting][order], tf[posting][order].astype(np.float64), with_vector, vectors)
 
 
+def _numbered(articles: Articles, weights: QueryWeights) -> tuple[Articles, QueryWeights]:
+    """Numbers from 0 for the codes of the task's postings; weights of other terms are left out."""
+    codes, code = np.unique(articles.code, return_inverse=True)
+    place = np.searchsorted(codes, weights.code)
+    held = np.flatnonzero(codes[np.minimum(place, len(codes) - 1)] == weights.code) if len(codes) else place[:0]
+    return replace(articles, code=code), replace(weights, query=weights.query[held], code=place[held], weight=weights.weight[held])
+
+
 def best_by_keywords(batches: Iterator[pa.RecordBatch], weights: QueryWeights, top_k: int) -> Iterator[pa.RecordBatch]:
     """Per query: the task's best ``top_k`` articles by keyword score, and what it found.
 
-    The rows are postings (kb_id, code, tf) of whole articles, and for each article one row with its norm. The scores of
-    a run of articles with a block of queries are held at a time. Equal scores go to the lower kb_id; scores too near
-    for the rank key to tell are all kept, as the lower kb_id of them may win. ``low`` and ``pairs`` of the rows
-    without kb_id are the least score, zero for articles without a common term, and the number of articles with one.
+    The rows are postings (kb_id, code, tf) of whole articles, and for each article one row with its norm. Equal scores go to the
+    lower kb_id; scores too near for the rank key to tell are all kept, as the lower kb_id of them may win. ``low`` and ``pairs`` of the
+    rows without kb_id are the least score, zero for articles without a common term, and the number of articles with one.
+
+    The best of a short first run of articles give floors, and of the others only scores that reach the floor of their query are
+    looked at one by one. A query that has met an article without a common term has zero for its least score; from then
+    on ``pairs`` counts no more, and stays below the number of articles.
     """
     articles = _whole_articles(batches)
     if articles is None or not len(weights.ids):
         return
-    articles = articles.matched()
+    articles, weights = _numbered(articles.matched(), weights)
     held, norm, has_vector = articles.ids, articles.norm, articles.has_vector
 
-    floor = np.zeros(len(weights.ids), dtype=np.int64)
+    best = BestKeywords(len(weights.ids), top_k)
     low, pairs = np.full(len(weights.ids), np.inf), np.zeros(len(weights.ids), dtype=np.int64)
-    for run, mine in articles.runs():
+    for run, mine in articles.runs(FIRST_ARTICLES):
         n = len(held[run])
-        step = max(1, CELLS // n)
+        step = max(1, CELLS // 8 // n)  # few enough for a cache
+        found = []
         for start in range(0, len(weights.ids), step):
             block = slice(start, start + step)
             dot = _products(weights, block, mine, n)
-            scores = np.round(dot / norm[run], SCORE_DECIMALS)
-            low[block] = np.minimum(low[block], scores.min(1))
-            pairs[block] += (dot > 0).sum(1)
-            key = np.rint(scores * 10**SCORE_DECIMALS).astype(np.int64)
-            row, column, least = _leading(key, top_k)
-            floor[block] = np.maximum(floor[block], least)
-            kept = key[row, column] >= floor[block][row] - NEAR
-            row, column = row[kept], column[kept]
-            yield _found(weights.ids[block][row], held[run][column], has_vector[run][column], scores[row, column])
+            open_ = np.flatnonzero(low[block] > 0)
+            if len(open_):
+                low[start + open_] = np.minimum(low[start + open_], np.round((dot[open_] / norm[run]).min(1), SCORE_DECIMALS))
+                pairs[start + open_] += np.count_nonzero(dot[open_], axis=1)
+            row, column = _reaching(dot, norm[run], best.floor[block], top_k)
+            found.append((start + row, column, np.round(dot[row, column] / norm[run][column], SCORE_DECIMALS)))
+        query, column, scores = (np.concatenate(c) for c in zip(*found))
+        best.add(query, held[run][column], has_vector[run][column], scores)
+    yield _found(weights.ids[best.query], best.kb_id, best.has_vector, best.score)
     seen = pairs > 0
     none = pa.nulls(int(seen.sum()), pa.int64())
     columns = [weights.ids[seen], none, none.cast(pa.bool_()), none.cast(pa.float64()), low[seen], pairs[seen]]
     yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], BEST_COLUMNS)
 
 
+class BestKeywords:
+    """The best articles so far of a task's queries, in order. ``floor`` is the key of the k-th best, zero until there are as many."""
+
+    def __init__(self, queries: int, top_k: int):
+        self.top_k, self.floor = top_k, np.zeros(queries, dtype=np.int64)
+        self.query, self.kb_id = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.has_vector, self.score = np.zeros(0, dtype=bool), np.zeros(0)
+
+    def add(self, query: np.ndarray, *found: np.ndarray) -> None:
+        """``found``: kb_id, has_vector and a score above zero of articles none of which was added to the query before."""
+        if not len(query):
+            return
+        touched = np.zeros(len(self.floor), dtype=bool)
+        touched[query] = True
+        again = touched[self.query]
+        before = self.query, self.kb_id, self.has_vector, self.score
+        query, kb_id, has_vector, score = (np.concatenate([old[again], new]) for old, new in zip(before, (query, *found)))
+        key = np.rint(score * 10**SCORE_DECIMALS).astype(np.int64)
+        order = np.lexsort((kb_id, -key, query))
+        query, kb_id, has_vector, score, key = (c[order] for c in (query, kb_id, has_vector, score, key))
+        kth = _places(query[1:] != query[:-1]) == self.top_k - 1
+        self.floor[query[kth]] = key[kth]
+        # of equal keys the first are enough; of those near the k-th best all values stay
+        kept = (key >= self.floor[query] - NEAR) & (_places((query[1:] != query[:-1]) | (key[1:] != key[:-1])) < self.top_k)
+        now = (c[kept] for c in (query, kb_id, has_vector, score))
+        self.query, self.kb_id, self.has_vector, self.score = (np.concatenate([old[~again], new]) for old, new in zip(before, now))
+
+
+def _places(begins: np.ndarray) -> np.ndarray:
+    """The number of each row in its group, from 0. ``begins`` has all rows but the first, which begins a group."""
+    starts = np.concatenate([[0], np.flatnonzero(begins) + 1])
+    return np.arange(len(begins) + 1) - np.repeat(starts, np.diff(np.concatenate([starts, [len(begins) + 1]])))
+
+
 BEST_COLUMNS = ["query_id", "kb_id", "has_vector", "keyword", "low", "pairs"]
 
 
@@ -260,7 +316,7 @@ def keyword_ranges(batches: Iterator[pa.RecordBatch], weights: QueryWeights) ->
     articles = _whole_articles(batches)
     if articles is None or not len(weights.ids):
         return
-    articles = articles.matched()
+    articles, weights = _numbered(articles.matched(), weights)
     low, high = np.full(len(weights.ids), np.inf), np.zeros(len(weights.ids))
     pairs = np.zeros(len(weights.ids), dtype=np.int64)
     for run, mine in articles.runs():
@@ -299,6 +355,7 @@ def best_fused(
     articles = _whole_articles(batches)
     if articles is None or not len(weights.ids):
         return
+    articles, weights = _numbered(articles, weights)
     best: dict[tuple[int, int], list[np.ndarray]] = {}
     step = max(1, CELLS // ARTICLES_PER_RUN)
     for run, mine in articles.runs():
@@ -326,11 +383,11 @@ def _found(query: np.ndarray, kb_id: np.ndarray, has_vector: np.ndarray, keyword
 
 
 def _products(weights: QueryWeights, block: slice, postings: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
-    """Sums of tf * weight by query of the block and article of the run. ``postings`` are sorted by code."""
-    code, article, tf = postings
+    """Sums of tf * weight by query of the block and article of the run. ``postings`` are as ``runs`` has them."""
+    begins, article, tf = postings
     size = len(weights.ids[block])
     a, b = np.searchsorted(weights.query, (block.start, block.start + size))
-    left, right = np.searchsorted(code, weights.code[a:b], "left"), np.searchsorted(code, weights.code[a:b], "right")
+    left, right = begins[weights.code[a:b]], begins[weights.code[a:b] + 1]
     found = np.flatnonzero(right > left)
     counts, left = (right - left)[found], left[found]
     cell, weight = (weights.query[a:b][found] - block.start) * n, weights.weight[a:b][found]
@@ -340,8 +397,8 @@ def _products(weights: QueryWeights, block: slice, postings: tuple[np.ndarray, n
     while at < len(found):  # a term has at most a run of postings, so a step has few more than PRODUCTS
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PRODUCTS, "right")))
         many = counts[at:to]
-        offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        place = np.repeat(left[at:to], many) + offset
+        before = np.cumsum(many) - many
+        place = np.repeat(left[at:to] - before, many) + np.arange(many.sum())
         # cells of these queries only, which are neighbours
         base = cell[at]
         top = cell[to - 1] + n
@@ -351,6 +408,20 @@ def _products(weights: QueryWeights, block: slice, postings: tuple[np.ndarray, n
     return dot.reshape(size, n)
 
 
+def _reaching(dot: np.ndarray, norm: np.ndarray, floor: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells (row, column) above zero that may be among the best ``top_k`` of their row, by the floor of the row's key if it has one."""
+    least = np.maximum((floor - 2 * NEAR) / 10**SCORE_DECIMALS, 0.0)
+    row, column = np.divmod(np.flatnonzero(dot > least[:, None] * norm), dot.shape[1])
+    # of rows that many reach, and of those without a floor, the leading ones alone are listed
+    many = np.bincount(row, minlength=len(dot)) > 16 * top_k
+    if not many.any():
+        return row, column
+    key = np.rint(np.round(dot[many] / norm, SCORE_DECIMALS) * 10**SCORE_DECIMALS).astype(np.int64)
+    lead, place, _ = _leading(key, top_k)
+    few = ~many[row]
+    return np.concatenate([row[few], np.flatnonzero(many)[lead]]), np.concatenate([column[few], place])
+
+
 def _leading(key: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cells (row, column) that may be among the best ``top_k`` of their row, and the k-th best key of each row.
 

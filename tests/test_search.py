@@ -416,3 +416,29 @@ def test_scores_that_share_a_rank_key_all_stay():
     row, column, least = scoring._leading(key, 2)
     assert sorted(zip(row.tolist(), column.tolist())) == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 2), (1, 6)]
     assert least.tolist() == [unit, unit // 2]
+
+
+def test_few_scores_are_ranked_once_there_are_floors(monkeypatch):
+    """After the first run of articles only scores that reach the floor of their query are ranked, and the best are those of all."""
+    rng = np.random.default_rng(7)
+    n, terms = 4000, 60
+    tf = rng.integers(0, 4, (n, terms)) * (rng.random((n, terms)) < 0.3)
+    norm, ids = np.sqrt((tf * tf).sum(1)) + 1.0, rng.permutation(n) + 1000
+    article, code = np.nonzero(tf)
+    rows = pa.record_batch({"kb_id": np.concatenate([ids[article], ids]), "code": np.concatenate([code, np.zeros(n, int)]),
+                            "tf": np.concatenate([tf[article, code], np.zeros(n, int)]).astype(np.int32),
+                            "norm": pa.array([None] * len(code) + norm.tolist()), "has_vector": pa.array([None] * len(code) + [False] * n)})
+    weight = rng.random((20, terms)) * (rng.random((20, terms)) < 0.2)
+    q, code = np.nonzero(weight)
+    cells = []
+    real = scoring._leading
+    monkeypatch.setattr(scoring, "_leading", lambda key, k: cells.append(key.size) or real(key, k))
+    monkeypatch.setattr(scoring, "ARTICLES_PER_RUN", 500)
+    found = pa.Table.from_batches(scoring.best_by_keywords(iter([rows]), scoring.QueryWeights(np.arange(20), q, code, weight[q, code]), 3)).to_pylist()
+    assert sum(cells) < 20 * n / 4
+    scores = np.round((weight @ tf.T) / norm, scoring.SCORE_DECIMALS)
+    for i in range(20):
+        mine = sorted((-round(r["keyword"], 9), r["kb_id"]) for r in found if r["query_id"] == i and r["kb_id"] is not None)[:3]
+        assert mine == sorted(zip((-np.round(scores[i], 9)).tolist(), ids.tolist()))[:3]
+        (low,) = [r["low"] for r in found if r["query_id"] == i and r["kb_id"] is None]
+        assert low == scores[i].min()
