@@ -235,3 +235,39 @@ def test_terms_that_share_a_code_are_found(monkeypatch, spark, index):
     wanted = I.document_frequencies(index.counts).groupBy(I.term_hash(F.col("term")).alias("code"))
     wanted = wanted.agg(F.sum("df").alias("df"), (F.count(F.lit(1)) > 1).alias("clash")).select("code", "df", "clash")
     assert sorted(found.select("code", "df", "clash").collect()) == sorted(wanted.collect())
+
+
+def test_postings_are_shuffled_once_and_packed(monkeypatch, spark, rows, vectors, index):
+    """A batch's postings of a slice cross as one row, with what the sums need, and heavy terms are spread by article."""
+    plan = I.segment_postings(index.counts, 0, {})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    written = spark.read.schema(I.WRITTEN_POSTINGS).parquet(f"{index.segments[0].path}/postings")
+    df = {r.code: r.df for r in index.frequencies().collect()}
+    assert all(r.df == df[r.code] for r in written.collect())
+    plan = I.segment_sums(index.counts, written)._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan.lower() and "inline" not in plan.lower()
+
+    monkeypatch.setattr(I, "HEAVY", 3)
+    monkeypatch.setattr(I, "FREQUENT_TERMS", 1 << 40)
+    again = I.build_index(*frames(spark, rows, vectors))
+    assert sorted(again.postings().collect()) == sorted(index.postings().collect())
+    got, wanted = ({r.kb_id: (r.s0, r.s1, r.s2) for r in x.sums.collect()} for x in (again, index))
+    assert got.keys() == wanted.keys() and all(got[i] == pytest.approx(wanted[i], rel=1e-12) for i in got)
+
+
+def test_texts_are_not_shuffled_for_their_labels(spark, tmp_path):
+    from helpgrid.plans import tables as T
+
+    texts = [(i, f"line {i}\nmore", "en", "src", 9) for i in range(20)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    held = [(i, [0.5], i % 3) for i in range(10)]
+    spark.createDataFrame(held, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    given = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        found = T.articles(spark, str(tmp_path))
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {r.kb_id: r.category for r in found.collect()} == {i: str(i % 3) if i < 10 else None for i in range(20)}
+    finally:
+        spark.conf.set(name, given)
