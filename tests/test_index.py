@@ -271,3 +271,25 @@ def test_texts_are_not_shuffled_for_their_labels(spark, tmp_path):
         assert {r.kb_id: r.category for r in found.collect()} == {i: str(i % 3) if i < 10 else None for i in range(20)}
     finally:
         spark.conf.set(name, given)
+
+
+@pytest.mark.parametrize("shard, most", [(1 << 22, 1 << 25), (200, 300)])
+def test_a_refresh_joins_old_postings_where_they_lie(monkeypatch, spark, rows, index, shard, most):
+    """Terms of the new articles are broadcast in parts that meet their own shards; old postings and terms are not dealt by code."""
+    monkeypatch.setattr(I, "SHARD_POSTINGS", shard)
+    monkeypatch.setattr(I, "FREQUENT_BYTES", most)
+    monkeypatch.setattr(I, "SHARDED_CODES", 4)
+    monkeypatch.setattr(I, "frequent_from", lambda frequencies, n: 1 << 40)
+    half = len(rows) // 2
+    seen = []
+    real = I.Index.met
+    monkeypatch.setattr(I.Index, "met", lambda *a: seen.append(real(*a)) or seen[-1])
+    part = I.build_index(spark.createDataFrame(rows[:half], ARTICLE_COLUMNS))
+    grown = I.refresh_index(part, spark.createDataFrame(rows[half:], ARTICLE_COLUMNS))
+    whole = I.build_index(spark.createDataFrame(rows, ARTICLE_COLUMNS))
+    assert sorted(grown.terms.collect()) == sorted(whole.terms.collect())
+    got, wanted = ({r.kb_id: (r.s0, r.s1, r.s2) for r in x.sums.collect()} for x in (grown, whole))
+    assert got.keys() == wanted.keys() and all(got[i] == pytest.approx(wanted[i], rel=1e-9, abs=1e-9) for i in got)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in seen]
+    assert len(plans) == 2 and all("hashpartitioning(code" not in plan and "BroadcastHashJoin" in plan for plan in plans)
+    assert most > 300 or plans[0].count("BroadcastHashJoin") > 1
